@@ -69,3 +69,15 @@ def before(score: Column, tie: Column, cut_at: tuple[float, int]) -> Column:
     """True for rows at or before ``cut_at`` in the order of ``kth_largest``."""
     s, t = cut_at
     return (score > F.lit(s)) | ((score == F.lit(s)) & (F.coalesce(tie.cast("long"), F.lit(2**63 - 1)) <= F.lit(t)))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, seed: str = "sample") -> DataFrame:
+    """At most ``rows`` rows, those of least hash of ``key``: the same in every run.
+
+    The rows are counted first, and a threshold on the hash leaves about twice the sample before
+    it is sorted, so that no task and no exchange holds the sample once per partition.
+    """
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    total = df.count()
+    few = df if total <= 2 * rows else df.where(h < F.lit(int((1 << 40) * min(1.0, (2 * rows + 100) / total))))
+    return few.orderBy(h, key).limit(rows)
