@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.ranking import hash_sample
 from ..plans.lineage import cut
 
 #: Projections in all, and those that are sorted.
@@ -117,7 +118,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _links_of(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     cell, least = calibrate(cosine, dim)
     plane = directions(dim)
-    drawn = nodes.select("vector", "node").orderBy(F.xxhash64("node")).select("vector").limit(SAMPLE_ROWS).toArrow()
+    drawn = hash_sample(nodes.select("vector", "node"), "node", SAMPLE_ROWS).select("vector").toArrow()
     sample = np.sort(_units(drawn.column("vector"), dim) @ plane[:, :LEADS], axis=0)
     blocks = max(1, min(-(-n // BLOCK_ROWS), len(sample) // 4))
     bounds = sample[[len(sample) * i // blocks for i in range(1, blocks)]].T.copy() if blocks > 1 else np.zeros((LEADS, 0))

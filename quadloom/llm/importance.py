@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import before, kth_largest
+from ..operators.ranking import before, hash_sample, kth_largest
 from ..plans.lineage import cut
 from .chunks import slices
 from .ngrams import ngram_buckets
@@ -64,7 +64,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "t
     texts are left out.
     """
     labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_key")).agg(F.min(F.col(label).cast("int")).alias("_label"))
-    labelled = cut(labelled.orderBy(F.xxhash64("_key"), "_key").limit(LABELLED_ROWS))
+    labelled = cut(hash_sample(labelled, "_key", LABELLED_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)

@@ -15,10 +15,14 @@ def sampled_splitters(keys: DataFrame, ranges: int, sample_rows: int = SAMPLE_RO
     """At most ``ranges - 1`` ascending (k1, k2) boundaries from a size-weighted sample of ``keys`` (k1, k2, size).
 
     The ``sample_rows`` rows with the largest u^(1/size) are drawn, u being a hash of the row's
-    key, so a rerun draws the same rows. The sample is bounded whatever the table holds.
+    key, so a rerun draws the same rows. A threshold from the sum of sizes leaves about twice as
+    many rows to sort, so the sample is bounded whatever the table holds.
     """
+    total = keys.agg(F.sum("size")).first()[0]
     u = (F.pmod(F.xxhash64("k1", "k2", F.lit("splitter")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    drawn = keys.select("k1", "k2", (F.log(u) / F.col("size")).alias("w")).orderBy(F.desc("w"), "k1", "k2").limit(sample_rows)
+    weighed = keys.select("k1", "k2", (F.log(u) / F.col("size")).alias("w"))
+    likely = weighed.where(F.col("w") >= F.lit(-(2.0 * sample_rows + 100) / max(total or 1, 1)))
+    drawn = likely.orderBy(F.desc("w"), "k1", "k2").limit(sample_rows)
     sample = sorted((r.k1, r.k2) for r in drawn.collect())
     at = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
     return sorted(set(at))
