@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .chunks import slices
 
 #: Words that a run of repeated units must hold to be removed.
@@ -65,6 +66,7 @@ def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     """
     all_units = units(df, text, key)
     first = all_units.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    first = cut(first)  # the join then shuffles both sides itself, and may split a very common unit
     place = F.struct("unit", "start", "end", "words")
     repeated = all_units.join(first, ["d1", "d2"], "left").where("again or doc_id > first").select("doc_id", place.alias("u"))
     listed = repeated.groupBy("doc_id").agg(F.sort_array(F.collect_set("u")).alias("units"))  # no more than a document's own units
