@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .suffixes import repeated_string_digest
 from .tokenfiles import token_file_digest
 
 
@@ -50,6 +51,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1, with_ids=False).drop("ids")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_string_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,7 +70,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_simhash, op3_embedding_dedup, op4_sharding, op5_transport_stream, op6_best_fit_packing, op8_token_files, op9_bpe_replay, op10_importance_resampling)
+    for f in (op1_substring_dedup, op2_simhash, op3_embedding_dedup, op4_sharding, op5_transport_stream, op6_best_fit_packing, op7_suffix_array_dedup, op8_token_files, op9_bpe_replay, op10_importance_resampling)
 }
 
 #: None of these is expressible in DuckDB's SQL as a whole: they rest on XXH64, CRC-32, tokenizers, codecs or seeded noise.
