@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept before a task starts its dictionary anew.
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 800_000
 #: Characters of text in hand at once.
 SLICE_CHARS = 2_000_000
 
@@ -72,22 +73,36 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 #: A space that does not follow a visible character: only then may a token hold a space and more before it.
 _LOOSE = re.compile(r"(?:^|\s) ")
+#: A full stop or comma that follows no letter or digit, and so may share a token with what it follows.
+_MARKS = re.compile(r"[.,](?<![^\W_].)")
+#: White space to Python, not to the tokenizers.
+_ODD = re.compile(r"[\x1c-\x1f]")
+_CUT = "\x01"
 
 
 def spaced_chunks(text: str) -> list[str]:
-    """Chunks that start with their space, for the byte-level pattern; joined they are the text."""
+    """Chunks that start with their space, for the byte-level pattern; joined they are the text. Stops and commas at a word's end are chunks."""
     if _LOOSE.search(text):
         return re.findall(r"(?:^|(?<=\S) )(?:(?!(?<=\S) ).)*", text, re.S) or [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    if _CUT in text or _MARKS.search(text):
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+    text = text.replace(" ", _CUT + " ").replace("," + _CUT, _CUT + "," + _CUT).replace("." + _CUT, _CUT + "." + _CUT)
+    return text.split(_CUT)
 
 
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 def bare_chunks(text: str) -> list[str]:
-    """Chunks between ASCII white space, for vocabularies that drop it."""
-    return text.split() if text.isprintable() and text.isascii() else [x for x in _BLANK.split(text) if x]
+    """Chunks between ASCII white space, lower-cased where that changes nothing else, for vocabularies that drop both. Stops and commas at a word's end are chunks."""
+    if "\u03a3" in text or "\u0130" in text:  # letters that are lower-cased by their surroundings
+        return [text]
+    if unicodedata.is_normalized("NFC", text):
+        text = text.lower()
+    if not _MARKS.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+    return text.split() if text.isascii() and not _ODD.search(text) else [x for x in _BLANK.split(text) if x]
 
 
 @functools.lru_cache(2)
