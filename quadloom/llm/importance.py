@@ -17,11 +17,14 @@ from .chunks import slices
 from .ngrams import ngram_buckets
 
 #: log2 of the buckets that words and word pairs are hashed to.
-BUCKET_BITS = 16
+BUCKET_BITS = 14
+#: n-grams that every text counts as: its mean log ratio is scaled by this, so that length decides nothing.
+TEXT_NGRAMS = 1024
 #: Labelled documents that the target model is fitted on, at most; drawn by a hash of the key.
 LABELLED_ROWS = 20_000
 #: Share of the labelled target documents whose weight the selected number must reach.
 TARGET_SHARE = 0.995
+#: Strength of the raw model as the target model's prior, in n-grams a bucket.
 SMOOTHING = 1.0
 SEED = 20
 
@@ -34,7 +37,7 @@ class ImportanceModel:
     labelled: DataFrame
 
     def weight(self, text: Column) -> Column:
-        """log of the importance weight of a text: its n-grams' ratios added up. Null and empty texts: 0."""
+        """log of the importance weight of a text: the mean of its n-grams' ratios, times ``TEXT_NGRAMS``. Null and empty texts: 0."""
         if self.ratio is None:
             return F.lit(0.0)
         shared = self.labelled.sparkSession.sparkContext.broadcast(self.ratio)
@@ -44,7 +47,8 @@ class ImportanceModel:
             out, ratio = [], shared.value
             for i in range(0, len(texts), 500):
                 buckets, count = ngram_buckets([(t or "").encode() for t in texts.iloc[i : i + 500]], BUCKET_BITS)
-                out.append(np.bincount(np.repeat(np.arange(len(count)), count), weights=ratio[buckets], minlength=len(count)))
+                sums = np.bincount(np.repeat(np.arange(len(count)), count), weights=ratio[buckets], minlength=len(count))
+                out.append(TEXT_NGRAMS * sums / np.maximum(count, 1))
             return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
         return weigh(text)
@@ -59,12 +63,13 @@ def gumbel(key: Column, seed: int = SEED) -> Column:
 def fit(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> ImportanceModel:
     """Counts n-grams over all texts (raw) and over the labelled texts of ``label`` 1 (target).
 
-    At most ``LABELLED_ROWS`` labelled keys are used; the raw counts cover every row. A task sends
+    At most ``LABELLED_ROWS`` labelled keys are used, one half of them, by a hash, for the counts,
+    and the other to tell the weights of target texts not fitted on; the raw counts cover every row. A task sends
     on at most one row a bucket. Conflicting labels of a key: the least. Null keys, labels and
     texts are left out.
     """
     labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_key")).agg(F.min(F.col(label).cast("int")).alias("_label"))
-    labelled = cut(hash_sample(labelled, "_key", LABELLED_ROWS))
+    labelled = cut(hash_sample(labelled, "_key", LABELLED_ROWS).withColumn("_held", F.pmod(F.xxhash64("_key", F.lit("half")), F.lit(2)) == 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)
@@ -78,15 +83,17 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "t
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(sums[0, seen]), pa.array(sums[1, seen])], names=["bucket", "raw", "target"])
 
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(labelled), "_key", "left").select("text", F.col("_label").alias("label"))  # at most LABELLED_ROWS rows
+    rows = rows.join(F.broadcast(labelled), "_key", "left").select("text", F.when(~F.col("_held"), F.col("_label")).alias("label"))  # at most LABELLED_ROWS rows
     counts = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     sums = np.zeros((2, 1 << BUCKET_BITS))
     for b, raw, target in counts.collect():  # at most a row a bucket
         sums[:, b] = raw, target
     if not sums[1].any():
         return ImportanceModel(None, labelled)
-    logs = np.log(sums + SMOOTHING) - np.log(sums.sum(axis=1, keepdims=True) + SMOOTHING * sums.shape[1])
-    return ImportanceModel(logs[1] - logs[0], labelled)
+    raw = (sums[0] + 1) / (sums[0].sum() + sums.shape[1])
+    prior = SMOOTHING * sums.shape[1]
+    target = (sums[1] + prior * raw) / (sums[1].sum() + prior)
+    return ImportanceModel(np.log(target) - np.log(raw), labelled)
 
 
 def resample(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", target_share: float = TARGET_SHARE, k: int | None = None):
@@ -94,7 +101,7 @@ def resample(df: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     The k rows of largest log weight plus Gumbel noise are kept, which samples k without
     replacement in proportion to the weights. Unless given, k is the number of rows that reach
-    the weight which ``target_share`` of the labelled target texts reach. The k-th key is found by
+    the weight which ``target_share`` of the held-out target texts reach. The k-th key is found by
     repeated histograms; rows that tie with it are taken in key order, and rows alike in weight
     and key are kept or left together.
 
@@ -106,7 +113,7 @@ def resample(df: DataFrame, labels: DataFrame, label: str = "quality", text: str
     weight = model.weight(F.col(text).cast("string"))
     scores = cut(df.select(id_.alias("doc_id"), weight.alias("log_weight")).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"))))
     if k is None:
-        target = scores.join(F.broadcast(model.labelled.where("_label = 1")), scores.doc_id == F.col("_key"))
+        target = scores.join(F.broadcast(model.labelled.where("_held and _label = 1")), scores.doc_id == F.col("_key"))
         least = target.agg(F.percentile("log_weight", F.lit(1 - target_share))).first()[0]
         k = scores.where(F.col("log_weight") >= F.lit(least)).count() if least is not None else scores.count()
     at = kth_largest(scores, "gumbel_key", "doc_id", k)

@@ -160,7 +160,7 @@ def parse_stream(media: bytes) -> dict:
 
 
 def with_streams(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
-    """Adds ``out``: a transport stream of the binary column ``payload`` (null: null; empty: tables only). A column named ``out`` is replaced."""
+    """Adds ``out``: a transport stream of the binary column ``payload`` (null: null; empty: tables only, which parse to an empty payload). A column named ``out`` is replaced."""
 
     @F.pandas_udf("binary")
     def stream(column):

@@ -134,13 +134,14 @@ def _labelled(rows: DataFrame, node: str, components: DataFrame) -> DataFrame:
 # Wide fingerprints: similar, not only nearly equal, sets of shingles.
 
 #: 64-bit words of a wide fingerprint, bits of a segment, equal segments that start a chain, orders of the ring.
-WORDS, SEGMENT_BITS, START, RINGS = 4, 8, 3, 2
+WORDS, SEGMENT_BITS, START, RINGS = 4, 8, 3, 4
 _SEGMENTS = WORDS * 64 // SEGMENT_BITS
 
 
 def differing(similarity: float, bits: int = WORDS * 64) -> int:
-    """Bits expected to differ between fingerprints of sets of that Jaccard similarity (and like size)."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Bits that differ between fingerprints of sets of that Jaccard similarity (and like size): those expected and one standard error, so that most such pairs are within."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
 def _ring(r: int) -> np.ndarray:
@@ -177,7 +178,8 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     otherwise, so the work is in proportion to the rows. A pair goes on if every chain from its
     start keeps within its share of the bits that may differ, and links if it keeps within all.
 
-    Recall is a probability here: a start is shared by chance, 64 starts are tried. Null and empty
+    Recall is a probability here: a start is shared by chance, ``RINGS`` * 32 starts are tried; and the similarity is an estimate, so pairs a little
+    below it link too. At 0.8, a pair alone is found two times of three or more, at 0.9 nearly always. Null and empty
     texts are alike. Null keys are no smallest id unless alone.
     """
     most = differing(similarity)
@@ -203,7 +205,7 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     met = cut(made.join(groups, "start").withColumn("leads", chosen == F.col("h")))
     leaders = met.where("leads").select("start", F.col("node").alias("leader"))
     met = met.where(~F.col("leads")).join(leaders, "start")
-    pairs = met.groupBy("node", "leader").agg(F.collect_set(F.shiftright("start", START * SEGMENT_BITS).cast("int")).alias("starts"))  # at most 64
+    pairs = met.groupBy("node", "leader").agg(F.collect_set(F.shiftright("start", START * SEGMENT_BITS).cast("int")).alias("starts"))  # at most RINGS * 32
     one = distinct.select("node", F.col("fp").alias("a"))
     two = distinct.select(F.col("node").alias("leader"), F.col("fp").alias("b"))
     held = pairs.join(one, "node").join(two, "leader")

@@ -1,0 +1,368 @@
+"""Each operator against brute force, and over odd rows."""
+
+import base64
+import collections
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+from quadloom.llm import bpe, chunks, embeddings, idcoder, importance, media, ngrams, packing, sharding, simhash, substring, suffixes, tokenfiles
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, size long, shard int, removed string, fp long, media string, rank int, _r int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names."""
+    long = " ".join(f"word{i % 700} and more." for i in range(30_000))
+    rows = [(1, "One line here.\nAnother  line, İΣ it's 12.", 5, 6, "a", 7, "b", 8, 9), (2, None, None, None, None, None, None, None, None), (3, "", *[None] * 7), (4, long, *[None] * 7), (None, "no key", *[None] * 7), (5, "twice", *[None] * 7), (5, "twice", *[None] * 7), (6, "twice", *[None] * 7), (7, "　 \x1c\t", *[None] * 7)]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_units_removed_as_by_hand(spark):
+    shared = "Ten words stand in this one line which is shared. More of it here."
+    rows = [(3, f"Own start here.\n{shared}\nOwn end."), (1, shared), (2, f"Lead. {shared.upper()} Tail."), (4, "Short one.\nShort one.")]
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == shared and not got[1].removed
+    assert got[2].text == "Lead.  Tail."
+    assert [rows[0][1][a:b] for a, b in got[3].removed] == [shared]
+    assert got[3].text == "Own start here.\n\nOwn end."
+    assert got[4].text == "Short one.\nShort one."  # fewer words than a run must hold
+
+
+def test_units_against_brute_force(docs, texts):
+    seen, want = set(), {}
+    for k in sorted(texts):
+        t, own, runs, last = texts[k], set(), [], None
+        for i, (a, b) in enumerate(u for u in substring.split_units(t) if t[slice(*u)].split()):
+            w = tuple(t[a:b].lower().split())
+            if w in seen or w in own:
+                if last == i - 1 and runs:
+                    runs[-1] = (runs[-1][0], b, runs[-1][2] + len(w))
+                else:
+                    runs.append((a, b, len(w)))
+                last = i
+            own.add(w)
+        seen |= own
+        want[k] = [(a, b) for a, b, n in runs if n >= substring.MIN_WORDS]
+    got = {r.doc_id: [tuple(s) for s in r.removed] for r in substring.remove_repeats(docs).collect()}
+    assert got == want
+
+
+def _fingerprint(t):
+    w = (t or "").encode().lower().split()
+    g = [b" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in g]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(fps, most):
+    parent = {k: k for k in fps}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    keys = sorted(fps)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (fps[a] ^ fps[b]).bit_count() <= most:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def test_simhash_against_brute_force(docs, texts):
+    fps = {k: _fingerprint(t) for k, t in texts.items()}
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert {k: r.fp % 2**64 for k, r in got.items()} == fps
+    assert {k: r.component_id for k, r in got.items()} == _components(fps, 2)
+
+
+@pytest.mark.parametrize("paired", [64, 2])
+@pytest.mark.parametrize("most", [1, 2])
+def test_links_of_crowded_groups(spark, monkeypatch, paired, most):
+    """Small groups go by pairs, crowded ones by midpoints; both keep every link."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = {}
+    for i in range(160):
+        x = rng.choice(base)
+        for b in rng.sample(range(64), rng.randint(0, 3)):
+            x ^= 1 << b
+        fps[i] = x
+    rows = spark.createDataFrame([(k, v - 2**64 if v >> 63 else v) for k, v in fps.items()], "doc_id long, fp long")
+    links = simhash.link_fingerprints(rows, most)
+    got = simhash._labelled(rows, "fp", simhash.connected_components(links))
+    assert {r.doc_id: r.component_id for r in got.collect()} == _components(fps, most)
+
+
+def test_similar_documents_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    rows, families = [], 40
+    for f in range(families):
+        words = [word() for _ in range(300)]
+        for v in range(3):
+            copy = list(words)
+            for _ in range(3 * v):
+                copy[rng.randrange(300)] = word()
+            rows.append((f * 10 + v, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c // 10 == k // 10 for k, c in got.items())  # no clean document goes
+    # Three changed words of 300 leave a similarity of 0.91, six 0.82; a pair at the latter is met and estimated so three times of four.
+    assert sum(got[f * 10 + 1] == f * 10 for f in range(families)) >= 0.95 * families
+    assert sum(got[f * 10 + 2] == f * 10 for f in range(families)) >= 0.6 * families
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(300, 700):  # near the threshold and nearer, in chains
+        n = rng.standard_normal(24)
+        x[i] = x[i - 300] + n / np.linalg.norm(n) * rng.uniform(0.05, 0.5)
+    x[700:720] = x[5]
+    rows = [(i, [float(v) for v in a]) for i, a in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [1.0]), (1004, [1.0, None]), (None, [1.0] * 24)]
+    got = {r.vec_id: r for r in embeddings.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    links = sum(got[i].n_links for i in range(900))
+    assert 0.9 * near.sum() <= links <= near.sum()
+    assert all(got[i].n_links <= near[i].sum() for i in range(900)) and got[5].n_links >= 20
+    assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in (1000, 1001, 1002, 1003, 1004)) and None in got
+
+
+def test_shards(docs, texts, odd, none):
+    rows = sharding.shard_by_bytes(docs, 5, sample_rows=40).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        t = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 1, zlib.crc32(t), "bytes", None)
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in rows) and len(rows) == len(texts)
+    for s in sizes:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    rows = sharding.shard_by_bytes(odd, 3).collect()
+    assert len(rows) == 9 and {(r.size, r.text_crc32) for r in rows if r.doc_id == 2} == {(1, 0)} and all(0 <= r.shard < 3 for r in rows)
+    assert not sharding.shard_by_bytes(none, 3).collect()
+
+
+def test_streams(docs, texts, odd, none, spark):
+    for n in [*range(64, 1200, 64), 70_016]:
+        data = random.Random(n).randbytes(n)
+        got = media.parse_stream(media.write_stream(data))
+        assert got["payload"] == data and got["continuity_errors"] == 0 and all(u["random_access"] for u in got["units"])
+    m = media.write_stream(bytes(100_000))
+    lost = media.parse_stream(m[: 188 * 5] + m[188 * 6 :])
+    assert lost["problem"] and lost["continuity_errors"] == 1
+    assert media.parse_stream(m[:20] + bytes([m[20] ^ 1]) + m[21:])["problem"] and media.parse_stream(b"x")["problem"] and media.parse_stream(None)["problem"]
+    for df, n in ((docs, len(texts)), (odd, 9), (none, 0)):
+        rows = media.stream_digest(df).collect()
+        assert len(rows) == n
+    r = next(r for r in media.stream_digest(docs).collect() if r.doc_id == 1)
+    raw = texts[1].encode()
+    padded = raw + bytes(-len(raw) % 64)
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    columns = media.with_parsed(media.with_streams(spark.createDataFrame([(b"abc",), (None,), (b"",)], "payload binary"), "payload")).collect()
+    assert [bytes(c.parsed.payload) if c.parsed.payload is not None else None for c in columns] == [b"abc", None, b""]
+
+
+def test_packing(docs, texts, odd, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    rows = packing.pack_documents(docs, path, 512).collect()
+    ids, used = collections.defaultdict(list), collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        part = list(struct.unpack(f"<{r.length}I", r.ids))
+        assert r.start == len(ids[r.doc_id]) and zlib.crc32(r.ids) == r.ids_crc32
+        ids[r.doc_id] += part
+        used[r.sequence_id].append((r.offset, r.length))
+    for k, t in texts.items():
+        want = library.encode(t, add_special_tokens=False).ids + [1]
+        assert ids[k] == want and sum(r.doc_id == k for r in rows) == -(-len(want) // 512)
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(used) <= -(-sum(r.length for r in rows) // 512) + 1
+    assert sum(r.length for r in packing.pack_documents(odd, path, 512).collect() if r.doc_id in (2, 3)) == 2
+    assert not packing.pack_documents(none, path, 512).collect()
+
+
+def test_bins_hold_every_length():
+    rng = random.Random(3)
+    for n in (1, 7, 500):
+        counts = collections.Counter(rng.randint(1, 100) for _ in range(n))
+        used = collections.Counter()
+        for filling, times in packing.pack_histogram(counts, 100):
+            assert sum(filling) <= 100
+            for x in filling:
+                used[x] += times
+        assert used == counts
+    assert sorted(packing.complete_bin(10, [3, 4, 5, 6], {3: 1, 4: 1, 5: 1, 6: 1})) == [4, 6]
+
+
+def test_suffixes_against_brute_force(spark, docs, texts):
+    for length, rows in ((200, texts), (24, {1: "abcdefgh" * 9 + "é" * 40, 2: "xx" + "abcdefgh" * 4, 3: None, 4: "", 5: "abcdefgh" * 4, 6: "\0" * 60})):
+        df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        data = {k: (t or "").encode() for k, t in rows.items()}
+        count = collections.Counter(b[i : i + length] for b in data.values() for i in range(len(b) - length + 1))
+        got = {r.doc_id: r for r in suffixes.remove_repeated_strings(df, length).collect()}
+        for k, b in data.items():
+            covered = np.zeros(len(b), bool)
+            for i in range(len(b) - length + 1):
+                if count[b[i : i + length]] > 1:
+                    covered[i : i + length] = True
+            assert bytes(got[k].kept) == bytes(np.frombuffer(b, np.uint8)[~covered]), k
+            assert got[k].n_spans == (np.diff(covered.astype(int), prepend=0) == 1).sum() and got[k].n_removed == covered.sum()
+
+
+def test_id_coder_round_trips():
+    rng = np.random.default_rng(0)
+    for ids in ([], [0], [65_535] * 5000, rng.integers(0, 65_536, 9000), np.tile(rng.integers(0, 50_000, 300), 40), rng.zipf(1.3, 9000) % 50_257):
+        for block in (64, 4096):
+            assert (idcoder.decode_ids(idcoder.encode_ids(ids, block)) == np.asarray(ids)).all()
+    chunk = bytearray(idcoder.encode_ids(np.arange(9000) % 977))
+    chunk[-40] ^= 1
+    with pytest.raises(ValueError, match="block 2"):
+        idcoder.decode_ids(bytes(chunk))
+    with pytest.raises(ValueError, match="not a chunk"):
+        idcoder.decode_ids(b"")
+    repeated = np.tile(rng.integers(0, 50_000, 300), 40)
+    assert len(idcoder.encode_ids(repeated)) < len(repeated)
+
+
+def test_token_files(spark, docs, texts, odd, none, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    rows = {r.doc_id: r for r in tokenfiles.token_file_digest(docs, path, str(tmp_path / "a")).collect()}
+    at = 0
+    for k in sorted(texts):
+        want = np.array([*library.encode(texts[k], add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[k].start, rows[k].n_tokens, rows[k].ids_crc32) == (at, len(want), zlib.crc32(want.tobytes()))
+        at += len(want)
+    got = tokenfiles.token_file_digest(odd, path, str(tmp_path / "b")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 5, 6, 7] and [r.n_tokens for r in got if r.doc_id in (2, 3)] == [1, 1]
+    assert not tokenfiles.token_file_digest(none, path, str(tmp_path / "c")).collect()
+
+
+def _tiktoken():
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_merge_replay(docs, texts, odd, none):
+    path, library = public_tokenizers.path("byte_bpe_50k.tiktoken"), _tiktoken()
+    for df, rows in ((docs, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect()]), (none, [])):
+        want = []
+        for k, t in rows:
+            ids = np.array(library.encode_ordinary(t or ""), "<u4")
+            want.append((k, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in bpe.round_trip_digest(df, path, public_tokenizers.PATTERN).collect())
+
+
+def test_chunked_encoders_agree_with_the_libraries():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    parts = ["a", "b ", "  ", "\n", "\t", "'s", "é", "1", "!", "\x1c", "²", "　", " x", "\n ", "中", "́", "İ", ",", ".", "_", ". ", "Σ", "ΑΣ", ", ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for name, encoder in (("byte_bpe_50k", chunks.byte_bpe), ("word_bpe_49k", chunks.word_bpe)):
+        library = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        library.encode_special_tokens = True
+        ids, count = encoder(public_tokenizers.path(f"{name}.json"))(texts)
+        ends = np.cumsum(count)
+        for t, e, n in zip(texts, ends, count, strict=True):
+            assert ids[e - n : e].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_ngrams():
+    texts = [b"", b"one", b"one two", b"two  one\n", b"x" * 1000 + b" one", b"\x01"]
+    h, n = ngrams.word_hashes(texts)
+    assert n.tolist() == [0, 1, 2, 2, 2, 0] and h[0] == h[1] == h[4] == h[6] and h[2] == h[3] and len(set(h.tolist())) == 3
+    assert ngrams.ngram_buckets(texts, 16)[1].tolist() == [0, 1, 3, 3, 3, 0]
+
+
+def test_importance_resampling(spark, none):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fit, held = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0")
+    scores, keep = importance.resample(docs, fit)
+    rows = {r.doc_id: r for r in scores.collect()}
+    kept = {k for k, r in rows.items() if r.kept}
+    assert {r.doc_id for r in keep(docs).collect()} == kept and keep(docs).columns == docs.columns
+    assert min(rows[k].gumbel_key for k in kept) > max(r.gumbel_key for k, r in rows.items() if k not in kept)
+    good = [r.doc_id in kept for r in held.where("quality = 1").collect()]
+    bad = [r.doc_id in kept for r in held.where("quality = 0").collect()]
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
+    few, _ = importance.resample(docs, fit, k=10)
+    assert few.where("kept").count() == 10
+    text = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
+    model = importance.fit(docs, fit)
+    for i, t in enumerate(text):
+        assert abs(rows[i].log_weight - importance.TEXT_NGRAMS * model.ratio[ngrams.ngram_buckets([t.encode()], importance.BUCKET_BITS)[0]].mean()) < 1e-6
+    assert not importance.resample(none, fit)[0].collect()
+    assert importance.resample(docs, fit.limit(0))[0].where("kept").count() == docs.count()
+
+
+def test_odd_rows_pass_every_operator(odd, none, spark):
+    assert len(substring.remove_repeats(odd).collect()) == 9 and set(substring.remove_repeats(odd).columns) == set(odd.columns)
+    assert {r.doc_id: r.text for r in substring.remove_repeats(odd).collect()}[2] is None
+    for f in (simhash.near_duplicates, simhash.similar_documents):
+        groups = [r.component_id for r in f(odd).collect()]
+        assert len(groups) == 9 and not f(none).collect()
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd).collect()}
+    assert {(5, 5), (6, 5), (2, 2), (3, 2)} <= got
+    assert len(suffixes.repeated_string_digest(odd.where("doc_id is null or doc_id <> 4")).collect()) == 8
+    assert not suffixes.repeated_string_digest(none).collect() and not substring.remove_repeats(none).collect()
+    labels = spark.createDataFrame([(1, 1), (3, None), (None, 1), (1, 0)], "doc_id long, quality int")
+    assert importance.resample(odd, labels)[0].count() == 9
+    assert not embeddings.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, before = docs.columns, docs.count()
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == names
+            docs = docs.cache()
+            assert 0.5 * before < docs.count() <= before
+    assert corpus_pipeline.run(spark, SF).count() == docs.count()
