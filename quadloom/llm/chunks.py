@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept before a task starts its dictionary anew.
-MOST_CHUNKS = 800_000
+MOST_CHUNKS = 350_000
 #: Characters of text in hand at once.
 SLICE_CHARS = 2_000_000
 
