@@ -3,7 +3,8 @@
 An id's probability mixes three predictions: the id that last followed the same two ids (order
 2), the id that last followed the same id (order 1), and the block's own id frequencies by high
 byte (order 0). The weights are learned from how often each prediction held at the same pair of
-confidences. A carry-free 64-bit range coder codes the id in one step.
+confidences; the highest order that foresees an id codes it, and orders that agree pool their
+weights. A carry-free 64-bit range coder codes the id in one step.
 
 Blocks start from the same state and share nothing, so those of a chunk are coded side by side,
 one a row of numpy arrays. A chunk is bytes: magic, ids, blocks, then per block its words and
@@ -21,6 +22,7 @@ MAGIC = b"QLID1\0\0\0"
 BLOCK_IDS = 4096
 _TOTAL_BITS = 28  # enough for each id of the largest block to keep a width of its own
 _TOTAL = 1 << _TOTAL_BITS
+_HELD = float(_TOTAL - (_TOTAL >> 4))  # of it, what orders 2 and 1 may take
 _SLOTS1, _SLOTS2 = 1024, 2048
 _EVERY = 64  # ids between two updates of the order-0 frequencies
 _MASK32 = np.uint64(0xFFFFFFFF)
@@ -29,82 +31,112 @@ _TOP = np.uint64(1 << 32)
 
 
 class _Model:
-    """Predictions for one id of every row at a time."""
+    """Predictions for one id of every row at a time.
+
+    A slot of a table holds a predicted id and, in its two lowest bits, how sure it is. A cell of
+    weights holds how many ids met it, and how many of them each order foresaw. An id takes the
+    share of the highest order that foresees it; orders that agree pool their shares. Shares are
+    floors of doubles, which both directions compute alike.
+    """
 
     def __init__(self, rows: int):
         self.rows = np.arange(rows)
-        self.next1 = np.zeros(rows * _SLOTS1, np.int64)
-        self.sure1 = np.zeros(rows * _SLOTS1, np.int64)
-        self.next2 = np.zeros(rows * _SLOTS2, np.int64)
-        self.sure2 = np.zeros(rows * _SLOTS2, np.int64)
+        self.table1 = np.zeros(rows * _SLOTS1, np.int32)
+        self.table2 = np.zeros(rows * _SLOTS2, np.int32)
         self.seen = np.ones((rows, 256), np.int64)
-        self.cells = np.tile(np.array([2, 2, 12], np.int64), (rows * 16, 1))
-        self.before = np.zeros((2, rows), np.int64)
-        self.recent: list[tuple[np.ndarray, np.ndarray]] = []
+        self.cells = np.tile(np.array([16, 2, 2, 12], np.int64), rows * 16)
+        self.b2, self.b1 = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        self.recent: list[np.ndarray] = []
+        self.k = -1
         self._sum()
 
     def _sum(self) -> None:
-        self.cum = np.concatenate([np.zeros((len(self.rows), 1), np.int64), np.cumsum(self.seen, axis=1)], axis=1)
+        self.cum = np.concatenate([np.zeros((len(self.rows), 1)), np.cumsum(self.seen, axis=1)], axis=1).ravel()
+
+    def _take(self, k: int) -> None:
+        """Only the first ``k`` rows go on."""
+        self.k = k
+        r = self.rows[:k]
+        self.row1, self.row2, self.row0, self.rowc, self.rows256 = r * _SLOTS1, r * _SLOTS2, r * 257, r * 64, r * 256
+        self.b2, self.b1 = self.b2[:k], self.b1[:k]
+        self.sum0 = self.cum.take(self.row0 + 256)
 
     def predict(self, k: int) -> None:
-        """Sets the predicted ids and the three weights of the first ``k`` rows."""
-        b2, b1 = self.before[0, :k], self.before[1, :k]
-        self.at1 = self.rows[:k] * _SLOTS1 + ((b1 * 40503) >> 4) % _SLOTS1
-        self.at2 = self.rows[:k] * _SLOTS2 + ((b2 * 60493 + b1 * 40503) >> 4) % _SLOTS2
-        self.p1, self.p2 = self.next1[self.at1], self.next2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.cell = self.rows[:k] * 16 + self.c2 * 4 + self.c1
-        n = self.cells[self.cell]
-        held = _TOTAL - (_TOTAL >> 4)
-        whole = n.sum(axis=1)
-        self.w2, self.w1 = held * n[:, 0] // whole, held * n[:, 1] // whole
-        self.w0 = _TOTAL - self.w2 - self.w1
-        self.sum0 = self.cum[:k, 256]
-
-    def base(self, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order-0 start and width of ``ids``."""
-        high, r = ids >> 8, self.rows[:k]
-        lo = self.w0 * self.cum[r, high] // self.sum0
-        width = (self.w0 * self.cum[r, high + 1] // self.sum0 - lo) >> 8
-        return lo + width * (ids & 255), width
-
-    def interval(self, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        start, width = self.base(ids, k)
-        start = start + self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)
-        return start, width + self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)
-
-    def find(self, value: np.ndarray, k: int) -> np.ndarray:
-        """The ids whose intervals hold ``value``."""
-        s1, f1 = self.interval(self.p1, k)
-        s2, f2 = self.interval(self.p2, k)
-        rest = value - self.w1 * (value >= s1 + f1) - self.w2 * (value >= s2 + f2)
-        lo, r = np.zeros(k, np.int64), self.rows[:k]
+        """Sets the predicted ids and the three shares of the first ``k`` rows."""
+        if k != self.k:
+            self._flush()
+            self._take(k)
+        one = self.b1 * 40503
+        self.at1 = self.row1 + (one >> 4 & _SLOTS1 - 1)
+        one += self.b2 * 60493
+        self.at2 = self.row2 + (one >> 4 & _SLOTS2 - 1)
+        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.cell = self.rowc + ((self.e2 & 3) << 4 | (self.e1 & 3) << 2)
+        self.whole = self.cells.take(self.cell)
+        unit = _HELD / self.whole
+        self.w2, self.w1 = (unit * self.cells.take(self.cell + 1)).astype(np.int64), (unit * self.cells.take(self.cell + 2)).astype(np.int64)
+        self.w21 = self.w2 + self.w1
+        self.w2 += self.w1 * (self.p1 == self.p2)
+        self.unit0 = (_TOTAL - self.w21) / self.sum0
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ``ids``."""
+        at = self.row0 + (ids >> 8)
+        lo = (self.unit0 * self.cum.take(at)).astype(np.int64)
+        width = (self.unit0 * self.cum.take(at + 1)).astype(np.int64) - lo >> 8
+        self.hit2, self.hit1 = self.p2 == ids, self.p1 == ids
+        start, width = self._foreseen(self.w21 + lo + width * (ids & 255), width)
+        return start, width
+
+    def _foreseen(self, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        np.copyto(start, self.w2, where=self.hit1)
+        np.copyto(width, self.w1, where=self.hit1)
+        start *= ~self.hit2
+        np.copyto(width, self.w2, where=self.hit2)
+        return start, width
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold ``value``, with starts and widths."""
+        rest = value - self.w21
+        above = rest + 1
+        at = self.row0.copy()
         for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            lo += step * (self.w0 * self.cum[r, lo + step] // self.sum0 <= rest)
-        start = self.w0 * self.cum[r, lo] // self.sum0
-        width = (self.w0 * self.cum[r, lo + 1] // self.sum0 - start) >> 8
-        ids = (lo << 8) + np.clip((rest - start) // width, 0, 255)
-        ids = np.where((value >= s1) & (value < s1 + f1), self.p1, ids)
-        return np.where((value >= s2) & (value < s2 + f2), self.p2, ids)
-
-    def learn(self, ids: np.ndarray, k: int) -> None:
-        hit2, hit1 = self.p2 == ids, self.p1 == ids
-        which = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.cells[self.cell, which] += 24
-        full = self.cells[self.cell].sum(axis=1) > 4000
-        if full.any():
-            at = self.cell[full]
-            self.cells[at] = (self.cells[at] >> 1) + 1
-        for hit, sure, at, table, now, p in ((hit1, self.sure1, self.at1, self.next1, self.c1, self.p1), (hit2, self.sure2, self.at2, self.next2, self.c2, self.p2)):
-            sure[at] = np.where(hit, np.minimum(now + 1, 3), np.maximum(now - 1, 0))
-            table[at] = np.where(hit | (now > 0), p, ids)
-        self.before[0, :k] = self.before[1, :k]
-        self.before[1, :k] = ids
-        self.recent.append((self.rows[:k], ids >> 8))
+            at += step * (self.unit0 * self.cum.take(at + step) < above)
+        lo = (self.unit0 * self.cum.take(at)).astype(np.int64)
+        width = (self.unit0 * self.cum.take(at + 1)).astype(np.int64) - lo >> 8
+        low = np.minimum(np.maximum(((rest - lo) / width).astype(np.int64), 0), 255)
+        ids = (at - self.row0 << 8) + low
+        self.hit2 = value < self.w2
+        foreseen1 = (rest < 0) & ~self.hit2
+        np.copyto(ids, self.p1, where=foreseen1)
+        np.copyto(ids, self.p2, where=self.hit2)
+        self.hit1 = self.p1 == ids
+        return ids, *self._foreseen(self.w21 + lo + width * low, width)
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.cells[self.cell] = self.whole + 24
+        self.cells[self.cell + np.where(self.hit2, 1, 3 - self.hit1)] += 24
+        fresh = ids.astype(np.int32) << 2
+        for hit, e, table, at in ((self.hit1, self.e1, self.table1, self.at1), (self.hit2, self.e2, self.table2, self.at2)):
+            sure = e & 3
+            table[at] = np.where(hit, e + (sure < 3), np.where(sure > 0, e - 1, fresh))
+        self.b2, self.b1 = self.b1, ids
+        self.recent.append(self.rows256 + (ids >> 8))
         if len(self.recent) == _EVERY:
-            np.add.at(self.seen, (np.concatenate([r for r, _ in self.recent]), np.concatenate([h for _, h in self.recent])), 8)
+            self._flush()
+            self.sum0 = self.cum.take(self.row0 + 256)
+
+    def _flush(self) -> None:
+        """Brings the order-0 frequencies up to date, and halves what full cells hold."""
+        if self.recent:
+            self.seen += 8 * np.bincount(np.concatenate(self.recent), minlength=self.seen.size).reshape(self.seen.shape)
             self.recent.clear()
             self._sum()
+            cells = self.cells.reshape(-1, 4)
+            full = np.flatnonzero(cells[:, 0] > 4000)
+            halved = (cells[full, 1:] >> 1) + 1
+            cells[full, 1:], cells[full, 0] = halved, halved.sum(axis=1)
 
 
 def _settle(low: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,16 +168,17 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
         k = blocks if t < sizes[-1] else blocks - 1  # only the last block may be short
         now = np.ascontiguousarray(table[:k, t])
         model.predict(k)
-        start, freq = model.interval(now, k)
+        start, freq = model.interval(now)
         r = wide[:k] >> np.uint64(_TOTAL_BITS)
         low_k = low[:k] + r * start.astype(np.uint64)
         out, wide_k = _settle(low_k, r * freq.astype(np.uint64))
         at = np.flatnonzero(out)
         words[at, used[at]] = (low_k[at] >> _U32).astype(np.uint32)
         used[at] += 1
-        low[:k] = np.where(out, low_k << _U32, low_k)
-        wide[:k] = np.where(out, wide_k << _U32, wide_k)
-        model.learn(now, k)
+        shift = out * _U32
+        np.left_shift(low_k, shift, out=low[:k])
+        np.left_shift(wide_k, shift, out=wide[:k])
+        model.learn(now)
     rows = np.arange(blocks)
     for shift in (_U32, np.uint64(0)):
         words[rows, used] = ((low >> shift) & _MASK32).astype(np.uint32)
@@ -179,16 +212,17 @@ def decode_ids(chunk: bytes) -> np.ndarray:
         model.predict(k)
         r = wide[:k] >> np.uint64(_TOTAL_BITS)
         value = np.minimum((code[:k] - low[:k]) // r, np.uint64(_TOTAL - 1)).astype(np.int64)
-        now = np.minimum(model.find(value, k), 65_535)
-        start, freq = model.interval(now, k)
+        now, start, freq = model.find(value)
         low_k = low[:k] + r * start.astype(np.uint64)
         out, wide_k = _settle(low_k, r * freq.astype(np.uint64))
-        low[:k] = np.where(out, low_k << _U32, low_k)
-        wide[:k] = np.where(out, wide_k << _U32, wide_k)
-        code[:k] = np.where(out, code[:k] << _U32 | words[model.rows[:k], np.minimum(at[:k], most)], code[:k])
-        at[:k] += out
+        shift = out * _U32
+        np.left_shift(low_k, shift, out=low[:k])
+        np.left_shift(wide_k, shift, out=wide[:k])
+        read = np.flatnonzero(out)
+        code[read] = code[read] << _U32 | words[read, np.minimum(at[read], most)]
+        at[read] += 1
         table[:k, t] = now
-        model.learn(now, k)
+        model.learn(now)
     for i in range(blocks):
         if zlib.crc32(table[i, : sizes[i]].astype("<u4").tobytes()) != index[i, 1]:
             raise ValueError(f"checksum of block {i} differs")

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import fresh_path
 from .chunks import ChunkEncoder, byte_bpe, slices
-from .idcoder import BLOCK_IDS, decode_ids, encode_ids
+from .idcoder import decode_ids, encode_ids
 
 #: Ids gathered before a chunk is written; a chunk holds whole documents and one at least.
-CHUNK_IDS = 2_000_000
+CHUNK_IDS = 4_000_000
+#: Ids of a block. A chunk's blocks are coded side by side, a step for all at once, so more of them cost less an id.
+BLOCK_IDS = 2048
 
 CHUNK_SCHEMA = "part int, chunk int, before long, n_ids long, keys array<long>, n_tokens array<long>, payload binary"
 READ_SCHEMA = "part int, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary"
@@ -42,7 +44,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, text: str = "tex
         n, before, chunk, part = 0, 0, 0, None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "before": before, "n_ids": n, "keys": keys, "n_tokens": sizes, "payload": encode_ids(np.concatenate(held))}], schema=arrow)
+            return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "before": before, "n_ids": n, "keys": keys, "n_tokens": sizes, "payload": encode_ids(np.concatenate(held), BLOCK_IDS)}], schema=arrow)
 
         for batch in batches:
             for piece, texts in slices(batch, "text"):
