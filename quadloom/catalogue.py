@@ -33,8 +33,10 @@ def sparql_bgp_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 from .functions import terms as x  # noqa: E402
-from .operators import access, ontology, patterns, sequences, text, traverse, updates, vectors, views  # noqa: E402
+from .operators import access, alignment, cells, ontology, patterns, sequences, text, traverse, updates, vectors, views  # noqa: E402
+from .plans.lineage import fresh_path  # noqa: E402
 from .sources import quads as qs  # noqa: E402
+from .sources import sequence_files as files  # noqa: E402
 from .sources.quads import name  # noqa: E402
 
 
@@ -513,6 +515,50 @@ def lsh_candidates(spark, d):
     return sequences.lsh_candidates(b, b.where(F.col("doc_id") % 50 == 0), "doc_id")
 
 
+@query()
+def sequence_clusters(spark, d):
+    return alignment.cluster_sequences(_dna(spark, d), "seq", "doc_id")
+
+
+@query()
+def sequence_alignments(spark, d):
+    """Queries (every fiftieth) against all that share a band with them."""
+    s = _dna(spark, d)
+    b = sequences.bands(s.withColumn("sig", sequences.sketch(F.col("seq"))), "sig", "doc_id")
+    pairs = sequences.lsh_candidates(b, b.where(F.col("doc_id") % 50 == 0), "doc_id")
+    both = pairs.join(s.select(F.col("doc_id").alias("query"), F.col("seq").alias("q")), "query").join(s, "doc_id")
+    return both.select("query", "doc_id", alignment.alignment(F.col("q"), F.col("seq")).alias("a")).where("a is not null").select("query", "doc_id", "a.*")
+
+
+@query(_DNA + "SELECT doc_id::VARCHAR AS id, 'lang x' AS description, coalesce(seq, '') AS seq FROM s")
+def fasta_round_trip(spark, d):
+    path = fresh_path(spark, "fasta")
+    _dna(spark, d).select(files.fasta_records(F.col("doc_id"), F.col("seq"), F.lit("lang x"))).write.text(path)
+    return files.read_fasta(spark, path)
+
+
+@query(
+    """SELECT o_orderstatus AS seqid, 'region' AS type, o_orderkey::BIGINT AS start, (o_orderkey + 10)::BIGINT AS "end", o_totalprice::DOUBLE AS score, '+' AS strand, NULL::INTEGER AS phase,
+    'o' || o_orderkey AS id, o_orderpriority || ';a=b%c+d&é' AS note FROM orders"""
+)
+def gff3_round_trip(spark, d):
+    path = fresh_path(spark, "gff3")
+    note = F.concat("o_orderpriority", F.lit(";a=b%c+d&é"))
+    attributes = F.create_map(F.lit("ID"), F.concat(F.lit("o"), "o_orderkey"), F.lit("Note"), note)
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("seqid"), F.lit(None).cast("string").alias("source"), F.lit("region").alias("type"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 10).alias("end"), F.col("o_totalprice").alias("score"), F.lit("+").alias("strand"), F.lit(None).cast("int").alias("phase"), attributes.alias("attributes"))
+    files.gff3_lines(o).write.text(path)
+    return files.read_gff3(spark, path).select("seqid", "type", "start", "end", "score", "strand", "phase", F.col("attributes")["ID"].alias("id"), F.col("attributes")["Note"].alias("note"))
+
+
+@query()
+def knn_cells(spark, d):
+    """Every fiftieth vector against all rows."""
+    e = table(spark, d, "embeddings")
+    model = cells.fit_cells(e, "embedding", "vec_id", 256)
+    queries = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return cells.search_cells(cells.index_cells(e, "embedding", model), queries, model, "embedding", "vec_id", 10, 8)
+
+
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n FROM documents")
 def text_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
