@@ -149,42 +149,84 @@ def _ring(r: int) -> np.ndarray:
     return np.arange(_SEGMENTS) if r == 0 else np.random.default_rng(r).permutation(_SEGMENTS)
 
 
+def _shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """The distinct 64-bit hashes of each text's word shingles, ascending; as above, but with a vectorised hash."""
+    h, count = word_hashes([(t or "").encode().lower() for t in texts])
+    ends = np.cumsum(count)
+    for e, n in zip(ends.tolist(), count.tolist(), strict=True):
+        own = h[e - n : e]
+        span = min(size, n)
+        rolled = np.zeros(max(n - span + 1, 0) if n else 0, np.uint64)
+        for j in range(span):
+            rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(rolled)]
+        yield np.unique(rolled)
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def wide_fingerprints(df: DataFrame, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, fp: ``WORDS`` * 64 bits of SimHash as binary, over word shingles, repeats included; as above, but with a vectorised hash."""
+    """doc_id, node, fp: a digest of the set of word shingles, and ``WORDS`` * 64 bits of its SimHash as binary."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                h, count = word_hashes([(t or "").encode().lower() for t in texts])
-                ends, out = np.cumsum(count), []
-                for e, n in zip(ends.tolist(), count.tolist(), strict=True):
-                    own = h[e - n : e]
-                    span = min(size, n)
-                    rolled = np.zeros(max(n - span + 1, 0) if n else 0, np.uint64)
-                    for j in range(span):
-                        rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(rolled)]
-                    out.append(majority(mix(rolled[:, None] + salt)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "fp"])
+                node, fp = [], []
+                for shingles in _shingle_sets(texts, size):
+                    node.append(_set_id(shingles))
+                    fp.append(majority(mix(shingles[:, None] + salt)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node, pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "node", "fp"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp binary")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(compute, "doc_id long, node long, fp binary")
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(src, dst): the ``pairs`` (node, other) whose sets have a Jaccard similarity of ``similarity`` or more, by the texts of ``docs``."""
+    wanted = cut(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct().join(distinct.select("node", "first"), "node"))
+    ids = wanted.select("first").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                found = list(_shingle_sets(texts, size))
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
+
+    read = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(sets, "node long, shingles binary")
+    held = cut(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(held.withColumnRenamed("shingles", "a"), "node").join(held.select(F.col("node").alias("other"), F.col("shingles").alias("b")), "other")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                small, large = sorted((len(a), len(b)))
+                common = len(np.intersect1d(a, b, assume_unique=True)) if small >= similarity * large else 0
+                fine.append(common > 0 and common >= similarity * (len(a) + len(b) - common))
+            mask = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("other").filter(mask)], names=["src", "dst"])
+
+    return both.select("node", "other", "a", "b").mapInArrow(check, "src long, dst long")
 
 
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, component_id: groups of texts whose wide SimHash tells a Jaccard similarity of ``similarity`` or more.
+    """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity`` or more of their sets of word shingles.
+
+    Candidates come from wide SimHash; each is verified on the shingles themselves (their 64-bit
+    hashes), so no pair below the similarity links. Texts of one set are alike at once.
 
     Chains start where ``START`` segments in a row, on one of ``RINGS`` orders of the ring, are
     equal. All that share such a start are compared with one of them, which another start chooses
-    otherwise, so the work is in proportion to the rows. A pair goes on if every chain from its
-    start keeps within its share of the bits that may differ, and links if it keeps within all.
-
-    Recall is a probability here: a start is shared by chance, ``RINGS`` * 32 starts are tried; and the similarity is an estimate, so pairs a little
-    below it link too. At 0.8, a pair alone is found two times of three or more, at 0.9 nearly always. Null and empty
-    texts are alike. Null keys are no smallest id unless alone.
+    otherwise, so the work is in proportion to the rows. Recall is a probability here: a start is
+    shared by chance, ``RINGS`` * 32 starts are tried. Null and empty texts are alike. Null keys are
+    no smallest id unless alone.
     """
     most = differing(similarity)
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fps = cut(wide_fingerprints(df, size, text, key))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp")))
+    distinct = cut(fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")))
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,12 +245,12 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     chosen = F.xxhash64("start", "node")
     groups = made.groupBy("start").agg(F.count("*").alias("n"), F.min(chosen).alias("h")).where("n > 1")
     met = cut(made.join(groups, "start").withColumn("leads", chosen == F.col("h")))
-    leaders = met.where("leads").select("start", F.col("node").alias("leader"))
+    leaders = met.where("leads").select("start", F.col("node").alias("other"))
     met = met.where(~F.col("leads")).join(leaders, "start")
-    pairs = met.groupBy("node", "leader").agg(F.collect_set(F.shiftright("start", START * SEGMENT_BITS).cast("int")).alias("starts"))  # at most RINGS * 32
+    pairs = met.groupBy("node", "other").agg(F.collect_set(F.shiftright("start", START * SEGMENT_BITS).cast("int")).alias("starts"))  # at most RINGS * 32
     one = distinct.select("node", F.col("fp").alias("a"))
-    two = distinct.select(F.col("node").alias("leader"), F.col("fp").alias("b"))
-    held = pairs.join(one, "node").join(two, "leader")
+    two = distinct.select(F.col("node").alias("other"), F.col("fp").alias("b"))
+    held = pairs.join(one, "node").join(two, "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rings = [_ring(r) for r in range(RINGS)]
@@ -228,7 +270,8 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
                 fine[row[k : k + 50_000][(chains <= share).all(axis=1)]] = True
             fine &= diff.sum(axis=1) <= most
             mask = pa.array(fine)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("leader").filter(mask)], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("other").filter(mask)], names=["node", "other"])
 
-    links = held.select("node", "leader", "starts", "a", "b").mapInArrow(check, "src long, dst long")
-    return _labelled(fps.select("doc_id", F.xxhash64("fp").alias("node")), "node", connected_components(links)).select("doc_id", "component_id")
+    found = cut(held.select("node", "other", "starts", "a", "b").mapInArrow(check, "node long, other long"))
+    links = _verified(found, distinct, docs, size, similarity)
+    return _labelled(fps.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")

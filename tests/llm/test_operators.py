@@ -139,6 +139,24 @@ def test_similar_documents_are_found(spark):
     assert sum(got[f * 10 + 2] == f * 10 for f in range(families)) >= 0.6 * families
 
 
+def _family(rng, members, words, share, start):
+    """Texts of ``words`` words that have a block of the first ``share`` in common; every pair has the same similarity."""
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    block = [word() for _ in range(share)]
+    return [(start + i, " ".join(block + [word() for _ in range(words - share)])) for i in range(members)]
+
+
+def test_families_below_the_similarity_stay(spark):
+    rng = random.Random(11)
+    rows = []
+    for f, share in enumerate((200, 225, 243, 258)):  # of 300 words: similarities of 0.49, 0.60, 0.68 and 0.75
+        rows += _family(rng, 40, 300, share, 1000 * f)
+    line = "the same line is repeated here again and again "
+    rows += [(5000 + i, line * 60 + t) for i, (_, t) in enumerate(_family(rng, 20, 60, 0, 0))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k, _ in rows}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 24))
