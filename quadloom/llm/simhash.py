@@ -25,7 +25,6 @@ from .ngrams import mix, word_hashes
 #: Distinct fingerprints that share a segment are compared in pairs up to this number; larger groups go by midpoints.
 PAIRED = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_ONES = _BITS.sum(axis=1)
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
@@ -134,14 +133,18 @@ def _labelled(rows: DataFrame, node: str, components: DataFrame) -> DataFrame:
 # Wide fingerprints: similar, not only nearly equal, sets of shingles.
 
 #: 64-bit words of a wide fingerprint, bits of a segment, equal segments that start a chain, orders of the ring.
-WORDS, SEGMENT_BITS, START, RINGS = 4, 8, 3, 4
+WORDS, SEGMENT_BITS, START, RINGS = 4, 8, 2, 4
+#: Equal segments of the starts (one ring) whose sharers meet a leader first.
+LEAD = 3
+#: Words that are compared where a start is shared, and standard errors added to the bits that may differ there.
+FIRST_WORDS, ERRORS = 2, 4
 _SEGMENTS = WORDS * 64 // SEGMENT_BITS
 
 
-def differing(similarity: float, bits: int = WORDS * 64) -> int:
-    """Bits that differ between fingerprints of sets of that Jaccard similarity (and like size): those expected and one standard error, so that most such pairs are within."""
+def differing(similarity: float, bits: int = FIRST_WORDS * 64) -> int:
+    """Bits that differ between fingerprints of sets of that Jaccard similarity (and like size): those expected and ``ERRORS`` standard errors, so that nearly all such pairs are within."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + ERRORS * math.sqrt(bits * p * (1 - p)))
 
 
 def _ring(r: int) -> np.ndarray:
@@ -217,61 +220,53 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     Candidates come from wide SimHash; each is verified on the shingles themselves (their 64-bit
     hashes), so no pair below the similarity links. Texts of one set are alike at once.
 
-    Chains start where ``START`` segments in a row, on one of ``RINGS`` orders of the ring, are
-    equal. All that share such a start are compared with one of them, which another start chooses
-    otherwise, so the work is in proportion to the rows. Recall is a probability here: a start is
-    shared by chance, ``RINGS`` * 32 starts are tried. Null and empty texts are alike. Null keys are
-    no smallest id unless alone.
+    First, all that share a start of ``LEAD`` segments on one ring meet one of them, which joins
+    most copies of a large group by links in proportion to the rows. Then every pair that shares a
+    start of ``START`` segments, on one of ``RINGS`` orders of the ring, is a candidate unless
+    already in one component or too far apart in ``FIRST_WORDS`` words; no start is capped. The
+    comparisons grow with the square of a start's rows, what is kept with the candidates.
+
+    Recall is a probability only in that a start is shared by chance: ``RINGS`` * 32 are tried.
+    At 0.8, a pair alone shares one in 98 % of cases, at 0.9 nearly always. Null and empty texts
+    are alike. Null keys are no smallest id unless alone.
     """
-    most = differing(similarity)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fps = cut(wide_fingerprints(df, size, text, key))
     distinct = cut(fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")))
 
+    made = _starts(distinct.select("node", F.col("node").alias("part"), "fp"), LEAD, 1).select("start", "node")
+    chosen = F.struct(F.xxhash64("start", "node").alias("h"), "node")
+    leaders = made.groupBy("start").agg(F.count("*").alias("n"), F.min(chosen)["node"].alias("other")).where("n > 1").select("start", "other")
+    led = cut(made.join(leaders, "start").where("node <> other").select("node", "other").distinct())
+    links = cut(_verified(led, distinct, docs, size, similarity))
+
+    joined = connected_components(links)
+    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "fp")
+    made = _starts(cut(parts), START, RINGS)
+    words = [f"w{i}" for i in range(FIRST_WORDS)]
+    two = made.select("start", F.col("node").alias("other"), F.col("part").alias("other_part"), *[F.col(w).alias(f"other_{w}") for w in words])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in words), F.lit(0))
+    met = made.join(two, "start").where((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & (apart <= differing(similarity)))
+    rest = cut(met.select("node", "other").distinct())
+    links = links.union(_verified(rest, distinct, docs, size, similarity))
+    return _labelled(fps.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")
+
+
+def _starts(nodes: DataFrame, segments: int, rings: int) -> DataFrame:
+    """start, node, part, and the first words of fp: a row for each place of each ring, by the ``segments`` that follow it."""
+    words = [f"w{i}" for i in range(FIRST_WORDS)]
+
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             data = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, _SEGMENTS)
-            node = np.array(batch.column("node"))
-            for r in range(RINGS):
+            same = [batch.column("node"), batch.column("part"), *[pa.array(data.view(np.int64)[:, i].copy()) for i in range(FIRST_WORDS)]]
+            for r in range(rings):
                 ring = data[:, _ring(r)].astype(np.int64)
                 for i in range(_SEGMENTS):
                     key = np.full(n, r * _SEGMENTS + i, np.int64)
-                    for j in range(START):
+                    for j in range(segments):
                         key = key << SEGMENT_BITS | ring[:, (i + j) % _SEGMENTS]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["start", "node"])
-
-    made = distinct.select("fp", "node").mapInArrow(starts, "start long, node long")
-    chosen = F.xxhash64("start", "node")
-    groups = made.groupBy("start").agg(F.count("*").alias("n"), F.min(chosen).alias("h")).where("n > 1")
-    met = cut(made.join(groups, "start").withColumn("leads", chosen == F.col("h")))
-    leaders = met.where("leads").select("start", F.col("node").alias("other"))
-    met = met.where(~F.col("leads")).join(leaders, "start")
-    pairs = met.groupBy("node", "other").agg(F.collect_set(F.shiftright("start", START * SEGMENT_BITS).cast("int")).alias("starts"))  # at most RINGS * 32
-    one = distinct.select("node", F.col("fp").alias("a"))
-    two = distinct.select(F.col("node").alias("other"), F.col("fp").alias("b"))
-    held = pairs.join(one, "node").join(two, "other")
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *same], names=["start", "node", "part", *words])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rings = [_ring(r) for r in range(RINGS)]
-        share = most * np.arange(1, _SEGMENTS + 1) / _SEGMENTS
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _SEGMENTS) for c in "ab")
-            diff = _ONES[a ^ b]
-            at = batch.column("starts")
-            row = np.repeat(np.arange(batch.num_rows), np.array(at.value_lengths()))
-            start = np.array(at.flatten())
-            order = np.stack([np.roll(ring, -i) for ring in rings for i in range(_SEGMENTS)])
-            fine = np.zeros(batch.num_rows, bool)
-            for k in range(0, len(row), 50_000):
-                chains = np.cumsum(np.take_along_axis(diff[row[k : k + 50_000]], order[start[k : k + 50_000]], 1), axis=1)
-                fine[row[k : k + 50_000][(chains <= share).all(axis=1)]] = True
-            fine &= diff.sum(axis=1) <= most
-            mask = pa.array(fine)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("other").filter(mask)], names=["node", "other"])
-
-    found = cut(held.select("node", "other", "starts", "a", "b").mapInArrow(check, "node long, other long"))
-    links = _verified(found, distinct, docs, size, similarity)
-    return _labelled(fps.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")
+    return nodes.select("node", "part", "fp").mapInArrow(starts, "start long, node long, part long, " + ", ".join(f"{w} long" for w in words))
