@@ -153,7 +153,8 @@ def _links_of(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
         u, p = u[order], p[order]
         node, copies = np.array(table.column("node"))[order], np.array(table.column("copies"))[order]
         head = int((~second).sum()) if a != c else 0
-        q = np.ascontiguousarray(np.clip(np.round(p / cell), -63, 63).astype(np.int8).T)
+        # Not clipped: vectors far out must not seem to meet. |p| is at most 1, so differences are within 2 / cell.
+        q = np.ascontiguousarray(np.round(p / cell).astype(np.int16 if 1 / cell < 16_000 else np.int64).T)
         total, root = np.zeros(len(u), np.int64), np.arange(len(u))
         lefts, rights = [], []
         for o in range(1, len(u)):

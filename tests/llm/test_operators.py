@@ -189,6 +189,21 @@ def test_vectors_against_brute_force(spark):
     assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in (1000, 1001, 1002, 1003, 1004)) and None in got
 
 
+def test_vectors_far_out_on_a_projection(spark):
+    dim, rng = 64, np.random.default_rng(4)
+    plane = embeddings.directions(dim)
+    out = 3.2 / np.sqrt(dim)
+    x = rng.standard_normal((300, dim))
+    centre = rng.standard_normal(dim)
+    centre -= plane[:, 0] * (centre @ plane[:, 0])
+    centre = plane[:, 0] * out + centre / np.linalg.norm(centre) * np.sqrt(1 - out**2)
+    x = centre + 0.31 * x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum() - len(u)
+    rows = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    assert 0.9 * near <= sum(r.n_links for r in embeddings.similar_vectors(rows).collect()) <= near
+
+
 def test_shards(docs, texts, odd, none):
     rows = sharding.shard_by_bytes(docs, 5, sample_rows=40).collect()
     sizes = collections.Counter()
