@@ -17,20 +17,36 @@ from ..plans.lineage import cut
 from .chunks import ChunkEncoder, slices, word_bpe
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Fillings looked at for one bin before the best found so far is taken.
+#: Fillings looked at, for one bin, in search of a better one than best fit's.
 MOST_NODES = 300
 
 
+def _best_fit(room: int, lengths: list[int], counts: dict[int, int]) -> tuple[tuple[int, ...], int]:
+    """(lengths, descending, of the largest items that fit in turn; the room that they leave)."""
+    filling: list[int] = []
+    i = bisect.bisect_right(lengths, room) - 1
+    while i >= 0:
+        x = lengths[i]
+        n = min(room // x, counts[x])
+        filling += [x] * n
+        room -= n * x
+        i = bisect.bisect_right(lengths, room, 0, i) - 1
+    return tuple(filling), room
+
+
 def complete_bin(room: int, lengths: list[int], counts: dict[int, int], most_nodes: int = MOST_NODES) -> tuple[int, ...]:
     """The multiset of lengths, descending, that fills ``room`` with least waste among undominated fillings.
 
-    Depth first, the largest item that fits first, so the first leaf is the best-fit solution and
-    the incumbent. A filling that leaves room for another item is dominated and never a leaf. A
-    branch ends when no smaller item could lower the incumbent's waste; waste 0 ends the search.
-    ``lengths`` are the ascending lengths of positive count.
+    The incumbent is the best-fit solution, the largest item that fits first, whatever its number
+    of items. The search after it is depth first in the same order and ends at ``most_nodes``. A
+    filling that leaves room for another item is dominated and never a leaf. A branch ends when no
+    smaller item could lower the incumbent's waste; waste 0 ends the search. ``lengths`` are the
+    ascending lengths of positive count.
     """
-    best: tuple[int, ...] = ()
-    waste = room
+    best, waste = _best_fit(room, lengths, counts)
+    if not waste or not best:
+        return best
+    pieces = sum(counts[x] for x in lengths)
     nodes = 0
     used: Counter[int] = Counter()
     path: list[int] = []
@@ -47,7 +63,7 @@ def complete_bin(room: int, lengths: list[int], counts: dict[int, int], most_nod
             if free <= 0:
                 continue
             leaf = False
-            if left - min(left, x * 64) >= waste and x * 64 < left - waste:  # items of this size or less cannot come near
+            if x * pieces <= left - waste:  # items of this size or less cannot come near
                 break
             used[x] += 1
             path.append(x)
@@ -56,7 +72,7 @@ def complete_bin(room: int, lengths: list[int], counts: dict[int, int], most_nod
             used[x] -= 1
             if done:
                 return True
-        if leaf and left < waste or leaf and not best:
+        if leaf and left < waste:
             best, waste = tuple(path), left
         return waste == 0
 

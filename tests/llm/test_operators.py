@@ -278,6 +278,18 @@ def test_bins_hold_every_length():
     assert sorted(packing.complete_bin(10, [3, 4, 5, 6], {3: 1, 4: 1, 5: 1, 6: 1})) == [4, 6]
 
 
+@pytest.mark.parametrize("counts", [{1: 50_000}, {4: 20_000}, {1: 9_000, 2: 7_000, 3: 5_000, 8: 4_000}, {1: 30_000, 4: 3_000, 700: 40, 3_000: 9}])
+def test_short_pieces_fill_their_bins(counts):
+    bins = packing.pack_histogram(counts, 4096)
+    used = collections.Counter()
+    for filling, times in bins:
+        assert sum(filling) <= 4096
+        for x in filling:
+            used[x] += times
+    assert used == counts
+    assert sum(times for _, times in bins) == -(-sum(x * n for x, n in counts.items()) // 4096)
+
+
 def test_suffixes_against_brute_force(spark, docs, texts):
     for length, rows in ((200, texts), (24, {1: "abcdefgh" * 9 + "é" * 40, 2: "xx" + "abcdefgh" * 4, 3: None, 4: "", 5: "abcdefgh" * 4, 6: "\0" * 60})):
         df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
