@@ -17,96 +17,221 @@ from ..plans.lineage import cut
 from .chunks import ChunkEncoder, slices, word_bpe
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Fillings looked at, for one bin, in search of a better one than best fit's.
-MOST_NODES = 300
-
-
-def _best_fit(room: int, lengths: list[int], counts: dict[int, int]) -> tuple[tuple[int, ...], int]:
-    """(lengths, descending, of the largest items that fit in turn; the room that they leave)."""
-    filling: list[int] = []
-    i = bisect.bisect_right(lengths, room) - 1
-    while i >= 0:
-        x = lengths[i]
-        n = min(room // x, counts[x])
-        filling += [x] * n
-        room -= n * x
-        i = bisect.bisect_right(lengths, room, 0, i) - 1
-    return tuple(filling), room
-
-
-def complete_bin(room: int, lengths: list[int], counts: dict[int, int], most_nodes: int = MOST_NODES) -> tuple[int, ...]:
-    """The multiset of lengths, descending, that fills ``room`` with least waste among undominated fillings.
-
-    The incumbent is the best-fit solution, the largest item that fits first, whatever its number
-    of items. The search after it is depth first in the same order and ends at ``most_nodes``. A
-    filling that leaves room for another item is dominated and never a leaf. A branch ends when no
-    smaller item could lower the incumbent's waste; waste 0 ends the search. ``lengths`` are the
-    ascending lengths of positive count.
+#: Steps of the search for one bin's best filling, and for one node's fillings, after the best-fit incumbent.
+FILLING_STEPS = 400
+#: Nodes of the search over bins, once an incumbent is there.
+BIN_NODES = 4000
+#: Fillings that a node of the search over bins branches to, at most.
+BRANCHES = 40
+
+Filling = tuple[tuple[int, int], ...]  # (length, number of pieces), lengths descending
+
+
+class _Left:
+    """The pieces left, by length."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.counts = {n: c for n, c in counts.items() if c > 0}
+        self.lengths = sorted(self.counts)
+
+    def take(self, filling: Filling, times: int) -> None:
+        for x, n in filling:
+            self.counts[x] -= n * times
+            if not self.counts[x]:
+                del self.counts[x]
+                self.lengths.pop(bisect.bisect_left(self.lengths, x))
+
+    def put(self, filling: Filling, times: int) -> None:
+        for x, n in filling:
+            if x not in self.counts:
+                bisect.insort(self.lengths, x)
+            self.counts[x] = self.counts.get(x, 0) + n * times
+
+    def times(self, filling: Filling) -> int:
+        return min(self.counts[x] // n for x, n in filling)
+
+    def best_fit(self, room: int) -> tuple[Filling, int]:
+        """(the largest pieces that fit in turn, as many as there are; the room that they leave)."""
+        filling = []
+        i = bisect.bisect_right(self.lengths, room) - 1
+        while i >= 0:
+            x = self.lengths[i]
+            n = min(room // x, self.counts[x])
+            filling.append((x, n))
+            room -= n * x
+            i = bisect.bisect_right(self.lengths, room, 0, i) - 1
+        return tuple(filling), room
+
+    def fillings(self, room: int, most_waste: int, steps: int, narrowing: bool) -> list[tuple[int, Filling]]:
+        """[(waste, filling)] of ``room`` with a waste of at most ``most_waste``, found depth first from the largest lengths in ``steps`` steps.
+
+        A branch ends where all smaller pieces together could not bring the waste down to the
+        bound. ``narrowing`` lowers the bound below each filling found, and so leaves the best.
+        """
+        lengths, counts = self.lengths, self.counts
+        low = bisect.bisect_right(lengths, room)
+        sums = [0]
+        for x in lengths[:low]:
+            sums.append(sums[-1] + x * counts[x] if sums[-1] <= room else sums[-1])  # beyond the room it no longer matters
+        found: list[tuple[int, Filling]] = []
+        path: list[tuple[int, int]] = []
+        bound, left_steps = most_waste, steps
+
+        def fill(end: int, left: int) -> None:
+            nonlocal bound, left_steps
+            left_steps -= 1
+            if left <= bound:
+                found.append((left, tuple(path)))
+                if narrowing:
+                    bound = left - 1
+            i = bisect.bisect_right(lengths, left, 0, end) - 1
+            while i >= 0 and left_steps > 0 and left - sums[i + 1] <= bound:
+                x = lengths[i]
+                for n in range(min(left // x, counts[x]), 0, -1):
+                    path.append((x, n))
+                    fill(i, left - n * x)
+                    path.pop()
+                    if left_steps <= 0 or bound < 0:
+                        return
+                i -= 1
+
+        fill(low, room)
+        return found
+
+    def dominated(self, filling: Filling, waste: int) -> bool:
+        """Whether a piece left out could take the place of some pieces of ``filling`` (or of none) within ``waste``, which is never worse."""
+        items = [x for x, n in filling for _ in range(min(n, 12))][:12]
+        used = dict(filling)
+        sums = {0: 0}  # sum: most pieces that make it
+        for x in items:
+            for s, n in list(sums.items()):
+                sums[s + x] = max(sums.get(s + x, 0), n + 1)
+        for s, n in sums.items():
+            i = bisect.bisect_left(self.lengths, max(s, 1))
+            while i < len(self.lengths) and self.lengths[i] <= s + waste:
+                x = self.lengths[i]
+                if self.counts[x] > used.get(x, 0) and (x > s or n > 1):
+                    return True
+                i += 1
+        return False
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: pieces over half a bin need one each, and what the room beside them cannot hold needs more; smaller pieces than a threshold aside, for every threshold."""
+    lengths = np.array(sorted(n for n, c in counts.items() if c > 0), np.int64)
+    if not len(lengths):
+        return 0
+    number = np.array([counts[int(x)] for x in lengths], np.int64)
+    upto = lambda of: np.concatenate([[0], np.cumsum(of)])
+    n, s = upto(number), upto(lengths * number)
+    half = int(np.searchsorted(lengths, capacity // 2, "right"))
+    best = 0
+    for a in range(half + 1):
+        least = int(lengths[a]) if a < len(lengths) else capacity
+        alone = max(int(np.searchsorted(lengths, capacity - least, "right")), half)
+        middle, small = int(n[alone] - n[half]), int(s[half] - s[a])
+        room = middle * capacity - int(s[alone] - s[half])
+        best = max(best, int(n[-1] - n[half]) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def _complete(left: _Left, room: int, steps: int) -> tuple[Filling, int]:
+    """The filling of least waste that the search finds, with best fit as its incumbent."""
+    filling, waste = left.best_fit(room)
+    if waste:
+        better = left.fillings(room, waste - 1, steps, narrowing=True)
+        if better:
+            waste, filling = min(better)
+    return filling, waste
+
+
+def _merge(largest: int, filling: Filling) -> Filling:
+    return ((largest, filling[0][1] + 1), *filling[1:]) if filling and filling[0][0] == largest else ((largest, 1), *filling)
+
+
+def _incumbent(counts: dict[int, int], capacity: int, steps: int) -> list[tuple[Filling, int]]:
+    """Bins opened by the largest piece left and completed one kind after the other; ``steps`` 0 is plain best fit."""
+    left, bins = _Left(counts), []
+    while left.lengths:
+        largest = left.lengths[-1]
+        left.take(((largest, 1),), 1)
+        filling = _merge(largest, _complete(left, capacity - largest, steps)[0] if steps else left.best_fit(capacity - largest)[0])
+        left.put(((largest, 1),), 1)
+        bins.append((filling, times := left.times(filling)))
+        left.take(filling, times)
+    return bins
+
+
+def _search(counts: dict[int, int], capacity: int, most: int, least: int, nodes: int) -> list[tuple[Filling, int]] | None:
+    """A packing into fewer than ``most`` bins, as good as ``nodes`` nodes find; None if there is none or none is found.
+
+    Depth first over bins: the largest piece left is branched on with its undominated fillings,
+    least waste first, as often as the pieces last or once. A branch ends when the waste so far
+    leaves no packing below the incumbent.
     """
-    best, waste = _best_fit(room, lengths, counts)
-    if not waste or not best:
-        return best
-    pieces = sum(counts[x] for x in lengths)
-    nodes = 0
-    used: Counter[int] = Counter()
-    path: list[int] = []
-
-    def fill(left: int, most: int) -> bool:
-        nonlocal best, waste, nodes
-        nodes += 1
-        i = bisect.bisect_right(lengths, min(left, most)) - 1
-        leaf = True
-        while i >= 0 and nodes <= most_nodes:
-            x = lengths[i]
-            i -= 1
-            free = counts[x] - used[x]
-            if free <= 0:
-                continue
-            leaf = False
-            if x * pieces <= left - waste:  # items of this size or less cannot come near
-                break
-            used[x] += 1
-            path.append(x)
-            done = fill(left - x, x)
-            path.pop()
-            used[x] -= 1
-            if done:
-                return True
-        if leaf and left < waste:
-            best, waste = tuple(path), left
-        return waste == 0
-
-    fill(room, room)
+    total = sum(x * c for x, c in counts.items())
+    left, best = _Left(counts), None
+    spare = (most - 1) * capacity - total
+
+    def branches(waste: int) -> list[tuple[int, Filling, int]]:
+        largest = left.lengths[-1]
+        left.take(((largest, 1),), 1)
+        found = sorted(left.fillings(capacity - largest, spare - waste, FILLING_STEPS, narrowing=False), key=lambda f: (f[0], sum(n for _, n in f[1])))
+        kept = [(w, f) for w, f in found if not left.dominated(f, w)][:BRANCHES]
+        left.put(((largest, 1),), 1)
+        out = []
+        for w, f in kept:
+            f = _merge(largest, f)
+            times = left.times(f)
+            out += [(w, f, t) for t in sorted({times, 1}, reverse=True) if waste + w * t <= spare]
+        return out[::-1]
+
+    stack, chosen, waste = [branches(0)] if spare >= 0 and left.lengths else [], [], 0
+    while stack and nodes > 0:
+        if not stack[-1]:
+            stack.pop()
+            if chosen:
+                w, f, t = chosen.pop()
+                left.put(f, t)
+                waste -= w * t
+            continue
+        w, f, t = stack[-1].pop()
+        if waste + w * t > spare:
+            continue
+        nodes -= 1
+        left.take(f, t)
+        chosen.append((w, f, t))
+        waste += w * t
+        if left.lengths:
+            stack.append(branches(waste))
+            continue
+        best = [(f, t) for _, f, t in chosen]
+        bins = sum(t for _, t in best)
+        if bins <= least:
+            break
+        spare = (bins - 1) * capacity - total
+        stack.append([])
     return best
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, most_nodes: int = MOST_NODES) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one bin, bins of this kind)] that together hold ``counts`` (length: pieces).
+def pack_histogram(counts: dict[int, int], capacity: int, bin_nodes: int = BIN_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths of one bin, descending; bins of this kind)] that together hold ``counts`` (length: pieces).
 
-    Bin completion: the largest length left opens a bin, which is completed as above; the same
-    filling is repeated as often as all its lengths last. The work depends on the number of
-    distinct lengths, at most ``capacity``, not on the number of documents.
+    Bin completion: the largest length left opens a bin, whose undominated fillings are the
+    branches; waste beyond that of the incumbent less a bin ends one. Best fit and best completion
+    are the first incumbents. One that meets the lower bound is optimal and ends the search, which
+    otherwise stops after ``bin_nodes`` nodes. All work is by distinct lengths, at most
+    ``capacity``, and a filling is repeated as often as its lengths last, so neither grows with
+    the number of documents.
     """
-    left = {n: c for n, c in counts.items() if c > 0}
-    lengths = sorted(left)
-    bins = []
-    while lengths:
-        largest = lengths[-1]
-        left[largest] -= 1
-        if not left[largest]:
-            lengths.pop()
-        filling = (largest, *complete_bin(capacity - largest, lengths, left, most_nodes))
-        left[largest] += 1
-        if not lengths or lengths[-1] != largest:
-            lengths.append(largest)
-        need = Counter(filling)
-        times = min(left[x] // m for x, m in need.items())
-        bins.append((filling, times))
-        for x, m in need.items():
-            left[x] -= m * times
-            if not left[x]:
-                lengths.pop(bisect.bisect_left(lengths, x))
-    return bins
+    least = least_bins(counts, capacity)
+    number = lambda bins: sum(t for _, t in bins)
+    best = _incumbent(counts, capacity, FILLING_STEPS)
+    if number(best) > least:
+        best = min(best, _incumbent(counts, capacity, 0), key=number)
+    if number(best) > least:
+        best = _search({n: c for n, c in counts.items() if c > 0}, capacity, number(best), least, bin_nodes) or best
+    return [(tuple(x for x, n in filling for _ in range(n)), times) for filling, times in best]
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int | None = 1, text: str = "text", key: str = "doc_id", with_ids: bool = True, encoder: Callable[[str], ChunkEncoder] = word_bpe) -> DataFrame:
