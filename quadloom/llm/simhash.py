@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from ..plans.lineage import cut
 from .chunks import slices
 from .ngrams import mix, word_hashes
 
-#: Distinct fingerprints that share a segment are compared in pairs up to this number; larger groups go by midpoints.
+#: Distinct fingerprints that share a chain's key are compared in pairs up to this number; larger groups go by midpoints.
 PAIRED = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -67,28 +68,57 @@ def _segment(fp: Column, low: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+#: Segments of the ring for one and for two differing bits.
+RING = {1: 4, 2: 6}
+
+
+def chain_keys(most: int) -> list[tuple[int, int]]:
+    """[(start, mask)]: the bits that two fingerprints within ``most`` bits share on one of these masks at least.
+
+    On a ring of m segments, some start has chains of every length l with at most l * most / m
+    differing bits. Its first chains then hold no difference, and in the chain of m - 1 segments
+    all but ``most`` - 1 are equal: a mask is one choice of the segments that are.
+    """
+    m = RING[most]
+    width = [64 // m + (i < 64 % m) for i in range(m)]
+    low = [sum(width[:i]) for i in range(m)]
+    part = [(1 << w) - 1 << b for w, b in zip(width, low, strict=True)]
+    clear = sum(most * n // m == 0 for n in range(1, m))
+    keys = []
+    for i in range(m):
+        after = [(i + n) % m for n in range(clear, m - 1)]
+        for odd in combinations(after, most - 1):
+            keys.append((i, sum(part[s] for s in [*[(i + n) % m for n in range(clear)], *[s for s in after if s not in odd]])))
+    return keys
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
 def link_fingerprints(fps: DataFrame, most: int = 2) -> DataFrame:
     """(src, dst): links whose components are those of all pairs of ``fp`` that differ in at most ``most`` (1 or 2) bits.
 
-    ``most`` + 1 segments: a chain's share of t bits is then below one bit for one segment, so it
-    starts at an equal segment. Pairs of a group that shares one are checked chain by chain, then
-    whole. A group over ``PAIRED`` makes no pairs: its members are tied to every word one bit away
-    from them, as two fingerprints within two bits always have such a word, or one another, in
-    common. Such a word may be no document's, and stands as a node of its own. The rows made grow
-    with the fingerprints, not with the square of a group.
+    Candidates share the bits of a viable chain (``chain_keys``: 43 bits for two differing ones,
+    48 for one), so a group is small unless many fingerprints agree in all of those; pairs of a group are checked
+    chain by chain, then whole. Only a group of more than ``PAIRED`` distinct fingerprints makes
+    no pairs: its members are tied to every word one bit away, as two within two bits have such a
+    word, or one another, in common. That is exact too, and keeps rows in proportion to the
+    fingerprints where thousands agree in 43 bits. Such a word may stand as a node of its own.
     """
-    if most not in (1, 2):
+    if most not in RING:
         raise ValueError("most must be 1 or 2")
-    m = most + 1
+    m = RING[most]
     width = [64 // m + (i < 64 % m) for i in range(m)]
     low = [sum(width[:i]) for i in range(m)]
+    keys = chain_keys(most)
     distinct = fps.select("fp").distinct()
-    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _segment(F.col("fp"), low[i], width[i]).alias("v")) for i in range(m)])).alias("s")).select("fp", "s.i", "s.v")
-    groups = rows.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(rows.join(groups, ["i", "v"]))
+    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("v")) for n, (i, mask) in enumerate(keys)])).alias("s")).select("fp", "s.*")
+    groups = rows.groupBy("key", "v").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(rows.join(groups, ["key", "v"]))
 
-    a = shared.where(F.col("n") <= PAIRED).select("i", "v", F.col("fp").alias("src"))
-    b = shared.where(F.col("n") <= PAIRED).select("i", "v", F.col("fp").alias("dst"))
+    a = shared.where(F.col("n") <= PAIRED).select("key", "i", "v", F.col("fp").alias("src"))
+    b = shared.where(F.col("n") <= PAIRED).select("key", "v", F.col("fp").alias("dst"))
     diff = F.col("src").bitwiseXOR(F.col("dst"))
     count = [F.bit_count(_segment(diff, low[i], width[i])) for i in range(m)]
     viable = F.lit(False)
@@ -98,10 +128,10 @@ def link_fingerprints(fps: DataFrame, most: int = 2) -> DataFrame:
             chain = chain + count[(i + n - 1) % m]
             ok = ok & (chain <= F.lit(most * n // m))
         viable = viable | ((F.col("i") == i) & ok)
-    pairs = a.join(b, ["i", "v"]).where((F.col("src") < F.col("dst")) & viable & (F.bit_count(diff) <= most)).select("src", "dst")
+    pairs = a.join(b, ["key", "v"]).where((F.col("src") < F.col("dst")) & viable & (F.bit_count(diff) <= most)).select("src", "dst")
 
     crowded = shared.where(F.col("n") > PAIRED).select("fp").distinct()
-    near = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << j) - (1 << 64) if j == 63 else 1 << j)) for j in range(64)]]
+    near = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << j))) for j in range(64)]]
     balls = crowded.select("fp", F.explode(F.array(*near)).alias("word"))
     if most == 1:
         tied = balls.join(crowded.select(F.col("fp").alias("word")), "word", "left_semi").select(F.col("fp").alias("src"), F.col("word").alias("dst"))

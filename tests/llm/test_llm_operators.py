@@ -260,7 +260,7 @@ def test_packing(docs, texts, odd, none):
             assert offset == at
             at += length
         assert at <= 512
-    assert len(used) <= -(-sum(r.length for r in rows) // 512) + 1
+    assert len(used) <= max(-(-sum(r.length for r in rows) // 512), packing.least_bins(collections.Counter(r.length for r in rows), 512))
     assert sum(r.length for r in packing.pack_documents(odd, path, 512).collect() if r.doc_id in (2, 3)) == 2
     assert not packing.pack_documents(none, path, 512).collect()
 
@@ -275,10 +275,48 @@ def test_bins_hold_every_length():
             for x in filling:
                 used[x] += times
         assert used == counts
-    assert sorted(packing.complete_bin(10, [3, 4, 5, 6], {3: 1, 4: 1, 5: 1, 6: 1})) == [4, 6]
 
 
-@pytest.mark.parametrize("counts", [{1: 50_000}, {4: 20_000}, {1: 9_000, 2: 7_000, 3: 5_000, 8: 4_000}, {1: 30_000, 4: 3_000, 700: 40, 3_000: 9}])
+def _fewest_bins(items, capacity):
+    items, best = sorted(items, reverse=True), len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for j, held in enumerate(bins):
+            if held + items[i] <= capacity and held not in bins[:j]:
+                bins[j] += items[i]
+                place(i + 1, bins)
+                bins[j] -= items[i]
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_fewest_bins_of_small_sets():
+    rng = random.Random(1)
+    for i in range(400):
+        capacity = rng.choice([20, 50, 100])
+        low, high = ((1, capacity), (capacity // 6, capacity // 2))[i % 2]
+        items = [rng.randint(low, high) for _ in range(rng.randint(6, 11))]
+        counts = collections.Counter(items)
+        fewest = _fewest_bins(items, capacity)
+        assert sum(times for _, times in packing.pack_histogram(counts, capacity)) == fewest >= packing.least_bins(counts, capacity)
+
+
+def test_a_dominated_filling():
+    left = packing._Left({3: 1, 4: 1, 5: 1, 6: 1})
+    assert left.dominated(((3, 1), (4, 1)), 3) and not left.dominated(((4, 1), (6, 1)), 0)
+    assert sorted(f for w, f in left.fillings(10, 0, 100, False)) == [((6, 1), (4, 1))]
+    assert left.counts == {3: 1, 4: 1, 5: 1, 6: 1}
+
+
+@pytest.mark.parametrize("counts", [{1: 100_000}, {1: 50_000}, {4: 20_000}, {n: 20_000 for n in range(2, 15)}, {1: 9_000, 2: 7_000, 3: 5_000, 8: 4_000}, {1: 30_000, 4: 3_000, 700: 40, 3_000: 9}])
 def test_short_pieces_fill_their_bins(counts):
     bins = packing.pack_histogram(counts, 4096)
     used = collections.Counter()
