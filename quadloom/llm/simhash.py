@@ -162,24 +162,46 @@ def _labelled(rows: DataFrame, node: str, components: DataFrame) -> DataFrame:
 
 # Wide fingerprints: similar, not only nearly equal, sets of shingles.
 
-#: 64-bit words of a wide fingerprint, bits of a segment, equal segments that start a chain, orders of the ring.
-WORDS, SEGMENT_BITS, START, RINGS = 4, 8, 2, 4
-#: Equal segments of the starts (one ring) whose sharers meet a leader first.
-LEAD = 3
-#: Words that are compared where a start is shared, and standard errors added to the bits that may differ there.
-FIRST_WORDS, ERRORS = 2, 4
-_SEGMENTS = WORDS * 64 // SEGMENT_BITS
-
-
-def differing(similarity: float, bits: int = FIRST_WORDS * 64) -> int:
-    """Bits that differ between fingerprints of sets of that Jaccard similarity (and like size): those expected and ``ERRORS`` standard errors, so that nearly all such pairs are within."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + ERRORS * math.sqrt(bits * p * (1 - p)))
+#: 64-bit words of a wide fingerprint, and bits of a segment of its ring.
+WORDS, SEGMENT_BITS = 4, 2
+#: Fingerprints that a start should hold on average, as a power of two; the bits of a start follow from it and their number.
+START_ROWS_LOG2 = 5
+#: Bits that a start of the first pass, in which all meet one leader, has more; and its starts.
+LEAD_BITS, LEAD_STARTS = 10, 20
+#: Chance aimed at that a pair at the threshold shares a start.
+RECALL = 0.99
+#: Standard errors added to the bits that are expected to differ.
+ERRORS = 4
+#: Members from which a group joined so far is large: its rows meet small groups' rows, and of other large groups one each.
+LARGE = 128
+#: Fingerprints whose keys are broadcast to pick their texts; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+_BITS_IN_ALL = WORDS * 64
+_W = [f"w{i}" for i in range(WORDS)]
+
+
+def rate(similarity: float) -> float:
+    """The share of bits expected to differ between fingerprints of sets of that Jaccard similarity and like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def differing(similarity: float) -> int:
+    """Bits that differ at most: those expected and ``ERRORS`` standard errors, so that nearly all such pairs are within."""
+    p = rate(similarity)
+    return round(_BITS_IN_ALL * p + ERRORS * math.sqrt(_BITS_IN_ALL * p * (1 - p)))
+
+
+def start_plan(rows: int, similarity: float) -> tuple[int, int]:
+    """(bits of a start, starts) for so many distinct fingerprints: starts hold few rows whatever the table's size, and enough of them are tried for ``RECALL``."""
+    bits = min(48, max(8, SEGMENT_BITS * round((math.log2(max(rows, 2)) - START_ROWS_LOG2) / SEGMENT_BITS)))
+    same = (1 - rate(similarity)) ** bits
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
 
 
 def _ring(r: int) -> np.ndarray:
-    """The order of the bytes on ring ``r``."""
-    return np.arange(_SEGMENTS) if r == 0 else np.random.default_rng(r).permutation(_SEGMENTS)
+    """The order of the bits on ring ``r``."""
+    segments = np.random.default_rng(r).permutation(_BITS_IN_ALL // SEGMENT_BITS) if r else np.arange(_BITS_IN_ALL // SEGMENT_BITS)
+    return (segments[:, None] * SEGMENT_BITS + np.arange(SEGMENT_BITS)).ravel()
 
 
 def _shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -200,7 +222,7 @@ def _set_id(shingles: np.ndarray) -> int:
 
 
 def wide_fingerprints(df: DataFrame, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, node, fp: a digest of the set of word shingles, and ``WORDS`` * 64 bits of its SimHash as binary."""
+    """doc_id, node, w0, w1, ...: a digest of the set of word shingles, and the words of its SimHash."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
@@ -209,32 +231,75 @@ def wide_fingerprints(df: DataFrame, size: int = 5, text: str = "text", key: str
                 node, fp = [], []
                 for shingles in _shingle_sets(texts, size):
                     node.append(_set_id(shingles))
-                    fp.append(majority(mix(shingles[:, None] + salt)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node, pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "node", "fp"])
+                    fp.append(majority(mix(shingles[:, None] + salt)))
+                words = np.stack(fp).view(np.int64) if fp else np.zeros((0, WORDS), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node, pa.int64()), *[pa.array(words[:, i].copy()) for i in range(WORDS)]], names=["doc_id", "node", *_W])
+
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(compute, "doc_id long, node long, " + ", ".join(f"{w} long" for w in _W))
+
+
+def _starts(nodes: DataFrame, bits: int, starts: int, first_ring: int) -> DataFrame:
+    """start, node, part, a, b: a row a start, by ``bits`` consecutive bits of a ring, with the 128 bits that follow on the ring."""
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = _BITS_IN_ALL // bits
+        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            words = np.stack([np.array(batch.column(w)) for w in _W], 1)
+            for r in range(-(-starts // each)):
+                flat = np.unpackbits(words.view(np.uint8).reshape(n, WORDS * 8), axis=1, bitorder="little")[:, _ring(first_ring + r)]
+                flat = np.concatenate([flat, flat], 1)
+                for i in range(min(each, starts - r * each)):
+                    at = i * bits
+                    start = flat[:, at : at + bits] @ powers | np.int64(r * each + i) << np.int64(bits)
+                    chain = np.ascontiguousarray(np.packbits(flat[:, at + bits : at + bits + 128], axis=1, bitorder="little")).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(start), batch.column("node"), batch.column("part"), pa.array(chain[:, 0].copy()), pa.array(chain[:, 1].copy())], names=["start", "node", "part", "a", "b"])
+
+    return nodes.select("node", "part", *_W).mapInArrow(cut_out, "start long, node long, part long, a long, b long")
+
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(compute, "doc_id long, node long, fp binary")
+def _chain_holds(bits: int, most: int) -> Column:
+    """Whether the chain of segments after a shared start of ``bits`` bits stays within its proportional share of ``most`` at 16, 32, 64, 96 and 128 bits."""
+    a, b = F.col("a").bitwiseXOR(F.col("other_a")), F.col("b").bitwiseXOR(F.col("other_b"))
+    low = lambda w, n: F.bit_count(w.bitwiseAND(F.lit((1 << n) - 1)))
+    upto = {16: low(a, 16), 32: low(a, 32), 64: F.bit_count(a), 96: F.bit_count(a) + low(b, 32), 128: F.bit_count(a) + F.bit_count(b)}
+    ok = F.lit(True)
+    for n, count in upto.items():
+        ok = ok & (count <= F.lit((bits + n) * most // _BITS_IN_ALL))
+    return ok
+
+
+def _near(pairs: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """The ``pairs`` (node, other, ...) with ``apart``: the full Hamming distance, at most ``most``."""
+    other = words.select(F.col("node").alias("other"), *[F.col(w).alias(f"other_{w}") for w in _W])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in _W), F.lit(0))
+    return pairs.join(words.select("node", *_W), "node").join(other, "other").withColumn("apart", apart).where(F.col("apart") <= most).select(*pairs.columns, "apart")
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(src, dst): the ``pairs`` (node, other) whose sets have a Jaccard similarity of ``similarity`` or more, by the texts of ``docs``."""
+    """(src, dst): the ``pairs`` (node, other) whose sets have a Jaccard similarity of ``similarity`` or more, by the texts of ``docs``. Sets travel as 32 bits a shingle."""
     wanted = cut(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct().join(distinct.select("node", "first"), "node"))
     ids = wanted.select("first").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, "text"):
                 found = list(_shingle_sets(texts, size))
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
+                short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in found], pa.int64()), pa.array(short, pa.binary())], names=["node", "shingles"])
 
     read = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(sets, "node long, shingles binary")
-    held = cut(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(held.withColumnRenamed("shingles", "a"), "node").join(held.select(F.col("node").alias("other"), F.col("shingles").alias("b")), "other")
+    held = cut(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.select("node", "other").join(held.withColumnRenamed("shingles", "a"), "node").join(held.select(F.col("node").alias("other"), F.col("shingles").alias("b")), "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = []
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                a, b = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
                 small, large = sorted((len(a), len(b)))
                 common = len(np.intersect1d(a, b, assume_unique=True)) if small >= similarity * large else 0
                 fine.append(common > 0 and common >= similarity * (len(a) + len(b) - common))
@@ -247,56 +312,53 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity`` or more of their sets of word shingles.
 
-    Candidates come from wide SimHash; each is verified on the shingles themselves (their 64-bit
-    hashes), so no pair below the similarity links. Texts of one set are alike at once.
-
-    First, all that share a start of ``LEAD`` segments on one ring meet one of them, which joins
-    most copies of a large group by links in proportion to the rows. Then every pair that shares a
-    start of ``START`` segments, on one of ``RINGS`` orders of the ring, is a candidate unless
-    already in one component or too far apart in ``FIRST_WORDS`` words; no start is capped. The
-    comparisons grow with the square of a start's rows, what is kept with the candidates.
-
-    Recall is a probability only in that a start is shared by chance: ``RINGS`` * 32 are tried.
-    At 0.8, a pair alone shares one in 98 % of cases, at 0.9 nearly always. Null and empty texts
-    are alike. Null keys are no smallest id unless alone.
+    Candidates come from wide SimHash by pigeonring: two fingerprints that share a start of
+    consecutive segments go on if the chain from it stays within its share of the bits that may
+    differ, then meet the full Hamming check, and last the shingles themselves (their hashes), so
+    no pair below the similarity links. Texts of one set are alike at once.
+
+    First, all that share a long start meet one of them, which joins most copies of a large group
+    by links in proportion to the rows. Then all that share a start meet, but for those in one
+    group already; of two large groups (``LARGE``), the rows of one meet one row of the other. Of
+    the candidates between two groups the nearest is verified first, and then all that are still
+    in different ones. No start is capped; its bits and their number follow from the number of
+    fingerprints, so that starts stay small and ``RECALL`` holds at every size. The rows of starts
+    grow with about the 1.24th power of the table at 0.8.
+
+    Null and empty texts are alike. Null keys are no smallest id unless alone; rows of one key
+    keep their own texts.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fps = cut(wide_fingerprints(df, size, text, key))
-    distinct = cut(fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")))
+    distinct = cut(fps.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in _W]))
+    bits, starts = start_plan(distinct.count(), similarity)
+    most = differing(similarity)
 
-    made = _starts(distinct.select("node", F.col("node").alias("part"), "fp"), LEAD, 1).select("start", "node")
-    chosen = F.struct(F.xxhash64("start", "node").alias("h"), "node")
+    made = _starts(distinct.withColumn("part", F.col("node")), bits + LEAD_BITS, LEAD_STARTS, 0).select("start", "node")
+    chosen = F.struct(F.xxhash64("node").alias("h"), "node")
     leaders = made.groupBy("start").agg(F.count("*").alias("n"), F.min(chosen)["node"].alias("other")).where("n > 1").select("start", "other")
-    led = cut(made.join(leaders, "start").where("node <> other").select("node", "other").distinct())
+    led = cut(_near(made.join(leaders, "start").where("node <> other").select("node", "other").distinct(), distinct, most))
     links = cut(_verified(led, distinct, docs, size, similarity))
 
     joined = connected_components(links)
-    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "fp")
-    made = _starts(cut(parts), START, RINGS)
-    words = [f"w{i}" for i in range(FIRST_WORDS)]
-    two = made.select("start", F.col("node").alias("other"), F.col("part").alias("other_part"), *[F.col(w).alias(f"other_{w}") for w in words])
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in words), F.lit(0))
-    met = made.join(two, "start").where((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & (apart <= differing(similarity)))
-    rest = cut(met.select("node", "other").distinct())
-    links = links.union(_verified(rest, distinct, docs, size, similarity))
+    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), *_W)
+    large = parts.groupBy("part").count().where(F.col("count") > LARGE).select("part", F.lit(True).alias("large"))
+    parts = cut(parts.join(large, "part", "left").select("node", "part", F.coalesce("large", F.lit(False)).alias("large"), *_W))
+    several = _starts(parts.where("not large"), bits, starts, 0).withColumn("large", F.lit(False)).union(_starts(parts.where("large"), bits, starts, 0).withColumn("large", F.lit(True)))
+    renamed = lambda rows: rows.select("start", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "a", "b")])
+    met = several.join(renamed(_starts(parts.where("not large"), bits, starts, 0)), "start").where(F.col("large") | (F.col("node") < F.col("other_node")))
+    great = _starts(parts.where("large"), bits, starts, 0)
+    one = great.groupBy("start", "part").agg(F.min_by(F.struct("node", "a", "b"), F.xxhash64("node")).alias("s")).select("start", "s.node", "part", "s.a", "s.b")
+    met = met.drop("large").union(great.join(renamed(one), "start"))
+    met = met.where((F.col("part") != F.col("other_part")) & _chain_holds(bits, most))
+    pairs = met.select("node", F.col("other_node").alias("other"), "part", "other_part").distinct()
+    rest = cut(_near(pairs, distinct, most))
+
+    between = [F.least("part", "other_part"), F.greatest("part", "other_part")]
+    nearest = rest.groupBy(*between).agg(F.min_by(F.struct("node", "other"), F.struct("apart", "node", "other")).alias("s")).select("s.*")
+    links = cut(links.union(_verified(nearest, distinct, docs, size, similarity)))
+    joined = connected_components(links)
+    ends = rest.select("node", "other").join(joined, "node", "left").withColumnRenamed("component", "c").join(joined.withColumnRenamed("node", "other"), "other", "left")
+    apart = cut(ends.where(F.coalesce("c", "node") != F.coalesce("component", "other")).select("node", "other"))
+    links = links.union(_verified(apart, distinct, docs, size, similarity))
     return _labelled(fps.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")
-
-
-def _starts(nodes: DataFrame, segments: int, rings: int) -> DataFrame:
-    """start, node, part, and the first words of fp: a row for each place of each ring, by the ``segments`` that follow it."""
-    words = [f"w{i}" for i in range(FIRST_WORDS)]
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            data = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, _SEGMENTS)
-            same = [batch.column("node"), batch.column("part"), *[pa.array(data.view(np.int64)[:, i].copy()) for i in range(FIRST_WORDS)]]
-            for r in range(rings):
-                ring = data[:, _ring(r)].astype(np.int64)
-                for i in range(_SEGMENTS):
-                    key = np.full(n, r * _SEGMENTS + i, np.int64)
-                    for j in range(segments):
-                        key = key << SEGMENT_BITS | ring[:, (i + j) % _SEGMENTS]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *same], names=["start", "node", "part", *words])
-
-    return nodes.select("node", "part", "fp").mapInArrow(starts, "start long, node long, part long, " + ", ".join(f"{w} long" for w in words))
