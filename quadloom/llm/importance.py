@@ -18,8 +18,6 @@ from .ngrams import ngram_buckets
 
 #: log2 of the buckets that words and word pairs are hashed to.
 BUCKET_BITS = 14
-#: n-grams that every text counts as: its mean log ratio is scaled by this, so that length decides nothing.
-TEXT_NGRAMS = 1024
 #: Labelled documents that the target model is fitted on, at most; drawn by a hash of the key.
 LABELLED_ROWS = 20_000
 #: Share of the labelled target documents whose weight the selected number must reach.
@@ -37,7 +35,7 @@ class ImportanceModel:
     labelled: DataFrame
 
     def weight(self, text: Column) -> Column:
-        """log of the importance weight of a text: the mean of its n-grams' ratios, times ``TEXT_NGRAMS``. Null and empty texts: 0."""
+        """log of the importance weight of a text, p_target / p_raw: the sum of its n-grams' log ratios. Null and empty texts: 0."""
         if self.ratio is None:
             return F.lit(0.0)
         shared = self.labelled.sparkSession.sparkContext.broadcast(self.ratio)
@@ -47,8 +45,7 @@ class ImportanceModel:
             out, ratio = [], shared.value
             for i in range(0, len(texts), 500):
                 buckets, count = ngram_buckets([(t or "").encode() for t in texts.iloc[i : i + 500]], BUCKET_BITS)
-                sums = np.bincount(np.repeat(np.arange(len(count)), count), weights=ratio[buckets], minlength=len(count))
-                out.append(TEXT_NGRAMS * sums / np.maximum(count, 1))
+                out.append(np.bincount(np.repeat(np.arange(len(count)), count), weights=ratio[buckets], minlength=len(count)))
             return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
         return weigh(text)
@@ -96,14 +93,22 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "t
     return ImportanceModel(np.log(target) - np.log(raw), labelled)
 
 
-def resample(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", target_share: float = TARGET_SHARE, k: int | None = None):
+def rows_reaching(scores: DataFrame, labelled: DataFrame, target_share: float) -> int:
+    """A k for ``resample``: the rows whose log weight reaches that which ``target_share`` of the held-out target texts reach; all without such texts."""
+    target = scores.join(F.broadcast(labelled.where("_held and _label = 1")), scores.doc_id == F.col("_key"))
+    least = target.agg(F.percentile("log_weight", F.lit(1 - target_share))).first()[0]
+    return scores.where(F.col("log_weight") >= F.lit(least)).count() if least is not None else scores.count()
+
+
+def resample(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", k: int | None = None, target_share: float = TARGET_SHARE, seed: int = SEED):
     """(scores, keep): doc_id, log_weight, gumbel_key and kept of every row, and a function that filters ``df`` alike.
 
     The k rows of largest log weight plus Gumbel noise are kept, which samples k without
-    replacement in proportion to the weights. Unless given, k is the number of rows that reach
-    the weight which ``target_share`` of the held-out target texts reach. The k-th key is found by
-    repeated histograms; rows that tie with it are taken in key order, and rows alike in weight
-    and key are kept or left together.
+    replacement in proportion to the weights. A weight is a likelihood ratio, so the noise decides
+    among texts that the models hardly tell apart, short ones above all, and leaves clear cases
+    alone. Unless given, k is ``rows_reaching(target_share)``. The k-th key is found by repeated
+    histograms; rows that tie with it are taken in key order, and rows alike in weight and key are
+    kept or left together.
 
     A null or empty text weighs 0. Rows of a null key share one noise. No target label: every
     weight is 0 and, unless k is given, all rows are kept. Empty table: no rows.
@@ -111,17 +116,15 @@ def resample(df: DataFrame, labels: DataFrame, label: str = "quality", text: str
     model = fit(df, labels, label, text, key)
     id_ = F.col(key).cast("long")
     weight = model.weight(F.col(text).cast("string"))
-    scores = cut(df.select(id_.alias("doc_id"), weight.alias("log_weight")).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"))))
+    scores = cut(df.select(id_.alias("doc_id"), weight.alias("log_weight")).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     if k is None:
-        target = scores.join(F.broadcast(model.labelled.where("_held and _label = 1")), scores.doc_id == F.col("_key"))
-        least = target.agg(F.percentile("log_weight", F.lit(1 - target_share))).first()[0]
-        k = scores.where(F.col("log_weight") >= F.lit(least)).count() if least is not None else scores.count()
+        k = rows_reaching(scores, model.labelled, target_share)
     at = kth_largest(scores, "gumbel_key", "doc_id", k)
     kept = lambda score, tie: before(score, tie, at) if at else F.lit(False)
 
     def keep(rows: DataFrame) -> DataFrame:
         names = rows.columns
-        keyed = rows.withColumn("_gumbel_key", weight + gumbel(id_))
+        keyed = rows.withColumn("_gumbel_key", weight + gumbel(id_, seed))
         return keyed.where(kept(F.col("_gumbel_key"), id_)).select(*[F.col(f"`{c}`") for c in names])
 
     return scores.withColumn("kept", kept(F.col("gumbel_key"), F.col("doc_id"))), keep

@@ -452,7 +452,41 @@ def test_importance_resampling(spark, none):
     text = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
     model = importance.fit(docs, fit)
     for i, t in enumerate(text):
-        assert abs(rows[i].log_weight - importance.TEXT_NGRAMS * model.ratio[ngrams.ngram_buckets([t.encode()], importance.BUCKET_BITS)[0]].mean()) < 1e-6
+        assert abs(rows[i].log_weight - model.ratio[ngrams.ngram_buckets([t.encode()], importance.BUCKET_BITS)[0]].sum()) < 1e-6
+    plain = {r.doc_id for r in scores.orderBy(scores.log_weight.desc()).limit(len(kept)).collect()}
+    other = {r.doc_id for r in importance.resample(docs, fit, k=len(kept), seed=21)[0].where("kept").collect()}
+    assert kept != plain and len(kept - other) > 5  # the noise samples
+
+
+def test_importance_models_by_hand(spark):
+    """Both models' counts and a text's weight, from words and pairs counted one by one."""
+    rows = [(1, "good plain words here"), (2, "good plain words there"), (3, "bad junk words"), (4, "junk junk junk"), (5, None), (6, "good plain junk")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = importance.fit(df, labels)
+    held = {r._key for r in model.labelled.where("_held").collect()}
+    size, bits = 1 << importance.BUCKET_BITS, importance.BUCKET_BITS
+    raw, target = collections.Counter(), collections.Counter()
+    grams = {}
+    for k, t in rows:
+        words = (t or "").split()
+        grams[k] = [int(ngrams.ngram_buckets([w.encode()], bits)[0][0]) for w in words] + [int(ngrams.ngram_buckets([f"{a} {b}".encode()], bits)[0][2]) for a, b in zip(words, words[1:])]
+        raw.update(grams[k])
+        if k in (1, 2) and k not in held:
+            target.update(grams[k])
+    if not target:
+        assert model.ratio is None
+        return
+    p_raw = {b: (raw[b] + 1) / (sum(raw.values()) + size) for b in raw}
+    p_target = {b: (target[b] + importance.SMOOTHING * size * p_raw[b]) / (sum(target.values()) + importance.SMOOTHING * size) for b in raw}
+    got = {r.doc_id: r.log_weight for r in importance.resample(df, labels, k=3)[0].collect()}
+    for k, own in grams.items():
+        assert abs(got[k] - sum(np.log(p_target[b] / p_raw[b]) for b in own)) < 1e-9
+
+
+def test_importance_at_the_end(spark, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fit = spark.read.parquet(f"{SF}/labels.parquet")
     assert not importance.resample(none, fit)[0].collect()
     assert importance.resample(docs, fit.limit(0))[0].where("kept").count() == docs.count()
 
