@@ -16,6 +16,8 @@ from .idcoder import decode_ids, encode_ids
 
 #: Ids gathered before a chunk is written; a chunk holds whole documents and one at least.
 CHUNK_IDS = 4_000_000
+#: Bytes of text that a part holds: a task tokenizes and codes one, whatever the table holds.
+PART_BYTES = 16_000_000
 #: Ids of a block. A chunk's blocks are coded side by side, a step for all at once, so more of them cost less an id.
 BLOCK_IDS = 2048
 
@@ -28,12 +30,15 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, text: str = "tex
 
     Rows are range-partitioned and sorted by key, once, with their texts; each task tokenizes its
     range and writes chunks of whole documents with an index of (key, tokens). ``before`` counts
-    the ids of the part that precede the chunk. Parts follow each other in key order.
+    the ids of the part that precede the chunk. Parts follow each other in key order; unless
+    given, there are as many as the texts' bytes ask for.
 
     A null text is empty: its row holds only the end id. Null keys come first; rows of one key
     stay rows, in any order among themselves. Other columns are not read. No rows: no chunks.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long") + 1)).first()[0] or 0
+        parts = max(1, -(-size // PART_BYTES))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -366,7 +366,7 @@ def test_suffixes_against_brute_force(spark, docs, texts):
 
 def test_id_coder_round_trips():
     rng = np.random.default_rng(0)
-    for ids in ([], [0], [65_535] * 5000, rng.integers(0, 65_536, 9000), np.tile(rng.integers(0, 50_000, 300), 40), rng.zipf(1.3, 9000) % 50_257):
+    for ids in ([], [0], [65_535] * 5000, [idcoder.MOST_IDS - 1] * 300, rng.integers(0, idcoder.MOST_IDS, 9000), rng.integers(0, 65_536, 9000), np.tile(rng.integers(0, 50_000, 300), 40), rng.zipf(1.3, 9000) % 50_257):
         for block in (64, 4096):
             assert (idcoder.decode_ids(idcoder.encode_ids(ids, block)) == np.asarray(ids)).all()
     chunk = bytearray(idcoder.encode_ids(np.arange(9000) % 977))
@@ -379,6 +379,26 @@ def test_id_coder_round_trips():
     assert len(idcoder.encode_ids(repeated)) < len(repeated)
 
 
+def test_id_coder_mixes_the_orders():
+    """An id that two orders foresee is likelier than one that either foresees; intervals tile the range in id order."""
+    model = idcoder._Model(1, 8)
+    for i in [7, 900, 12, 7, 900, 12, 7, 900, 40, 7, 900]:
+        model.predict(1)
+        model.interval(np.array([i]))
+        model.learn(np.array([i]))
+    model.predict(1)
+    at = 0
+    for i in range(1 << 16):
+        start, width = model.interval(np.array([i]))
+        assert width[0] > 0 and start[0] >= at
+        at = start[0] + width[0]
+        if i in (0, 12, 40, 41, 65_535):
+            for v in (start[0], at - 1):
+                found, s, w = model.find(np.array([v]))
+                assert (found[0], s[0], w[0]) == (i, start[0], width[0])
+    assert at <= idcoder._TOTAL
+
+
 def test_token_files(spark, docs, texts, odd, none, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
