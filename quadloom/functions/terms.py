@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+LANG_STRING = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
+INTEGERS = [f"{XSD}{x}" for x in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong")]
 NUMERIC = [f"{XSD}{x}" for x in ("integer", "decimal", "float", "double", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong")]
 
 
@@ -76,6 +78,33 @@ def number(t: Column) -> Column:
     return F.when(datatype(t).isin(NUMERIC), str_(t).try_cast("double"))
 
 
+def exact(t: Column) -> Column:
+    """The value of an integer or decimal literal as a decimal, so that large integers keep their digits; else NULL."""
+    return F.when(datatype(t).isin(*INTEGERS, XSD + "decimal"), str_(t).try_cast("decimal(38,10)"))
+
+
+def _rank(t: Column) -> Column:
+    """0 integer, 1 decimal, 2 float, 3 double."""
+    d = datatype(t)
+    return F.when(d.isin(INTEGERS), 0).when(d == XSD + "decimal", 1).when(d == XSD + "float", 2).when(d == XSD + "double", 3)
+
+
+def arithmetic(a: Column, b: Column, op: str) -> Column:
+    """The literal of ``a op b`` for + - * /: of the wider type of integer < decimal < float < double; integers divide to a decimal; division of exact numbers by zero is an error."""
+    ops = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": F.try_divide}
+    wide = F.greatest(_rank(a), _rank(b))
+    whole = ops[op](exact(a).cast("decimal(38,0)"), exact(b).cast("decimal(38,0)")) if op != "/" else None
+    dec = ops[op](exact(a).cast("decimal(28,8)"), exact(b).cast("decimal(28,8)")).cast("decimal(38,8)")
+    plain = F.regexp_replace(F.regexp_replace(dec.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    real = ops[op](number(a), number(b))
+    out = F.when(wide >= 2, literal(real.cast("string"))).otherwise(literal(plain))
+    if whole is not None:
+        out = F.when(wide == 0, literal(whole.cast("decimal(38,0)").cast("string"))).otherwise(out)
+    kind = F.when(wide == 0, XSD + ("decimal" if op == "/" else "integer")).when(wide == 1, XSD + "decimal").when(wide == 2, XSD + "float").otherwise(XSD + "double")
+    known = wide.isNotNull() & _rank(a).isNotNull() & _rank(b).isNotNull()
+    return F.when(known, F.concat(out, F.lit("^^<"), kind, F.lit(">")))
+
+
 def is_numeric(t: Column) -> Column:
     return F.coalesce(number(t).isNotNull(), F.lit(False))
 
@@ -99,7 +128,8 @@ def equal(a: Column, b: Column) -> Column:
     """``=``: by value for two numbers or times, else by term; unequal literals of unknown types are an error."""
     known = [*NUMERIC, XSD + "string", XSD + "boolean", XSD + "dateTime", XSD + "date"]
     return (
-        F.when(number(a).isNotNull() & number(b).isNotNull(), number(a) == number(b))
+        F.when(exact(a).isNotNull() & exact(b).isNotNull(), exact(a) == exact(b))
+        .when(number(a).isNotNull() & number(b).isNotNull(), number(a) == number(b))
         .when(timestamp(a).isNotNull() & timestamp(b).isNotNull(), timestamp(a) == timestamp(b))
         .when(a == b, F.lit(True))
         .when(is_literal(a) & is_literal(b) & (~datatype(a).isin(known) | ~datatype(b).isin(known)) & (lang(a) == "") & (lang(b) == ""), F.lit(None).cast("boolean"))
@@ -110,7 +140,7 @@ def equal(a: Column, b: Column) -> Column:
 def less(a: Column, b: Column) -> Column:
     """``<`` of two numbers, two times or two plain strings; NULL otherwise."""
     plain = (datatype(a) == XSD + "string") & (datatype(b) == XSD + "string")
-    return F.coalesce(number(a) < number(b), timestamp(a) < timestamp(b), F.when(plain, str_(a) < str_(b)))
+    return F.coalesce(exact(a) < exact(b), number(a) < number(b), timestamp(a) < timestamp(b), F.when(plain, str_(a) < str_(b)))
 
 
 def order_keys(t: Column, descending: bool = False) -> list[Column]:
@@ -141,3 +171,71 @@ def round_half_up(x: Column) -> Column:
 
 def regex(s: Column, pattern: str, flags: str = "") -> Column:
     return s.rlike(f"(?{flags}){pattern}" if flags else pattern)
+
+
+def _clock(t: Column, group: int) -> Column:
+    """A part of the lexical form of an xsd:dateTime: hours, minutes, seconds, offset. The session's zone plays no part."""
+    return F.when(datatype(t) == XSD + "dateTime", F.regexp_extract(str_(t), r"T(\d\d):(\d\d):(\d\d(?:\.\d+)?)(Z|[+-]\d\d:\d\d)?$", group))
+
+
+def hours(t: Column) -> Column:
+    return _clock(t, 1).try_cast("int")
+
+
+def minutes(t: Column) -> Column:
+    return _clock(t, 2).try_cast("int")
+
+
+def seconds(t: Column) -> Column:
+    return _clock(t, 3).try_cast("decimal(18,9)")
+
+
+def tz(t: Column) -> Column:
+    """TZ: the offset as written, '' without one."""
+    return _clock(t, 4)
+
+
+def timezone(t: Column) -> Column:
+    """TIMEZONE: the offset as a duration; an error (NULL) without one."""
+    z = tz(t)
+    sign = F.when(z.startswith("-"), "-").otherwise("")
+    h, m = z.substr(2, 2).try_cast("int"), z.substr(5, 2).try_cast("int")
+    parts = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("H"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("M"))).otherwise(""))
+    return F.when(z.isin("Z", "+00:00", "-00:00"), "PT0S").when(z != "", F.concat(sign, F.lit("PT"), parts))
+
+
+def now() -> Column:
+    """NOW: one moment for the whole query, in UTC."""
+    return F.concat(F.lit('"'), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(f'Z"^^<{XSD}dateTime>'))
+
+
+def uuid_iri() -> Column:
+    """UUID: a fresh IRI for each row."""
+    return F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
+
+
+def str_uuid() -> Column:
+    return literal(F.uuid())
+
+
+def rand() -> Column:
+    return F.rand()
+
+
+def bnode(label: Column | None = None) -> Column:
+    """BNODE: one node for each label, or a fresh one for each row."""
+    return F.concat(F.lit("_:b"), F.replace(F.uuid(), F.lit("-"), F.lit("")) if label is None else F.md5(label))
+
+
+def str_lang(text: Column, tag: Column) -> Column:
+    """STRLANG: tags are lower-cased; an empty one is an error."""
+    return F.when(tag != "", F.concat(literal(text), F.lit("@"), F.lower(tag)))
+
+
+def str_dt(text: Column, datatype_iri: Column) -> Column:
+    """STRDT; a datatype of xsd:string is a plain literal."""
+    return F.when(datatype_iri == F.lit(f"<{XSD}string>"), literal(text)).otherwise(F.concat(literal(text), F.lit("^^"), datatype_iri))
+
+
+def same_term(a: Column, b: Column) -> Column:
+    return a == b

@@ -46,10 +46,25 @@ def table_quads(df: DataFrame, table: str, key: str, links: dict[str, str] | Non
     return df.select(g.alias("g"), s.alias("s"), F.explode(F.array(*pairs)).alias("x")).select("g", "s", "x.p", "x.o").where("o is not null")
 
 
+_ESCAPE = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)"
+
+
+def unescaped(term: Column) -> Column:
+    """A term with its numeric escapes decoded, so that one term has one spelling; what must stay escaped in a literal does."""
+    found, between = F.regexp_extract_all(term, F.lit(_ESCAPE), F.lit(0)), F.split(term, _ESCAPE)
+    digits = lambda e: F.lpad(F.substr(e, F.lit(3)), 8, "0")
+    char = lambda e: F.decode(F.unhex(digits(e)), "UTF-32")
+    held = {"\n": "\\n", "\r": "\\r", "\t": "\\t", '"': '\\"', "\\": "\\\\"}
+    keep = F.create_map(*[F.lit(x) for pair in held.items() for x in pair])
+    one = lambda e: F.when(F.substr(e, F.lit(2), F.lit(1)).isin("u", "U"), F.coalesce(F.try_element_at(keep, char(e)), char(e))).otherwise(e)
+    joined = F.array_join(F.zip_with(between, F.concat(F.transform(found, one), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(term.contains("\\"), joined).otherwise(term)
+
+
 def read_nquads(spark: SparkSession, path: str) -> DataFrame:
     """Quads of N-Quads or N-Triples text; comments and blank lines are passed over, a malformed line fails the read."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", _LINE, i)
+    part = lambda i: unescaped(F.regexp_extract("value", _LINE, i))
     ok = F.when(F.col("value").rlike(_LINE), part(4)).otherwise(F.raise_error(F.concat(F.lit("not a quad: "), F.col("value"))))
     return distinct_quads(lines.select(F.nullif(ok, F.lit("")).alias("g"), part(1).alias("s"), part(2).alias("p"), part(3).alias("o")))
 
@@ -64,6 +79,30 @@ def distinct_quads(quads: DataFrame) -> DataFrame:
     return quads.dropDuplicates(["g", "s", "p", "o"])
 
 
+def graph_filter(quads: DataFrame, which: str = "all") -> DataFrame:
+    """Quads of one graph by its IRI, of the named graphs (``named``), of the default graph only (``default``), or all."""
+    g = F.col("g")
+    return {"all": lambda: quads, "named": lambda: quads.where(g.isNotNull()), "default": lambda: quads.where(g.isNull())}.get(which, lambda: quads.where(g == which))()
+
+
+def dataset(quads: DataFrame, from_: list[str] | None = None, from_named: list[str] | None = None, default_uris: list[str] | None = None, named_uris: list[str] | None = None, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(triples of the default graph, quads that GRAPH sees) of a request.
+
+    A request's own default-graph and named-graph URIs outrank the query's FROM and FROM NAMED. With
+    only FROM there are no named graphs, with only FROM NAMED the default graph is empty; without
+    either the default graph is the union of all, and GRAPH sees every named one. ``allowed`` is a
+    ceiling on both.
+    """
+    if default_uris is not None or named_uris is not None:
+        from_, from_named = default_uris, named_uris
+    given = from_ is not None or from_named is not None
+    default = in_graphs(quads, (from_ or []) if given else None, allowed)
+    named = graph_filter(quads, "named") if not given else quads.where(F.col("g").isin(from_named) if from_named else F.lit(False))
+    if allowed is not None:
+        named = named.where(F.col("g").isin(allowed) if allowed else F.lit(False))
+    return default, named
+
+
 def in_graphs(quads: DataFrame, graphs: list[str] | None, allowed: list[str] | None = None) -> DataFrame:
     """Triples (s, p, o) of the union of ``graphs`` (None: all) within ``allowed`` (None: no ceiling), each once."""
     if graphs is not None:
@@ -73,11 +112,21 @@ def in_graphs(quads: DataFrame, graphs: list[str] | None, allowed: list[str] | N
     return quads.select("s", "p", "o").distinct()
 
 
-def content_hash(quads: DataFrame) -> DataFrame:
+def content_hash(quads: DataFrame, run: int = 4096) -> DataFrame:
     """(g, n, content_hash): a hash of the set of a graph's lines, in whatever order they come.
 
-    The lines' SHA-256 digests are sorted in 256 runs by their first byte, and the runs' digests hashed in turn.
+    The lines' SHA-256 digests are sorted within runs that share a prefix, and the runs' digests
+    hashed in turn, level by level. The first prefix has as many hexadecimal digits as leave about
+    ``run`` lines a run in the largest graph, so no group grows with the graph.
     """
     line = F.sha2(F.concat_ws(" ", "s", "p", "o", F.lit(".")), 256)
-    runs = distinct_quads(quads).select("g", line.alias("h")).groupBy("g", F.substring("h", 1, 2).alias("run")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("r"), F.count("*").alias("n"))
-    return runs.groupBy("g").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "r"))), lambda x: x["r"]), "\n"), 256).alias("content_hash"))
+    lines = distinct_quads(quads).select("g", line.alias("h"))
+    counts = lines.groupBy("g").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    digits = 0
+    while most / 16**digits > run:
+        digits += 2
+    level = lines.select("g", F.col("h").alias("at"), "h")
+    for d in range(digits, -1, -2):
+        level = level.groupBy("g", F.substring("at", 1, d).alias("at")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+    return level.join(counts, F.equal_null(level["g"], counts["g"])).select(level["g"], "n", F.col("h").alias("content_hash"))
