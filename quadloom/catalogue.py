@@ -23,18 +23,9 @@ def query(sql: str | None = None):
     return add
 
 
-@query(
-    """SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, round(sum(c_acctbal), 2) AS balance
-    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1"""
-)
-def sparql_bgp_count(spark: SparkSession, d: str) -> DataFrame:
-    c, n = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/nation.parquet")
-    return c.where("c_acctbal > 0").join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("nation")).agg(F.countDistinct("c_custkey").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-
-
 from .functions import terms as x  # noqa: E402
 from .operators import access, alignment, cells, ontology, patterns, sequences, text, traverse, updates, vectors, views  # noqa: E402
-from .plans.lineage import fresh_path  # noqa: E402
+from .plans.lineage import cut, fresh_path  # noqa: E402
 from .sources import quads as qs  # noqa: E402
 from .sources import sequence_files as files  # noqa: E402
 from .sources.quads import name  # noqa: E402
@@ -60,6 +51,12 @@ def quads(spark: SparkSession, d: str, *tables: str, columns: list[str] | None =
     return found
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a table has fewer partitions than those, as for heavy work on each row; on larger tables nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def num(c: str):
     return x.number(F.col(c))
 
@@ -77,6 +74,17 @@ def key(c: str):
     return local(c).cast("long")
 
 
+@query(
+    """SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, round(sum(c_acctbal), 2) AS balance
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1"""
+)
+def sparql_bgp_count(spark: SparkSession, d: str) -> DataFrame:
+    q = quads(spark, d, "customer", "nation", columns=["c_nationkey", "c_acctbal", "n_name"])
+    c = patterns.star(q, "c", {"n": name("c_nationkey"), "bal": name("c_acctbal")}).where(num("bal") > 0)
+    s = patterns.join(c, patterns.match(q, "?n", name("n_name"), "?nation"))
+    return patterns.aggregate(s, ["nation"], customers=F.count_distinct("c"), balance=F.round(patterns.total(num("bal")), 2)).withColumn("nation", text_of("nation"))
+
+
 @query("SELECT c_custkey AS c, c_name AS name, c_mktsegment AS segment, round(c_acctbal, 2) AS bal FROM customer")
 def sparql_star_join(spark, d):
     q = quads(spark, d, "customer", columns=["c_name", "c_mktsegment", "c_acctbal"])
@@ -329,10 +337,21 @@ def _parts(spark, d):
     return views.object_metadata(q.union(own), _PARTS)
 
 
-@query("SELECT p_partkey AS p, p_name AS display_id, p_brand AS role FROM part WHERE p_partkey % 2 = 0 ORDER BY p_name, 'x/' || p_partkey LIMIT 25 OFFSET 5")
+@query(
+    """WITH t(type) AS (VALUES ('Part'), ('Thing')), r AS (SELECT p_partkey p, 'size/' || p_size role FROM part UNION SELECT p_partkey, 'brand/' || p_brand FROM part)
+    SELECT p_partkey AS p, p_name AS display_id, type, role FROM part CROSS JOIN t JOIN r ON p = p_partkey WHERE p_partkey % 2 = 0
+    ORDER BY p_name, '<http://example.org/part/' || p_partkey || '>', type, role LIMIT 25 OFFSET 5"""
+)
 def view_object_list(spark, d):
-    rows = views.object_list(views.in_scope(_parts(spark, d), top_level=True).withColumn("roles", F.array()).withColumn("roles", F.col("roles").cast("array<string>")), 5, 25)
-    return rows.select(key("s").alias("p"), text_of("display_id").alias("display_id"), text_of("description").alias("role"))
+    df = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    s = qs.node("part", F.col("p_partkey"))
+    more = lambda p, o: df.select(F.lit(name("g/part")).alias("g"), s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    role = name("role")
+    q = quads(spark, d, "part", columns=["p_name"]).union(more(x.RDF_TYPE, F.lit(name("Thing")))).union(more(role, x.iri(F.concat(F.lit(qs.BASE + "size/"), "p_size")))).union(more(role, x.iri(F.concat(F.lit(qs.BASE + "brand/"), "p_brand"))))
+    q = q.union(more(name("self"), s).where(key("s") % 2 == 0))
+    objects = views.object_metadata(q, views.Vocabulary(name("p_name"), name("p_type"), name("none"), role, name("none"), name("self"), name("member")))
+    rows = views.object_list(views.in_scope(objects, top_level=True), 5, 25)
+    return rows.select(key("s").alias("p"), text_of("display_id").alias("display_id"), local("type").alias("type"), F.regexp_extract("role", "org/(.*)>", 1).alias("role"))
 
 
 @query("SELECT count(*) AS n FROM part WHERE p_partkey % 2 = 0 AND p_brand = 'Brand#11'")
@@ -369,9 +388,9 @@ def object_list_keyset(spark, d):
     return views.keyset_page(_parts(spark, d), None, 40).select(key("s").alias("p"))
 
 
-@query("SELECT p_partkey AS p, contains(lower(p_type), 'steel') AS \"first\" FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel')")
+@query("SELECT p_partkey AS p, contains(lower(p_type), 'an') AS \"first\" FROM part WHERE contains(lower(p_type), 'an') OR contains(lower(p_name), 'an') OR contains(lower(p_brand), 'an')")
 def object_substring(spark, d):
-    return views.substring_search(_parts(spark, d), "STEEL").select(key("s").alias("p"), "first")
+    return views.substring_search(_parts(spark, d), "AN").select(key("s").alias("p"), "first")
 
 
 @query("SELECT 'customer/' || c_custkey AS u FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 UNION SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 2")
@@ -477,7 +496,7 @@ def ontology_descendants(spark, d):
 
 
 def _dna(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return wide(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]+", "").alias("seq"))
 
 
 _DNA = "WITH s AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents) "
@@ -494,8 +513,7 @@ def rc_string(spark, d):
     SELECT least(f, b) AS kmer, count(*) AS n, count(*) FILTER (f <= b) AS plus FROM c GROUP BY 1"""
 )
 def kmer_index(spark, d):
-    k = sequences.kmers(_dna(spark, d), "seq", "doc_id", 8)
-    return k.groupBy("kmer").agg(F.count("*").alias("n"), F.count_if(F.col("strand") == "+").alias("plus"))
+    return sequences.kmer_counts(_dna(spark, d), "seq", 8)
 
 
 @query(_DNA + "SELECT doc_id, (length(seq) - length(replace(seq, 'ACGA', ''))) // 4 AS plus, (length(seq) - length(replace(seq, 'TCGT', ''))) // 4 AS minus FROM s WHERE contains(seq, 'ACGA') OR contains(seq, 'TCGT')")
@@ -511,7 +529,7 @@ def sketch_bands(spark, d):
 
 @query()
 def lsh_candidates(spark, d):
-    b = sketch_bands(spark, d)
+    b = cut(sketch_bands(spark, d))
     return sequences.lsh_candidates(b, b.where(F.col("doc_id") % 50 == 0), "doc_id")
 
 
@@ -524,7 +542,7 @@ def sequence_clusters(spark, d):
 def sequence_alignments(spark, d):
     """Queries (every fiftieth) against all that share a band with them."""
     s = _dna(spark, d)
-    b = sequences.bands(s.withColumn("sig", sequences.sketch(F.col("seq"))), "sig", "doc_id")
+    b = cut(sequences.bands(s.withColumn("sig", sequences.sketch(F.col("seq"))), "sig", "doc_id"))
     pairs = sequences.lsh_candidates(b, b.where(F.col("doc_id") % 50 == 0), "doc_id")
     both = pairs.join(s.select(F.col("doc_id").alias("query"), F.col("seq").alias("q")), "query").join(s, "doc_id")
     return both.select("query", "doc_id", alignment.alignment(F.col("q"), F.col("seq")).alias("a")).where("a is not null").select("query", "doc_id", "a.*")
@@ -556,7 +574,8 @@ def knn_cells(spark, d):
     e = table(spark, d, "embeddings")
     model = cells.fit_cells(e, "embedding", "vec_id", 256)
     queries = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return cells.search_cells(cells.index_cells(e, "embedding", model), queries, model, "embedding", "vec_id", 10, 8)
+    indexed = cut(cells.index_cells(e, "embedding", model))
+    return cells.search_cells(indexed, queries, model, "embedding", "vec_id", 10, cells.calibrate_probes(indexed, model, "embedding", "vec_id", 10))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n FROM documents")
@@ -566,12 +585,12 @@ def text_tokens(spark, d):
 
 @query(
     """WITH t AS (SELECT p_partkey p, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')) a, list_distinct(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}_]+')) b FROM part),
-    s AS (SELECT p, CASE WHEN len(list_filter(a, lambda w: levenshtein(w, 'steel') <= 1)) > 0 THEN 3.0 ELSE 0.0 END + CASE WHEN len(list_filter(b, lambda w: levenshtein(w, 'steel') <= 1)) > 0 THEN 1.0 ELSE 0.0 END AS m FROM t)
+    s AS (SELECT p, CASE WHEN len(list_filter(a, lambda w: damerau_levenshtein(w, 'rde') <= 1)) > 0 THEN 3.0 ELSE 0.0 END + CASE WHEN len(list_filter(a, lambda w: damerau_levenshtein(w, 'widegtt') <= 2)) > 0 THEN 3.0 ELSE 0.0 END + CASE WHEN len(list_filter(b, lambda w: damerau_levenshtein(w, 'widegtt') <= 2)) > 0 THEN 1.0 ELSE 0.0 END + CASE WHEN len(list_filter(b, lambda w: damerau_levenshtein(w, 'rde') <= 1)) > 0 THEN 1.0 ELSE 0.0 END AS m FROM t)
     SELECT p, round(m * ln(2.0), 6)::DOUBLE AS score FROM s WHERE m > 0"""
 )
 def text_fuzzy_rank(spark, d):
     p = table(spark, d, "part").withColumn("rank", F.lit(1.0))
-    s = text.text_scores(p, "p_partkey", {"p_name": 3.0, "p_type": 1.0}, "steel")
+    s = text.text_scores(p, "p_partkey", {"p_name": 3.0, "p_type": 1.0}, "rde Widegtt")
     return text.ranked(s, "p_partkey", "rank").select(F.col("p_partkey").alias("p"), F.round("score", 6).alias("score"))
 
 
@@ -596,6 +615,7 @@ def discovery_facets(spark, d):
 
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_PAIRS = "FROM (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b"
 
 
 def _query_vector(spark, d):
@@ -603,16 +623,19 @@ def _query_vector(spark, d):
 
 
 def _knn(metric, **more):
+    """Every fiftieth vector against all rows."""
+
     def run(spark, d):
-        rows = vectors.nearest(table(spark, d, "embeddings"), "embedding", "vec_id", _query_vector(spark, d), metric, 20, **more)
-        return rows.select("vec_id", F.round("score", 5).alias("score"))
+        e = table(spark, d, "embeddings")
+        queries = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+        return vectors.nearest_each(e, "embedding", "vec_id", queries, metric, 20, **more).select("query", "vec_id", F.round("score", 5).alias("score"))
 
     return run
 
 
-for _metric, _sql in (("cosine", "list_cosine_similarity(embedding::DOUBLE[], q)"), ("dot", "list_inner_product(embedding::DOUBLE[], q)"), ("euclidean", "-list_distance(embedding::DOUBLE[], q)"), ("manhattan", "-list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: abs(p[1] - p[2])))")):
+for _metric, _sql in (("cosine", "list_cosine_similarity(e, q)"), ("dot", "list_inner_product(e, q)"), ("euclidean", "-list_distance(e, q)"), ("manhattan", "-list_sum(list_transform(list_zip(e, q), lambda p: abs(p[1] - p[2])))")):
     QUERIES[f"knn_{_metric}"] = _knn(_metric)
-    ORACLES[f"knn_{_metric}"] = f"SELECT vec_id, round({_sql}, 5) AS score FROM embeddings, {_Q} ORDER BY {_sql} DESC, vec_id LIMIT 20"
+    ORACLES[f"knn_{_metric}"] = f"SELECT query, vec_id, round(s, 5) AS score FROM (SELECT query, vec_id, {_sql} AS s {_PAIRS}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 20"
 
 
 @query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 5) AS score FROM embeddings, {_Q} WHERE label IN (1, 2) OR NOT (label >= 4) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10 OFFSET 5")
@@ -624,7 +647,7 @@ def knn_filtered(spark, d):
     return rows.select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 5) AS score FROM embeddings, {_Q} WHERE list_cosine_similarity(embedding::DOUBLE[], q) >= 0.2 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 20")
+@query(f"SELECT query, vec_id, round(s, 5) AS score FROM (SELECT query, vec_id, list_cosine_similarity(e, q) AS s {_PAIRS}) WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 20")
 def knn_threshold(spark, d):
     return _knn("cosine", threshold=0.2)(spark, d)
 
@@ -667,7 +690,12 @@ def class_histogram(spark, d):
     return views.class_histogram(quads(spark, d, "nation", "supplier", columns=["n_name", "s_name"])).withColumn("class", local("class"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT 'nation' AS t, n_nationkey k, unnest([{p: 'n_nationkey', o: '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>'}, {p: 'n_name', o: '"' || n_name || '"'}, {p: 'n_regionkey', o: '<http://example.org/region/' || n_regionkey || '>'}, {p: 't', o: '<http://example.org/Nation>'}]) x FROM nation
+    UNION ALL SELECT 'region', r_regionkey, unnest([{p: 'r_regionkey', o: '"' || r_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>'}, {p: 'r_name', o: '"' || r_name || '"'}, {p: 't', o: '<http://example.org/Region>'}]) FROM region),
+    l AS (SELECT t, sha256('<http://example.org/' || t || '/' || k || '> ' || CASE x.p WHEN 't' THEN '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' ELSE '<http://example.org/' || x.p || '>' END || ' ' || x.o || ' .') h FROM t)
+    SELECT '<http://example.org/g/' || t || '>' AS g, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS content_hash FROM l GROUP BY t"""
+)
 def content_hash(spark, d):
     return qs.content_hash(quads(spark, d, "nation", "region"))
 
@@ -685,3 +713,6 @@ def sql_console(spark, d):
 
     rows, _ = run_sql({"orders": table(spark, d, "orders")}, "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC", 3)
     return rows
+
+
+from . import catalogue_services  # noqa: E402, F401

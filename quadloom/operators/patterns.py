@@ -44,25 +44,45 @@ def _shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 
 
-def _compatible(a: DataFrame, b: DataFrame, keys: list[str], maybe_unbound: list[str]) -> Column:
-    one = lambda k: (a[k] == b[k]) | a[k].isNull() | b[k].isNull() if k in maybe_unbound else a[k] == b[k]
-    return reduce(lambda x, y: x & y, map(one, keys), F.lit(True))
+def _by_bound(df: DataFrame, keys: list[str]) -> list[tuple[frozenset, DataFrame]]:
+    """``df`` in parts by which of ``keys`` are bound: [(bound keys, rows)]."""
+    parts = [(frozenset(), df)]
+    for k in keys:
+        parts = [(bound | add, rows.where(F.col(k).isNotNull() if add else F.col(k).isNull())) for bound, rows in parts for add in (frozenset([k]), frozenset())]
+    return parts
 
 
 def join(a: DataFrame, b: DataFrame, maybe_unbound: tuple[str, ...] = (), how: str = "inner", condition: Column | None = None) -> DataFrame:
-    """Compatible solutions joined. Shared variables that may be unbound on a side are named, as they cost the hash join."""
+    """Compatible solutions joined (``inner`` or ``left``). Shared variables that may be unbound on a side are named.
+
+    An unbound variable is compatible with anything, so each side is parted by which of those are
+    bound, and each pair of parts meets in an equi join on what both bind; only parts that bind
+    nothing in common, whose every pair is a solution, are crossed. A left join keeps the rows
+    that no part joined.
+    """
     keys = _shared(a, b)
     if not keys and condition is None and how == "inner":
         return a.crossJoin(b)
-    if not maybe_unbound and condition is None:
-        return a.join(b, keys, how)
+    odd = [k for k in keys if k in maybe_unbound]
+    if not odd:
+        return _equi(a, b, keys, keys, how, condition)
+    if how == "left":
+        a = cut(a.withColumn("_row", F.monotonically_increasing_id()))
+        inner = join(a, b, maybe_unbound, "inner", condition)
+        return inner.drop("_row").unionByName(a.join(inner.select("_row").distinct(), "_row", "left_anti").drop("_row"), allowMissingColumns=True).select(*[c for c in a.columns if c != "_row"], *[c for c in b.columns if c not in keys])
+    parts = []
+    for bound_a, left in _by_bound(a, odd):
+        for bound_b, right in _by_bound(b, odd):
+            on = [k for k in keys if k not in odd or k in bound_a & bound_b]
+            parts.append(_equi(left, right, keys, on, "inner", condition))
+    return reduce(lambda x, y: x.union(y), parts)
+
+
+def _equi(a: DataFrame, b: DataFrame, keys: list[str], on: list[str], how: str, condition: Column | None) -> DataFrame:
     a, b = a.alias("a"), b.alias("b")
-    on = reduce(lambda x, y: x & y, [((F.col(f"a.{k}") == F.col(f"b.{k}")) | F.col(f"a.{k}").isNull() | F.col(f"b.{k}").isNull()) if k in maybe_unbound else F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.lit(True))
-    if condition is not None:
-        on = on & condition
-    both = a.join(b, on, how)
+    match_on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on], F.lit(True) if condition is None else condition)
     left = [F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) if c in keys else F.col(f"a.{c}") for c in a.columns]
-    return both.select(*left, *[F.col(f"b.{c}") for c in b.columns if c not in keys])
+    return a.join(b, match_on, how).select(*left, *[F.col(f"b.{c}") for c in b.columns if c not in keys])
 
 
 def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, maybe_unbound: tuple[str, ...] = ()) -> DataFrame:
@@ -82,8 +102,15 @@ def minus(a: DataFrame, b: DataFrame, maybe_unbound: tuple[str, ...] = ()) -> Da
         return a
     if not maybe_unbound:
         return a.join(b.select(*keys).distinct(), keys, "left_anti")
-    some = reduce(lambda x, y: x | y, [a[k].isNotNull() & b[k].isNotNull() for k in keys])
-    return a.join(b, _compatible(a, b, keys, list(maybe_unbound)) & some, "left_anti")
+    odd = [k for k in keys if k in maybe_unbound]
+    rest = []
+    for bound_a, left in _by_bound(a, odd):
+        for bound_b, right in _by_bound(b, odd):
+            on = [k for k in keys if k not in odd or k in bound_a & bound_b]
+            if on:  # parts that bind nothing in common share no bound variable
+                left = left.join(right.select(*on).distinct(), on, "left_anti").select(*a.columns)
+        rest.append(left)
+    return reduce(lambda x, y: x.union(y), rest)
 
 
 def exists(a: DataFrame, b: DataFrame, negate: bool = False, condition: Column | None = None) -> DataFrame:
@@ -115,16 +142,22 @@ def sequence(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(middle, "y").select("x", F.col("_end").alias("y"))
 
 
-def one_or_more(pairs: DataFrame) -> DataFrame:
-    """Path ``a+``: distinct pairs, by doubling: paths found so far are joined with themselves until none is new, so rounds grow with the logarithm of the longest path."""
-    reached = cut(pairs.select("x", "y").distinct())
-    n = reached.count()
-    while True:
-        more = cut(reached.union(sequence(reached, reached)).distinct())
-        m = more.count()
-        if m == n:
-            return more
-        reached, n = more, m
+def one_or_more(pairs: DataFrame, from_: DataFrame | None = None, to: DataFrame | None = None) -> DataFrame:
+    """Path ``a+``: distinct pairs, semi-naive: only pairs that the last round found are led one step on.
+
+    ``from_`` or ``to`` (first column) hold the nodes that one end may be; the walk then starts
+    from them, and never makes the pairs of other ends.
+    """
+    if to is not None and from_ is None:
+        back = one_or_more(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")), from_=to)
+        return back.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    steps = cut(pairs.select("x", "y").distinct())
+    front = steps if from_ is None else cut(steps.join(from_.select(F.col(from_.columns[0]).alias("x")).distinct(), "x", "left_semi").select("x", "y"))
+    reached = front
+    while not front.isEmpty():
+        front = cut(sequence(front, steps).distinct().join(reached, ["x", "y"], "left_anti"))
+        reached = cut(reached.union(front))
+    return reached if to is None else reached.join(to.select(F.col(to.columns[0]).alias("y")).distinct(), "y", "left_semi").select("x", "y")
 
 
 def zero_or_more(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,6 +218,21 @@ def mean(value: Column) -> Column:
     return F.coalesce(F.avg(value), F.lit(0.0))
 
 
+def sample(value: Column) -> Column:
+    """SAMPLE: any value; here the least, so that it is the same in every run."""
+    return F.min(value)
+
+
+def total_distinct(value: Column) -> Column:
+    """SUM(DISTINCT)."""
+    return F.coalesce(F.sum_distinct(value), F.lit(0.0))
+
+
+def mean_distinct(value: Column) -> Column:
+    """AVG(DISTINCT)."""
+    return F.coalesce(F.try_divide(F.sum_distinct(value), F.count_distinct(value)), F.lit(0.0))
+
+
 def group_concat(value: Column, separator: str = " ", distinct: bool = False) -> Column:
     """GROUP_CONCAT, sorted, so that it is the same in every run."""
     gathered = F.collect_set(value) if distinct else F.collect_list(value)

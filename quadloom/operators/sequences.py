@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import rank_within
+
 # The complements of the IUPAC nucleotide codes.
 _CODES, _COMPLEMENTS = "atucgnrykmswbvdh", "taagcnyrmkswvbhd"
 
@@ -23,14 +26,88 @@ def clean(s: Column) -> Column:
     return F.upper(F.regexp_replace(s, r"\s+", ""))
 
 
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
+#: Bases of a text that are cut into k-mers at once.
+_SECTION = 1 << 20
+
+
+def _base_codes() -> np.ndarray:
+    """Two-bit codes of the bases by byte, 4 for what is ambiguous."""
+    table = np.full(256, 4, np.uint8)
+    for i, pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
+        for c in pair:
+            table[ord(c)] = i
+    return table
+
+
+def packed_kmers(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forward, reverse complement, whether no base is ambiguous) of every window of ``k`` (at most 32) base codes, as 2k-bit words."""
+    n = max(len(code) - k + 1, 0)
+    f, r = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(k):
+        c = code[j : j + n].astype(np.uint64) & np.uint64(3)
+        f = f << np.uint64(2) | c
+        r |= (np.uint64(3) - c) << np.uint64(2 * j)
+    bad = np.concatenate([[0], np.cumsum(code > 3)])
+    return f, r, bad[k : k + n] == bad[:n]
+
+
+def _spelled(words: np.ndarray, k: int) -> pa.Array:
+    """Packed k-mers as text."""
+    letters = np.stack([_LETTERS[(words >> np.uint64(2 * (k - 1 - j)) & np.uint64(3)).astype(np.int64)] for j in range(k)], 1)
+    offsets = np.arange(0, k * (len(words) + 1), k, dtype=np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
 def kmers(df: DataFrame, seq: str, key: str, k: int = 8) -> DataFrame:
-    """(key, kmer, position, strand): the canonical k-mer of each window without an ambiguous base; U counts as T; positions from 0."""
-    text = F.translate(clean(F.col(seq)), "U", "T")
-    at = F.explode(F.sequence(F.lit(0), F.length("_t") - k))
-    rows = df.select(F.col(key), text.alias("_t")).where(F.length("_t") >= k).select(key, "_t", at.alias("position"))
-    rows = rows.select(key, F.col("_t").substr(F.col("position") + 1, F.lit(k)).alias("f"), "position").where(F.col("f").rlike(f"^[ACGT]{{{k}}}$"))
-    back = F.upper(reverse_complement(F.col("f")))
-    return rows.select(key, F.least("f", back).alias("kmer"), "position", F.when(F.col("f") <= back, "+").otherwise("-").alias("strand"))
+    """(key, kmer, position, strand): the canonical k-mer of each window without an ambiguous base; U counts as T; positions from 0; k at most 32."""
+    if not 0 < k <= 32:
+        raise ValueError("k must be 1 to 32")
+    kind = df.schema[key].dataType
+
+    def cut_up(batches):
+        table = _base_codes()
+        for batch in batches:
+            for i, t in enumerate(batch.column("_t").to_pylist()):
+                code = table[np.frombuffer("".join((t or "").split()).encode("ascii", "replace"), np.uint8)]
+                for at in range(0, max(len(code) - k + 1, 0), _SECTION):
+                    f, r, fine = packed_kmers(code[at : at + _SECTION + k - 1], k)
+                    where = np.flatnonzero(fine)
+                    f, r = f[where], r[where]
+                    strand = pa.array(f <= r).cast(pa.int8()).take(pa.array(np.arange(len(f))))
+                    keys = batch.column(key).take(pa.array(np.full(len(f), i, np.int64)))
+                    yield pa.RecordBatch.from_arrays([keys, _spelled(np.minimum(f, r), k), pa.array((where + at).astype(np.int32)), strand], names=[key, "kmer", "position", "plus"])
+
+    rows = df.select(F.col(key), F.col(seq).cast("string").alias("_t")).mapInArrow(cut_up, f"`{key}` {kind.simpleString()}, kmer string, position int, plus tinyint")
+    return rows.select(key, "kmer", "position", F.when(F.col("plus") == 1, "+").otherwise("-").alias("strand"))
+
+
+def kmer_counts(df: DataFrame, seq: str, k: int = 8) -> DataFrame:
+    """(kmer, n, plus): how often each canonical k-mer occurs, and how often forward. A batch sends on a row a k-mer it holds."""
+
+    def count(batches):
+        table = _base_codes()
+        for batch in batches:
+            found = []
+            for t in batch.column("_t").to_pylist():
+                code = table[np.frombuffer("".join((t or "").split()).encode("ascii", "replace"), np.uint8)]
+                f, r, fine = packed_kmers(code, k)
+                f, r = f[fine], r[fine]
+                found.append(np.stack([np.minimum(f, r), (f <= r).astype(np.uint64)], 1))
+                if sum(map(len, found)) > 4 * _SECTION:
+                    yield total(found)
+                    found = []
+            if found:
+                yield total(found)
+
+    def total(found):
+        both = np.concatenate(found)
+        words, at = np.unique(both[:, 0], return_inverse=True)
+        n, plus = np.bincount(at, minlength=len(words)), np.bincount(at, weights=both[:, 1].astype(float), minlength=len(words)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([_spelled(words, k), pa.array(n.astype(np.int64)), pa.array(plus)], names=["kmer", "n", "plus"])
+
+    rows = df.select(F.col(seq).cast("string").alias("_t")).mapInArrow(count, "kmer string, n long, plus long")
+    return rows.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("plus").alias("plus"))
 
 
 def _append(length: int):
@@ -76,29 +153,19 @@ def sketch(seq: Column, k: int = SKETCH_K, slots: int = BANDS * ROWS) -> Column:
 
     @F.pandas_udf("array<long>")
     def signature(texts: pd.Series) -> pd.Series:
-        table = np.full(256, 4, np.uint8)
-        for i, pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
-            for c in pair:
-                table[ord(c)] = i
-        out = []
+        table, steps, out = _base_codes(), np.arange(slots, dtype=np.uint64), []
         for t in texts:
-            code = table[np.frombuffer("".join((t or "").split()).encode(), np.uint8)]
-            n = len(code) - k + 1
-            if n < 1:
-                out.append(None)
-                continue
-            f, r = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            for j in range(k):
-                c = code[j : j + n].astype(np.uint64)
-                f = f << np.uint64(2) | c & np.uint64(3)
-                r = r | (np.uint64(3) - (c & np.uint64(3))) << np.uint64(2 * j)
-            fine = np.convolve(code == 4, np.ones(k, int))[k - 1 : k - 1 + n] == 0
+            code = table[np.frombuffer("".join((t or "").split()).encode("ascii", "replace"), np.uint8)]
+            f, r, fine = packed_kmers(code, k)
             km = np.unique(np.minimum(f, r)[fine])
             if not len(km):
                 out.append(None)
                 continue
             a, b = _splitmix(km), _splitmix(km ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-            out.append([int((a + np.uint64(i) * b).min().astype(np.int64)) for i in range(slots)])
+            least = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(km), 4096):
+                np.minimum(least, (a[at : at + 4096, None] + steps * b[at : at + 4096, None]).min(axis=0), out=least)
+            out.append(least.view(np.int64).tolist())
         return pd.Series(out, dtype=object)
 
     return signature(seq)
@@ -110,12 +177,76 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def bands(df: DataFrame, sig: str, key: str) -> DataFrame:
-    """(key, band): a hash of each run of ``ROWS`` slots with the band's number."""
-    parts = [F.xxhash64(F.lit(i), *[F.col(sig)[i * ROWS + j] for j in range(ROWS)]) for i in range(BANDS)]
-    return df.where(F.col(sig).isNotNull()).select(key, F.explode(F.array(*parts)).alias("band"))
+    """(key, band): a fold of each run of ``ROWS`` slots, seeded by the band's number."""
+
+    @F.pandas_udf("array<long>")
+    def fold(signatures: pd.Series) -> pd.Series:
+        if not len(signatures):
+            return pd.Series([], dtype=object)
+        slots = np.stack(signatures.to_list()).astype(np.int64).view(np.uint64).reshape(len(signatures), BANDS, ROWS)
+        acc = np.broadcast_to(_splitmix(np.arange(BANDS, dtype=np.uint64) ^ np.uint64(0x243F6A8885A308D3)), (len(signatures), BANDS))  # a fixed seed
+        for j in range(ROWS):
+            acc = _splitmix(acc ^ slots[:, :, j])
+        return pd.Series(acc.view(np.int64).tolist())
+
+    return df.where(F.col(sig).isNotNull()).select(key, F.explode(fold(F.col(sig))).alias("band"))
 
 
 def lsh_candidates(banded: DataFrame, query: DataFrame, key: str) -> DataFrame:
     """(query, key): others that share a band with a query (a table of bands of few keys)."""
     q = query.select(F.col(key).alias("query"), "band")
     return q.join(banded, "band").where(F.col("query") != F.col(key)).select("query", key).distinct()
+
+
+def batch_hits(df: DataFrame, seq: str, key: str, patterns: dict[str, str], forward_only: bool = False) -> DataFrame:
+    """(pattern, key, start, end, strand): the hits of several patterns by name; the texts are cleaned once, and each pattern is a literal search."""
+    rows = df.select(F.col(key), clean(F.col(seq)).alias(seq))
+    found = [substring_hits(rows, seq, key, p, forward_only).select(F.lit(n).alias("pattern"), key, "start", "end", "strand") for n, p in patterns.items() if "".join(p.split())]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def align_candidates(index: DataFrame, queries: DataFrame, all_keys: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """(query, key): sequences that share a canonical k-mer with a query (query, q); a query too short for one gets every sequence.
+
+    ``index`` is (key, kmer) of the stored sequences; both sides are made distinct first, and the
+    join by k-mer is followed by a distinct, so a common k-mer costs its postings once a query.
+    """
+    own = kmers(queries, "q", "query", k).select("query", "kmer").distinct()
+    hit = own.join(index.select(key, "kmer").distinct(), "kmer").select("query", key).distinct()
+    short = queries.where(F.length(clean(F.coalesce("q", F.lit("")))) < k).select("query")
+    return hit.union(short.join(all_keys.select(key)).select("query", key))
+
+
+def exact_matches(hits: DataFrame, ranks: DataFrame, key: str, allowed: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """(key, identity, rank): each sequence with a hit once, at identity 1, by rank, then key; ``ranks`` is (key, rank), 1 where it has none; ``allowed`` holds the keys that may be seen."""
+    rows = hits.select(key).distinct().withColumn("identity", F.lit(1.0))
+    return _by_rank(rows, ranks, key, allowed, most)
+
+
+def _by_rank(rows: DataFrame, ranks: DataFrame, key: str, allowed: DataFrame | None, most: int) -> DataFrame:
+    if allowed is not None:
+        rows = rows.join(allowed.select(key).distinct(), key, "left_semi")
+    rows = rows.join(ranks.select(key, "rank"), key, "left").withColumn("rank", F.coalesce("rank", F.lit(1.0)))
+    return rows.orderBy(F.desc(F.col("rank") * F.col("identity")), F.asc(key)).limit(most)
+
+
+def similar(clusters: DataFrame, ranks: DataFrame, key: str, target, allowed: DataFrame | None = None) -> DataFrame:
+    """(key, rank): the other members of the cluster of ``target``, by rank, then key. ``clusters`` is (key, cluster)."""
+    own = clusters.where(F.col(key) == target).select("cluster").distinct()
+    mates = clusters.join(own, "cluster", "left_semi").where(F.col(key) != target).select(key)
+    if allowed is not None:
+        mates = mates.join(allowed.select(key).distinct(), key, "left_semi")
+    return mates.join(ranks.select(key, "rank"), key, "left").withColumn("rank", F.coalesce("rank", F.lit(1.0))).orderBy(F.desc("rank"), F.asc(key))
+
+
+def assign_clusters(new: DataFrame, clusters: DataFrame, alike: DataFrame, key: str) -> DataFrame:
+    """(key, cluster): clusters (longs) of new sequences (key): the least key among the indexed neighbours of ``alike`` (key, other) that passed alignment gives its cluster; the rest open clusters past the largest in use, in key order."""
+    top = clusters.agg(F.coalesce(F.max("cluster"), F.lit(-1)).alias("_top"))
+    near = alike.join(clusters.select(F.col(key).alias("other"), "cluster"), "other").groupBy(key).agg(F.min_by("cluster", "other").alias("cluster"))
+    known = new.select(key).distinct().join(near, key, "left")
+    alone = known.where("cluster is null").select(key)
+    numbered = rank_within(alone.withColumn("_all", F.lit(0)), ["_all"], [key], "_n").join(top).select(key, (F.col("_top") + 1 + F.col("_n")).alias("cluster"))
+    return known.where("cluster is not null").select(key, "cluster").union(numbered)

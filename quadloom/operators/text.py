@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +18,35 @@ def allowed_edits(token: str) -> int:
     return 0 if len(token) <= 2 else 1 if len(token) <= 5 else 2
 
 
+def _swaps(token: str) -> list[str]:
+    """The token with two neighbouring letters changed over, each way that makes another."""
+    return sorted({token[:i] + token[i + 1] + token[i] + token[i + 2 :] for i in range(len(token) - 1)} - {token})
+
+
 def _near(token: str, edits: int):
-    """True for tokens within so many edits; lengths are compared first."""
-    return lambda t: (F.abs(F.length(t) - len(token)) <= edits) & (F.levenshtein(t, F.lit(token), edits) >= 0)
+    """True for tokens within so many edits, a swap of neighbours being one; lengths are compared first."""
+
+    def close(t: Column) -> Column:
+        ok = F.levenshtein(t, F.lit(token), edits) >= 0
+        if edits == 1:
+            ok = ok | t.isin(_swaps(token))
+        for v in _swaps(token) if edits == 2 else []:
+            ok = ok | (F.levenshtein(t, F.lit(v), 1) >= 0)
+        for v in sorted({w for v in _swaps(token) for w in _swaps(v)}) if edits == 2 else []:
+            ok = ok | (t == v)
+        return (F.abs(F.length(t) - len(token)) <= edits) & ok
+
+    return close
+
+
+def query_tokens(query: str) -> list[str]:
+    """Distinct tokens of a query, as documents are cut."""
+    return list(dict.fromkeys(regex.findall(TOKEN, query.lower())))
 
 
 def text_scores(df: DataFrame, key: str, boosts: dict[str, float], query: str) -> DataFrame:
     """(key, text): each field that has a token close to a query token adds its boost, once per query token."""
-    import re
-
-    wanted = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+    wanted = query_tokens(query)
     score = F.lit(0.0)
     for field, boost in boosts.items():
         for w in wanted:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terms import RDF_TYPE
 from ..plans.lineage import cut
 
 
@@ -25,7 +28,7 @@ def neighborhood(quads: DataFrame, root: str, depth: int = 1, direction: str = "
         front = cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        seen = seen.union(front)
+        seen = cut(seen.union(front))
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 
@@ -37,10 +40,27 @@ def neighborhood_edges(quads: DataFrame, nodes: DataFrame, literals: bool = Fals
     return inner.union(from_.where(F.col("o").startswith('"'))) if literals else inner
 
 
-def closure(quads: DataFrame, seeds: DataFrame, prefix: str | None = None, without: list[str] | None = None) -> DataFrame:
-    """(node): what the seeds (first column) reach, only IRIs under ``prefix`` if given, never over the predicates of ``without``."""
+def decorated(nodes: DataFrame, quads: DataFrame, labels: list[str]) -> DataFrame:
+    """``nodes`` with ``class`` and ``label`` of IRI nodes: the least type and the least value of the first of ``labels`` there."""
+    known = quads.where(F.col("p").isin([RDF_TYPE, *labels])).groupBy(F.col("s").alias("node"))
+    of = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
+    cards = known.agg(of(RDF_TYPE).alias("class"), F.coalesce(*[of(p) for p in labels], F.lit(None).cast("string")).alias("label")).where(F.col("node").startswith("<"))
+    return nodes.join(cards, "node", "left")
+
+
+def collection_download(quads: DataFrame, collection: str, top_level: str, member: str) -> DataFrame:
+    """Triples of a collection and of all whose top level is one of its members: two joins in place of a walk."""
+    triples = quads.select("s", "p", "o").distinct()
+    held = triples.where((F.col("s") == collection) & (F.col("p") == member)).select(F.col("o").alias("t"))
+    below = triples.where(F.col("p") == top_level).join(held, F.col("o") == F.col("t"), "left_semi").select("s")
+    return triples.where(F.col("s") == collection).union(triples.join(below.where(F.col("s") != collection).distinct(), "s", "left_semi"))
+
+
+def closure(quads: DataFrame, seeds: DataFrame, prefix: str | None = None, without: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
+    """(node): what the seeds (first column) reach, only IRIs under ``prefix`` or one of ``prefixes`` if given, never over the predicates of ``without``."""
+    allowed = [prefix] if prefix else prefixes
     e = quads.where(~F.col("p").isin(without)) if without else quads
-    e = e.where(F.col("o").startswith("<" + prefix) if prefix else ~F.col("o").startswith('"')).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
+    e = e.where(reduce(lambda a, b: a | b, [F.col("o").startswith("<" + p) for p in allowed]) if allowed else ~F.col("o").startswith('"')).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
     e = cut(e)
     front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct())
     seen = front

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF_TYPE, is_iri
+from ..functions.terms import RDF_TYPE, is_iri, str_
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,19 @@ def members(quads: DataFrame, v: Vocabulary) -> DataFrame:
     return m.join(hit, ["g", "collection", "member"], "left").select("g", "collection", "member", F.col("_hit").isNull().alias("is_root"))
 
 
-def in_scope(objects: DataFrame, top_level: bool = False, type_: str | None = None, role: str | None = None) -> DataFrame:
-    """Objects by top level, type and role, each only if asked for."""
+def in_scope(objects: DataFrame, top_level: bool = False, type_: str | None = None, role: str | None = None, root_of: DataFrame | None = None, collection: str | None = None, root_only: bool = False) -> DataFrame:
+    """Objects by top level, type, role and membership, each only if asked for.
+
+    With ``root_of`` (the result of ``members``): members of ``collection``, all or root ones only;
+    without a collection, objects that no other object of a collection refers to as its member,
+    which are the roots of the corpus.
+    """
+    if root_of is not None and collection is not None:
+        m = root_of.where(F.col("collection") == collection)
+        m = m.where("is_root") if root_only else m
+        objects = objects.join(m.select("g", F.col("member").alias("s")).distinct(), ["g", "s"], "left_semi")
+    elif root_of is not None:
+        objects = objects.join(root_of.where("not is_root").select("g", F.col("member").alias("s")).distinct(), ["g", "s"], "left_anti")
     if top_level:
         objects = objects.where("top_level")
     if type_ is not None:
@@ -94,6 +105,117 @@ def substring_search(objects: DataFrame, needle: str, fields: tuple[str, ...] =
     return objects.where(any_hit).withColumn("first", hit(fields[0]))
 
 
+def object_row(objects: DataFrame, subject: str, required: list[str], optional: list[str]) -> DataFrame:
+    """Metadata of one subject: a row for each combination of values; none if a required field has no value, unbound cells for optional ones."""
+    rows = objects.where(F.col("s") == subject)
+    kinds = dict(rows.dtypes)
+    for c in required:
+        rows = rows.withColumn(c, F.explode(c)) if kinds[c].startswith("array") else rows.where(F.col(c).isNotNull())
+    for c in optional:
+        rows = rows.withColumn(c, F.explode_outer(c)) if kinds[c].startswith("array") else rows
+    return rows.select("s", *required, *optional).distinct()
+
+
+def refresh_graph(stored: DataFrame, quads: DataFrame, graph: str, v: Vocabulary) -> DataFrame:
+    """Stored object metadata with one graph's rows made anew from its quads; written ``partitionBy("g")`` with dynamic overwrite, only that partition changes."""
+    return stored.where(F.coalesce(F.col("g") != graph, F.lit(True))).unionByName(object_metadata(quads.where(F.col("g") == graph), v))
+
+
+def substring_count(objects: DataFrame, needle: str) -> DataFrame:
+    return substring_search(objects, needle).agg(F.countDistinct("s").alias("n"))
+
+
+def predicate_search(quads: DataFrame, predicate: str, needle: str) -> DataFrame:
+    """(s): subjects with a literal of one predicate that holds ``needle``, case left aside."""
+    hit = F.contains(F.lower(str_(F.col("o"))), F.lower(F.lit(needle)))
+    return quads.where((F.col("p") == predicate) & F.col("o").startswith('"') & hit).select("s").distinct()
+
+
+def containing_collections(quads: DataFrame, member: str, subject: str) -> DataFrame:
+    """(collection): what lists ``subject`` as a member."""
+    return quads.where((F.col("p") == member) & (F.col("o") == subject)).select(F.col("s").alias("collection")).distinct()
+
+
+def object_summary(quads: DataFrame, v: Vocabulary) -> DataFrame:
+    """(s, display_id, name, description, types, roles, data, hash): one aggregate per IRI subject; ``data`` is the JSON of its sorted values by predicate, ``hash`` the SHA-256 of its lines."""
+    of = lambda p: F.min(F.when(F.col("p") == p, str_(F.col("o"))))
+    many = lambda p: F.array_sort(F.collect_set(F.when(F.col("p") == p, F.col("o"))))
+    per = quads.where(is_iri(F.col("s"))).select("s", "p", "o").distinct()
+    values = per.groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    slices = values.groupBy("s").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "os"))))).alias("data"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", F.lit(" "), F.array_join("os", " ")))), "\n"), 256).alias("hash"))
+    heads = per.groupBy("s").agg(of(v.display_id).alias("display_id"), of(v.title).alias("name"), of(v.description).alias("description"), many(v.type).alias("types"), many(v.role).alias("roles"))
+    return heads.join(slices, "s")
+
+
+#: Kinds of typed rows: their class, single and many-valued columns by local names of predicates.
+PROJECTIONS = {
+    "component": ("Component", {"display_id": "displayId", "name": "name"}, {"types": "type", "roles": "role", "sequences": "hasSequence"}),
+    "sequence": ("Sequence", {"display_id": "displayId", "elements": "elements", "encoding": "encoding"}, {}),
+    "feature": (("SubComponent", "ComponentReference", "LocalSubComponent", "ExternallyDefined", "SequenceFeature"), {"display_id": "displayId", "orientation": "orientation", "instance_of": "instanceOf"}, {"roles": "role", "types": "type"}),
+    "location": (("Range", "Cut", "EntireSequence"), {"start": "start", "end": "end", "at": "at", "orientation": "orientation", "sequence": "hasSequence"}, {}),
+    "constraint": ("Constraint", {"subject": "subject", "object": "object", "restriction": "restriction"}, {}),
+    "interaction": ("Interaction", {"display_id": "displayId"}, {"types": "type"}),
+    "participation": ("Participation", {"participant": "participant"}, {"roles": "role"}),
+}
+
+
+def typed_projection(quads: DataFrame, kind: str, base: str, contains: str | None = None) -> DataFrame:
+    """The typed rows of a kind: (s, class, parent, its columns). ``base`` is the vocabulary's IRI, ``contains`` the predicate by which a parent holds the object."""
+    classes, single, many = PROJECTIONS[kind]
+    classes = [f"<{base}{c}>" for c in ([classes] if isinstance(classes, str) else classes)]
+    of_kind = quads.where((F.col("p") == RDF_TYPE) & F.col("o").isin(classes) & is_iri(F.col("s"))).groupBy("s").agg(F.min("o").alias("class"))
+    cells = pivot(quads, {n: f"<{base}{p}>" for n, p in single.items()}, {n: f"<{base}{p}>" for n, p in many.items()})
+    rows = of_kind.join(cells, "s", "left")
+    if contains is None:
+        return rows.withColumn("parent", F.lit(None).cast("string"))
+    parents = quads.where(F.col("p") == f"<{base}{contains}>").groupBy(F.col("o").alias("s")).agg(F.min("s").alias("parent"))
+    return rows.join(parents, "s", "left")
+
+
+def validate(quads: DataFrame, rules: dict[str, tuple[str, Column]], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, runs): ``rows`` (g, s, ...) checked by ``rules`` {name: (severity, condition that must hold)}. A graph's run is failed with any error, warning with any warning, else passed."""
+    parts = [F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(severity).alias("severity"))) for n, (severity, ok) in rules.items()]
+    findings = rows.select("g", "s", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("f")).select("g", "s", "f.rule", "f.severity")
+    worst = findings.groupBy("g").agg(F.max((F.col("severity") == "error").cast("int") * 2 + (F.col("severity") == "warning").cast("int")).alias("w"))
+    graphs = quads.select("g").distinct()
+    runs = graphs.join(worst, F.equal_null(graphs["g"], worst["g"]), "left").select(graphs["g"], F.when(F.col("w") >= 2, "failed").when(F.col("w") == 1, "warning").otherwise("passed").alias("status"))
+    return findings, runs
+
+
+def revisions(before: DataFrame, after: DataFrame, key: str = "s", hash_: str = "hash") -> DataFrame:
+    """(key, change, hash): what an append-only log of revisions gets when summaries change: created, updated or deleted."""
+    b, a = before.select(key, F.col(hash_).alias("_old")), after.select(key, F.col(hash_).alias("_new"))
+    both = b.join(a, key, "full")
+    change = F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNull(), "deleted").when(F.col("_old") != F.col("_new"), "updated")
+    return both.select(key, change.alias("change"), F.coalesce("_new", "_old").alias(hash_)).where("change is not null")
+
+
+def graph_overview(quads: DataFrame, top_level: str) -> DataFrame:
+    """(g, triples, subjects, predicates, top_levels, classes): the counts of a graph's page."""
+    top = (F.col("p") == top_level) & (F.col("o") == F.col("s"))
+    return quads.groupBy("g").agg(
+        F.count("*").alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"),
+        F.countDistinct(F.when(top, F.col("s"))).alias("top_levels"), F.countDistinct(F.when(F.col("p") == RDF_TYPE, F.col("o"))).alias("classes"),
+    )
+
+
+def schema_sample(quads: DataFrame, limit: int = 100) -> DataFrame:
+    """(kind, term, n): the classes and predicates used most, each kind up to ``limit``."""
+    classes = class_histogram(quads).select(F.lit("class").alias("kind"), F.col("class").alias("term"), "n").orderBy(F.desc("n"), "term").limit(limit)
+    predicates = quads.groupBy(F.col("p").alias("term")).agg(F.count("*").alias("n")).select(F.lit("predicate").alias("kind"), "term", "n").orderBy(F.desc("n"), "term").limit(limit)
+    return classes.union(predicates)
+
+
+def quads_page(quads: DataFrame, after: tuple[str | None, str, str, str] | None, n: int, graph: str | None = None) -> DataFrame:
+    """The next page of quads, of one graph or all, in the order (g, s, p, o), the default graph first; ``after`` is the last quad seen."""
+    rows = quads if graph is None else quads.where(F.col("g") == graph)
+    key = F.struct(F.coalesce("g", F.lit("")).alias("g"), "s", "p", "o")
+    if after is not None:
+        g, s, p, o = after
+        rows = rows.where(key > F.struct(F.lit(g or "").alias("g"), F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(o).alias("o")))
+    return rows.orderBy(F.coalesce("g", F.lit("")), "s", "p", "o").limit(max(1, min(n, 5000)))
+
+
 def uses(quads: DataFrame, target: str, top_level: str) -> DataFrame:
     """Subjects that refer to ``target`` in one or two steps, other than by the top-level predicate."""
     steps = quads.where((F.col("p") != top_level) & ~F.col("o").startswith('"')).select("s", "o").distinct()
