@@ -3,9 +3,10 @@
 Positions whose 200-byte string cannot occur elsewhere are left out first, exactly: every such
 string holds a gram of least hash, equal strings hold it at the same place, and grams that occur
 once are no one's. What may repeat is cut out as regions, whose suffixes are sorted: triples at
-two of three positions are named in order, the names' string is sorted by recursion, the rest
-follow from them, and counts of smaller suffixes merge the two. Neighbours in the order are then
-compared by their first 200 bytes.
+two of three positions are named in order, the names' string is sorted by recursion while names
+still tie, the rest follow from them, and counts of smaller suffixes merge the two. Neighbours in
+the order are then compared by their first 200 bytes; neighbours that run side by side through two
+regions are compared in one piece.
 """
 
 from __future__ import annotations
@@ -62,26 +63,28 @@ def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return join(grams, np.uint64), join(lows, np.int64), join(highs, np.int64)
 
 
-def _bytes_of(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, text): rows of one key and text are one document, named by a hash of both."""
+def _keyed(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of doc_id, h1, h2, text; distinct texts' h1, h2, doc, copies): a text is told by 128 bits and numbered; null texts are empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), t, F.octet_length(t)).alias("doc"), t.alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), F.octet_length(t), t).alias("h2"), t.alias("text"))
+    distinct = cut(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).withColumn("doc", F.monotonically_increasing_id()))
+    return rows, distinct
 
 
-def candidate_regions(docs: DataFrame, length: int) -> DataFrame:
-    """doc, low, high: runs of starts whose ``length``-byte strings may occur elsewhere."""
+def candidate_runs(rows: DataFrame, length: int) -> DataFrame:
+    """h1, h2, low, high: runs of starts whose ``length``-byte strings may occur elsewhere, copies of a text told once."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                for doc, t in zip(part.column("doc").to_pylist(), texts, strict=True):
+                for h1, h2, t in zip(part.column("h1").to_pylist(), part.column("h2").to_pylist(), texts, strict=True):
                     g, low, high = _anchors(np.frombuffer(t.encode(), np.uint8), length)
                     if len(g):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc)), pa.array(g.view(np.int64)), pa.array(low), pa.array(high)], names=["doc", "gram", "low", "high"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), h1)), pa.array(np.full(len(g), h2)), pa.array(g.view(np.int64)), pa.array(low), pa.array(high)], names=["h1", "h2", "gram", "low", "high"])
 
-    runs = docs.select("doc", "text").dropDuplicates(["doc"]).mapInArrow(find, "doc long, gram long, low long, high long")
+    runs = rows.select("h1", "h2", "text").mapInArrow(find, "h1 long, h2 long, gram long, low long, high long")
     common = cut(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    return runs.join(common, "gram").select("doc", "low", "high")
+    return runs.join(common, "gram").select("h1", "h2", "low", "high")
 
 
 def _prefix_counts(keyed: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
@@ -123,8 +126,7 @@ def suffix_ranks(chars: DataFrame, depth: int, length: int) -> DataFrame:
     triple = ["c", "c1", "c2"]
     names = _prefix_counts(sample.groupBy(*triple).agg(F.count("*").alias("n")), triple, ["n"]).withColumnRenamed("before_n", "name")
     named = cut(sample.join(names, triple).select("t", "k", "m", "name"))
-    total, distinct = named.count(), names.count()
-    if distinct < total and depth * 3 < length:
+    if depth * 3 < length and names.count() < named.count():  # names still tie, and more bytes count
         # The names at one place modulo 3 of a string are a string of the next level; its end matters as much as its names.
         inner = named.select((F.col("t") * 2 + F.col("m") - 1).alias("t"), F.floor(F.col("k") / 3).alias("k"), F.col("name").alias("c"))
         deeper = suffix_ranks(inner, depth * 3, length)
@@ -145,109 +147,152 @@ def suffix_ranks(chars: DataFrame, depth: int, length: int) -> DataFrame:
     return cut(first.union(second).union(third))
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, start: every place whose ``length`` bytes also start anywhere else."""
-    spark = docs.sparkSession
-    runs = candidate_regions(docs, length)
-    listed = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
-    regions = listed.join(docs.select("doc", "text").dropDuplicates(["doc"]), "doc")
+#: Starts of a region at most; a longer run is cut, each piece with the bytes that its last start needs.
+REGION = 1 << 17
+
+
+def _regions(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
+    """region, doc, low, live (starts that may repeat, as runs from low), bytes: stored, a row a region; one text stands for its copies."""
+    listed = candidate_runs(rows, length).groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("runs"))
+    texts = rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
+    found = listed.join(distinct, ["h1", "h2"]).join(texts, ["h1", "h2"]).select("doc", "runs", "text")
+    arrow = pa.schema([("doc", pa.int64()), ("low", pa.int64()), ("runs", pa.list_(pa.int64())), ("bytes", pa.binary())])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, found, text in zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                joined: list[list[int]] = []
-                for r in found:  # runs closer than a string share a region
-                    if joined and r["low"] <= joined[-1][1] + length:
-                        joined[-1][1] = r["high"]
-                    else:
-                        joined.append([r["low"], r["high"]])
-                window = _gram_hashes(data, length)
-                live = np.zeros(len(data), bool)
+                data = text.encode()
+                pieces: list[list[list[int]]] = []
                 for r in found:
-                    live[r["low"] : r["high"] + 1] = True
-                for low, high in joined:
-                    end = high + length
-                    n = end - low
-                    padded = np.concatenate([data[low:end], np.zeros(PACK, np.uint8)]).astype(np.uint64)
-                    c = np.zeros(n, np.uint64)
-                    for b in range(PACK):
-                        c = c << np.uint64(8) | padded[b : b + n]
-                    at = np.arange(low, end)
-                    seen = np.where(at < len(window), window[np.minimum(at, len(window) - 1)].view(np.int64), 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, doc)), pa.array(np.full(n, low)), pa.array(at), pa.array((c ^ np.uint64(1 << 63)).view(np.int64)), pa.array(seen), pa.array(live[low:end] & (at < len(window)))],
-                        names=["doc", "low", "start", "c", "prefix", "live"],
-                    )
-
-    laid = cut(regions.select("doc", "runs", "text").mapInArrow(lay, "doc long, low long, start long, c long, prefix long, live boolean"))
-    # A region's positions with the same remainder by PACK are a string of PACK-byte characters. Its number leaves room for doubling at each level.
-    region = F.pmod(F.xxhash64("doc", "low"), F.lit(1 << 52))
-    place = laid.withColumn("t", region * PACK + (F.col("start") - F.col("low")) % PACK).withColumn("k", F.floor((F.col("start") - F.col("low")) / PACK))
-    ranks = suffix_ranks(place.select("t", "k", "c"), PACK, length)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = place.where("live").join(ranks, ["t", "k"]).select("rank", "prefix", "doc", "start").repartitionByRange(parts, "rank", "doc", "start").sortWithinPartitions("rank", "doc", "start")
-    ordered = cut(live.withColumn("part", F.spark_partition_id()))
-    edge = lambda f: f(F.struct("rank", "doc", "start", "prefix"))["prefix"]
-    ends = ordered.groupBy("part").agg(edge(F.min).alias("first"), edge(F.max).alias("last")).orderBy("part").collect()  # a row a partition
-    before = {b["part"]: a["last"] for a, b in zip(ends, ends[1:], strict=False)}
-    after = {a["part"]: b["first"] for a, b in zip(ends, ends[1:], strict=False)}
+                    low, high = r["low"], r["high"]
+                    while low <= high:
+                        if pieces and low <= pieces[-1][-1][1] + length and low - pieces[-1][0][0] < REGION:  # runs closer than a string share a region
+                            stop = min(high, pieces[-1][0][0] + REGION - 1)
+                            pieces[-1].append([low, stop])
+                        else:
+                            stop = min(high, low + REGION - 1)
+                            pieces.append([[low, stop]])
+                        low = stop + 1
+                out = [(doc, p[0][0], [x - p[0][0] for run in p for x in run], data[p[0][0] : p[-1][1] + length]) for p in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row repeats if the next or the last one has its prefix. A row is held back until its next is known."""
-        last, held, part = None, None, None
+    return cut(found.mapInArrow(lay, "doc long, low long, runs array<long>, bytes binary").withColumn("region", F.monotonically_increasing_id()))
+
+
+def _characters(regions: DataFrame) -> DataFrame:
+    """t, k, c: a region's positions of one remainder by PACK are a string of PACK-byte characters, the end padded."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, data in zip(batch.column("region").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                n = len(data)
+                padded = np.frombuffer(data + bytes(PACK), np.uint8).astype(np.uint64)
+                c = np.zeros(n, np.uint64)
+                for i in range(PACK):
+                    c = c << np.uint64(8) | padded[i : i + n]
+                at = np.arange(n)
+                yield pa.RecordBatch.from_arrays([pa.array(region * PACK + at % PACK), pa.array(at // PACK), pa.array((c ^ np.uint64(1 << 63)).view(np.int64))], names=["t", "k", "c"])
+
+    return regions.select("region", "bytes").mapInArrow(spell, "t long, k long, c long")
+
+
+def _neighbours(regions: DataFrame, ranks: DataFrame) -> DataFrame:
+    """region, start, other, place: each live start (from its region's first byte) with the one before it in the order of suffixes."""
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, runs in zip(batch.column("region").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                at = np.concatenate([np.arange(a, b + 1) for a, b in zip(runs[::2], runs[1::2], strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(region * PACK + at % PACK), pa.array(at // PACK)], names=["t", "k"])
+
+    parts = int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = regions.select("region", "runs").mapInArrow(live, "t long, k long")
+    placed = ranks.join(wanted, ["t", "k"]).select("rank", F.floor(F.col("t") / PACK).alias("region"), (F.col("k") * PACK + F.pmod("t", F.lit(PACK))).alias("start"))
+    keys = ["rank", "region", "start"]
+    ordered = cut(placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+    last = {r["part"]: (r["m"]["region"], r["m"]["start"]) for r in ordered.groupBy("part").agg(F.max(F.struct(*keys)).alias("m")).collect()}  # a row a partition
+    before = {p: last[max(q for q in last if q < p)] for p in last if any(q < p for q in last)}
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column("part")[0].as_py()
-            prefix, doc, start = (np.array(batch.column(c)) for c in ("prefix", "doc", "start"))
-            last = before.get(part) if held is None else last
-            if held is not None:
-                prefix, doc, start = (np.concatenate([[h], x]) for h, x in zip(held, (prefix, doc, start), strict=True))
-            same = prefix[1:] == prefix[:-1]
-            hit = np.concatenate([[last is not None and prefix[0] == last], same])
-            hit[:-1] |= same
-            keep = np.flatnonzero(hit[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep], pa.int64()), pa.array(start[keep], pa.int64())], names=["doc", "start"])
-            last = prefix[-2] if len(prefix) > 1 else last
-            held = prefix[-1], doc[-1], start[-1]
-        if held is not None and held[0] in (last, after.get(part)):
-            yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64())], names=["doc", "start"])
-
-    return ordered.select("prefix", "doc", "start", "part").mapInArrow(compare, "doc long, start long")
+            held = held or before.get(batch.column("part")[0].as_py())
+            region, start = np.array(batch.column("region")), np.array(batch.column("start"))
+            first = held or (-1, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(start), pa.array(np.concatenate([[first[0]], region[:-1]])), pa.array(np.concatenate([[first[1]], start[:-1]]))], names=["region", "start", "other", "place"])
+            held = int(region[-1]), int(start[-1])
+
+    return ordered.select("region", "start", "part").mapInArrow(pair, "region long, start long, other long, place long").where("other >= 0")
+
+
+def repeated_starts(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, distinct, starts): as ``_keyed`` gives them, and doc, start, n: runs of n places whose ``length`` bytes also start anywhere else."""
+    rows, distinct = _keyed(df, text, key)
+    regions = _regions(rows, distinct, length)
+    pairs = _neighbours(regions, suffix_ranks(_characters(regions), PACK, length))
+    # Neighbours of consecutive starts that are consecutive themselves are one run.
+    along = Window.partitionBy("region").orderBy("start")
+    same = (F.lag("start").over(along) == F.col("start") - 1) & (F.lag("other").over(along) == F.col("other")) & (F.lag("place").over(along) == F.col("place") - 1)
+    runs = pairs.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(along))
+    runs = cut(runs.groupBy("region", "run").agg(F.min("start").alias("start"), F.count("*").alias("n"), F.min("other").alias("other"), F.min("place").alias("place")))
+    piece = lambda start: F.substring(F.col("bytes"), (F.col(start) + 1).cast("int"), (F.col("n") + length - 1).cast("int"))
+    one = runs.join(regions.select("region", "doc", "low", "bytes"), "region").select("other", "place", "start", "n", "doc", "low", piece("start").alias("a"))
+    two = regions.select(F.col("region").alias("other"), F.col("doc").alias("other_doc"), F.col("low").alias("other_low"), "bytes")
+    both = one.join(two, "other").select("doc", (F.col("low") + F.col("start")).alias("start"), "other_doc", (F.col("other_low") + F.col("place")).alias("place"), "a", piece("place").alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for doc, start, other, place, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "start", "other_doc", "place", "a", "b")), strict=True):
+                n = min(len(a), len(b))
+                odd = np.concatenate([[-1], np.flatnonzero(np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8)), [n]])
+                for i in np.flatnonzero(np.diff(odd) > length).tolist():  # between two differences lie ``length`` equal bytes or more
+                    at, many = int(odd[i]) + 1, int(odd[i + 1] - odd[i]) - length
+                    out += [(doc, start + at, many), (other, place + at, many)]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "start", "n"])
+
+    return rows, distinct, both.mapInArrow(compare, "doc long, start long, n long")
 
 
 def remove_repeated_strings(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of start, end in bytes), kept (the remaining bytes).
 
-    Bytes under a ``length``-byte string that also starts elsewhere, in this or another document,
-    overlapping or not, are removed; all is judged on the input. A null text is empty. Rows of one
-    key and text count as one document and get the same result. Empty table: no rows.
+    Bytes under a ``length``-byte string that also starts elsewhere, in this or another row,
+    overlapping or not, are removed; all is judged on the input. Of rows of one text, whatever
+    their keys, every string starts elsewhere. A null text is empty; null keys keep their rows.
+    Empty table: no rows.
     """
     if length < PACK:
         raise ValueError(f"length must be {PACK} or more")
-    docs = _bytes_of(df, text, key)
-    starts = repeated_starts(docs, length).groupBy("doc").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # no more than a document's bytes
-    joined = docs.join(starts, "doc", "left").select("doc_id", "text", "starts")
+    rows, distinct, starts = repeated_starts(df, length, text, key)
+    listed = starts.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))  # no more than a document's starts
+    marked = distinct.join(listed, "doc", "left").select("h1", "h2", "copies", "runs")
+    joined = rows.join(marked, ["h1", "h2"]).select("doc_id", "text", "copies", "runs")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, t, s in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            out = []
+            for k, t, copies, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copies", "runs")), strict=True):
                 data = t.encode()
-                at = np.array(s.values) if s.is_valid else np.zeros(0, np.int64)
-                fresh = np.flatnonzero(np.diff(at, prepend=-length - 1) > length) if len(at) else at
-                lows, highs = at[fresh], np.append(at[fresh[1:] - 1], at[-1:]) + length
-                spans = np.stack([lows, highs], 1).tolist()
+                found = [(0, len(data) - length + 1)] if copies > 1 and len(data) >= length else [(r["start"], r["n"]) for r in runs or []]
+                spans: list[list[int]] = []
+                for a, n in found:
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], a + n - 1 + length)
+                    else:
+                        spans.append([a, a + n - 1 + length])
                 kept, done = [], 0
                 for a, b in spans:
                     kept.append(data[done:a])
                     done = b
                 kept.append(data[done:])
                 left = b"".join(kept)
-                rows.append((k, len(data), len(data) - len(left), len(spans), spans, left))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(arrow)
+                out.append((k, len(data), len(data) - len(left), len(spans), spans, left))
+            columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")

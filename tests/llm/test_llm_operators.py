@@ -364,6 +364,26 @@ def test_suffixes_against_brute_force(spark, docs, texts):
             assert got[k].n_spans == (np.diff(covered.astype(int), prepend=0) == 1).sum() and got[k].n_removed == covered.sum()
 
 
+def test_suffixes_of_repeated_rows_and_long_regions(spark, monkeypatch):
+    """Rows of one key and text lose it; regions cut short and a hash without bits change nothing."""
+    monkeypatch.setattr(suffixes, "REGION", 300)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    one, two, tail = text(489), text(2500), text(700)
+    rows = [(1, one), (1, one), (2, two + tail), (3, text(90) + two), (4, tail), (5, text(800)), (6, "ab" * 600)]
+    got = suffixes.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    data = [t.encode() for _, t in rows]
+    count = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    want = []
+    for (k, _), b in zip(rows, data):
+        covered = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                covered[i : i + 200] = True
+        want.append((k, len(b), int(covered.sum()), int((np.diff(covered.astype(int), prepend=0) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~covered])))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+
+
 def test_id_coder_round_trips():
     rng = np.random.default_rng(0)
     for ids in ([], [0], [65_535] * 5000, [idcoder.MOST_IDS - 1] * 300, rng.integers(0, idcoder.MOST_IDS, 9000), rng.integers(0, 65_536, 9000), np.tile(rng.integers(0, 50_000, 300), 40), rng.zipf(1.3, 9000) % 50_257):
@@ -519,7 +539,8 @@ def test_odd_rows_pass_every_operator(odd, none, spark):
         assert len(groups) == 9 and not f(none).collect()
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd).collect()}
     assert {(5, 5), (6, 5), (2, 2), (3, 2)} <= got
-    assert len(suffixes.repeated_string_digest(odd.where("doc_id is null or doc_id <> 4")).collect()) == 8
+    removed = suffixes.repeated_string_digest(odd).collect()
+    assert len(removed) == 9 and next(r for r in removed if r.doc_id == 4).n_removed > 0
     assert not suffixes.repeated_string_digest(none).collect() and not substring.remove_repeats(none).collect()
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 1), (1, 0)], "doc_id long, quality int")
     assert importance.resample(odd, labels)[0].count() == 9
