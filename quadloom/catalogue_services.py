@@ -10,7 +10,8 @@ from .operators import access, components, discovery, ontology, patterns, sequen
 from .operators.views import Vocabulary
 from .plans.lineage import fresh_path
 from .sources import quads as qs
-from .sources import rdf, results
+from .sources import archives, rdf, results, store
+from .sources import sequence_files as files
 
 short = lambda c: F.regexp_extract(c, "org/(.*)>", 1)
 
@@ -579,6 +580,73 @@ def sequence_assign(spark, d):
     return plain.where("near").select(F.explode("ss").alias("s")).join(got, "s").union(plain.where("not near").select(F.explode(F.arrays_zip("ss", "cs")).alias("z")).select("z.ss", "z.cs"))
 
 
+@query(_DNA + "SELECT doc_id, (length(seq) - length(replace(seq, 'ACGA', ''))) // 4 AS plus, (length(seq) - length(replace(seq, 'TCGT', ''))) // 4 AS minus FROM s WHERE contains(seq, 'ACGA') OR contains(seq, 'TCGT')")
+def sequence_indexed_search(spark, d):
+    s, path = _dna(spark, d), fresh_path(spark, "kmers")
+    sequences.write_kmer_index(sequences.kmers(s, "seq", "doc_id", 4), path)
+    h = sequences.indexed_hits(spark.read.parquet(path), s, "seq", "doc_id", "acga", 4)
+    return h.groupBy("doc_id").agg(F.count_if(F.col("strand") == "+").alias("plus"), F.count_if(F.col("strand") == "-").alias("minus"))
+
+
+_GB = "SELECT n_nationkey AS n, 'nation ' || n_name AS definition, lower(repeat(substr('ACGTTGCAAC', 1, 3 + n_nationkey % 7), 30)) AS seq, 'gene' AS type, '1..' || (n_nationkey + 5) AS location, 'a \"b\" ' || n_name AS note FROM nation"
+
+
+@query(_GB)
+def genbank_round_trip(spark, d):
+    n = table(spark, d, "nation")
+    seq = F.repeat(F.substring(F.lit("ACGTTGCAAC"), F.lit(1), 3 + F.col("n_nationkey") % 7), F.lit(30))
+    features = F.array(F.struct(F.lit("gene").alias("type"), F.concat(F.lit("1.."), F.col("n_nationkey") + 5).alias("location"), F.create_map(F.lit("note"), F.concat(F.lit('a "b" '), "n_name")).alias("qualifiers")))
+    path = fresh_path(spark, "genbank")
+    n.select(archives.genbank_records(F.concat(F.lit("N"), "n_nationkey"), F.concat(F.lit("nation "), "n_name"), seq, features)).write.text(path)
+    g = files.read_genbank(spark, path).withColumn("f", F.element_at("features", 1))
+    return g.select(F.substring("id", 2, 9).cast("int").alias("n"), "definition", "seq", F.col("f.type").alias("type"), F.col("f.location").alias("location"), F.col("f.qualifiers")["note"].alias("note"))
+
+
+@query("SELECT r_regionkey AS r, 'n' || n_nationkey || '.txt' AS location, n_name AS content FROM nation JOIN region ON r_regionkey = n_regionkey")
+def omex_round_trip(spark, d):
+    """An archive a region, a file a nation."""
+    n = table(spark, d, "nation")
+    f = F.struct(F.concat(F.lit("n"), "n_nationkey", F.lit(".txt")).alias("location"), F.lit("text/plain").alias("format"), F.col("n_name").alias("content"))
+    a = n.groupBy(F.col("n_regionkey").alias("r")).agg(archives.omex(F.array_sort(F.collect_list(f))).alias("a"))
+    return a.select("r", F.explode(archives.omex_contents(F.col("a"))).alias("f")).select("r", "f.location", "f.content")
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","none":null}' AS value FROM nation""")
+def summary_json(spark, d):
+    return table(spark, d, "nation").withColumn("none", F.lit(None).cast("string")).select(archives.summary_json("n_nationkey", "n_name", "none").alias("value"))
+
+
+@query("SELECT c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY'")
+def store_patterns(spark, d):
+    """Quads in their stored layout, read pattern by pattern."""
+    path = fresh_path(spark, "store")
+    store.write_quads(quads(spark, d, "customer", "nation", columns=["c_name", "c_nationkey", "c_mktsegment", "n_name"]), path)
+    q = store.read_quads(spark, path)
+    s = patterns.bgp(q, ("?c", name("c_mktsegment"), '"MACHINERY"'), ("?c", name("c_name"), "?name"), ("?c", name("c_nationkey"), "?n"), ("?n", name("n_name"), "?nation"))
+    return s.select(text_of("name").alias("name"), text_of("nation").alias("nation"))
+
+
+@query("SELECT count(*) * 6 + (SELECT count(*) * 7 FROM orders) AS quads FROM customer")
+def store_ingest(spark, d):
+    """Customers and orders as quads, written in the stored layout and counted."""
+    path = fresh_path(spark, "store")
+    store.write_quads(quads(spark, d, "customer", "orders"), path)
+    return store.read_quads(spark, path).agg(F.count("*").alias("quads"))
+
+
+@query("SELECT 'parts' AS name, count(*) AS n FROM benchmark UNION ALL SELECT 'sketches', count(*) FROM benchmark UNION ALL SELECT 'clusters', count(*) FROM benchmark UNION ALL SELECT 'ranks', count(*) FROM benchmark")
+def index_rebuild(spark, d):
+    """All tables of the index from quads."""
+    q = quads(spark, d, "benchmark", columns=["text"])
+    path = fresh_path(spark, "index")
+    text_index.rebuild(q, {"name": name("text")}, x.RDF_TYPE, name("text"), q.select("s").distinct(), path)
+    out = None
+    for t in ("parts", "sketches", "clusters", "ranks"):
+        n = spark.read.parquet(f"{path}/{t}").agg(F.lit(t).alias("name"), F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
 # ---- vectors
 
 

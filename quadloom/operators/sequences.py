@@ -250,3 +250,27 @@ def assign_clusters(new: DataFrame, clusters: DataFrame, alike: DataFrame, key:
     alone = known.where("cluster is null").select(key)
     numbered = rank_within(alone.withColumn("_all", F.lit(0)), ["_all"], [key], "_n").join(top).select(key, (F.col("_top") + 1 + F.col("_n")).alias("cluster"))
     return known.where("cluster is not null").select(key, "cluster").union(numbered)
+
+
+def write_kmer_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
+    """Stores (key, kmer, position, strand) by a hash of the k-mer, sorted by it, so that a search reads one bucket a k-mer."""
+    rows = postings.withColumn("bucket", F.pmod(F.xxhash64("kmer"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "kmer").write.partitionBy("bucket").parquet(path)
+
+
+def indexed_hits(index: DataFrame, df: DataFrame, seq: str, key: str, pattern: str, k: int = 8, buckets: int = 64, forward_only: bool = False) -> DataFrame:
+    """The hits of ``substring_hits``, by a stored index: only texts that hold the first k-mer of the pattern or of its reverse complement are searched. No hits if neither is unambiguous."""
+    p = "".join(pattern.split()).upper()
+    back = p[::-1].translate(str.maketrans(_CODES.upper(), _COMPLEMENTS.upper()))
+    table = _base_codes()
+    seeds = []
+    for text in [p] + ([] if forward_only else [back]):
+        code = table[np.frombuffer(text[:k].encode(), np.uint8)]
+        if len(code) == k:
+            f, r, fine = packed_kmers(code, k)
+            if fine.all():
+                seeds.append(_spelled(np.minimum(f, r), k)[0].as_py())
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(x,) for x in sorted(set(seeds))], "kmer string").withColumn("bucket", F.pmod(F.xxhash64("kmer"), F.lit(buckets)).cast("int"))
+    near = index.join(F.broadcast(wanted), ["bucket", "kmer"], "left_semi").select(key).distinct()  # two k-mers at most
+    return substring_hits(df.join(near, key, "left_semi"), seq, key, pattern, forward_only)

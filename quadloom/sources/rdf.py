@@ -86,6 +86,8 @@ class _Turtle:
             return f"<{_resolve(self.base, _unescape(text[1:-1]))}>"
         if kind == "name":
             prefix, local = text.split(":", 1)
+            if prefix not in self.prefixes:
+                raise ValueError(f"the prefix {prefix!r} is not declared")
             return f"<{self.prefixes[prefix]}{re.sub(r'\\(.)', r'\1', local)}>"
         raise ValueError(f"no IRI: {text!r}")
 

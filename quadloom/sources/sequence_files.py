@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FEATURE = r"(?m)^ {5}(\S+) +(\S+)"
+_QUALIFIER = r'\n {10,}/(\w+)(?:="((?:[^"]|"")*)"|=([^\n]*))?'
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +45,15 @@ def gff3_lines(df: DataFrame) -> DataFrame:
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(id, accession, definition, organism, seq, features array of (type, location)): a row a record, sequences in lower case."""
+    """(id, accession, definition, organism, seq, features array of (type, location, qualifiers map)): a row a record, sequences in lower case. Locations that wrap are joined; of a qualifier told twice the first stays."""
     records = spark.read.option("lineSep", "\n//").text(path).select(F.regexp_replace("value", r"\r", "").alias("r")).where(F.contains("r", F.lit("LOCUS")))
     get = lambda pattern: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("r", pattern, 1), r"\s+", " ")), F.lit(""))
     section = F.regexp_extract("r", r"(?ms)^FEATURES[^\n]*\n(.*?)(?=^\S|\z)", 1)
-    features = F.transform(F.regexp_extract_all(section, F.lit(_FEATURE), 0), lambda x: F.struct(F.regexp_extract(x, _FEATURE, 1).alias("type"), F.regexp_extract(x, _FEATURE, 2).alias("location")))
+    chunks = F.filter(F.split(section, r"(?m)^(?= {5}\S)"), lambda x: F.trim(x) != "")
+    location = lambda x: F.regexp_replace(F.regexp_extract(x, r"(?s)^ {5}\S+\s+(.*?)(?=\n\s+/|\s*\z)", 1), r"\s+", "")
+    value = lambda q: F.regexp_replace(F.replace(F.concat(F.regexp_extract(q, _QUALIFIER, 2), F.regexp_extract(q, _QUALIFIER, 3)), F.lit('""'), F.lit('"')), r"\n\s+", " ")
+    pairs = lambda x: F.transform(F.regexp_extract_all(x, F.lit(_QUALIFIER), F.lit(0)), lambda q: F.struct(F.regexp_extract(q, _QUALIFIER, 1).alias("key"), value(q).alias("value")))
+    once = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, 1, i), lambda o: o["key"] == p["key"]))
+    features = F.transform(chunks, lambda x: F.struct(F.regexp_extract(x, r"^ {5}(\S+)", 1).alias("type"), location(x).alias("location"), F.map_from_entries(once(pairs(x))).alias("qualifiers")))
     seq = F.lower(F.regexp_replace(F.regexp_extract("r", r"(?ms)^ORIGIN[^\n]*\n(.*)\z", 1), r"[\s\d]+", ""))
     return records.select(get(r"(?m)^LOCUS +(\S+)").alias("id"), get(r"(?m)^ACCESSION +(\S+)").alias("accession"), get(r"(?ms)^DEFINITION +(.*?)(?=^\S|\z)").alias("definition"), get(r"(?m)^ +ORGANISM +([^\n]*)").alias("organism"), seq.alias("seq"), features.alias("features"))

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.updates import newly_inserted
 
 
+#: Parts of the stored set, by a hash of the subject; a micro-batch reads only those that it touches.
+BUCKETS = 256
+
+
 def upkeep(stream: DataFrame, table_path: str, checkpoint: str):
-    """Starts a stream that appends the quads of each micro-batch that ``table_path`` lacks; a batch run again adds nothing."""
+    """Starts a stream that adds to ``table_path`` the quads of each micro-batch that it lacks.
+
+    A micro-batch is compared with the buckets of its own subjects, as earlier batches left them,
+    and written as a partition of its own number, replacing what an interrupted run of the same
+    batch wrote; so a batch run again adds nothing, and nothing is read while it is written.
+    """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        keyed = batch.select("g", "s", "p", "o").withColumn("bucket", F.pmod(F.xxhash64("s"), F.lit(BUCKETS)).cast("int")).persist()
+        touched = [r[0] for r in keyed.select("bucket").distinct().collect()]  # at most BUCKETS
         try:
-            old = spark.read.parquet(table_path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            stored = spark.read.parquet(table_path)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            old = batch.limit(0)
-        newly_inserted(old, batch).write.mode("append").parquet(table_path)
+            stored = keyed.limit(0).withColumn("batch", F.lit(number))
+        old = stored.where(F.col("bucket").isin(touched) & (F.col("batch") < number)).select("g", "s", "p", "o")
+        new = newly_inserted(old, keyed).withColumn("bucket", F.pmod(F.xxhash64("s"), F.lit(BUCKETS)).cast("int"))
+        new.write.partitionBy("bucket").mode("overwrite").parquet(f"{table_path}/batch={number}")
+        keyed.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

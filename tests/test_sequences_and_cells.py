@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quadloom.operators import alignment, cells, sequences
+from quadloom.operators import alignment, cells, sequences, vectors
 from quadloom.sources import sequence_files as files
 
 SF = "/root/testdata/sf0.001"
@@ -90,11 +90,22 @@ def test_gff3_and_genbank(spark, tmp_path):
     a, b = sorted(files.read_gff3(spark, str(tmp_path / "a.gff")).collect(), key=lambda r: r.end, reverse=True)
     assert (a.source, a.score, a.phase, a.attributes) == (None, None, None, {"ID": "g1", "Note": "a;b"})
     assert (b.source, b.type, b.start, b.score, b.strand, b.phase, b.attributes) == ("x", "CDS", 5, 1.5, "-", 0, {})
-    record = "LOCUS       AB1 12 bp DNA\nDEFINITION  a thing\n            of two lines.\nACCESSION   AB1\nSOURCE      x\n  ORGANISM  E. coli\nFEATURES             Location/Qualifiers\n     gene            1..6\n                     /gene=\"a\"\n     CDS             complement(2..9)\nORIGIN\n        1 acgtac gtacgt\n//\n"
+    record = "LOCUS       AB1 12 bp DNA\nDEFINITION  a thing\n            of two lines.\nACCESSION   AB1\nSOURCE      x\n  ORGANISM  E. coli\nFEATURES             Location/Qualifiers\n     gene            1..6\n                     /gene=\"a\"\n     CDS             complement(join(2..4,\n                     6..9))\n                     /note=\"two\n                     lines\"\n                     /pseudo\nORIGIN\n        1 acgtac gtacgt\n//\n"
     (tmp_path / "a.gb").write_text(record + record.replace("AB1", "AB2"))
     x, y = sorted(files.read_genbank(spark, str(tmp_path / "a.gb")).collect())
     assert (x.id, x.accession, x.definition, x.organism, x.seq) == ("AB1", "AB1", "a thing of two lines.", "E. coli", "acgtacgtacgt")
-    assert [tuple(f) for f in y.features] == [("gene", "1..6"), ("CDS", "complement(2..9)")] and y.id == "AB2"
+    assert [tuple(f) for f in y.features] == [("gene", "1..6", {"gene": "a"}), ("CDS", "complement(join(2..4,6..9))", {"note": "two lines", "pseudo": ""})] and y.id == "AB2"
+
+
+def test_probes_reach_the_recall_on_a_larger_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    model = cells.fit_cells(e, "embedding", "vec_id", 256)
+    indexed = cells.index_cells(e, "embedding", model).cache()
+    probes = cells.calibrate_probes(indexed, model, "embedding", "vec_id", 10)
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    found = cells.search_cells(indexed, queries, model, "embedding", "vec_id", 10, probes).select("query", "vec_id")
+    true = vectors.nearest_each(e, "embedding", "vec_id", queries, "cosine", 10).select("query", "vec_id")
+    assert true.join(found, ["query", "vec_id"]).count() >= 0.9 * true.count() and probes < len(model.clusterCenters())
 
 
 def test_cell_index_recall(spark):
