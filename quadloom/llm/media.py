@@ -90,22 +90,47 @@ def write_stream(payload: bytes, unit: int = UNIT_BYTES) -> bytes:
 
 
 def _table(rows: np.ndarray, pids: np.ndarray, pid: int, table: int) -> bytes:
-    """The body of the first section of ``table`` on ``pid``, its checksum verified."""
-    found = np.flatnonzero((pids == pid) & (rows[:, 1] & 0x40 > 0))
-    if not len(found):
-        raise ValueError(f"no table on PID {pid}")
-    packet = rows[found[0]].tobytes()
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    at += 1 + packet[at]
-    size = 3 + (int.from_bytes(packet[at + 1 : at + 3], "big") & 0xFFF)
-    section = packet[at : at + size]
-    if len(section) < size or section[0] != table or crc32_mpeg(section):
-        raise ValueError(f"bad table on PID {pid}")
-    return section[8:-4]
-
-
-def parse_stream(media: bytes) -> dict:
-    """The payload of the first program's first stream with its units, packets and continuity errors; ``problem`` says why a stream can't be read."""
+    """The body of the first section of ``table`` on ``pid``, over as many packets as it spans, its checksum verified."""
+    held: bytes | None = None
+    for row in rows[pids == pid]:
+        packet = row.tobytes()
+        if not packet[3] & 0x10:
+            continue
+        at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
+        if packet[1] & 0x40:  # a section starts here, after the end of the last one
+            start = at + 1 + packet[at]
+            held = packet[start:] if held is None else held + packet[at + 1 : start]
+        elif held is not None:
+            held += packet[at:]
+        if held is None or len(held) < 3:
+            continue
+        size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+        if len(held) >= size:
+            if held[0] != table or crc32_mpeg(held[:size]):
+                raise ValueError(f"bad table on PID {pid}")
+            return held[8 : size - 4]
+    raise ValueError(f"no table on PID {pid}" if held is None else f"bad table on PID {pid}")
+
+
+def _programs(rows: np.ndarray, pids: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(program number, [(stream type, PID)])] of all programs."""
+    pat = _table(rows, pids, 0, PAT_ID)
+    found = []
+    for i in range(0, len(pat), 4):
+        number, pmt_pid = int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF
+        if not number:
+            continue
+        pmt = _table(rows, pids, pmt_pid, PMT_ID)
+        at, streams = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF), []
+        while at + 5 <= len(pmt):
+            streams.append((pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
+            at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
+        found.append((number, streams))
+    return found
+
+
+def parse_stream(media: bytes, program: int | None = None, stream: int = 0) -> dict:
+    """The payload of a stream, of the first program unless one is named, with its units, packets and continuity errors; ``problem`` says why it can't be read."""
     errors = None
     try:
         if not media or len(media) % PACKET:
@@ -114,16 +139,12 @@ def parse_stream(media: bytes) -> dict:
         if (rows[:, 0] != SYNC).any():
             raise ValueError("sync byte missing")
         pids = (rows[:, 1] & 0x1F).astype(np.int32) << 8 | rows[:, 2]
-        pat = _table(rows, pids, 0, PAT_ID)
-        programs = [(int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(pat), 4)]
-        pmt_pid = next((pid for number, pid in programs if number), None)
-        if pmt_pid is None:
+        streams = next((s for number, s in _programs(rows, pids) if program in (None, number)), None)
+        if streams is None:
             raise ValueError("no program")
-        pmt = _table(rows, pids, pmt_pid, PMT_ID)
-        at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
-        if at >= len(pmt):
+        if stream >= len(streams):
             raise ValueError("no stream in the program")
-        pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
+        pid = streams[stream][1]
         own = rows[pids == pid]
         own = own[own[:, 3] & 0x10 > 0]
         counters = (own[:, 3] & 15).astype(np.int16)

@@ -39,7 +39,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = shard_by_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    shards = shard_by_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), 16, keep=["doc_id"])
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

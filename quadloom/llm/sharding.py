@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 SAMPLE_ROWS = 16_384
 RANGES_PER_SHARD = 64
+#: Rows of a range, about, from where a table asks for more ranges than those; and sampled rows a range, at least.
+ROWS_PER_RANGE, SAMPLED_PER_RANGE = 2_000_000, 16
 
 
 def sampled_splitters(keys: DataFrame, ranges: int, sample_rows: int = SAMPLE_ROWS) -> list[tuple[int, int]]:
@@ -47,21 +51,23 @@ def range_of(k1: Column, k2: Column, splitters: list[tuple[int, int]]) -> Column
     return place(k1, k2)
 
 
-def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
     """Deals the rows into ``shards`` contiguous key ranges of nearly equal bytes: law ``bytes``.
 
     The key is (hash of the text, ``key``), so equal texts lie together and a large group of them
-    can still be cut. Sampled splitters make ``64 * shards`` ranges or fewer; their exact byte
+    can still be cut. Sampled splitters make about ``64 * shards`` ranges, or more on a table so
+    large that a range would hold over ``ROWS_PER_RANGE`` rows; their exact byte
     sums, one row a range, are added up, and a range that a shard's end falls into is subdivided
     at the row. Shard sizes differ by less than two of the largest rows.
 
     Adds size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (gapless from 0 in a shard) and
     grown_shard (null under this law). A null text has no bytes and checksum 0; null keys count as
     the smallest; rows alike in text and key are each placed. All other columns are kept, unless
-    they have an added column's name: then they are replaced. Empty table: no rows.
+    they have an added column's name: then they are replaced. ``keep`` names those to keep; without
+    the text among them, texts are read once and only keys and sizes stored. Empty table: no rows.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    keep = [c for c in df.columns if c not in added and c not in ("_k1", "_k2", "_r", "_n", "_b", "_first", "_bytes")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in added and c not in ("_k1", "_k2", "_r", "_n", "_b", "_first", "_bytes")]
     sized = df.select(
         *[F.col(f"`{c}`") for c in keep],
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"),
@@ -69,7 +75,10 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", key: str = "d
         F.xxhash64(F.col(text)).alias("_k1"),
         F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_k2"),
     )
-    splitters = sampled_splitters(sized.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "size"), shards * RANGES_PER_SHARD, sample_rows)
+    if text not in keep:
+        sized = cut(sized)
+    ranges = max(shards * RANGES_PER_SHARD, -(-sized.count() // ROWS_PER_RANGE))
+    splitters = sampled_splitters(sized.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "size"), ranges, max(sample_rows, SAMPLED_PER_RANGE * ranges if ranges > shards * RANGES_PER_SHARD else 0))
     ranged = sized.withColumn("_r", range_of(F.col("_k1"), F.col("_k2"), splitters))
     sums = {r["_r"]: (r["n"], r["b"]) for r in ranged.groupBy("_r").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     starts, rows, total = [], 0, 0

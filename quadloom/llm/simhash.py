@@ -170,14 +170,15 @@ START_ROWS_LOG2 = 5
 LEAD_BITS, LEAD_STARTS = 10, 20
 #: Chance aimed at that a pair at the threshold shares a start.
 RECALL = 0.99
-#: Standard errors added to the bits that are expected to differ.
-ERRORS = 4
+#: Standard errors added to the bits that are expected to differ: one pair at the threshold of a thousand is beyond.
+ERRORS = 3
 #: Members from which a group joined so far is large: its rows meet small groups' rows, and of other large groups one each.
 LARGE = 128
 #: Fingerprints whose keys are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _BITS_IN_ALL = WORDS * 64
 _W = [f"w{i}" for i in range(WORDS)]
+_PAIR = ["node", "other_node as other", "part", "other_part"]
 
 
 def rate(similarity: float) -> float:
@@ -291,7 +292,8 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
                 short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in found], pa.int64()), pa.array(short, pa.binary())], names=["node", "shingles"])
 
-    read = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(sets, "node long, shingles binary")
+    none = F.lit(-(2**63))  # stands for a null key, so that the join has one plain key; what it lets in besides is left out below
+    read = docs.join(ids, F.coalesce("doc_id", none) == F.coalesce("first", none), "left_semi").select("text").mapInArrow(sets, "node long, shingles binary")
     held = cut(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.select("node", "other").join(held.withColumnRenamed("shingles", "a"), "node").join(held.select(F.col("node").alias("other"), F.col("shingles").alias("b")), "other")
 
@@ -309,6 +311,14 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     return both.select("node", "other", "a", "b").mapInArrow(check, "src long, dst long")
 
 
+def _grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """node, part, large, the words: each fingerprint with its group so far, the least node; large if it has over ``LARGE`` members."""
+    joined = connected_components(links)
+    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), *_W)
+    large = parts.groupBy("part").count().where(F.col("count") > LARGE).select("part", F.lit(True).alias("large"))
+    return cut(parts.join(large, "part", "left").select("node", "part", F.coalesce("large", F.lit(False)).alias("large"), *_W))
+
+
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity`` or more of their sets of word shingles.
 
@@ -340,25 +350,25 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     led = cut(_near(made.join(leaders, "start").where("node <> other").select("node", "other").distinct(), distinct, most))
     links = cut(_verified(led, distinct, docs, size, similarity))
 
-    joined = connected_components(links)
-    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), *_W)
-    large = parts.groupBy("part").count().where(F.col("count") > LARGE).select("part", F.lit(True).alias("large"))
-    parts = cut(parts.join(large, "part", "left").select("node", "part", F.coalesce("large", F.lit(False)).alias("large"), *_W))
-    several = _starts(parts.where("not large"), bits, starts, 0).withColumn("large", F.lit(False)).union(_starts(parts.where("large"), bits, starts, 0).withColumn("large", F.lit(True)))
     renamed = lambda rows: rows.select("start", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "a", "b")])
-    met = several.join(renamed(_starts(parts.where("not large"), bits, starts, 0)), "start").where(F.col("large") | (F.col("node") < F.col("other_node")))
-    great = _starts(parts.where("large"), bits, starts, 0)
-    one = great.groupBy("start", "part").agg(F.min_by(F.struct("node", "a", "b"), F.xxhash64("node")).alias("s")).select("start", "s.node", "part", "s.a", "s.b")
-    met = met.drop("large").union(great.join(renamed(one), "start"))
-    met = met.where((F.col("part") != F.col("other_part")) & _chain_holds(bits, most))
-    pairs = met.select("node", F.col("other_node").alias("other"), "part", "other_part").distinct()
-    rest = cut(_near(pairs, distinct, most))
+    met = lambda rows, others: rows.join(renamed(others), "start").where((F.col("part") != F.col("other_part")) & _chain_holds(bits, most))
+    starts_of = lambda rows: _starts(rows, bits, starts, 0)
+
+    parts = _grouped(distinct, links)
+    few = starts_of(parts.where("not large"))
+    pairs = met(few, few).where("node < other_node").selectExpr(*_PAIR)
+    if not parts.where("large").isEmpty():
+        great = starts_of(parts.where("large"))
+        one = great.groupBy("start", "part").agg(F.min_by(F.struct("node", "a", "b"), F.xxhash64("node")).alias("s")).select("start", "s.node", "part", "s.a", "s.b")
+        pairs = pairs.union(met(great, few.union(one)).selectExpr(*_PAIR))
+    rest = cut(_near(cut(pairs.distinct()), distinct, most))
 
     between = [F.least("part", "other_part"), F.greatest("part", "other_part")]
     nearest = rest.groupBy(*between).agg(F.min_by(F.struct("node", "other"), F.struct("apart", "node", "other")).alias("s")).select("s.*")
     links = cut(links.union(_verified(nearest, distinct, docs, size, similarity)))
-    joined = connected_components(links)
+    joined = cut(connected_components(links))
     ends = rest.select("node", "other").join(joined, "node", "left").withColumnRenamed("component", "c").join(joined.withColumnRenamed("node", "other"), "other", "left")
     apart = cut(ends.where(F.coalesce("c", "node") != F.coalesce("component", "other")).select("node", "other"))
-    links = links.union(_verified(apart, distinct, docs, size, similarity))
-    return _labelled(fps.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")
+    if not apart.isEmpty():
+        joined = connected_components(links.union(_verified(apart, distinct, docs, size, similarity)))
+    return _labelled(fps.select("doc_id", "node"), "node", joined).select("doc_id", "component_id")

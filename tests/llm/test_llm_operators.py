@@ -252,14 +252,68 @@ def test_streams(docs, texts, odd, none, spark):
     for df, n in ((docs, len(texts)), (odd, 9), (none, 0)):
         rows = media.stream_digest(df).collect()
         assert len(rows) == n
-    r = next(r for r in media.stream_digest(docs).collect() if r.doc_id == 1)
-    raw = texts[1].encode()
-    padded = raw + bytes(-len(raw) % 64)
-    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    for df, rows in ((docs, texts), (odd.where("doc_id <> 5"), {r.doc_id: r.text for r in odd.where("doc_id <> 5").collect()})):
+        for r in media.stream_digest(df).collect():
+            raw = (rows[r.doc_id] or "").encode()
+            padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+            stored = media.write_stream(padded)
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+            assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     columns = media.with_parsed(media.with_streams(spark.createDataFrame([(b"abc",), (None,), (b"",)], "payload binary"), "payload")).collect()
     assert [bytes(c.parsed.payload) if c.parsed.payload is not None else None for c in columns] == [b"abc", None, b""]
 
 
+def test_a_foreign_stream():
+    """Two programs, a table over two packets behind a pointer, stuffing, a repeated packet, a lost one."""
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b << 24
+            for _ in range(8):
+                c = (c << 1 ^ 0x04C11DB7 if c >> 31 else c << 1) & 0xFFFFFFFF
+        return c.to_bytes(4, "big")
+
+    def section(table, number, body):
+        head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc1\0\0"
+        return head + body + crc(head + body)
+
+    def packet(pid, counter, payload, start=False, flags=0):
+        room = 184 - len(payload)
+        field = b"" if room == 0 else bytes([room - 1]) + (bytes([flags]) + b"\xff" * (room - 2) if room > 1 else b"")
+        return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if room else 0x10) | counter & 15]) + field + payload
+
+    def tables(pid, sections, pointer=0):
+        data = bytes([pointer]) + b"\xff" * pointer + sections
+        parts = [data[i : i + 184] for i in range(0, len(data), 184)]
+        return b"".join(packet(pid, i, p + b"\xff" * (184 - len(p)), i == 0) for i, p in enumerate(parts))
+
+    def pes(body):
+        return b"\0\0\1\xc0" + (len(body) + 3).to_bytes(2, "big") + b"\x80\0\0" + body
+
+    long = b"\x05\xc8" + bytes(200)  # a descriptor that makes the program table span two packets
+    one = section(2, 7, b"\xe1\x01\xf0\x00" + b"\x0f\xe1\x01" + (0xF000 | len(long)).to_bytes(2, "big") + long + b"\x06\xe1\x02\xf0\x00")
+    two = section(2, 9, b"\xe2\x01\xf0\x00\x0f\xe2\x01\xf0\x00")
+    pat = section(0, 1, b"\0\0\xe0\x10" + b"\0\x07\xe0\x20" + b"\0\x09\xe0\x30")
+    a = [packet(0x101, 5, pes(b"first")[:10], True, 0x40), packet(0x101, 6, pes(b"first")[10:]), packet(0x101, 7, pes(b"second"), True)]
+    stream = tables(0, pat, 3) + tables(0x20, one) + tables(0x30, two) + a[0] + packet(0x1FFF, 0, bytes(184)) + a[1] + a[1] + packet(0x102, 0, pes(b"other"), True) + a[2] + packet(0x201, 3, pes(b"far"), True)
+    got = media.parse_stream(stream)
+    assert (got["payload"], got["continuity_errors"], got["problem"]) == (b"firstsecond", 0, None) and [u["random_access"] for u in got["units"]] == [True, False]
+    assert media.parse_stream(stream, 7, 1)["payload"] == b"other" and media.parse_stream(stream, 9)["payload"] == b"far"
+    assert media.parse_stream(stream, 8)["problem"] and media.parse_stream(stream, 9, 3)["problem"]
+    assert media.parse_stream(stream.replace(a[1], b"", 2))["problem"]
+
+
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    x[700:] = x[:800] + 0.25 * rng.standard_normal((800, 16))
+    rows = spark.createDataFrame([(i, [float(v) for v in a], i, "x") for i, a in enumerate(x)], "vec_id long, embedding array<double>, node long, lead string")
+    whole = {r.vec_id: tuple(r) for r in embeddings.similar_vectors(rows).collect()}
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 90)
+    assert {r.vec_id: tuple(r) for r in embeddings.similar_vectors(rows).collect()} == whole and sum(r[1] for r in whole.values()) > 500
+
+
 def test_packing(docs, texts, odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
