@@ -284,6 +284,28 @@ def view_root_by_type_and_role(spark, d):
     return views.in_scope(views.object_metadata(_part_quads(spark, d), _V), type_=name("Part"), role='"Brand#3"', root_of=views.members(m.union(half), _V)).select(key("s").alias("p"))
 
 
+@query(
+    """SELECT p_partkey AS p, p_size AS version, 'brand/' || p_brand AS role FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, p_size, NULL FROM part WHERE p_size % 2 = 1"""
+)
+def view_field_prefixes(spark, d):
+    """Roles under one prefix only; an object with none has an unbound cell."""
+    df = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    s = qs.node("part", F.col("p_partkey"))
+    rows = lambda p, o: df.select(F.lit(name("g/part")).alias("g"), s.alias("s"), F.lit(name(p)).alias("p"), o.alias("o"))
+    brand = x.iri(F.concat(F.when(F.col("p_size") % 2 == 0, F.lit(qs.BASE + "brand/")).otherwise(F.lit(qs.BASE + "other/")), "p_brand"))
+    q = rows("role", brand).union(rows("role", F.lit(name("other/all")))).union(rows("version", x.literal(F.col("p_size"), x.XSD + "integer")))
+    o = views.object_metadata(q, Vocabulary(name("none"), name("none"), name("none"), name("role"), name("none"), name("self"), name("member"), version=name("version")))
+    listed = views.object_list(o, role_prefix=qs.BASE + "brand/").select("s", "role")
+    return listed.join(o.select("s", "version"), "s").select(key("s").alias("p"), num("version").cast("int").alias("version"), short("role").alias("role"))
+
+
+@query("SELECT p_partkey AS p FROM part WHERE p_brand = 'Brand#17' AND '<http://example.org/part/' || p_partkey || '>' > '<http://example.org/part/15>' ORDER BY '<http://example.org/part/' || p_partkey || '>' LIMIT 12")
+def object_list_filtered(spark, d):
+    """Class, role, graph and keyset together: a page after another."""
+    o = views.in_scope(views.object_metadata(_part_quads(spark, d), _V).where(F.col("g") == name("g/part")), type_=name("Part"), role='"Brand#17"')
+    return views.keyset_page(o, name("part/15"), 12).select(key("s").alias("p"))
+
+
 @query("SELECT p_name AS display_id, p_brand AS role FROM part WHERE p_partkey = 3")
 def view_object_metadata(spark, d):
     o = views.object_metadata(_part_quads(spark, d), _V)
@@ -444,6 +466,15 @@ def text_index_search(spark, d):
     return text_index.search(_index(spark, d), "smal WIDGET", type_=name("Part"), graphs=[name("g/part")], limit=40).select(key("s").alias("p"), F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH c AS (SELECT p_partkey p, p_brand b, m * ln(p_size + 1) AS base, 'http://example.org/part/' || p_partkey AS subject FROM (SELECT *, {_hits(['small'], _FIELDS)} AS m FROM part) WHERE m > 0 ORDER BY base DESC, subject LIMIT 30)
+    SELECT p, round((base / CASE WHEN row_number() OVER (PARTITION BY b ORDER BY base DESC, subject) > 1 THEN 2 ELSE 1 END)::DOUBLE, 6) AS score FROM c"""
+)
+def text_index_pool(spark, d):
+    """Only the best thirty candidates go into the ranking; those of one brand after the first count half."""
+    return text_index.search(_index(spark, d), "small", cluster="version", pool=30).select(key("s").alias("p"), F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT count(*) AS n FROM (SELECT {_hits(['rign'], _FIELDS)} AS m FROM part) WHERE m > 0")
 def text_index_count(spark, d):
     return text_index.count(_index(spark, d), "rign")

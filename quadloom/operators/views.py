@@ -22,16 +22,17 @@ class Vocabulary:
     top_level: str
     member: str
     type: str = RDF_TYPE
+    version: str = ""
 
 
 def object_metadata(quads: DataFrame, v: Vocabulary) -> DataFrame:
-    """(g, s, display_id, title, description, types, roles, creators, top_level): one aggregate per graph and subject; several values of a single-valued field give the least."""
+    """(g, s, display_id, title, description, version, types, roles, creators, top_level): one aggregate per graph and subject; several values of a single-valued field give the least."""
     of = lambda p: F.when(F.col("p") == p, F.col("o"))
     many = lambda p: F.array_sort(F.collect_set(of(p)))
-    wanted = [v.display_id, v.title, v.description, v.role, v.creator, v.top_level, v.type]
+    wanted = [v.display_id, v.title, v.description, v.role, v.creator, v.top_level, v.type, v.version]
     rows = quads.where(F.col("p").isin(wanted)).groupBy("g", "s")
     return rows.agg(
-        F.min(of(v.display_id)).alias("display_id"), F.min(of(v.title)).alias("title"), F.min(of(v.description)).alias("description"), many(v.type).alias("types"), many(v.role).alias("roles"),
+        F.min(of(v.display_id)).alias("display_id"), F.min(of(v.title)).alias("title"), F.min(of(v.description)).alias("description"), F.min(of(v.version)).alias("version"), many(v.type).alias("types"), many(v.role).alias("roles"),
         many(v.creator).alias("creators"), F.coalesce(F.bool_or((F.col("p") == v.top_level) & (F.col("o") == F.col("s"))), F.lit(False)).alias("top_level"),
     )
 

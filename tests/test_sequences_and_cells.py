@@ -122,3 +122,55 @@ def test_cell_index_recall(spark):
     unit = np.stack([v / np.linalg.norm(v) for v in table.values()])
     hit = [len(got[q] & set(keys[np.argsort(-(unit @ unit[list(keys).index(q)]), kind="stable")[:10]].tolist())) / 10 for q in got]
     assert len(got) == queries.count() and np.mean(hit) >= 0.9
+
+
+def test_sketch_by_hand(spark):
+    """Slots and bands of a short sequence, from plain integers."""
+    mask = 2**64 - 1
+
+    def mix(v):
+        v = v + 0x9E3779B97F4A7C15 & mask
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & mask
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & mask
+        return v ^ v >> 31
+
+    seq = "ACGTTGCAACGGTACCATTGNACGGATCCATTGACCA"
+    code = {"A": 0, "C": 1, "G": 2, "T": 3}
+    words = set()
+    for i in range(len(seq) - 13):
+        w = seq[i : i + 14]
+        if "N" not in w:
+            back = w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            words.add(min(sum(code[c] << 2 * (13 - j) for j, c in enumerate(v)) for v in (w, back)))
+    slots = [min((mix(w) + i * (mix(w ^ 0xA5A5A5A5A5A5A5A5) | 1)) & mask for w in words) for i in range(32)]
+    bands = []
+    for b in range(8):
+        acc = mix(b ^ 0x243F6A8885A308D3)
+        for v in slots[4 * b : 4 * b + 4]:
+            acc = mix(acc ^ v)
+        bands.append(acc)
+    df = spark.createDataFrame([("a", seq), ("b", "ACG"), ("c", None)], "k string, s string").withColumn("sig", sequences.sketch(F.col("s")))
+    got = {r.k: r.sig for r in df.collect()}
+    assert [v & mask for v in got["a"]] == slots and got["b"] is None and got["c"] is None
+    assert [r.band & mask for r in sequences.bands(df, "sig", "k").collect()] == bands
+    other = df.where("k = 'a'").withColumn("k", F.lit("d"))
+    assert {(r["query"], r.k) for r in sequences.lsh_candidates(sequences.bands(df.union(other), "sig", "k"), sequences.bands(other, "sig", "k"), "k").collect()} == {("d", "a")}
+
+
+def test_hashing_embedding_by_hand(spark):
+    import re
+
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    text = "Steel widget, été 12"
+    want = np.zeros(256)
+    for token in re.findall(r"\w+", text.lower()):
+        for part, weight in [(token, 1.0), *((token[i : i + 3], 0.35) for i in range(len(token) - 2))]:
+            h = fnv(part.encode())
+            want[h % 256] += -weight if h >> 63 else weight
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(vectors.hashing_embedding(F.col("t")).alias("e")).collect()
+    assert np.allclose(rows[0].e, want / np.linalg.norm(want)) and not any(rows[1].e) and not any(rows[2].e)
