@@ -163,7 +163,9 @@ def _labelled(rows: DataFrame, node: str, components: DataFrame) -> DataFrame:
 # Wide fingerprints: similar, not only nearly equal, sets of shingles.
 
 #: 64-bit words of a wide fingerprint, and bits of a segment of its ring.
-WORDS, SEGMENT_BITS = 4, 2
+WORDS, SEGMENT_BITS = 8, 2
+#: Words of the chain that follows a start.
+CHAIN = 4
 #: Fingerprints that a start should hold on average, as a power of two; the bits of a start follow from it and their number.
 START_ROWS_LOG2 = 5
 #: Bits that a start of the first pass, in which all meet one leader, has more; and its starts.
@@ -178,6 +180,7 @@ LARGE = 128
 BROADCAST_IDS = 2_000_000
 _BITS_IN_ALL = WORDS * 64
 _W = [f"w{i}" for i in range(WORDS)]
+_C = [f"c{i}" for i in range(CHAIN)]
 _PAIR = ["node", "other_node as other", "part", "other_part"]
 
 
@@ -240,7 +243,7 @@ def wide_fingerprints(df: DataFrame, size: int = 5, text: str = "text", key: str
 
 
 def _starts(nodes: DataFrame, bits: int, starts: int, first_ring: int) -> DataFrame:
-    """start, node, part, a, b: a row a start, by ``bits`` consecutive bits of a ring, with the 128 bits that follow on the ring."""
+    """start, node, part, c0, c1, ...: a row a start, by ``bits`` consecutive bits of a ring, with the ``CHAIN`` words that follow on the ring."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = _BITS_IN_ALL // bits
@@ -254,20 +257,24 @@ def _starts(nodes: DataFrame, bits: int, starts: int, first_ring: int) -> DataFr
                 for i in range(min(each, starts - r * each)):
                     at = i * bits
                     start = flat[:, at : at + bits] @ powers | np.int64(r * each + i) << np.int64(bits)
-                    chain = np.ascontiguousarray(np.packbits(flat[:, at + bits : at + bits + 128], axis=1, bitorder="little")).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(start), batch.column("node"), batch.column("part"), pa.array(chain[:, 0].copy()), pa.array(chain[:, 1].copy())], names=["start", "node", "part", "a", "b"])
+                    chain = np.ascontiguousarray(np.packbits(flat[:, at + bits : at + bits + CHAIN * 64], axis=1, bitorder="little")).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(start), batch.column("node"), batch.column("part"), *[pa.array(chain[:, j].copy()) for j in range(CHAIN)]], names=["start", "node", "part", *_C])
 
-    return nodes.select("node", "part", *_W).mapInArrow(cut_out, "start long, node long, part long, a long, b long")
+    return nodes.select("node", "part", *_W).mapInArrow(cut_out, "start long, node long, part long, " + ", ".join(f"{c} long" for c in _C))
 
 
 def _chain_holds(bits: int, most: int) -> Column:
-    """Whether the chain of segments after a shared start of ``bits`` bits stays within its proportional share of ``most`` at 16, 32, 64, 96 and 128 bits."""
-    a, b = F.col("a").bitwiseXOR(F.col("other_a")), F.col("b").bitwiseXOR(F.col("other_b"))
+    """Whether the chain of segments after a shared start of ``bits`` bits stays within its proportional share of ``most`` at 16, 32 and 64 bits and after each further word."""
+    odd = [F.col(c).bitwiseXOR(F.col(f"other_{c}")) for c in _C]
     low = lambda w, n: F.bit_count(w.bitwiseAND(F.lit((1 << n) - 1)))
-    upto = {16: low(a, 16), 32: low(a, 32), 64: F.bit_count(a), 96: F.bit_count(a) + low(b, 32), 128: F.bit_count(a) + F.bit_count(b)}
+    upto = {16: low(odd[0], 16), 32: low(odd[0], 32)}
+    count = F.lit(0)
+    for i, w in enumerate(odd):
+        count = count + F.bit_count(w)
+        upto[64 * (i + 1)] = count
     ok = F.lit(True)
-    for n, count in upto.items():
-        ok = ok & (count <= F.lit((bits + n) * most // _BITS_IN_ALL))
+    for n, differ in upto.items():
+        ok = ok & (differ <= F.lit((bits + n) * most // _BITS_IN_ALL))
     return ok
 
 
@@ -280,7 +287,7 @@ def _near(pairs: DataFrame, words: DataFrame, most: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """(src, dst): the ``pairs`` (node, other) whose sets have a Jaccard similarity of ``similarity`` or more, by the texts of ``docs``. Sets travel as 32 bits a shingle."""
-    wanted = cut(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct().join(distinct.select("node", "first"), "node"))
+    wanted = cut(pairs.select("node").distinct().union(pairs.select(F.col("other").alias("node")).distinct()).distinct().join(distinct.select("node", "first"), "node"))
     ids = wanted.select("first").distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -327,8 +334,8 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     differ, then meet the full Hamming check, and last the shingles themselves (their hashes), so
     no pair below the similarity links. Texts of one set are alike at once.
 
-    First, all that share a long start meet one of them, which joins most copies of a large group
-    by links in proportion to the rows. Then all that share a start meet, but for those in one
+    First, all that share a long start meet one of them, the one that meets most in all starts,
+    which joins most copies of a large group by links in proportion to the rows. Then all that share a start meet, but for those in one
     group already; of two large groups (``LARGE``), the rows of one meet one row of the other. Of
     the candidates between two groups the nearest is verified first, and then all that are still
     in different ones. No start is capped; its bits and their number follow from the number of
@@ -345,12 +352,13 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     most = differing(similarity)
 
     made = _starts(distinct.withColumn("part", F.col("node")), bits + LEAD_BITS, LEAD_STARTS, 0).select("start", "node")
-    chosen = F.struct(F.xxhash64("node").alias("h"), "node")
-    leaders = made.groupBy("start").agg(F.count("*").alias("n"), F.min(chosen)["node"].alias("other")).where("n > 1").select("start", "other")
-    led = cut(_near(made.join(leaders, "start").where("node <> other").select("node", "other").distinct(), distinct, most))
+    shared = cut(made.join(made.groupBy("start").agg(F.count("*").alias("n")).where("n > 1"), "start"))
+    met_in_all = shared.groupBy("node").agg(F.struct(F.sum("n").alias("met"), F.xxhash64("node").alias("h"), "node").alias("x"))
+    leaders = shared.join(met_in_all, "node").groupBy("start").agg(F.max("x")["node"].alias("other"))
+    led = cut(_near(shared.join(leaders, "start").where("node <> other").select("node", "other").distinct(), distinct, most))
     links = cut(_verified(led, distinct, docs, size, similarity))
 
-    renamed = lambda rows: rows.select("start", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "a", "b")])
+    renamed = lambda rows: rows.select("start", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", *_C)])
     met = lambda rows, others: rows.join(renamed(others), "start").where((F.col("part") != F.col("other_part")) & _chain_holds(bits, most))
     starts_of = lambda rows: _starts(rows, bits, starts, 0)
 
@@ -359,7 +367,7 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     pairs = met(few, few).where("node < other_node").selectExpr(*_PAIR)
     if not parts.where("large").isEmpty():
         great = starts_of(parts.where("large"))
-        one = great.groupBy("start", "part").agg(F.min_by(F.struct("node", "a", "b"), F.xxhash64("node")).alias("s")).select("start", "s.node", "part", "s.a", "s.b")
+        one = great.groupBy("start", "part").agg(F.min_by(F.struct("node", *_C), F.xxhash64("node")).alias("s")).select("start", "s.node", "part", *[f"s.{c}" for c in _C])
         pairs = pairs.union(met(great, few.union(one)).selectExpr(*_PAIR))
     rest = cut(_near(cut(pairs.distinct()), distinct, most))
 

@@ -601,6 +601,24 @@ def test_odd_rows_pass_every_operator(odd, none, spark):
     assert not embeddings.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect()
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd, none):
+    """Null and repeated ids, null texts: the near-dedup stage drops a document only for an earlier one like it."""
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i % 700}" for i in range(3000))
+    rows = [(1, long), (1, long + " more"), (None, long), (2, None), (3, ""), (4, "own words here that nothing else has"), (5, long + " end"), (None, None), (6, long.upper())]
+    docs = spark.createDataFrame([(k, t, None, None, len(t) if t else None) for k, t in rows], columns)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "1", "2", "4", "None", "None"]  # 3 is as empty as 2; 5 and 6 are like 1
+    for table in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == docs.columns and out.count() <= table.count()
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert packed.select("doc_id", "piece").count() >= len(rows) and not corpus_pipeline.packing(spark, docs.limit(0), SF).collect()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
