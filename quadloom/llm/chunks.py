@@ -130,7 +130,7 @@ def word_bpe(path: str) -> ChunkEncoder:
     return ChunkEncoder(bare_chunks, _library(path, " \0 ", re.compile(r"[^\s\0]+").fullmatch, lambda x: letters(x) and x == x.lower()))
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The character that byte-level vocabularies write for a byte: itself if printable in Latin-1, else the next one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -144,7 +144,7 @@ def _library(path: str, between: str, plain: Callable[[str], object], single: Ca
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     (mark,) = library.encode(between, add_special_tokens=False).ids
-    model, letters = library.model.tokenize, _byte_letters()
+    model, letters = library.model.tokenize, byte_letters()
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kind = [0 if single(x) else 1 if plain(x) else 2 for x in chunks]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .balltree import top_inner_products
 from .bpe import round_trip_digest
 from .centroids import cluster_vectors
+from .crosstokens import align_corpus
 from .embeddings import similar_vectors
 from .importance import resample
 from .media import stream_digest
@@ -74,13 +75,17 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, dim=64, seed=2).drop("centroid")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_simhash, op3_embedding_dedup, op4_sharding, op5_transport_stream, op6_best_fit_packing, op7_suffix_array_dedup, op8_token_files, op9_bpe_replay, op10_importance_resampling, op11_exact_top_k, op13_centroid_clustering)
+    for f in (op1_substring_dedup, op2_simhash, op3_embedding_dedup, op4_sharding, op5_transport_stream, op6_best_fit_packing, op7_suffix_array_dedup, op8_token_files, op9_bpe_replay, op10_importance_resampling, op11_exact_top_k, op12_cross_tokens, op13_centroid_clustering)
 }
 
 _WHOLE = "list_transform(embedding, lambda x: floor({scale} * x::DOUBLE))"
