@@ -6,6 +6,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -39,6 +41,25 @@ def _near(token: str, edits: int):
     return close
 
 
+def edits_of(token: Column) -> Column:
+    """``allowed_edits`` of a column."""
+    return F.when(F.length(token) <= 2, 0).when(F.length(token) <= 5, 1).otherwise(2)
+
+
+def swaps_of(token: Column) -> Column:
+    """The token with each two neighbouring letters changed over."""
+    swap = lambda i: F.concat(F.substr(token, F.lit(1), i - 1), F.substr(token, i + 1, F.lit(1)), F.substr(token, i, F.lit(1)), F.substr(token, i + 2))
+    return F.when(F.length(token) > 1, F.transform(F.sequence(F.lit(1), F.length(token) - 1), swap)).otherwise(F.array().cast("array<string>"))
+
+
+def close(word: Column, token: Column, edits: Column) -> Column:
+    """True where a token is within so many edits (0 to 2) of a word, a swap of neighbours being one: ``_near`` of two columns."""
+    plain = F.levenshtein(token, word) <= edits
+    one = (edits >= 1) & F.exists(swaps_of(word), lambda v: (token == v) | ((edits == 2) & (F.levenshtein(token, v) <= 1)))
+    two = (edits == 2) & F.exists(swaps_of(word), lambda v: F.exists(swaps_of(v), lambda u: token == u))
+    return (F.abs(F.length(token) - F.length(word)) <= edits) & (plain | one | two)
+
+
 def query_tokens(query: str) -> list[str]:
     """Distinct tokens of a query, as documents are cut."""
     return list(dict.fromkeys(regex.findall(TOKEN, query.lower())))
@@ -56,16 +77,18 @@ def text_scores(df: DataFrame, key: str, boosts: dict[str, float], query: str) -
     return df.select("*", score.alias("text")).where("text > 0") if wanted else df.select("*", F.lit(1.0).alias("text"))
 
 
-def ranked(scored: DataFrame, key: str, rank: str, cluster: str | None = None, sequence: str | None = None) -> DataFrame:
+def ranked(scored: DataFrame, key: str, rank: str, cluster: str | None = None, sequence: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Adds base (text * ln(rank + 1)) and score: halved if a better one of its cluster exists, a tenth for sequences.
 
     The better ones of a cluster are told by one aggregate of its best row, not by a window.
+    Rows of several queries are told apart by the columns ``by``.
     """
+    by = by or []
     rows = scored.withColumn("base", F.col("text") * F.log1p(F.coalesce(F.col(rank), F.lit(1.0))))
     score = F.col("base")
     if cluster:
-        best = rows.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("_c")).agg(F.min(F.struct((-F.col("base")).alias("b"), F.col(key).alias("k"))).alias("_best"))
-        rows = rows.join(best, F.col(cluster) == F.col("_c"), "left")
+        best = rows.where(F.col(cluster).isNotNull()).groupBy(*by, F.col(cluster).alias("_c")).agg(F.min(F.struct((-F.col("base")).alias("b"), F.col(key).alias("k"))).alias("_best"))
+        rows = rows.withColumn("_c", F.col(cluster)).join(best, [*by, "_c"], "left")
         score = F.when(F.col("_best").isNotNull() & (F.col("_best.k") != F.col(key)), score / 2).otherwise(score)
     if sequence:
         score = F.when(F.coalesce(F.col(sequence), F.lit(False)), score / 10).otherwise(score)
@@ -99,6 +122,10 @@ def discovery_page(rows: DataFrame, sort: str, key: str, descending: bool = Fals
 
 
 def reciprocal_rank_fusion(lists: DataFrame, key: str, source: str, score: str, k: int = 60) -> DataFrame:
-    """(key, score): 1 / (k + rank) added over the ranked lists of ``source``."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(F.desc(score), F.asc(key)))
-    return lists.withColumn("_r", place).groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("_r"))).alias("score"))
+    """(key, score): 1 / (k + rank) added over the ranked lists of ``source``; a list's rows are ordered by range and numbered part by part, so none is one task's."""
+    rows = cut(lists.select(source, key, F.col(score).alias("_s")).repartitionByRange(source, F.desc("_s"), key).withColumn("_part", F.spark_partition_id()))
+    size = rows.groupBy(source, "_part").agg(F.count("*").alias("_n"))  # a row a list and part
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(source, "_part").orderBy(F.desc("_s"), key))
+    placed = rows.withColumn("_r", within).join(size.select(source, "_part", before.alias("_before")), [source, "_part"])
+    return placed.groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("_before") + F.col("_r"))).alias("score"))
