@@ -715,4 +715,4 @@ def sql_console(spark, d):
     return rows
 
 
-from . import catalogue_services  # noqa: E402, F401
+from . import catalogue_services, catalogue_stores  # noqa: E402, F401
