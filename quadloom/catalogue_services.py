@@ -121,13 +121,20 @@ def graph_filters(spark, d):
     return n("default", "unnamed").join(n("named", "named")).join(n(name("g/3"), "one"))
 
 
-@query("SELECT 'default' AS part, count(*) AS n FROM nation WHERE n_regionkey IN (1, 2) UNION ALL SELECT 'named', count(*) FROM nation WHERE n_regionkey = 3")
+@query("SELECT 'default' AS part, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'named', count(*) FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 'protocol', count(*) FROM nation WHERE n_regionkey IN (2, 3) UNION ALL SELECT 'union', count(*) FROM nation WHERE n_regionkey IN (1, 2, 3)")
 def dataset_precedence(spark, d):
-    """Protocol parameters outrank FROM and FROM NAMED."""
+    """FROM and FROM NAMED outrank the protocol's graphs, these the union of all; a ceiling (here 1, 2, 3) holds for each."""
     df = table(spark, d, "nation")
     q = qs.table_quads(df, "nation", "n_nationkey", columns=["n_name"], graph=x.iri(F.concat(F.lit(qs.BASE + "g/"), "n_regionkey"))).where(F.col("p") == name("n_name"))
-    default, named = qs.dataset(q, [name("g/4")], [name("g/0")], [name("g/1"), name("g/2")], [name("g/3"), name("g/4")], allowed=[name(f"g/{i}") for i in (1, 2, 3)])
-    return default.agg(F.lit("default").alias("part"), F.count("*").alias("n")).union(named.agg(F.lit("named").alias("part"), F.count("*").alias("n")))
+    g = lambda *n: [name(f"g/{i}") for i in n]
+    default, named = qs.dataset(q, g(0, 1), g(3, 4), g(2, 3), g(1), allowed=g(1, 2, 3))
+    protocol, _ = qs.dataset(q, None, None, g(2, 3, 4), g(1), allowed=g(1, 2, 3))
+    all_, _ = qs.dataset(q, allowed=g(1, 2, 3))
+    out = None
+    for part, rows in (("default", default), ("named", named), ("protocol", protocol), ("union", all_)):
+        n = rows.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out
 
 
 @query("SELECT 'part/' || p_partkey AS s, p AS p FROM part, (VALUES ('p_name'), ('p_size'), ('p_partkey'), ('p_brand'), ('p_type'), ('p_retailprice'), ('~type')) v(p) WHERE '<http://example.org/part/' || p_partkey || '>' > '<http://example.org/part/2>' ORDER BY '<http://example.org/part/' || p_partkey || '>', p LIMIT 50")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
-from .operators import postings
+from .catalogue import _dna, key, name, query, table, text_of
+from .functions import terms as x
+from .operators import alignment, graph_store, postings, sequence_store, views
 from .plans.lineage import fresh_path
+from .sources import quads as qs
 
 # ---- text index
 
@@ -40,3 +44,90 @@ def text_postings_count(spark, d):
     """How many turns of the assistant match."""
     path, asked = _talk(spark, d)
     return postings.count(spark, path, asked, type_="assistant")
+
+
+# ---- graphs with what is derived from them
+
+_PART = views.Vocabulary(display_id=name("p_name"), title=name("p_type"), description=name("p_brand"), role=name("p_brand"), creator=name("p_type"), top_level=name("self"), member=name("member"))
+
+
+def _part_document(spark, d, brands, suffix=""):
+    """Triples of the parts of some brands; even ones are top levels, and each is a member of its brand and refers to the part of half its number."""
+    p = table(spark, d, "part").where(F.col("p_brand").isin(brands))
+    q = qs.table_quads(p.withColumn("p_name", F.concat("p_name", F.lit(suffix))), "part", "p_partkey", columns=["p_name", "p_type", "p_brand"]).select("s", "p", "o")
+    s = qs.node("part", F.col("p_partkey"))
+    own = p.where("p_partkey % 2 = 0").select(s.alias("s"), F.lit(name("self")).alias("p"), s.alias("o"))
+    member = p.select(x.iri(F.concat(F.lit(qs.BASE + "brand/"), "p_brand")).alias("s"), F.lit(name("member")).alias("p"), s.alias("o"))
+    half = p.select(s.alias("s"), F.lit(name("half")).alias("p"), qs.node("part", F.floor(F.col("p_partkey") / 2)).alias("o"))
+    return q.union(own).union(member).union(half)
+
+
+_ALL = [f"Brand#{i}" for i in range(1, 26)]
+_MOST = [b for b in _ALL if b not in ("Brand#3", "Brand#7")]
+_RULES = {"short": ("error", F.length("display_id") < 16), "economy": ("warning", F.col("title") != '"ECONOMY"')}
+
+
+@functools.lru_cache(1)
+def _imported(spark, d):
+    """A large document, a small one that is replaced, one more merged into it. The queries that only read it share one store."""
+    return _import(spark, d)
+
+
+def _import(spark, d):
+    found = graph_store.GraphStore(spark, fresh_path(spark, "graphs"), _PART, buckets=8)
+    found.import_graph(_part_document(spark, d, _MOST), name("g/most"), rules=_RULES)
+    found.import_graph(_part_document(spark, d, ["Brand#3"], " old"), name("g/few"), rules=_RULES)
+    found.import_graph(_part_document(spark, d, ["Brand#3"]), name("g/few"), "replace", _RULES)
+    found.import_graph(_part_document(spark, d, ["Brand#7"]), name("g/few"), "merge", _RULES)
+    return found
+
+
+_OF = "CASE WHEN p_brand IN ('Brand#3', 'Brand#7') THEN 'few' ELSE 'most' END"
+
+
+@query(f"SELECT {_OF} AS g, sum(6 + (p_partkey % 2 = 0)::INT)::BIGINT AS triples, CASE WHEN bool_or(length(p_name) >= 14) THEN 'failed' WHEN bool_or(p_type = 'ECONOMY') THEN 'warning' ELSE 'passed' END AS status, count(*) FILTER (length(p_name) >= 14) + count(*) FILTER (p_type = 'ECONOMY') AS issues FROM part GROUP BY 1")
+def import_document(spark, d):
+    """What is stored of each imported graph: triples, how validation went, findings."""
+    return _imported(spark, d).store.snapshot("graphs").select(F.regexp_extract("g", "g/(.*)>", 1).alias("g"), "triples", "status", "issues")
+
+
+@query("SELECT p_partkey AS p, p_name AS display_id, NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = part.p_brand AND q.p_partkey <> part.p_partkey AND part.p_partkey IN (q.p_partkey // 2, q.p_partkey // 2 // 2) AND (q.p_partkey // 2 = part.p_partkey OR EXISTS (SELECT 1 FROM part h WHERE h.p_partkey = q.p_partkey // 2 AND CASE WHEN h.p_brand IN ('Brand#3', 'Brand#7') THEN 'few' ELSE 'most' END = CASE WHEN part.p_brand IN ('Brand#3', 'Brand#7') THEN 'few' ELSE 'most' END))) AS is_root FROM part WHERE p_partkey % 2 = 0 AND p_type = 'SMALL' AND p_brand = 'Brand#7'")
+def stored_view(spark, d):
+    """Top-level objects of a type's word and a role with whether they are roots of their collection, all as stored."""
+    found = _imported(spark, d)
+    o = found.objects(type_=name("Part"), role='"Brand#7"', top_level=True).where(F.col("title") == '"SMALL"')
+    roots = found.root_members(name("brand/Brand#7")).select("g", F.col("member").alias("s"), "is_root")
+    return o.join(roots, ["g", "s"]).select(key("s").alias("p"), text_of("display_id").alias("display_id"), "is_root")
+
+
+@query("SELECT 0::BIGINT AS differing, (SELECT count(*) FROM part WHERE p_brand IN ('Brand#3', 'Brand#7') AND p_partkey % 2 = 0) AS written, 0::BIGINT AS dirty, (SELECT count(*) FROM part) AS objects")
+def stored_view_upkeep(spark, d):
+    """After an update of one graph its objects are derived again and only those that changed are written; nothing differs from a view made anew."""
+    found = _import(spark, d)
+    q = found.quads([name("g/few")]).where((F.col("p") == name("p_name")) & (key("s") % 2 == 0))
+    found.apply(q.withColumn("o", x.literal(F.concat(text_of("o"), F.lit(" new")))), q)
+    before = found.store.tip()
+    found.refresh(_RULES)
+    made = views.object_metadata(found.quads(), _PART)
+    kept = found.objects()
+    differing = made.join(kept, [F.equal_null(made[c], kept[c]) for c in kept.columns], "left_anti").agg(F.count("*").alias("differing"))
+    written = found.store.changes("objects", after=before).agg(F.count("*").alias("written"))
+    return differing.join(written).join(found.dirty().agg(F.count("*").alias("dirty"))).join(kept.where("size(types) > 0").agg(F.count("*").alias("objects")))
+
+
+@query("SELECT p_partkey AS p, v AS version, v = 3 AND false AS gone, CASE v WHEN 1 THEN p_name || ' old' ELSE p_name END AS title FROM part, (VALUES (1), (2)) t(v) WHERE p_brand = 'Brand#3' UNION ALL SELECT p_partkey, 3, false, p_name FROM part WHERE p_brand = 'Brand#7'")
+def graph_history(spark, d):
+    """Every revision of the summaries of one graph, by version."""
+    h = _imported(spark, d).store.changes("summaries", after=0).where(F.col("g") == name("g/few")).where(F.col("display_id").isNotNull())
+    return h.select(key("s").alias("p"), F.col("version").cast("int").alias("version"), "gone", F.col("display_id").alias("title"))
+
+
+@query("SELECT 1 AS version, count(*) AS names, count(*) AS old FROM part WHERE p_brand = 'Brand#3' UNION ALL SELECT 2, count(*), 0 FROM part WHERE p_brand = 'Brand#3' UNION ALL SELECT 3, count(*), 0 FROM part WHERE p_brand IN ('Brand#3', 'Brand#7')")
+def graph_as_of(spark, d):
+    """One graph as it was at each version."""
+    found, out = _imported(spark, d), None
+    for v in (1, 2, 3):
+        q = found.quads([name("g/few")], as_of=v).where(F.col("p") == name("p_name"))
+        n = q.agg(F.lit(v).alias("version"), F.count("*").alias("names"), F.count_if(text_of("o").endswith(" old")).alias("old"))
+        out = n if out is None else out.union(n)
+    return out

@@ -97,13 +97,19 @@ def keyset_page(objects: DataFrame, after: str | None, n: int) -> DataFrame:
     return rows.orderBy("s").limit(max(1, min(n, 5000)))
 
 
-def substring_search(objects: DataFrame, needle: str, fields: tuple[str, ...] = ("title", "display_id", "description")) -> DataFrame:
-    """Objects whose fields hold ``needle``, case left aside; ``first`` marks those whose first field does."""
+def boolean_first(rows: DataFrame, flag: str, *then: Column | str) -> DataFrame:
+    """Rows whose ``flag`` is true before the others, null ones last, then by ``then``."""
+    return rows.orderBy(F.desc_nulls_last(flag), *then)
+
+
+def substring_search(objects: DataFrame, needle: str, fields: tuple[str, ...] = ("title", "display_id", "description"), limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Objects whose fields hold ``needle``, case left aside; ``first`` marks those whose first field does. With ``limit`` a page: those marked first, then by display id and subject."""
     hit = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), F.lower(F.lit(needle))), F.lit(False))
     any_hit: Column = hit(fields[0])
     for c in fields[1:]:
         any_hit = any_hit | hit(c)
-    return objects.where(any_hit).withColumn("first", hit(fields[0]))
+    found = objects.where(any_hit).withColumn("first", hit(fields[0]))
+    return found if limit is None else boolean_first(found, "first", F.asc_nulls_first("display_id"), "s").offset(offset).limit(limit)
 
 
 def object_row(objects: DataFrame, subject: str, required: list[str], optional: list[str]) -> DataFrame:
@@ -137,15 +143,15 @@ def containing_collections(quads: DataFrame, member: str, subject: str) -> DataF
     return quads.where((F.col("p") == member) & (F.col("o") == subject)).select(F.col("s").alias("collection")).distinct()
 
 
-def object_summary(quads: DataFrame, v: Vocabulary) -> DataFrame:
-    """(s, display_id, name, description, types, roles, data, hash): one aggregate per IRI subject; ``data`` is the JSON of its sorted values by predicate, ``hash`` the SHA-256 of its lines."""
+def object_summary(quads: DataFrame, v: Vocabulary, keys: tuple[str, ...] = ("s",)) -> DataFrame:
+    """(``keys``: s, or g and s; display_id, name, description, types, roles, data, hash): one aggregate per IRI subject; ``data`` is the JSON of its sorted values by predicate, ``hash`` the SHA-256 of its lines."""
     of = lambda p: F.min(F.when(F.col("p") == p, str_(F.col("o"))))
     many = lambda p: F.array_sort(F.collect_set(F.when(F.col("p") == p, F.col("o"))))
-    per = quads.where(is_iri(F.col("s"))).select("s", "p", "o").distinct()
-    values = per.groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
-    slices = values.groupBy("s").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "os"))))).alias("data"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", F.lit(" "), F.array_join("os", " ")))), "\n"), 256).alias("hash"))
-    heads = per.groupBy("s").agg(of(v.display_id).alias("display_id"), of(v.title).alias("name"), of(v.description).alias("description"), many(v.type).alias("types"), many(v.role).alias("roles"))
-    return heads.join(slices, "s")
+    per = quads.where(is_iri(F.col("s"))).select(*keys, "p", "o").distinct()
+    values = per.groupBy(*keys, "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    slices = values.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "os"))))).alias("data"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", F.lit(" "), F.array_join("os", " ")))), "\n"), 256).alias("hash"))
+    heads = per.groupBy(*keys).agg(of(v.display_id).alias("display_id"), of(v.title).alias("name"), of(v.description).alias("description"), many(v.type).alias("types"), many(v.role).alias("roles"))
+    return heads.join(slices, list(keys))
 
 
 #: Kinds of typed rows: their class, single and many-valued columns by local names of predicates.
@@ -160,17 +166,17 @@ PROJECTIONS = {
 }
 
 
-def typed_projection(quads: DataFrame, kind: str, base: str, contains: str | None = None) -> DataFrame:
-    """The typed rows of a kind: (s, class, parent, its columns). ``base`` is the vocabulary's IRI, ``contains`` the predicate by which a parent holds the object."""
+def typed_projection(quads: DataFrame, kind: str, base: str, contains: str | None = None, keys: tuple[str, ...] = ("s",)) -> DataFrame:
+    """The typed rows of a kind: (``keys``: s, or g and s; class, parent, its columns). ``base`` is the vocabulary's IRI, ``contains`` the predicate by which a parent holds the object."""
     classes, single, many = PROJECTIONS[kind]
     classes = [f"<{base}{c}>" for c in ([classes] if isinstance(classes, str) else classes)]
-    of_kind = quads.where((F.col("p") == RDF_TYPE) & F.col("o").isin(classes) & is_iri(F.col("s"))).groupBy("s").agg(F.min("o").alias("class"))
-    cells = pivot(quads, {n: f"<{base}{p}>" for n, p in single.items()}, {n: f"<{base}{p}>" for n, p in many.items()})
-    rows = of_kind.join(cells, "s", "left")
+    of_kind = quads.where((F.col("p") == RDF_TYPE) & F.col("o").isin(classes) & is_iri(F.col("s"))).groupBy(*keys).agg(F.min("o").alias("class"))
+    cells = pivot(quads, {n: f"<{base}{p}>" for n, p in single.items()}, {n: f"<{base}{p}>" for n, p in many.items()}, keys)
+    rows = of_kind.join(cells, list(keys), "left")
     if contains is None:
         return rows.withColumn("parent", F.lit(None).cast("string"))
-    parents = quads.where(F.col("p") == f"<{base}{contains}>").groupBy(F.col("o").alias("s")).agg(F.min("s").alias("parent"))
-    return rows.join(parents, "s", "left")
+    parents = quads.where(F.col("p") == f"<{base}{contains}>").groupBy(*[F.col("o").alias("s") if k == "s" else F.col(k) for k in keys]).agg(F.min("s").alias("parent"))
+    return rows.join(parents, list(keys), "left")
 
 
 def validate(quads: DataFrame, rules: dict[str, tuple[str, Column]], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,9 +249,9 @@ def graph_stats(quads: DataFrame) -> DataFrame:
     return quads.groupBy("g").agg(F.count("*").alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"))
 
 
-def pivot(quads: DataFrame, single: dict[str, str], many: dict[str, str] | None = None) -> DataFrame:
+def pivot(quads: DataFrame, single: dict[str, str], many: dict[str, str] | None = None, keys: tuple[str, ...] = ("s",)) -> DataFrame:
     """Typed rows: per IRI subject the least value of each ``single`` predicate and the sorted set of each of ``many``."""
     of = lambda p: F.when(F.col("p") == p, F.col("o"))
     cells = [F.min(of(p)).alias(n) for n, p in single.items()] + [F.array_sort(F.collect_set(of(p))).alias(n) for n, p in (many or {}).items()]
     chosen = [*single.values(), *(many or {}).values()]
-    return quads.where(F.col("p").isin(chosen) & is_iri(F.col("s"))).groupBy("s").agg(*cells)
+    return quads.where(F.col("p").isin(chosen) & is_iri(F.col("s"))).groupBy(*keys).agg(*cells)

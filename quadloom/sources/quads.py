@@ -88,12 +88,12 @@ def graph_filter(quads: DataFrame, which: str = "all") -> DataFrame:
 def dataset(quads: DataFrame, from_: list[str] | None = None, from_named: list[str] | None = None, default_uris: list[str] | None = None, named_uris: list[str] | None = None, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(triples of the default graph, quads that GRAPH sees) of a request.
 
-    A request's own default-graph and named-graph URIs outrank the query's FROM and FROM NAMED. With
+    The query's FROM and FROM NAMED outrank the request's own default-graph and named-graph URIs. With
     only FROM there are no named graphs, with only FROM NAMED the default graph is empty; without
     either the default graph is the union of all, and GRAPH sees every named one. ``allowed`` is a
     ceiling on both.
     """
-    if default_uris is not None or named_uris is not None:
+    if from_ is None and from_named is None:
         from_, from_named = default_uris, named_uris
     given = from_ is not None or from_named is not None
     default = in_graphs(quads, (from_ or []) if given else None, allowed)
