@@ -388,9 +388,9 @@ def object_list_keyset(spark, d):
     return views.keyset_page(_parts(spark, d), None, 40).select(key("s").alias("p"))
 
 
-@query("SELECT p_partkey AS p, contains(lower(p_type), 'an') AS \"first\" FROM part WHERE contains(lower(p_type), 'an') OR contains(lower(p_name), 'an') OR contains(lower(p_brand), 'an')")
+@query("SELECT p_partkey AS p, contains(lower(p_type), 'small') AS \"first\" FROM part WHERE contains(lower(p_type), 'small') OR contains(lower(p_name), 'small') OR contains(lower(p_brand), 'small')")
 def object_substring(spark, d):
-    return views.substring_search(_parts(spark, d), "AN").select(key("s").alias("p"), "first")
+    return views.substring_search(_parts(spark, d), "SmaLL").select(key("s").alias("p"), "first")
 
 
 @query("SELECT 'customer/' || c_custkey AS u FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 UNION SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 2")

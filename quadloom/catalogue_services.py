@@ -8,7 +8,7 @@ from .catalogue import _DNA, _PAIRS, _dna, key, local, name, num, quads, query,
 from .functions import terms as x
 from .operators import access, components, discovery, ontology, patterns, sequences, text, text_index, traverse, updates, vectors, views
 from .operators.views import Vocabulary
-from .plans.lineage import fresh_path
+from .plans.lineage import cut, fresh_path
 from .sources import quads as qs
 from .sources import archives, rdf, results, store
 from .sources import sequence_files as files
@@ -246,6 +246,17 @@ def update_remove_object(spark, d):
     return updates.remove_object(q.union(top), name("region/2"), name("top"), name("member")).select(short("s").alias("s")).distinct()
 
 
+@query("SELECT 'nation/' || n_nationkey AS s FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'region/' || r_regionkey FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey <> 2")
+def update_remove_collection(spark, d):
+    """A collection goes with its members, all that has one of those as its top level, and all references to them: a region with its nations and their suppliers."""
+    q = quads(spark, d, "nation", "region", "supplier", columns=["n_regionkey", "r_name", "s_nationkey"]).where(F.col("p") != x.RDF_TYPE)
+    own = lambda p: q.where(F.col("p") == name(p)).select("g", "s", F.lit(name("top")).alias("p"), F.col("s").alias("o"))
+    top = own("r_name").union(own("n_regionkey")).union(q.where(F.col("p") == name("s_nationkey")).select("g", "s", F.lit(name("top")).alias("p"), "o"))
+    held = q.where(F.col("p") == name("n_regionkey")).select("g", F.col("o").alias("s"), F.lit(name("member")).alias("p"), F.col("s").alias("o"))
+    left = updates.remove_object(q.union(top).union(held), name("region/2"), name("top"), name("member"), with_members=True)
+    return left.select(short("s").alias("s")).distinct()
+
+
 @query("SELECT 'copy/' || n_nationkey AS s, 'n_name' AS p, n_name AS o FROM nation UNION ALL SELECT 'copy/' || n_nationkey, 'n_regionkey', 'region/' || n_regionkey FROM nation UNION ALL SELECT 'copy/' || n_nationkey, 'stamp', 'me' FROM nation")
 def update_remint(spark, d):
     q = quads(spark, d, "nation", columns=["n_name", "n_regionkey"]).where(F.col("p") != x.RDF_TYPE)
@@ -330,6 +341,13 @@ def view_refresh(spark, d):
     return rows.groupBy(local("g").alias("g")).agg(F.count("*").alias("n"), F.count_if(text_of("display_id").endswith(" new")).alias("fresh"))
 
 
+@query("SELECT p_partkey AS p, contains(lower(p_type), 'small') AS \"first\" FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_type), 'small') ORDER BY contains(lower(p_type), 'small') DESC, p_name, '<http://example.org/part/' || p_partkey || '>' LIMIT 30 OFFSET 20")
+def object_substring_page(spark, d):
+    """A page of a search: those whose title holds the text first."""
+    o = views.object_metadata(_part_quads(spark, d), _V)
+    return views.substring_search(o, "sMALl", limit=30, offset=20).select(key("s").alias("p"), "first")
+
+
 @query("SELECT count(*) AS n FROM part WHERE contains(lower(p_name), 'wid') OR contains(lower(p_type), 'wid') OR contains(lower(p_brand), 'wid')")
 def object_substring_count(spark, d):
     return views.substring_count(views.object_metadata(_part_quads(spark, d), _V), "WID")
@@ -557,6 +575,15 @@ def discovery_faceted(spark, d):
     return found.select(key("s").alias("p"))
 
 
+@query(f"SELECT p_partkey AS p FROM (SELECT *, {_hits(['rign'], {'p_name': 3.0, 'p_type': 1.0})} AS m FROM part WHERE p_brand = 'Brand#17' OR p_brand = 'Brand#4') WHERE m > 0 AND p_brand = 'Brand#17' ORDER BY m DESC, '<http://example.org/part/' || p_partkey || '>' LIMIT 12 OFFSET 3")
+def discovery_classic_path(spark, d):
+    """A search by the older form of paths: criteria, text, offset and limit in one line."""
+    q = _part_quads(spark, d)
+    line = "/search/objectType=Part&brand='Brand%23x'&color='red'&brand='Brand#17'&rign/?offset=3&limit=12"
+    found = discovery.classic_search(q, _records(spark, d), line, {"brand": name("p_brand")}, x.RDF_TYPE, qs.BASE, {"display_id": 3.0, "name": 1.0})
+    return found.select(key("s").alias("p"))
+
+
 @query("SELECT doc_id AS doc, round(sum(1.0 / (60 + r)), 9)::DOUBLE AS score FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) r FROM documents UNION ALL SELECT doc_id, row_number() OVER (ORDER BY -n_chars DESC, doc_id) FROM documents WHERE lang = 'en') GROUP BY 1")
 def rank_fusion(spark, d):
     df = table(spark, d, "documents")
@@ -672,15 +699,16 @@ def store_ingest(spark, d):
     return store.read_quads(spark, path).agg(F.count("*").alias("quads"))
 
 
-@query("SELECT 'parts' AS name, count(*) AS n FROM benchmark UNION ALL SELECT 'sketches', count(*) FROM benchmark UNION ALL SELECT 'clusters', count(*) FROM benchmark UNION ALL SELECT 'ranks', count(*) FROM benchmark")
+@query("SELECT 'parts' AS name, item_id AS item, text AS value FROM benchmark UNION ALL SELECT 'sketches', item_id, 'none' FROM benchmark UNION ALL SELECT 'clusters', item_id, item_id::VARCHAR FROM benchmark UNION ALL SELECT 'ranks', item_id, (SELECT round(1.0 / count(*), 6)::DOUBLE::VARCHAR FROM benchmark) FROM benchmark")
 def index_rebuild(spark, d):
-    """All tables of the index from quads."""
+    """All tables of the index from quads, with what they hold: texts without bases have no sketch, and are clusters of their own; nodes without links rank alike."""
     q = quads(spark, d, "benchmark", columns=["text"])
     path = fresh_path(spark, "index")
     text_index.rebuild(q, {"name": name("text")}, x.RDF_TYPE, name("text"), q.select("s").distinct(), path)
     out = None
-    for t in ("parts", "sketches", "clusters", "ranks"):
-        n = spark.read.parquet(f"{path}/{t}").agg(F.lit(t).alias("name"), F.count("*").alias("n"))
+    shown = {"parts": ("s", F.col("name")), "sketches": ("s", F.coalesce(F.array_join("sig", " "), F.lit("none"))), "clusters": ("s", key("cluster").cast("string")), "ranks": ("node", F.round("rank", 6).cast("string"))}
+    for t, (node, value) in shown.items():
+        n = spark.read.parquet(f"{path}/{t}").select(F.lit(t).alias("name"), key(node).alias("item"), value.alias("value"))
         out = n if out is None else out.union(n)
     return out
 
@@ -708,29 +736,98 @@ def vector_generations(spark, d):
     return g.snapshot()
 
 
-@query("SELECT 1.0::DOUBLE AS recall, true AS fine")
+@query("SELECT count(*) AS expected, true AS fine FROM (SELECT a.vec_id AS query, b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) <= 10)")
 def knn_cells_recall(spark, d):
-    """Recall at 10 of the cells against all rows, for every fiftieth vector: 0.9 or more."""
+    """Of the true ten neighbours of every fiftieth vector, how many there are, and whether the cells find 0.9 of them; ``knn_cells_measured`` has the recall itself."""
+    return knn_cells_measured(spark, d).select("expected", (F.col("recall") >= 0.9).alias("fine"))
+
+
+@query()
+def knn_cells_measured(spark, d):
+    """Recall at 10 of the cells against all rows, for every fiftieth vector."""
     from .catalogue import QUERIES
 
     e = table(spark, d, "embeddings")
     queries = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     true = vectors.nearest_each(e, "embedding", "vec_id", queries, "cosine", 10).select("query", "vec_id")
-    found = QUERIES["knn_cells"](spark, d).select("query", "vec_id")
-    n = true.agg(F.count("*").alias("n"))
-    return true.join(found, ["query", "vec_id"]).agg(F.count("*").alias("m")).join(n).select(F.lit(1.0).alias("recall"), (F.col("m") >= 0.9 * F.col("n")).alias("fine"))
+    found = QUERIES["knn_cells"](spark, d).select("query", "vec_id").withColumn("_hit", F.lit(1))
+    n = true.join(found, ["query", "vec_id"], "left").agg(F.count("*").alias("expected"), F.count("_hit").alias("matched"))
+    return n.withColumn("recall", F.col("matched") / F.col("expected"))
+
+
+@query("SELECT share, count(*) AS expected, true AS fine FROM (SELECT share, a.vec_id AS query, b.vec_id FROM embeddings a, embeddings b, (VALUES (1), (10), (50)) t(share) WHERE a.vec_id % 50 = 0 AND (b.vec_id * 7 + b.vec_id // 100 * 13) % 100 < share QUALIFY row_number() OVER (PARTITION BY share, a.vec_id ORDER BY b.vec_id) <= 10) GROUP BY 1")
+def knn_cells_filtered(spark, d):
+    """Neighbours among a hundredth, a tenth and a half of all rows: how many there are, and whether the cells find 0.9 of them."""
+    from .operators import cells
+
+    e = table(spark, d, "embeddings").withColumn("part", (F.col("vec_id") * 7 + F.floor(F.col("vec_id") / 100) * 13) % 100)
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    model = cells.fit_cells(e, "embedding", "vec_id", 256)
+    indexed = cut(cells.index_cells(e, "embedding", model))
+    probes, out = cells.calibrate_probes(indexed, model, "embedding", "vec_id", 10), None
+    for share in (1, 10, 50):
+        passes = F.col("part") < share
+        true = vectors.nearest_each(e.where(passes), "embedding", "vec_id", queries, "cosine", 10).select("query", "vec_id")
+        found = cells.search_filtered(indexed, queries, model, "embedding", "vec_id", passes, k=10, probes=probes).select("query", "vec_id").withColumn("_hit", F.lit(1))
+        n = true.join(found, ["query", "vec_id"], "left").agg(F.lit(share).alias("share"), F.count("*").alias("expected"), (F.count("_hit") >= 0.9 * F.count("*")).alias("fine"))
+        out = n if out is None else out.union(n)
+    return out
+
+
+_JUDGED = """WITH r AS (SELECT source AS query, doc_id AS doc, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents), j AS (SELECT source AS query, doc_id AS doc, quality AS rel FROM documents JOIN labels USING (doc_id)),
+    h AS (SELECT r.query, k, coalesce(rel, 0) rel FROM r LEFT JOIN j USING (query, doc) WHERE k <= 10) """
 
 
-@query("SELECT count(*) AS queries, round(avg(n_chars), 6) AS precision FROM documents WHERE lang = 'en'")
+@query(_JUDGED + "SELECT count(*) AS queries, round(avg(p), 6) AS precision, round(avg(f), 6) AS reciprocal_rank FROM (SELECT query, count(*) FILTER (rel > 0) / 10 AS p, coalesce(1 / min(k) FILTER (rel > 0), 0) AS f FROM h GROUP BY 1)")
 def relevance_means(spark, d):
-    m = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query"), F.col("n_chars").alias("precision"))
-    return vectors.means(m).select("queries", F.round("precision", 6).alias("precision"))
+    """Means of the measures of every source's longest documents, judged by their labels."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("doc"), F.col("n_chars").alias("score"))
+    judged = docs.join(table(spark, d, "labels").withColumnRenamed("doc_id", "doc"), "doc").select("query", "doc", F.col("quality").alias("relevance"))
+    m = vectors.means(vectors.relevance(docs, judged))
+    return m.select("queries", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
-@query("SELECT item_id, round(sqrt(sum(v * v)), 6)::DOUBLE AS length FROM (SELECT item_id, 1.0 v FROM benchmark) GROUP BY 1")
-def hash_embedding_length(spark, d):
-    e = table(spark, d, "benchmark").select("item_id", vectors.hashing_embedding(F.col("text")).alias("e"))
-    return e.select("item_id", F.round(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v)), 6).alias("length"))
+#: FNV-1a of a text, byte by byte, with the offset and prime that are fixed in its definition.
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, length(hex(encode(x))) // 2), lambda i: ('0x' || substr(hex(encode(x)), (2 * i + 1)::INT, 2))::UHUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+@query(
+    f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM benchmark),
+    p AS (SELECT item_id, t AS x, 1.0 AS w FROM t UNION ALL SELECT item_id, substr(t, i::INT, 3), 0.35 FROM t, unnest(range(1, length(t) - 1)) u(i)),
+    h AS (SELECT x, {_FNV} AS h FROM (SELECT DISTINCT x FROM p)),
+    v AS (SELECT item_id, (h % 256)::INT AS dim, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -w ELSE w END)::DOUBLE AS v FROM p JOIN h USING (x) GROUP BY 1, 2),
+    n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY 1)
+    SELECT item_id, dim, round(v / n, 6)::DOUBLE AS value FROM v JOIN n USING (item_id) WHERE abs(v / n) > 0.000001"""
+)
+def hash_embedding_values(spark, d):
+    """Every component that is not zero of the hashing embedding of the benchmark's texts."""
+    e = table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.hashing_embedding(F.col("text"))).alias("dim", "v"))
+    return e.where("abs(v) > 0.000001").select("item_id", "dim", F.round("v", 6).alias("value"))
+
+
+@query("SELECT vec_id, CASE vec_id % 7 WHEN 1 THEN 'null' WHEN 2 THEN 'length' WHEN 3 THEN 'not_finite' WHEN 4 THEN 'zero' END AS problem FROM embeddings")
+def knn_problems(spark, d):
+    """Why a vector can't be a query under cosine."""
+    v, m = F.col("embedding"), F.col("vec_id") % 7
+    e = table(spark, d, "embeddings").withColumn("embedding", F.when(m == 2, F.slice(v, 1, 63)).when(m == 3, F.transform(v, lambda c, i: F.when(i == 5, F.lit(float("nan"))).otherwise(c))).when(m == 4, F.transform(v, lambda c: c * 0)).when(m != 1, v))
+    return vectors.problems(e, "embedding", 64).select("vec_id", "problem")
+
+
+@query(f"SELECT query, vec_id, round(s, 5) AS score FROM (SELECT query, vec_id, list_inner_product(e, q) AS s {_PAIRS}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 5")
+def knn_by_strategy(spark, d):
+    """A metric that the cells don't offer goes to the exact search, however low the cutoff."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return vectors.search_by_strategy(e, "embedding", "vec_id", queries, "dot", 5, cutoff=10).select("query", "vec_id", F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY label DESC, vec_id)::INTEGER AS place FROM (SELECT query, vec_id FROM (SELECT query, vec_id, list_cosine_similarity(e, q) AS s {_PAIRS}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 20) JOIN embeddings USING (vec_id) QUALIFY place <= 5")
+def knn_reranked(spark, d):
+    """The first twenty by cosine, ordered again by their label, of which five stay."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    hits = vectors.nearest_each(e, "embedding", "vec_id", queries, "cosine", 30).join(e.select("vec_id", "label"), "vec_id")
+    return vectors.rerank(hits, F.col("label"), "vec_id", 20, 5).select("query", "vec_id", "place")
 
 
 # ---- ontology, access, console
@@ -758,6 +855,16 @@ def ontology_aliases(spark, d):
     return ontology.canonicalize(asked, "role", names).select(F.col("r_regionkey").alias("r"), "canonical")
 
 
+@query("SELECT 'SO:' || lpad(c_custkey::VARCHAR, 7, '0') AS id, (SELECT count(*) FROM customer WHERE (contains(lower(c_name), '7') OR contains(c_custkey::VARCHAR, '7')) AND c_custkey % 3 > 0) AS total FROM customer WHERE (contains(lower(c_name), '7') OR contains(c_custkey::VARCHAR, '7')) AND c_custkey % 3 > 0 ORDER BY 1 LIMIT 15 OFFSET 4")
+def ontology_listing(spark, d):
+    """A page of the terms of one prefix that hold a text, with the total; customers stand for terms."""
+    c = table(spark, d, "customer")
+    prefix = F.when(F.col("c_custkey") % 3 == 0, "EX:").otherwise("SO:")
+    terms = c.select(F.concat(prefix, F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("id"), F.col("c_name").alias("name"))
+    page, total = ontology.listing(terms, "SO", "7", 15, 4)
+    return page.join(total).select("id", "total")
+
+
 @query("SELECT c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2")
 def ontology_role_expansion(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))

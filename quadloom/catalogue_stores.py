@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import _dna, key, name, query, table, text_of
 from .functions import terms as x
-from .operators import alignment, graph_store, postings, sequence_store, views
+from .operators import alignment, cursors, graph_store, postings, sequence_store, views
 from .plans.lineage import fresh_path
 from .sources import quads as qs
 
@@ -131,3 +131,51 @@ def graph_as_of(spark, d):
         n = q.agg(F.lit(v).alias("version"), F.count("*").alias("names"), F.count_if(text_of("o").endswith(" old")).alias("old"))
         out = n if out is None else out.union(n)
     return out
+
+
+# ---- sequences
+
+
+@functools.lru_cache(1)
+def _sequence_store(spark, d):
+    """All sequences, stored in two batches, so that the second joins the clusters of the first. The queries only read it and share it."""
+    found, rows = sequence_store.SequenceStore(spark, fresh_path(spark, "sequences"), buckets=16), _dna(spark, d).select("doc_id", "seq")
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
+    found.append(rows.where(~late), "seq", "doc_id")
+    found.append(rows.where(late), "seq", "doc_id")
+    return found, rows
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS differing FROM documents")
+def sequence_store_clusters(spark, d):
+    """Sequences and their clusters after two appends; none differs from a clustering of all at once."""
+    found, rows = _sequence_store(spark, d)
+    kept, once = found.clusters(), alignment.cluster_sequences(rows, "seq", "doc_id", banded=True)
+    missing = once.join(kept, (once["doc_id"] == kept["key"]) & (once["cluster"] == kept["cluster"]) & (once["identity"] == kept["identity"]), "left_anti").agg(F.count("*").alias("differing"))
+    return kept.agg(F.count("*").alias("n")).join(missing)
+
+
+@query()
+def sequence_store_search(spark, d):
+    """Every fiftieth sequence against all stored ones: candidates by 12-mers, aligned within a band, in scope, by rank."""
+    found, rows = _sequence_store(spark, d)
+    asked = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.col("seq").alias("q"))
+    ranks = rows.select(F.col("doc_id").alias("key"), (F.col("doc_id") % 7 + 1).cast("double").alias("rank"))
+    return found.search(asked, ranks, rows.where("doc_id % 3 > 0 OR doc_id % 50 = 0").select(F.col("doc_id").alias("key")))
+
+
+# ---- cursors
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY lang, doc_id) - 1) // 250)::INTEGER AS page FROM documents")
+def cursor_pages(spark, d):
+    """All documents by language and id, page by page, each from the cursor that the one before gave."""
+    path, order = fresh_path(spark, "pages"), ["lang", "doc_id"]
+    cursors.write_ranged(table(spark, d, "documents").select(*order, "source"), path, order)
+    at, n, out = None, 0, None
+    while n == 0 or at is not None:
+        rows, at = cursors.page(spark, path, order, at, 250)
+        rows = rows.select("doc_id", F.lit(n).alias("page"))
+        out = rows if out is None else out.union(rows)
+        n += 1
+    return out

@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.limits import read_only
+
 
 class SqlProblem(ValueError):
     """A statement that does not parse or resolve: ``kind``, and ``line`` and ``column`` from 1 if known."""
@@ -54,7 +56,8 @@ def cells(df: DataFrame, max_rows: int, seconds: float | None = None) -> tuple[l
 
 
 def run_sql(tables: dict[str, DataFrame], sql: str, max_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(at most ``max_rows`` rows, one more than that, by which a caller tells whether rows were cut off). The tables are views for this statement only."""
+    """(at most ``max_rows`` rows, one more than that, by which a caller tells whether rows were cut off). The tables are views for this statement only. A statement that doesn't read is UpdateNotAllowed."""
+    read_only(sql)
     spark = next(iter(tables.values())).sparkSession
     given = {n: f"_{n}_{uuid.uuid4().hex[:8]}" for n in tables}
     scoped = ", ".join(f"`{n}` AS (SELECT * FROM `{v}`)" for n, v in given.items())

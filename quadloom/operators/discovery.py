@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -120,8 +121,8 @@ def facets(found: DataFrame, column: str, labels: DataFrame) -> DataFrame:
 
 
 def hydrate(page_rows: DataFrame, cards: DataFrame, fields: list[str]) -> DataFrame:
-    """A page with card metadata by subject: the page, bounded, goes to the table, whose rows are not moved; what is not found is null and ``missing``."""
-    card = cards.join(F.broadcast(page_rows.select("s").distinct()), "s", "left_semi").select("s", *fields, F.lit(False).alias("missing"))
+    """A page, of ``MOST_ROWS`` rows at most, with card metadata by subject; what is not found is null and ``missing``."""
+    card = cards.join((page_rows.select("s").distinct()), "s", "left_semi").select("s", *fields, F.lit(False).alias("missing"))
     return page_rows.join(card, "s", "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
 
 
@@ -132,6 +133,32 @@ def classic_text(path: str) -> str | None:
     return " ".join(words) or None
 
 
+def classic_request(path: str, predicates: dict[str, str], type_iri: str = "http://sbols.org/v2#") -> tuple[dict, str | None, int, int]:
+    """({field: value}, free text, offset, limit) of a classic search path: ``key=<iri>&`` or ``key='text'&`` criteria before the last segment, and ``?offset=`` and ``limit=`` after it.
+
+    ``objectType=Name&`` is a type of the vocabulary; other keys are looked up in ``predicates``
+    {key: predicate}, unknown ones are passed over.
+    """
+    body, _, tail = path.partition("?")
+    numbers = {k: int(v) for k, v in (x.split("=", 1) for x in tail.split("&") if "=" in x) if v.isdigit()}
+    wanted: dict = {}
+    for k, v in re.findall(r"([^/&=?]+)=(<[^>]*>|'[^']*'|[^&/]*)&", body):
+        if k == "objectType":
+            wanted["type"] = f"<{type_iri}{v}>"
+        elif k in predicates:
+            wanted[predicates[k]] = v if v.startswith("<") else f'"{v.strip(chr(39))}"'
+    return wanted, classic_text(re.sub(r"[^/&=?]+=(<[^>]*>|'[^']*'|[^&/]*)&", "", body)), numbers.get("offset", 0), numbers.get("limit", 50)
+
+
+def classic_search(quads: DataFrame, rows: DataFrame, path: str, predicates: dict[str, str], type_: str, type_iri: str, boosts: dict[str, float]) -> DataFrame:
+    """The page of ``rows`` (records) that a classic search path asks for: its criteria by ``faceted``, its text by ``matching``."""
+    wanted, text, offset, limit = classic_request(path, predicates, type_iri)
+    class_ = wanted.pop("type", None)
+    found = rows.join(faceted(quads, class_, equal=wanted, type_=type_), "s", "left_semi")
+    r = Request(text=text, offset=offset, limit=max(1, min(limit, MOST_ROWS)), boosts=boosts)
+    return page(matching(found, r), r)
+
+
 def faceted(quads: DataFrame, class_: str | None = None, member_of: str | None = None, equal: dict[str, str] | None = None, type_: str = "", member: str = "", date: str | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
     """(s): compatibility search by class, collection, equality of predicates and a date predicate's range: a semi join for each."""
     found = quads.select("s").distinct()

@@ -79,3 +79,11 @@ def search(terms: DataFrame, text: str, prefix: str | None = None) -> DataFrame:
     low = F.lower(F.lit(text))
     found = terms.where(F.contains(F.lower("id"), low) | F.contains(F.lower("name"), low))
     return found if prefix is None else found.where(F.col("id").startswith(prefix + ":"))
+
+
+def listing(terms: DataFrame, prefix: str | None = None, text: str | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(a page of terms by id, one row: the total) of one prefix and holding ``text`` if given; obsolete terms come last. ``limit`` is held to 1..1000."""
+    found = terms if text is None else search(terms, text)
+    found = found if prefix is None else found.where(F.col("id").startswith(prefix + ":"))
+    order = [F.asc_nulls_first("obsolete")] if "obsolete" in terms.columns else []
+    return found.orderBy(*order, "id").offset(offset).limit(max(1, min(limit, 1000))), found.agg(F.count("*").alias("total"))

@@ -45,10 +45,12 @@ def _shared(a: DataFrame, b: DataFrame) -> list[str]:
 
 
 def _by_bound(df: DataFrame, keys: list[str]) -> list[tuple[frozenset, DataFrame]]:
-    """``df`` in parts by which of ``keys`` are bound: [(bound keys, rows)]."""
-    parts = [(frozenset(), df)]
-    for k in keys:
-        parts = [(bound | add, rows.where(F.col(k).isNotNull() if add else F.col(k).isNull())) for bound, rows in parts for add in (frozenset([k]), frozenset())]
+    """``df`` in parts by which of ``keys`` are bound, those that hold rows only: [(bound keys, rows)]. It is cut, so that no part works it out again."""
+    df = cut(df)
+    parts = []
+    for r in df.select(*[F.col(k).isNotNull().alias(k) for k in keys]).distinct().collect():  # a row a part
+        holds = reduce(lambda a, b: a & b, [F.col(k).isNotNull() if r[k] else F.col(k).isNull() for k in keys])
+        parts.append((frozenset(k for k in keys if r[k]), df.where(holds)))
     return parts
 
 
@@ -70,12 +72,12 @@ def join(a: DataFrame, b: DataFrame, maybe_unbound: tuple[str, ...] = (), how: s
         a = cut(a.withColumn("_row", F.monotonically_increasing_id()))
         inner = join(a, b, maybe_unbound, "inner", condition)
         return inner.drop("_row").unionByName(a.join(inner.select("_row").distinct(), "_row", "left_anti").drop("_row"), allowMissingColumns=True).select(*[c for c in a.columns if c != "_row"], *[c for c in b.columns if c not in keys])
-    parts = []
+    parts, right_parts = [], _by_bound(b, odd)
     for bound_a, left in _by_bound(a, odd):
-        for bound_b, right in _by_bound(b, odd):
+        for bound_b, right in right_parts:
             on = [k for k in keys if k not in odd or k in bound_a & bound_b]
             parts.append(_equi(left, right, keys, on, "inner", condition))
-    return reduce(lambda x, y: x.union(y), parts)
+    return reduce(lambda x, y: x.union(y), parts) if parts else _equi(a, b, keys, keys, "inner", condition)
 
 
 def _equi(a: DataFrame, b: DataFrame, keys: list[str], on: list[str], how: str, condition: Column | None) -> DataFrame:
@@ -103,14 +105,14 @@ def minus(a: DataFrame, b: DataFrame, maybe_unbound: tuple[str, ...] = ()) -> Da
     if not maybe_unbound:
         return a.join(b.select(*keys).distinct(), keys, "left_anti")
     odd = [k for k in keys if k in maybe_unbound]
-    rest = []
+    rest, right_parts = [], _by_bound(b, odd)
     for bound_a, left in _by_bound(a, odd):
-        for bound_b, right in _by_bound(b, odd):
+        for bound_b, right in right_parts:
             on = [k for k in keys if k not in odd or k in bound_a & bound_b]
             if on:  # parts that bind nothing in common share no bound variable
                 left = left.join(right.select(*on).distinct(), on, "left_anti").select(*a.columns)
         rest.append(left)
-    return reduce(lambda x, y: x.union(y), rest)
+    return reduce(lambda x, y: x.union(y), rest) if rest else a
 
 
 def exists(a: DataFrame, b: DataFrame, negate: bool = False, condition: Column | None = None) -> DataFrame:
@@ -199,7 +201,7 @@ def describe(quads: DataFrame, resources: DataFrame) -> DataFrame:
         blanks = cut(blanks)
         if blanks.isEmpty():
             return found.distinct()
-        seen = seen.union(blanks)
+        seen = cut(seen.union(blanks))
         found = cut(found.union(triples.join(blanks, "s", "left_semi")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -199,13 +201,22 @@ def lsh_candidates(banded: DataFrame, query: DataFrame, key: str) -> DataFrame:
 
 
 def batch_hits(df: DataFrame, seq: str, key: str, patterns: dict[str, str], forward_only: bool = False) -> DataFrame:
-    """(pattern, key, start, end, strand): the hits of several patterns by name; the texts are cleaned once, and each pattern is a literal search."""
-    rows = df.select(F.col(key), clean(F.col(seq)).alias(seq))
-    found = [substring_hits(rows, seq, key, p, forward_only).select(F.lit(n).alias("pattern"), key, "start", "end", "strand") for n, p in patterns.items() if "".join(p.split())]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    """(pattern, key, start, end, strand): the hits of several patterns by name, in one pass: a text is cleaned once and meets every pattern and reverse complement that it holds. Empty patterns hit nothing."""
+    wanted = []
+    for n, pattern in patterns.items():
+        p = "".join(pattern.split()).upper()
+        back = p[::-1].translate(str.maketrans(_CODES.upper(), _COMPLEMENTS.upper()))
+        wanted += [(n, p, "+")] + ([] if forward_only or back == p else [(n, back, "-")]) if p else []
+    rows = df.select(F.col(key), clean(F.col(seq)).alias("_t"))
+    struct = "array<struct<pattern:string,text:string,strand:string>>"
+    held = F.filter(F.from_json(F.lit(json.dumps([dict(zip(("pattern", "text", "strand"), w, strict=True)) for w in wanted])), struct), lambda w: F.contains("_t", w["text"]))
+    met = rows.select(key, "_t", F.explode(held).alias("w"))
+    split = F.split("_t", F.concat(F.lit("\\Q"), F.col("w.text"), F.lit("\\E")))
+    pieces = F.slice(split, F.lit(1), F.greatest(F.size(split) - 1, F.lit(0)))  # what lies before each match
+    size = F.length("w.text")
+    run = F.aggregate(pieces, F.array().cast("array<int>"), lambda starts, between: F.concat(starts, F.array((F.when(F.size(starts) > 0, F.element_at(F.when(F.size(starts) > 0, starts), -1) + size).otherwise(0) + F.length(between)).cast("int"))))
+    hits = met.select("w.pattern", key, F.explode(run).alias("start"), size.alias("_n"), "w.strand")
+    return hits.select("pattern", key, "start", (F.col("start") + F.col("_n")).alias("end"), "strand")
 
 
 def align_candidates(index: DataFrame, queries: DataFrame, all_keys: DataFrame, key: str, k: int = 8) -> DataFrame:
