@@ -1,4 +1,4 @@
-"""Stored structures: the text index, the log of versions, banded alignment and the sequence store."""
+"""Stored structures: the text index, the log of versions, banded alignment, sequences, graphs, pages, vectors; requests."""
 
 import random
 import shutil
@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.operators import alignment, banded, postings, sequence_store, text, text_index
+from quadloom.functions.terms import RDF_TYPE
+from quadloom.operators import alignment, banded, cells, cursors, discovery, graph_store, patterns, postings, sequence_store, text, text_index, vectors, views
+from quadloom.operators.views import Vocabulary
+from quadloom.plans import limits
 from quadloom.sources.versions import Conflict, Table, VersionedStore
 
 SF = "/root/testdata/sf0.001"
@@ -247,3 +250,196 @@ def test_store_search_recall(spark, dna, tmp_path):
         if k % 3:
             best.setdefault(q, []).append((-(k % 7) * i, k))
     assert {(r["query"], r.place, r.key) for r in few} == {(q, n + 1, k) for q, found in best.items() for n, (_, k) in enumerate(sorted(found)[:5])}
+
+
+# ---- graphs
+
+N = "http://example.org/"
+V = Vocabulary(f"<{N}id>", f"<{N}title>", f"<{N}text>", f"<{N}role>", f"<{N}by>", f"<{N}top>", f"<{N}member>")
+
+
+def document(spark, *subjects, title="t"):
+    rows = []
+    for s in subjects:
+        rows += [(f"<{N}{s}>", RDF_TYPE, f"<{N}Thing>"), (f"<{N}{s}>", f"<{N}id>", f'"{s}"'), (f"<{N}{s}>", f"<{N}title>", f'"{title}"'), (f"<{N}{s}>", f"<{N}top>", f"<{N}{s}>"), (f"<{N}c>", f"<{N}member>", f"<{N}{s}>"), (f"<{N}{s}>", f"<{N}role>", f"<{N}r{len(s)}>")]
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
+def derived_anew(store):
+    """What each derived table should hold, from the quads alone."""
+    q = store.quads().withColumn("g", F.coalesce("g", F.lit("")))
+    return {"objects": views.object_metadata(q, V), "members": views.members(q, V), "summaries": views.object_summary(q, V, ("g", "s"))}
+
+
+def same_rows(a, b):
+    names = sorted(a.columns)
+    return sorted(map(str, a.select(*names).collect())) == sorted(map(str, b.select(*names).collect()))
+
+
+def test_graph_store_modes_upkeep_and_history(spark, tmp_path):
+    store = graph_store.GraphStore(spark, str(tmp_path / "g"), V, buckets=4)
+    g, h = f"<{N}g>", f"<{N}h>"
+    rules = {"titled": ("error", F.col("title") != '"bad"'), "short": ("warning", F.length("display_id") < 5)}
+    store.import_graph(document(spark, "a", "bb"), g, rules=rules)
+    with pytest.raises(ValueError, match="there already"):
+        store.import_graph(document(spark, "z"), g)
+    with pytest.raises(ValueError, match="no mode"):
+        store.import_graph(document(spark, "z"), g, "append")
+    store.import_graph(document(spark, "cc", title="bad"), g, "merge", rules)
+    store.import_graph(document(spark, "x"), h, "replace", rules)
+    store.import_graph(document(spark, "y"), None, rules=rules)  # the default graph
+    about = {r.g: (r.triples, r.status, r.issues) for r in store.store.snapshot("graphs").collect()}
+    assert about == {g: (18, "failed", 1), h: (6, "passed", 0), "": (6, "passed", 0)}
+    assert store.quads([None]).where("g is null").count() == 6
+    broken = document(spark, "q").withColumn("o", F.when(F.col("p") == RDF_TYPE, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("o")))
+    tip = store.store.tip()
+    with pytest.raises(Exception, match="lost"):
+        store.import_graph(broken, h, "merge")
+    assert store.store.tip() == tip and store.quads([h]).count() == 6
+    assert {r.s for r in store.objects(role=f"<{N}r2>", type_=f"<{N}Thing>").collect()} == {f"<{N}bb>", f"<{N}cc>"}
+    assert {r.s for r in store.objects(graphs=[h], top_level=True).collect()} == {f"<{N}x>"}
+    # An update makes one graph dirty; the views stay as they were until it is derived again.
+    q = store.quads([g])
+    gone = q.where((F.col("s") == f"<{N}a>") | (F.col("o") == f"<{N}a>"))
+    put = document(spark, "ddd").withColumn("g", F.lit(g)).union(document(spark, "bb", title="new").where(F.col("p") == f"<{N}title>").withColumn("g", F.lit(g)))
+    store.apply(put, gone.union(q.where((F.col("s") == f"<{N}bb>") & (F.col("p") == f"<{N}title>"))))
+    assert [r.g for r in store.dirty().collect()] == [g]
+    assert f"<{N}a>" in {r.s for r in store.objects().collect()}
+    before = store.store.tip()
+    store.refresh(rules)
+    assert store.refresh() is None and store.dirty().isEmpty()
+    for name, rows in derived_anew(store).items():
+        assert same_rows(store.store.snapshot(name), rows), name
+    written = {(r.s, r.gone) for r in store.store.changes("objects", after=before).collect()}
+    assert written == {(f"<{N}a>", True), (f"<{N}bb>", False), (f"<{N}ddd>", False)}
+    assert {r.s for r in store.objects(role=f"<{N}r1>").collect()} == {f"<{N}x>", f"<{N}y>"}
+    assert [(r.version, r.gone) for r in store.history(f"<{N}bb>").collect()] == [(0, False), (before + 1, False)]
+    assert same_rows(store.quads([g], as_of=0), document(spark, "a", "bb").withColumn("g", F.lit(g)))
+    store.store.compact()
+    assert store.store.vacuum() == [before + 2]
+    for name, rows in derived_anew(store).items():
+        assert same_rows(store.store.snapshot(name), rows), name
+
+
+# ---- cursors
+
+
+def test_pages_make_the_whole_and_open_few_files(spark, tmp_path):
+    rows = [(i % 5 if i % 7 else None, i, f"v{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b long, v string")
+    path, order = str(tmp_path / "pages"), ["a", "b"]
+    cursors.write_ranged(df, path, order, files=12)
+    got, at, opened, first = [], None, [], True
+    while first or at is not None:
+        page, at = cursors.page(spark, path, order, at, 45)
+        got += [tuple(r) for r in page.collect()]
+        opened.append(len(page.inputFiles()))
+        first = False
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert max(opened) <= 4 < 12 and len(opened) == 12
+    for bad in ("nonsense", cursors.encode({"b": 1}), cursors.encode({"a": 1, "b": 2})[:-6]):
+        with pytest.raises(ValueError):
+            cursors.page(spark, path, order, bad, 5)
+    cursors.write_ranged(df.limit(0), str(tmp_path / "none"), order)
+    page, at = cursors.page(spark, str(tmp_path / "none"), order, None, 5)
+    assert page.collect() == [] and at is None and page.columns == ["a", "b", "v"]
+
+
+def test_offset_pages(spark):
+    ranked = spark.range(7).orderBy(F.desc("id"))
+    got, at, first = [], None, True
+    while first or at is not None:
+        page, at = cursors.offset_page(ranked, at, 3)
+        got.append([r.id for r in page.collect()])
+        first = False
+    assert got == [[6, 5, 4], [3, 2, 1], [0]]
+    with pytest.raises(ValueError):
+        cursors.offset_page(ranked, cursors.encode({"offset": "x"}), 3)
+
+
+# ---- vectors
+
+
+def test_generations_branch_from_the_active_one(spark, tmp_path):
+    points = lambda *rows: spark.createDataFrame(list(rows), "id string, v array<double>")
+    store = vectors.Generations(spark, str(tmp_path / "v"))
+    assert store.active() is None and store.snapshot() is None
+    store.apply("one", points(("a", [1.0]), ("b", [2.0]), ("c", [3.0])))
+    store.activate("one")
+    store.apply("two", points(("b", [9.0])), points(("c", [0.0])))
+    store.apply("three", points(("d", [4.0])))  # of "one" too, as that is active
+    read = lambda name=None: {r.id: r.v for r in store.snapshot(name).collect()}
+    assert read() == {"a": [1.0], "b": [2.0], "c": [3.0]}
+    assert read("two") == {"a": [1.0], "b": [9.0]} and read("three") == {"a": [1.0], "b": [2.0], "c": [3.0], "d": [4.0]}
+    store.activate("two")
+    assert store.active() == "two" and store.delete_inactive() == [0, 1]
+    store.compact()
+    assert store.active() == "two" and read() == {"a": [1.0], "b": [9.0]}
+    assert store.delete_inactive() == [2]
+    again = vectors.Generations(spark, str(tmp_path / "v"))
+    assert {r.id for r in again.snapshot().collect()} == {"a", "b"}
+
+
+def test_filtered_cells_widen(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(100)))
+    model = cells.fit_cells(e, "embedding", "vec_id", 64)
+    indexed = cells.index_cells(e, "embedding", model).cache()
+    asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    probes = cells.calibrate_probes(indexed, model, "embedding", "vec_id", 5)
+    for share in (5, 20, 60):
+        passes = F.col("part") < share
+        true = {(r["query"], r.vec_id) for r in vectors.nearest_each(e.where(passes), "embedding", "vec_id", asked, "cosine", 5).collect()}
+        got = {(r["query"], r.vec_id) for r in cells.search_filtered(indexed, asked, model, "embedding", "vec_id", passes, k=5, probes=probes).collect()}
+        assert len(got & true) >= 0.9 * len(true)
+        by_key = cells.search_filtered(indexed, asked, model, "embedding", "vec_id", allowed=e.where(passes).select("vec_id"), k=5, probes=probes)
+        assert {(r["query"], r.vec_id) for r in by_key.collect()} == got
+    assert cells.search_filtered(indexed, asked, model, "embedding", "vec_id", F.col("part") < 0, k=5, probes=probes).collect() == []
+
+
+def test_many_queries_in_few_passes(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    asked = df.toDF("query", "q")
+    best = lambda **how: {(r["query"], r.k, round(r.score, 9)) for r in vectors.nearest_each(df, "v", "k", asked, "dot", 3, **how).collect()}
+    assert len(best()) == 360 and best() == best(block=7, held=50)
+
+
+# ---- requests
+
+
+def test_limits_and_kinds(spark):
+    rows = spark.range(50)
+    assert limits.answer(rows, limits.Limits(rows=60))[1] is False
+    got, more = limits.answer(rows, limits.Limits(rows=20))
+    assert len(got) == 20 and more
+    with pytest.raises(limits.TooLarge):
+        limits.answer(rows, limits.Limits(answer_bytes=100))
+    with pytest.raises(limits.EvaluationError):
+        limits.answer(rows.select(F.raise_error(F.lit("x")).cast("string").alias("a")))
+    assert (limits.Limits().text_bytes, limits.Limits().rows) == (65_536, 100_000)
+    with pytest.raises(limits.UnsupportedFormat):
+        limits.check_format("turtle", "solutions")
+    for sql in ("DROP TABLE a", " -- c\n insert into a select 1", "/* x */ SET a=1", "CREATE VIEW a AS SELECT 1"):
+        with pytest.raises(limits.UpdateNotAllowed):
+            limits.read_only(sql)
+    assert limits.read_only("(SELECT 1)") and limits.read_only("-- a\nWITH a AS (SELECT 1) SELECT * FROM a")
+    try:
+        spark.sql("SELECT FROM WHERE 1 x y z (")
+    except Exception as e:
+        assert limits.as_request_error(e).kind == "parse"
+
+
+def test_joins_of_unbound_variables_plan_only_parts_with_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "i int, k string")
+    b = spark.createDataFrame([("x", 5), ("y", 6)], "k string, j int")
+    got = {tuple(r) for r in patterns.join(a, b, ("k",)).select("i", "k", "j").collect()}
+    assert got == {(1, "x", 5), (2, "x", 5), (2, "y", 6)}
+    plan = patterns.join(a, b, ("k",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # b is never unbound
+    assert patterns.join(a.limit(0), b, ("k",)).collect() == [] and {r.i for r in patterns.minus(a, b, ("k",)).collect()} == {2}
+
+
+def test_classic_paths():
+    wanted, words, offset, limit = discovery.classic_request("/search/objectType=Part&role=<http://r>&x='1'&steel and wood/?offset=5&limit=7", {"role": "<p>"}, N)
+    assert wanted == {"type": f"<{N}Part>", "<p>": "<http://r>"} and (words, offset, limit) == ("steel wood", 5, 7)
