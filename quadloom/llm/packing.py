@@ -21,6 +21,10 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long,
 FILLING_STEPS = 400
 #: Nodes of the search over bins, once an incumbent is there.
 BIN_NODES = 4000
+#: Steps of the fillings of packings that set large pieces aside, and how many such packings are tried.
+APART_STEPS, APART_TRIES = 120, 24
+#: Pieces of one length that a task numbers.
+SALT_ROWS = 500_000
 #: Fillings that a node of the search over bins branches to, at most.
 BRANCHES = 40
 
@@ -135,6 +139,64 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def least_by_number(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound by how many pieces fit: of the pieces of a length or more, at most k share a bin, and only so many bins can hold k of them, as the least k pieces of each must fit; all others hold k - 1."""
+    lengths = np.array(sorted(n for n, c in counts.items() if c > 0), np.int64)
+    number = np.array([counts[int(x)] for x in lengths], np.int64)
+    best = 0
+    for a in range(len(lengths)):
+        x, n = lengths[a:], np.cumsum(number[a:])
+        s = np.cumsum(x * number[a:])
+        total, k = int(n[-1]), int(capacity // x[0])
+
+        def least_sum(m: int, x=x, n=n, s=s) -> int:
+            """The sum of the ``m`` least pieces."""
+            i = int(np.searchsorted(n, m))
+            return int(s[i] - (n[i] - m) * x[i])
+
+        while k > 1 and (k > total or least_sum(k) > capacity):
+            k -= 1
+        if k <= 1:
+            best = max(best, total)
+            continue
+        low, high = 0, total // k
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if least_sum(k * middle) <= middle * capacity else (low, middle - 1)
+        best = max(best, low + -(-(total - k * low) // (k - 1)))
+    return best
+
+
+def _apart(counts: dict[int, int], capacity: int, aside: int, steps: int) -> list[tuple[Filling, int]]:
+    """Bins of the ``aside`` largest pieces by themselves, and of the rest by themselves: large ones that would spoil fuller bins keep each other company."""
+    high, low = {}, dict(counts)
+    for x in sorted(counts, reverse=True):
+        take = min(aside, counts[x])
+        if not take:
+            break
+        high[x], low[x] = take, counts[x] - take
+        aside -= take
+    return _incumbent(high, capacity, steps) + _incumbent(low, capacity, steps)
+
+
+def _best_apart(counts: dict[int, int], capacity: int, least: int) -> list[tuple[Filling, int]]:
+    """The best of ``_apart`` over a grid of numbers set aside, refined about the best of them."""
+    total, tried = sum(counts.values()), {}
+
+    def bins(aside: int) -> int:
+        if aside not in tried:
+            packing = _apart(counts, capacity, aside, APART_STEPS)
+            tried[aside] = (sum(t for _, t in packing), packing)
+        return tried[aside][0]
+
+    step = max(1, total // 8)
+    best = min(range(0, total + 1, step), key=bins)
+    while step > 1 and len(tried) < APART_TRIES and bins(best) > least:
+        step = max(1, step // 2)
+        best = min((x for x in (best - step, best, best + step) if 0 <= x <= total), key=bins)
+    return tried[best][1]
+
+
 def _complete(left: _Left, room: int, steps: int) -> tuple[Filling, int]:
     """The filling of least waste that the search finds, with best fit as its incumbent."""
     filling, waste = left.best_fit(room)
@@ -219,18 +281,23 @@ def pack_histogram(counts: dict[int, int], capacity: int, bin_nodes: int = BIN_N
 
     Bin completion: the largest length left opens a bin, whose undominated fillings are the
     branches; waste beyond that of the incumbent less a bin ends one. Best fit and best completion
-    are the first incumbents. One that meets the lower bound is optimal and ends the search, which
-    otherwise stops after ``bin_nodes`` nodes. All work is by distinct lengths, at most
+    are the first incumbents, and packings that set the largest pieces aside the next. One that
+    meets the lower bound, by lengths or by the number of pieces, is optimal and ends the search,
+    which otherwise stops after ``bin_nodes`` nodes: the result is then a packing, not proven the
+    least. All work is by distinct lengths, at most
     ``capacity``, and a filling is repeated as often as its lengths last, so neither grows with
     the number of documents.
     """
-    least = least_bins(counts, capacity)
+    counts = {n: c for n, c in counts.items() if c > 0}
+    least = max(least_bins(counts, capacity), least_by_number(counts, capacity))
     number = lambda bins: sum(t for _, t in bins)
     best = _incumbent(counts, capacity, FILLING_STEPS)
     if number(best) > least:
         best = min(best, _incumbent(counts, capacity, 0), key=number)
     if number(best) > least:
-        best = _search({n: c for n, c in counts.items() if c > 0}, capacity, number(best), least, bin_nodes) or best
+        best = min(best, _best_apart(counts, capacity, least), key=number)
+    if number(best) > least:
+        best = _search(counts, capacity, number(best), least, bin_nodes) or best
     return [(tuple(x for x, n in filling for _ in range(n)), times) for filling, times in best]
 
 
@@ -281,7 +348,8 @@ def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
             offset += x
         first += times
     places = df.sparkSession.createDataFrame(slots, "length long, low long, high long, first_sequence long, offset long")
-    ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
+    salts = max(32, -(-max(counts.values(), default=0) // SALT_ROWS))
+    ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", salts)
     at = (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high"))
     # The places hold a few rows for each of at most ``capacity`` lengths, whatever the table holds.
     return ranked.join(F.broadcast(places), at).select(*[ranked[c] for c in pieces.columns], (F.col("first_sequence") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
