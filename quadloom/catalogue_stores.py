@@ -6,9 +6,9 @@ import functools
 
 from pyspark.sql import functions as F
 
-from .catalogue import _dna, key, name, query, table, text_of
+from .catalogue import _DNA, ORACLES, _dna, key, name, quads, query, table, text_of
 from .functions import terms as x
-from .operators import alignment, cursors, graph_store, postings, sequence_store, views
+from .operators import alignment, cursors, graph_store, postings, sequence_store, text_index, traverse, views
 from .plans.lineage import fresh_path
 from .sources import quads as qs
 
@@ -179,3 +179,88 @@ def cursor_pages(spark, d):
         out = rows if out is None else out.union(rows)
         n += 1
     return out
+
+
+# ---- sketches and ranks in SQL
+
+_M = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(name: str, source: str, keep: str, cells: dict[str, str]) -> str:
+    """Tables that end in ``name``: the SplitMix64 of each expression of ``cells`` over the rows of ``source``, beside ``keep``. The numbers are fixed in its definition."""
+    step = lambda c, shift, by: f"((xor({c}::UBIGINT, {c}::UBIGINT >> {shift}))::UHUGEINT * {by}::UHUGEINT) % {_M} AS {c}"
+    first = ", ".join(f"({e}::UHUGEINT + 11400714819323198485::UHUGEINT) % {_M} AS {c}" for c, e in cells.items())
+    second = ", ".join(step(c, 30, 13787848793156543929) for c in cells)
+    third = ", ".join(step(c, 27, 10723151780598845931) for c in cells)
+    last = ", ".join(f"xor({c}::UBIGINT, {c}::UBIGINT >> 31)::UBIGINT AS {c}" for c in cells)
+    return f"{name}_0 AS (SELECT {keep}, {first} FROM {source}), {name}_1 AS (SELECT {keep}, {second} FROM {name}_0), {name}_2 AS (SELECT {keep}, {third} FROM {name}_1), {name} AS MATERIALIZED (SELECT {keep}, {last} FROM {name}_2)"
+
+
+def _code(letters: str, to: str) -> str:
+    return f"list_reduce(list_transform(string_split(translate({letters}, 'ACGT', '{to}'), ''), lambda c: c::UBIGINT), lambda h, c: h * 4 + c)"
+
+
+_SKETCHES = (
+    _DNA
+    + f""", w AS (SELECT DISTINCT doc_id, substr(seq, i::INT + 1, 14) AS f FROM s, unnest(range(0, length(seq) - 13)) u(i)), d AS MATERIALIZED (SELECT f, least({_code("f", "0123")}, {_code("reverse(f)", "3210")})::UBIGINT AS km FROM (SELECT DISTINCT f FROM w)),
+    k AS MATERIALIZED (SELECT DISTINCT doc_id, km FROM w JOIN d USING (f)), u AS (SELECT DISTINCT km FROM k), """
+    + _mixed("h", "u", "km", {"a": "km", "b": "xor(km, 11936128518282651045::UBIGINT)"})
+    + f""", slots AS MATERIALIZED (SELECT doc_id, i, min((a::UHUGEINT + i::UHUGEINT * (CASE WHEN b % 2 = 0 THEN b + 1 ELSE b END)::UHUGEINT) % {_M})::UBIGINT AS slot FROM k JOIN h USING (km), range(32) r(i) GROUP BY 1, 2),
+    n AS (SELECT i::UBIGINT AS n FROM range(8) r(i)), """
+    + _mixed("seeds", "n", "n", {"acc": "xor(n, 2611923443488327891::UBIGINT)"})
+    + ", b0 AS (SELECT doc_id, n, acc FROM seeds, (SELECT DISTINCT doc_id FROM slots)), "
+    + ", ".join(_mixed(f"b{j + 1}", f"(SELECT b{j}.doc_id, n, acc, slot FROM b{j} JOIN slots ON slots.doc_id = b{j}.doc_id AND slots.i = n * 4 + {j})", "doc_id, n", {"acc": "xor(acc, slot)"}) for j in range(4))
+    + ", bands AS (SELECT doc_id, (CASE WHEN acc >= 9223372036854775808::UBIGINT THEN acc::HUGEINT - 18446744073709551616::HUGEINT ELSE acc::HUGEINT END)::BIGINT AS band FROM b4) "
+)
+ORACLES["sketch_bands"] = _SKETCHES + "SELECT doc_id, band FROM bands"
+ORACLES["lsh_candidates"] = _SKETCHES + "SELECT DISTINCT q.doc_id AS query, b.doc_id FROM bands q JOIN bands b USING (band) WHERE q.doc_id % 50 = 0 AND q.doc_id <> b.doc_id"
+
+
+def _rank_rounds(rounds: int) -> str:
+    out = "r0 AS (SELECT k, 1.0::DOUBLE / t AS r FROM n, c)"
+    for i in range(rounds):
+        out += f""", l{i} AS (SELECT coalesce(sum(r), 0) AS lost FROM r{i} WHERE k NOT IN (SELECT s FROM g)), m{i} AS (SELECT d AS k, sum(r / deg) AS got FROM r{i} JOIN e ON s = k JOIN g USING (s) GROUP BY 1),
+        t{i} AS (SELECT k, 0.15 / t + 0.85 * lost / t + 0.85 * coalesce(got, 0) AS r FROM n LEFT JOIN m{i} USING (k), c, l{i}), r{i + 1} AS MATERIALIZED (SELECT k, r / (SELECT sum(r) FROM t{i}) AS r FROM t{i})"""
+    return out
+
+
+@query(
+    f"""WITH o AS (SELECT 'orders/' || o_orderkey AS s, 'customer/' || o_custkey AS d FROM orders UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation),
+    n AS (SELECT 'orders/' || o_orderkey AS k FROM orders UNION ALL SELECT 'customer/' || c_custkey FROM customer UNION ALL SELECT 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region),
+    e AS MATERIALIZED (SELECT DISTINCT s, d FROM (SELECT * FROM o UNION ALL SELECT a.s, b.d FROM o a JOIN o b ON a.d = b.s) WHERE d IN (SELECT k FROM n)), g AS MATERIALIZED (SELECT s, count(*) AS deg FROM e GROUP BY 1), c AS (SELECT count(*) AS t FROM n), {_rank_rounds(5)}
+    SELECT k AS node, round(r, 9) AS rank FROM r5"""
+)
+def pagerank_rounds(spark, d):
+    """Five rounds over orders, customers, nations and regions, linked in one or two steps."""
+    q = quads(spark, d, "orders", "customer", "nation", "region", columns=["o_custkey", "c_nationkey", "n_regionkey", "r_name"])
+    nodes = q.select("s").distinct()
+    r = traverse.pagerank(nodes, traverse.link_graph(q.where(F.col("p") != x.RDF_TYPE), nodes), tolerance=-1.0, rounds=5)
+    return r.select(F.regexp_extract("node", "org/(.*)>", 1).alias("node"), F.round("rank", 9).alias("rank"))
+
+
+# ---- typed rows and index documents
+
+
+@query("SELECT o_orderkey AS o, n_name AS display_id, c_mktsegment AS role, 'nation/' || n_nationkey AS sequence FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 4 = 0")
+def typed_components(spark, d):
+    """Components with their roles and sequences: orders, with the segment and the nation of their customer."""
+    base = "http://sbols.org/v3#"
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = table(spark, d, "orders").where("o_orderkey % 4 = 0").join(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(n, "c_nationkey")
+    s = x.iri(F.concat(F.lit(qs.BASE + "order/"), "o_orderkey"))
+    row = lambda p, o: rows.select(F.lit(name("g/typed")).alias("g"), s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    q = row(x.RDF_TYPE, F.lit(f"<{base}Component>")).union(row(f"<{base}displayId>", x.literal(F.col("n_name"), None))).union(row(f"<{base}role>", x.literal(F.col("c_mktsegment"), None))).union(row(f"<{base}hasSequence>", qs.node("nation", F.col("c_nationkey"))))
+    other = row(x.RDF_TYPE, F.lit(f"<{base}Other>")).withColumn("s", F.lit(name("other")))
+    t = views.typed_projection(q.union(other), "component", base)
+    return t.select(key("s").alias("o"), text_of("display_id").alias("display_id"), x.str_(F.element_at("roles", 1)).alias("role"), F.regexp_extract(F.element_at("sequences", 1), "org/(.*)>", 1).alias("sequence"))
+
+
+@query("SELECT p_partkey AS p, CASE WHEN p_partkey % 2 = 0 THEN 'even/' || p_brand ELSE 'g/' || p_brand END AS g, p_name AS display_id FROM part")
+def text_index_graphs(spark, d):
+    """Index documents name the external graph of their own where there is one."""
+    p = table(spark, d, "part")
+    graph = x.iri(F.concat(F.lit(qs.BASE + "g/"), F.col("p_partkey") % 2, F.lit("/"), "p_brand"))
+    q = qs.table_quads(p, "part", "p_partkey", columns=["p_name"], graph=graph)
+    even = p.where("p_partkey % 2 = 0").select(x.iri(F.concat(F.lit(qs.BASE + "g/0/"), "p_brand")).alias("g"), x.iri(F.concat(F.lit(qs.BASE + "even/"), "p_brand")).alias("external")).distinct()
+    docs = text_index.assemble(q, {"display_id": name("p_name")}, x.RDF_TYPE, graphs=even)
+    return docs.select(key("s").alias("p"), F.regexp_replace(F.regexp_extract("g", "org/(.*)>", 1), "g/1/", "g/").alias("g"), "display_id")
