@@ -12,6 +12,7 @@ from quadloom.operators import alignment, banded, cells, cursors, discovery, gra
 from quadloom.operators.views import Vocabulary
 from quadloom.plans import limits
 from quadloom.sources.versions import Conflict, Table, VersionedStore
+from quadloom.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -443,3 +444,19 @@ def test_joins_of_unbound_variables_plan_only_parts_with_rows(spark):
 def test_classic_paths():
     wanted, words, offset, limit = discovery.classic_request("/search/objectType=Part&role=<http://r>&x='1'&steel and wood/?offset=5&limit=7", {"role": "<p>"}, N)
     assert wanted == {"type": f"<{N}Part>", "<p>": "<http://r>"} and (words, offset, limit) == ("steel wood", 5, 7)
+
+
+def test_stream_into_a_graph_store(spark, tmp_path):
+    store = graph_store.GraphStore(spark, str(tmp_path / "g"), V, buckets=4)
+    files = str(tmp_path / "in")
+    quad = lambda i: (f"<{N}g{i % 2}>" if i % 3 else None, f"<{N}s{i}>", f"<{N}title>", f'"{i}"')
+    schema = "g string, s string, p string, o string"
+    seen = set()
+    for low, high in ((0, 6), (3, 9), (3, 9), (8, 12)):
+        spark.createDataFrame([quad(i) for i in range(low, high)], schema).coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(schema).parquet(files)
+        incremental.upkeep_graphs(stream, store, str(tmp_path / "checkpoint"), compact_every=2).awaitTermination()
+        seen |= {quad(i) for i in range(low, high)}
+        assert {tuple(r) for r in store.quads().collect()} == seen
+    notes = [v.note for v in store.store.log()]
+    assert notes == ["batch 0", "batch 1", "batch 1, compacted", "batch 3", "batch 3, compacted"]  # the third brought nothing new
