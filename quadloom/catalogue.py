@@ -223,10 +223,13 @@ def sparql_from_scope(spark, d):
     return patterns.aggregate(patterns.match(t, "?s", name("lang"), "?lang"), ["lang"], n=F.count("*")).withColumn("lang", text_of("lang"))
 
 
-@query("SELECT doc_id AS doc FROM documents WHERE false")
+@query("SELECT doc_id AS doc, 'one' AS scope FROM documents WHERE lang = 'fr'")
 def sparql_scope_denied(spark, d):
-    q = quads(spark, d, "documents", columns=["lang"])
-    return patterns.match(qs.in_graphs(q, None, allowed=[]), "?s", name("lang"), "?l").select(key("s").alias("doc"))
+    """A scope of no graph sees nothing, whatever is asked for; one of a single graph sees that one's rows."""
+    df = table(spark, d, "documents").select("doc_id", "lang")
+    q = qs.table_quads(df, "documents", "doc_id", columns=["lang"], graph=x.iri(F.concat(F.lit(qs.BASE + "g/"), "lang")))
+    seen = lambda scope, **how: patterns.match(qs.in_graphs(q, [name("g/fr"), name("g/de")], **how), "?s", name("lang"), "?l").select(key("s").alias("doc"), F.lit(scope).alias("scope"))
+    return seen("none", allowed=[]).union(seen("one", allowed=[name("g/fr")]))
 
 
 @query(

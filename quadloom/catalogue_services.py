@@ -618,13 +618,13 @@ def sequence_search_exact(spark, d):
 @query(
     _DNA
     + """, k AS (SELECT DISTINCT doc_id, substr(seq, i::INT + 1, 12) f FROM s, unnest(range(0, length(seq) - 11)) u(i)), c AS (SELECT doc_id, least(f, upper(translate(reverse(lower(f)), 'acgt', 'tgca'))) m FROM k),
-    q AS (SELECT DISTINCT least(substr(seq, i::INT + 1, 12), upper(translate(reverse(lower(substr(seq, i::INT + 1, 12))), 'acgt', 'tgca'))) m, doc_id query FROM (SELECT doc_id, substr(seq, 1, 60) seq FROM s WHERE doc_id % 50 = 0), unnest(range(0, length(seq) - 11)) u(i))
+    q AS (SELECT DISTINCT least(substr(seq, i::INT + 1, 12), upper(translate(reverse(lower(substr(seq, i::INT + 1, 12))), 'acgt', 'tgca'))) m, doc_id query FROM (SELECT doc_id, seq FROM s WHERE doc_id % 50 = 0), unnest(range(0, length(seq) - 11)) u(i))
     SELECT DISTINCT query, doc_id FROM q JOIN c USING (m) UNION SELECT a.doc_id, b.doc_id FROM s a, s b WHERE a.doc_id % 50 = 0 AND length(a.seq) < 12"""
 )
 def sequence_align_candidates(spark, d):
     s = _dna(spark, d)
     index = sequences.kmers(s, "seq", "doc_id", 12).select("doc_id", "kmer").distinct()
-    queries = s.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.substring("seq", 1, 60).alias("q"))
+    queries = s.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.col("seq").alias("q"))
     return sequences.align_candidates(index, queries, s, "doc_id", 12)
 
 
