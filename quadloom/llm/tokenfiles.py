@@ -34,12 +34,13 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, text: str = "tex
     given, there are as many as the texts' bytes ask for.
 
     A null text is empty: its row holds only the end id. Null keys come first; rows of one key
-    stay rows, in any order among themselves. Other columns are not read. No rows: no chunks.
+    stay rows, in any order among themselves, and many of them are spread over parts by their texts. Other columns are not read. No rows: no chunks.
     """
     if not parts:
         size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long") + 1)).first()[0] or 0
         parts = max(1, -(-size // PART_BYTES))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = rows.repartitionByRange(parts, "key", F.xxhash64("text")).sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
