@@ -15,13 +15,13 @@ from ..operators.ranking import hash_sample
 from ..plans.lineage import cut
 
 #: Projections in all, and those that are sorted.
-PROJECTIONS, LEADS = 48, 8
+PROJECTIONS, LEADS = 48, 4
 #: Cells of a quantised projection to either side of a query's, in its window.
 WINDOW_CELLS = 4
 #: Recall aimed at, for a pair at the threshold: of meeting in a sorted projection, and of the collision count.
 MEET, COUNT = 0.96, 0.97
-#: Vectors of a block, and the sample that sets the blocks' bounds (at most 5000 blocks).
-BLOCK_ROWS, SAMPLE_ROWS = 4096, 20_000
+#: Vectors of a block, and the least sample that sets the blocks' bounds; a large table's has ``SAMPLE_A_BLOCK`` for each block.
+BLOCK_ROWS, SAMPLE_ROWS, SAMPLE_A_BLOCK = 4096, 20_000, 8
 SEED = 3
 
 
@@ -118,11 +118,13 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _links_of(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     cell, least = calibrate(cosine, dim)
     plane = directions(dim)
-    drawn = hash_sample(nodes.select("vector", "node"), "node", SAMPLE_ROWS).select("vector").toArrow()
+    wanted = -(-n // BLOCK_ROWS)
+    drawn = hash_sample(nodes.select("vector", "node"), "node", max(SAMPLE_ROWS, SAMPLE_A_BLOCK * wanted)).select("vector").toArrow()
     sample = np.sort(_units(drawn.column("vector"), dim) @ plane[:, :LEADS], axis=0)
-    blocks = max(1, min(-(-n // BLOCK_ROWS), len(sample) // 4))
+    blocks = max(1, min(wanted, len(sample) // 4))
     bounds = sample[[len(sample) * i // blocks for i in range(1, blocks)]].T.copy() if blocks > 1 else np.zeros((LEADS, 0))
     reach = (WINDOW_CELLS + 1) * cell
+    width = 1 if math.sqrt(2 - 2 * cosine) / cell + 2 * WINDOW_CELLS + 2 < 256 else 2
     # The last block that a window from any row of a block reaches.
     far = np.array([[int(np.searchsorted(b, b[i] + reach, "right")) if i < blocks - 1 else blocks - 1 for i in range(blocks)] for b in bounds])
 
@@ -153,8 +155,10 @@ def _links_of(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
         u, p = u[order], p[order]
         node, copies = np.array(table.column("node"))[order], np.array(table.column("copies"))[order]
         head = int((~second).sum()) if a != c else 0
-        # Not clipped: vectors far out must not seem to meet. |p| is at most 1, so differences are within 2 / cell.
-        q = np.ascontiguousarray(np.round(p / cell).astype(np.int16 if 1 / cell < 16_000 else np.int64).T)
+        # Modulo 2^8 or 2^16: two vectors within the threshold are never as far apart as that, so only
+        # others may seem to meet where they don't, and the cosine tells those.
+        q = np.ascontiguousarray((np.round(p / cell).astype(np.int64) & (256**width - 1)).astype(f"u{width}").T)
+        ahead = q + q.dtype.type(WINDOW_CELLS)
         total, root = np.zeros(len(u), np.int64), np.arange(len(u))
         lefts, rights = [], []
         for o in range(1, len(u)):
@@ -166,7 +170,7 @@ def _links_of(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
                 if a == c:
                     break
                 continue
-            meet = np.abs(q[:, low + o : high + o] - q[:, low:high]) <= WINDOW_CELLS
+            meet = ahead[:, low + o : high + o] - q[:, low:high] <= 2 * WINDOW_CELLS
             fine = meet[j] & near & (meet.sum(axis=0, dtype=np.int8) >= least)
             if j:
                 fine &= ~meet[:j].any(axis=0)
