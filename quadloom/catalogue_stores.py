@@ -64,7 +64,10 @@ def _part_document(spark, d, brands, suffix=""):
 
 _ALL = [f"Brand#{i}" for i in range(1, 26)]
 _MOST = [b for b in _ALL if b not in ("Brand#3", "Brand#7")]
-_RULES = {"short": ("error", F.length("display_id") < 16), "economy": ("warning", F.col("title") != '"ECONOMY"')}
+
+
+def _rules():
+    return {"short": ("error", F.length("display_id") < 16), "economy": ("warning", F.col("title") != '"ECONOMY"')}
 
 
 @functools.lru_cache(1)
@@ -75,10 +78,10 @@ def _imported(spark, d):
 
 def _import(spark, d):
     found = graph_store.GraphStore(spark, fresh_path(spark, "graphs"), _PART, buckets=8)
-    found.import_graph(_part_document(spark, d, _MOST), name("g/most"), rules=_RULES)
-    found.import_graph(_part_document(spark, d, ["Brand#3"], " old"), name("g/few"), rules=_RULES)
-    found.import_graph(_part_document(spark, d, ["Brand#3"]), name("g/few"), "replace", _RULES)
-    found.import_graph(_part_document(spark, d, ["Brand#7"]), name("g/few"), "merge", _RULES)
+    found.import_graph(_part_document(spark, d, _MOST), name("g/most"), rules=_rules())
+    found.import_graph(_part_document(spark, d, ["Brand#3"], " old"), name("g/few"), rules=_rules())
+    found.import_graph(_part_document(spark, d, ["Brand#3"]), name("g/few"), "replace", _rules())
+    found.import_graph(_part_document(spark, d, ["Brand#7"]), name("g/few"), "merge", _rules())
     return found
 
 
@@ -107,7 +110,7 @@ def stored_view_upkeep(spark, d):
     q = found.quads([name("g/few")]).where((F.col("p") == name("p_name")) & (key("s") % 2 == 0))
     found.apply(q.withColumn("o", x.literal(F.concat(text_of("o"), F.lit(" new")))), q)
     before = found.store.tip()
-    found.refresh(_RULES)
+    found.refresh(_rules())
     made = views.object_metadata(found.quads(), _PART)
     kept = found.objects()
     differing = made.join(kept, [F.equal_null(made[c], kept[c]) for c in kept.columns], "left_anti").agg(F.count("*").alias("differing"))
