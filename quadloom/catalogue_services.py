@@ -253,7 +253,7 @@ def update_remove_collection(spark, d):
     own = lambda p: q.where(F.col("p") == name(p)).select("g", "s", F.lit(name("top")).alias("p"), F.col("s").alias("o"))
     top = own("r_name").union(own("n_regionkey")).union(q.where(F.col("p") == name("s_nationkey")).select("g", "s", F.lit(name("top")).alias("p"), "o"))
     held = q.where(F.col("p") == name("n_regionkey")).select("g", F.col("o").alias("s"), F.lit(name("member")).alias("p"), F.col("s").alias("o"))
-    left = updates.remove_object(q.union(top).union(held), name("region/2"), name("top"), name("member"), with_members=True)
+    left = updates.remove_object(cut(q.union(top).union(held)), name("region/2"), name("top"), name("member"), with_members=True)
     return left.select(short("s").alias("s")).distinct()
 
 

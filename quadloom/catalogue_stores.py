@@ -91,7 +91,7 @@ _OF = "CASE WHEN p_brand IN ('Brand#3', 'Brand#7') THEN 'few' ELSE 'most' END"
 @query(f"SELECT {_OF} AS g, sum(6 + (p_partkey % 2 = 0)::INT)::BIGINT AS triples, CASE WHEN bool_or(length(p_name) >= 14) THEN 'failed' WHEN bool_or(p_type = 'ECONOMY') THEN 'warning' ELSE 'passed' END AS status, count(*) FILTER (length(p_name) >= 14) + count(*) FILTER (p_type = 'ECONOMY') AS issues FROM part GROUP BY 1")
 def import_document(spark, d):
     """What is stored of each imported graph: triples, how validation went, findings."""
-    return _imported(spark, d).store.snapshot("graphs").select(F.regexp_extract("g", "g/(.*)>", 1).alias("g"), "triples", "status", "issues")
+    return _imported(spark, d).store.snapshot("graphs").select(F.regexp_extract("g", "/g/(.*)>", 1).alias("g"), "triples", "status", "issues")
 
 
 @query("SELECT p_partkey AS p, p_name AS display_id, NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = part.p_brand AND q.p_partkey <> part.p_partkey AND part.p_partkey IN (q.p_partkey // 2, q.p_partkey // 2 // 2) AND (q.p_partkey // 2 = part.p_partkey OR EXISTS (SELECT 1 FROM part h WHERE h.p_partkey = q.p_partkey // 2 AND CASE WHEN h.p_brand IN ('Brand#3', 'Brand#7') THEN 'few' ELSE 'most' END = CASE WHEN part.p_brand IN ('Brand#3', 'Brand#7') THEN 'few' ELSE 'most' END))) AS is_root FROM part WHERE p_partkey % 2 = 0 AND p_type = 'SMALL' AND p_brand = 'Brand#7'")
