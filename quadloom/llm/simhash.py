@@ -164,8 +164,8 @@ def _labelled(rows: DataFrame, node: str, components: DataFrame) -> DataFrame:
 
 #: 64-bit words of a wide fingerprint, and bits of a segment of its ring.
 WORDS, SEGMENT_BITS = 8, 2
-#: Words of the chain that follows a start: with the start nearly the whole ring, so that few pairs beyond the bound are paired at all.
-CHAIN = 7
+#: Words of the chain that follows a start. Seven were tried: they leave out a seventh of the pairs, for two fifths more to be shuffled.
+CHAIN = 4
 #: Fingerprints that a start should hold on average, as a power of two; the bits of a start follow from it and their number.
 START_ROWS_LOG2 = 5
 #: Bits that a start of the first pass, in which all meet one leader, has more; and its starts.
