@@ -15,7 +15,9 @@ from ..operators.ranking import hash_sample
 from ..plans.lineage import cut
 
 #: Projections in all, and those that are sorted.
-PROJECTIONS, LEADS = 48, 4
+PROJECTIONS, LEADS = 48, 3
+#: Projections counted for every pair; the rest only for pairs that they could still bring up to the least count.
+COUNTED = 40
 #: Cells of a quantised projection to either side of a query's, in its window.
 WINDOW_CELLS = 4
 #: Recall aimed at, for a pair at the threshold: of meeting in a sorted projection, and of the collision count.
@@ -158,24 +160,27 @@ def _links_of(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
         # Modulo 2^8 or 2^16: two vectors within the threshold are never as far apart as that, so only
         # others may seem to meet where they don't, and the cosine tells those.
         q = np.ascontiguousarray((np.round(p / cell).astype(np.int64) & (256**width - 1)).astype(f"u{width}").T)
-        ahead = q + q.dtype.type(WINDOW_CELLS)
+        ahead, along = q + q.dtype.type(WINDOW_CELLS), np.ascontiguousarray(p[:, j])
         total, root = np.zeros(len(u), np.int64), np.arange(len(u))
         lefts, rights = [], []
         for o in range(1, len(u)):
             low, high = (max(head - o, 0), min(head, len(u) - o)) if a != c else (0, len(u) - o)
             if low >= high:
                 break
-            near = p[low + o : high + o, j] - p[low:high, j] <= reach
+            near = along[low + o : high + o] - along[low:high] <= reach
             if not near.any():
                 if a == c:
                     break
                 continue
-            meet = ahead[:, low + o : high + o] - q[:, low:high] <= 2 * WINDOW_CELLS
-            fine = meet[j] & near & (meet.sum(axis=0, dtype=np.int8) >= least)
+            meet = ahead[:COUNTED, low + o : high + o] - q[:COUNTED, low:high] <= 2 * WINDOW_CELLS
+            count = meet.sum(axis=0, dtype=np.int8)
+            fine = meet[j] & near & (count >= least - (PROJECTIONS - COUNTED))
             if j:
                 fine &= ~meet[:j].any(axis=0)
-            x = np.flatnonzero(fine) + low
+            x = np.flatnonzero(fine)
             if len(x):
+                more = (ahead[COUNTED:, x + low + o] - q[COUNTED:, x + low] <= 2 * WINDOW_CELLS).sum(axis=0)
+                x = x[count[x] + more >= least] + low
                 x = x[np.einsum("ij,ij->i", u[x], u[x + o]) >= cosine]
                 lefts.append(x)
                 rights.append(x + o)
