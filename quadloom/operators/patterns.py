@@ -126,6 +126,23 @@ def exists(a: DataFrame, b: DataFrame, negate: bool = False, condition: Column |
     return left.join(right, on, how)
 
 
+def exists_greater(a: DataFrame, b: DataFrame, left: Column, right: Column, negate: bool = False) -> DataFrame:
+    """FILTER (NOT) EXISTS with one condition: ``right``, a number of ``b``, greater than ``left``, one of ``a``; null on either side is no match.
+
+    Some number is greater if the greatest is, so ``b`` is reduced to that, a row a binding of the
+    shared variables, and what is joined grows with the rows of both sides rather than with their
+    pairs. NaN is read as SPARQL does: greater than nothing, and nothing greater than it.
+    """
+    keys = _shared(a, b)
+    number = right.cast("double")
+    most = b.select(*keys, F.when(~F.isnan(number), right).alias("_most")).groupBy(*keys).agg(F.max("_most").alias("_most"))
+    rows = a.withColumn("_than", left)
+    on = (F.col("_most") > F.col("_than")) & ~F.isnan(F.col("_than").cast("double"))
+    for k in keys:
+        on = on & (rows[k] == most[k])
+    return rows.join(most, on, "left_anti" if negate else "left_semi").drop("_than")
+
+
 def values(spark, names: list[str], rows: list[tuple]) -> DataFrame:
     """VALUES: an inline table; None is unbound, and no rows are no solutions."""
     return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))

@@ -35,3 +35,16 @@ def test_candidates_by_blocks(spark, monkeypatch):
     assert plan_of(found).count("Exchange") == 1  # of texts, not of pairs
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_exists_greater_as_pairs(spark):
+    from quadloom.operators import patterns
+
+    a = spark.createDataFrame([("n1", "a1", 1.0), ("n1", "a2", 9.0), ("n2", "a3", -5.0), ("n3", "a4", 0.0), ("n1", "a5", None), ("n1", "a6", float("nan")), (None, "a7", 0.0)], "n string, s string, x double")
+    b = spark.createDataFrame([("n1", 5.0), ("n1", 2.0), ("n1", None), ("n2", None), ("n2", float("nan"))], "n string, y double")
+    for negate in (False, True):
+        pairs = patterns.exists(a, b, negate, ~F.isnan("b.y") & ~F.isnan("a.x") & (F.col("b.y") > F.col("a.x") + 1))
+        found = patterns.exists_greater(a, b, F.col("x") + 1, F.col("y"), negate)
+        assert found.columns == a.columns
+        assert sorted(r.s for r in found.collect()) == sorted(r.s for r in pairs.collect())
+    assert [r.s for r in patterns.exists_greater(a, b, F.col("x") + 1, F.col("y")).collect()] == ["a1"]
