@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST = 5000
@@ -70,6 +70,19 @@ def page(spark: SparkSession, path: str, order: list[str], cursor: str | None, n
     return rows.limit(n), more
 
 
+def pages(spark: SparkSession, path: str, order: list[str], n: int) -> DataFrame:
+    """Every row with the number of its page, from 0, as a walk by ``page`` from no cursor on gives them: in one pass, for all pages at once.
+
+    Rows are numbered within their file, and the table of files, a row each, gives each its first number.
+    """
+    n = max(1, min(n, MOST))
+    before = F.sum("rows").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    starts = spark.read.parquet(f"{path}/files").select("file", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = spark.read.parquet(f"{path}/rows")
+    numbered = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("_i", F.row_number().over(Window.partitionBy("file").orderBy(*order)) - 1)
+    return numbered.join(F.broadcast(starts), "file").select(*rows.columns, F.floor((F.col("_before") + F.col("_i")) / n).cast("int").alias("page"))
+
+
 def offset_page(ranked: DataFrame, cursor: str | None, n: int) -> tuple[DataFrame, str | None]:
     """(rows of a ranked result from the cursor's offset on, the next cursor or None): for results that are short, as those of a search, and made anew for each page."""
     at = 0

@@ -48,3 +48,23 @@ def test_exists_greater_as_pairs(spark):
         assert found.columns == a.columns
         assert sorted(r.s for r in found.collect()) == sorted(r.s for r in pairs.collect())
     assert [r.s for r in patterns.exists_greater(a, b, F.col("x") + 1, F.col("y")).collect()] == ["a1"]
+
+
+def test_pages_in_one_pass_as_by_cursors(spark, tmp_path):
+    from quadloom.operators import cursors
+
+    rows = [(None if i % 11 == 0 else f"g{i % 3}", i, "x") for i in range(137)]
+    path, order = str(tmp_path / "pages"), ["g", "i"]
+    cursors.write_ranged(spark.createDataFrame(rows, "g string, i long, v string").repartition(3), path, order, 5)
+    walked, at, n = {}, None, 0
+    while n == 0 or at is not None:
+        page, at = cursors.page(spark, path, order, at, 20)
+        walked |= {r.i: n for r in page.collect()}
+        n += 1
+    found = cursors.pages(spark, path, order, 20)
+    assert {r.i: r.page for r in found.collect()} == walked and found.count() == 137
+    many = cursors.pages(spark, path, order, 1)
+    assert plan_of(many).count("Scan parquet") == 2 and {r.i: r.page for r in many.collect()} == {i: n for n, i in enumerate(sorted(walked, key=lambda i: (rows[i][0] or "", i)))}
+    empty = str(tmp_path / "none")
+    cursors.write_ranged(spark.createDataFrame([], "g string, i long, v string"), empty, order)
+    assert cursors.pages(spark, empty, order, 20).collect() == []
