@@ -68,3 +68,18 @@ def test_pages_in_one_pass_as_by_cursors(spark, tmp_path):
     empty = str(tmp_path / "none")
     cursors.write_ranged(spark.createDataFrame([], "g string, i long, v string"), empty, order)
     assert cursors.pages(spark, empty, order, 20).collect() == []
+
+
+def test_postings_of_a_common_kmer_are_several_files(spark, tmp_path):
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    df = spark.range(4000).select("id", F.lit("A" * 60).alias("s")).repartition(8)
+    path = str(tmp_path / "kmers")
+    spark.conf.set(setting, "32KB")
+    try:
+        sequences.write_kmer_index(sequences.kmers(df, "s", "id", 4), path)
+    finally:
+        spark.conf.unset(setting)
+    index = spark.read.parquet(path)
+    assert index.count() == 4000 * 57 and index.select("bucket").distinct().count() == 1
+    assert len(index.inputFiles()) > 1
+    assert sequences.indexed_hits(index, df, "s", "id", "aaaa", 4).select("id").distinct().count() == 4000
