@@ -83,3 +83,21 @@ def test_postings_of_a_common_kmer_are_several_files(spark, tmp_path):
     assert index.count() == 4000 * 57 and index.select("bucket").distinct().count() == 1
     assert len(index.inputFiles()) > 1
     assert sequences.indexed_hits(index, df, "s", "id", "aaaa", 4).select("id").distinct().count() == 4000
+
+
+def test_index_blocks_meet_as_one(spark, tmp_path, monkeypatch):
+    from quadloom.operators import postings
+
+    word = lambda i: f"wo{'abcdefgh'[i % 8] * (i % 4 + 1)}{i % 7}"
+    docs = spark.createDataFrame([(f"s{i % 70}", f"{word(i)} {word(i * 3)} common", f"r{word(i // 2)}", "g", float(i % 5), ["t"]) for i in range(90)], "subject string, text string, role string, g string, rank double, types array<string>")
+    path = str(tmp_path / "index")
+    postings.write_text_index(docs.dropDuplicates(["subject"]), path, boosts={"text": 1.0, "role": 3.0})
+    asked = spark.createDataFrame([(i, f"{word(i)} comon") for i in range(9)] + [(None, "common"), (50, ""), (51, "nothing alike")], "query int, q string")
+    answers = lambda: (sorted(map(tuple, postings.count(spark, path, asked).collect()), key=str), sorted(map(str, postings.search(spark, path, asked, limit=4, offset=1).drop("types").collect())), sorted(map(str, postings.search(spark, path, asked, limit=3, pool=8).drop("types").collect())))
+    once = answers()
+    every = postings.matching(spark, path, asked)
+    assert sorted(map(tuple, every.groupBy("query").count().collect()), key=str) == once[0] and dict(once[0])[None] == 70
+    assert plan_of(every).count("Exchange") == 1  # of words and postings, not of what a query hits
+    monkeypatch.setattr(postings, "ASKED", 5)
+    monkeypatch.setattr(postings, "POSTED", 20)
+    assert answers() == once
