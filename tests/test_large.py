@@ -101,3 +101,20 @@ def test_index_blocks_meet_as_one(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "ASKED", 5)
     monkeypatch.setattr(postings, "POSTED", 20)
     assert answers() == once
+
+
+def test_alignment_of_what_lies_within(monkeypatch):
+    from quadloom.operators import alignment
+
+    tables = []
+    plain = alignment._align
+    monkeypatch.setattr(alignment, "_align", lambda q, t: tables.append(1) or plain(q, t))
+    codes = lambda s: alignment._BASES[__import__("numpy").frombuffer(s.encode(), "uint8")]
+    back = lambda s: s[::-1].translate(str.maketrans("acgt", "tgca"))
+    t = "acgtacgtaaaaaccgttgacgtacgtaagg"
+    for q in ("acgtacgtaa", "aaaa", t, back(t), back("ccgttgac"), "acguacgu"):
+        score, identity, cigar = max((plain(codes(x), codes(t)) for x in (q, back(q.replace("u", "t")))), key=lambda r: r[0])
+        got = alignment.align_pair(q, t)
+        assert (got[3], got[0], got[2]) == (score, identity, cigar)
+    assert not tables  # none needs the recurrence
+    assert alignment.align_pair("acgn", "acgn" * 6)[0] < 1 and tables
