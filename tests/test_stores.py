@@ -233,6 +233,36 @@ def test_store_appends_as_clustered_at_once(spark, dna, tmp_path):
     assert written[2] < dna.count() / 2 and 3 not in written  # only what changed
 
 
+def test_clusters_take_few_rounds_and_follow_the_order(spark, monkeypatch):
+    """Forty unlike sequences in one band, and copies and near copies among them: as a walk in order gives, without a round each."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("acgt") for _ in range(120))
+    texts = ["".join(rng.choice("acgt") for _ in range(rng.randint(60, 200))) for _ in range(40)] + [mutated(rng, base, r) for r in (0, 0, 0.05, 0.1, 0.2, 0.3)] + [base] * 3
+    monkeypatch.setattr(alignment, "bands", lambda df, sig, key: df.where(F.col(sig).isNotNull()).select(key, F.lit(1).cast("long").alias("band")))
+    cuts, cut = [], alignment.cut
+    monkeypatch.setattr(alignment, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {r.id: r.cluster for r in alignment.cluster_sequences(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), "seq", "id").collect()}
+    want, leaders = {}, []
+    for x in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
+        found = [r for r in leaders if (a := alignment.align_pair(texts[x], texts[r])) and a[0] >= alignment.MIN_IDENTITY]
+        want[x] = found[0] if found else x
+        leaders += [] if found else [x]
+    assert got == want and len(leaders) >= 40
+    assert len(cuts) < 50  # five a round before, with a round for each leader
+
+
+def test_fewest_errors_leave_out_no_pair(spark):
+    rng = random.Random(12)
+    for _ in range(300):
+        t = "".join(rng.choice("acgtn") for _ in range(rng.randint(20, 90)))
+        q = mutated(rng, t, rng.choice((0, 0.1, 0.2, 0.4)))[rng.randint(0, 20) :] or "a"
+        q = q if rng.random() < 0.6 else q[::-1].translate(str.maketrans("acgt", "tgca"))
+        whole = alignment.align_pair(q, t)
+        for least in (0.5, 0.8, 0.95):
+            quick = alignment.align_pair(q, t, min_identity=least)
+            assert (quick if quick and quick[0] >= least else None) == (whole if whole and whole[0] >= least else None)
+
+
 def test_store_search_recall(spark, dna, tmp_path):
     store = sequence_store.SequenceStore(spark, str(tmp_path / "seq"), buckets=8)
     store.append(dna, "seq", "doc_id")
