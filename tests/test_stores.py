@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import RDF_TYPE
-from quadloom.operators import alignment, banded, cells, cursors, discovery, graph_store, patterns, postings, sequence_store, text, text_index, vectors, views
+from quadloom.operators import alignment, banded, cells, cursors, discovery, graph_store, patterns, postings, sequence_store, sequences, text, text_index, vectors, views
 from quadloom.operators.views import Vocabulary
 from quadloom.plans import limits
 from quadloom.sources.versions import Conflict, Table, VersionedStore
@@ -263,6 +263,23 @@ def test_fewest_errors_leave_out_no_pair(spark):
             assert (quick if quick and quick[0] >= least else None) == (whole if whole and whole[0] >= least else None)
 
 
+def test_candidates_share_kmers_near_one_diagonal(spark):
+    """A copy with changes and its reverse complement are candidates; texts of the same words in another order, which share as many 12-mers, are not."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("ACGT") for _ in range(14)) for _ in range(40)]
+    mixed = [rng.sample(words, 40) for _ in range(20)]
+    query = "".join(words)
+    near = mutated(rng, query.lower(), 0.08).upper()
+    back = near[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [(1, query), (2, near), (3, back), (4, query[:200])] + [(10 + i, "".join(m)) for i, m in enumerate(mixed)]
+    held = spark.createDataFrame(rows, "id long, t string")
+    asked = spark.createDataFrame([(7, query), (8, "ACG"), (9, query[:300])], "query long, q string")
+    every = {tuple(r) for r in sequences.align_candidates(held, "t", "id", asked.where("length(q) >= 12"), 12).collect()}
+    assert len(every) == 2 * len(rows)
+    got = {tuple(r) for r in sequences.align_candidates(held, "t", "id", asked, 12, 0.15, 0.8).collect()}
+    assert got == {(7, 1), (7, 2), (7, 3), (9, 1), (9, 2), (9, 3)}
+
+
 def test_store_search_recall(spark, dna, tmp_path):
     store = sequence_store.SequenceStore(spark, str(tmp_path / "seq"), buckets=8)
     store.append(dna, "seq", "doc_id")
