@@ -174,3 +174,48 @@ def test_hashing_embedding_by_hand(spark):
             want[h % 256] += -weight if h >> 63 else weight
     rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(vectors.hashing_embedding(F.col("t")).alias("e")).collect()
     assert np.allclose(rows[0].e, want / np.linalg.norm(want)) and not any(rows[1].e) and not any(rows[2].e)
+
+
+def test_cells_meet_as_products_with_ties_by_key(spark):
+    """No pair of a query and a row goes through a join; copies of a vector tie by key, in one pass of queries and in many."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(120, 24))
+    base[60:] = base[:60] * 3  # as near as their originals
+    table = {900 - i: base[i % 120].tolist() for i in range(600)}
+    rows = spark.createDataFrame([*table.items(), (-1, None), (-2, [0.0] * 24)], "id long, v array<double>").repartition(5)
+    queries = spark.createDataFrame([*((i, table[i]) for i in range(400, 430)), (-1, None), (-2, [1.0, 2.0])], "query long, q array<double>")
+    model = cells.fit_cells(rows, "v", "id", 8)
+    indexed = cells.index_cells(rows, "v", model)
+    found = cells.search_cells(indexed, queries, model, "v", "id", 7, 8)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r.id)
+    # ten copies of the query's own vector, of which the seven of least keys are wanted
+    want = {q: sorted(i for i in table if (900 - i) % 60 == (900 - q) % 60)[:7] for q in range(400, 430)}
+    assert got.keys() == want.keys() and all(len(v) == 7 for v in got.values())
+    near = cells._distances(model, queries)
+    split = cells._best_in_cells(indexed, near, "v", "id", 7, held=4)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, found.collect()))
+    for q, ids in got.items():
+        assert set(ids) <= {i for i in table if (900 - i) % 60 == (900 - q) % 60}, q
+    exact = {}
+    for r in vectors.nearest_each(rows, "v", "id", queries, "dot", 3, block=7, held=11).collect():
+        exact.setdefault(r["query"], []).append((-r.score, r.id))
+    m = np.array([table[i] for i in table])
+    for q, have in exact.items():
+        s = (m * np.array(table[q])).sum(axis=1)
+        assert [i for _, i in sorted(have)] == [i for _, i in sorted(zip((-s).tolist(), table, strict=True))[:3]], q
+
+
+def test_filtered_cells_reach_the_recall_among_copies(spark):
+    """Copies fill the neighbourhood of a row, so that one cell does for all rows; the filter leaves one of them."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    copies = e.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).select((F.col("vec_id") + F.col("copy") * 10_000).alias("vec_id"), "embedding", "copy")
+    model = cells.fit_cells(copies, "embedding", "vec_id", 256)
+    indexed = cells.index_cells(copies, "embedding", model).cache()
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    probes = cells.calibrate_probes(indexed, model, "embedding", "vec_id", 10)
+    found = cells.search_filtered(indexed, queries, model, "embedding", "vec_id", F.col("copy") == 5, k=10, probes=probes).select("query", "vec_id")
+    true = vectors.nearest_each(copies.where("copy = 5"), "embedding", "vec_id", queries, "cosine", 10).select("query", "vec_id")
+    assert true.join(found, ["query", "vec_id"]).count() >= 0.9 * true.count()
