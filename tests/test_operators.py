@@ -131,3 +131,14 @@ def test_keeping_a_stored_set(spark, tmp_path):
         upkeep(spark.readStream.schema(qs.SCHEMA).parquet(source), store, str(tmp_path / "check")).awaitTermination()
         graph(spark, [(G, A, P, B), (G, A, P, C)]).write.mode("append").parquet(source)
     assert spark.read.parquet(store).count() == 3
+
+
+def test_quads_of_one_file_are_dealt_over_all_cores(spark):
+    """A table in one file is no single task of the scan, which would hold the quads or the subjects of all its rows."""
+    from quadloom.catalogue import quads
+
+    path = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{path}/part.parquet").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    q = quads(spark, path, "part", columns=["p_name"])
+    sizes = q.rdd.glom().map(len).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and 0 < max(sizes) <= sum(sizes) // 2
