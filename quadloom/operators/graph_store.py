@@ -18,7 +18,7 @@ DEFAULT = ""
 def _listed(objects: DataFrame) -> DataFrame:
     """(field, value, g, s): the types and roles of objects, a row each."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("values")) for f, c in (("type", "types"), ("role", "roles"))])
-    return objects.select("g", "s", F.explode(fields).alias("x")).select("x.field", F.explode("x.values").alias("value"), "g", "s").distinct()
+    return objects.select("g", "s", F.explode(fields).alias("x")).select("x.field", F.explode("x.values").alias("value"), "g", "s")  # sets of objects that are one a key, so each row once
 
 
 class GraphStore:
@@ -60,12 +60,14 @@ class GraphStore:
         g = DEFAULT if graph is None else graph
         named = self._named(g)
         old = cut(self._of_graphs("quads", named))
-        if mode == "fail" and not old.isEmpty():
+        empty = old.isEmpty()
+        if mode == "fail" and not empty:
             raise ValueError(f"graph {graph} is there already")
+        first = empty and self._of_graphs("dirty", named).isEmpty()  # a dirty graph may have rows that were derived from quads now gone
         new = distinct_quads(triples.select(F.lit(g).alias("g"), "s", "p", "o").dropna())
-        now = cut(distinct_quads(old.union(new)) if mode == "merge" else new)
-        changes = {"quads": self._differences("quads", now, old)}
-        return self.store.commit(changes | self._derived(now, named, rules), note)
+        now = cut(distinct_quads(old.union(new)) if mode == "merge" and not empty else new)
+        changes = {"quads": (now, None) if empty else self._differences("quads", now, old)}
+        return self.store.commit(changes | self._derived(now, named, rules, first), note)
 
     def apply(self, put: DataFrame | None, gone: DataFrame | None, note: str | None = None) -> int:
         """Quads added and taken away; their graphs are logged as dirty, and what is derived from them is made anew by ``refresh``."""
@@ -101,8 +103,8 @@ class GraphStore:
         same = [F.equal_null(a[c], b[c]) for c in names]
         return a.join(b, same, "left_anti"), b.select(*key).join(a.select(*key), key, "left_anti")
 
-    def _derived(self, now: DataFrame, graphs: DataFrame, rules: dict | None) -> dict:
-        """Changes of every derived table for ``graphs``, whose quads are ``now``."""
+    def _derived(self, now: DataFrame, graphs: DataFrame, rules: dict | None, first: bool = False) -> dict:
+        """Changes of every derived table for ``graphs``, whose quads are ``now``. The ``first`` time nothing is stored to compare them with."""
         objects = cut(object_metadata(now, self.v))
         summary = object_summary(now, self.v, ("g", "s"))
         typed = self.spark.createDataFrame([], "g string, kind string, s string, class string, parent string, data string")
@@ -115,6 +117,9 @@ class GraphStore:
         triples = now.groupBy("g").agg(F.count("*").alias("triples"))
         about = runs.join(triples, "g").join(issues, "g", "left").select("g", "triples", "status", F.coalesce("issues", F.lit(0)).alias("issues"))
         made = {"objects": objects, "members": members(now, self.v), "summaries": summary, "typed": typed, "findings": findings, "graphs": about}
+        if first:
+            return {name: (rows, None) for name, rows in made.items()} | {"listed": (_listed(objects), None)}
+        made |= {name: cut(made[name]) for name in ("members", "summaries")}  # both what to put and what to take away come from them
         changes = {name: self._differences(name, rows, self._of_graphs(name, graphs)) for name, rows in made.items()}
         new, old = _listed(objects), _listed(self._of_graphs("objects", graphs))
         on = ["field", "value", "g", "s"]

@@ -144,14 +144,17 @@ def containing_collections(quads: DataFrame, member: str, subject: str) -> DataF
 
 
 def object_summary(quads: DataFrame, v: Vocabulary, keys: tuple[str, ...] = ("s",)) -> DataFrame:
-    """(``keys``: s, or g and s; display_id, name, description, types, roles, data, hash): one aggregate per IRI subject; ``data`` is the JSON of its sorted values by predicate, ``hash`` the SHA-256 of its lines."""
-    of = lambda p: F.min(F.when(F.col("p") == p, str_(F.col("o"))))
-    many = lambda p: F.array_sort(F.collect_set(F.when(F.col("p") == p, F.col("o"))))
-    per = quads.where(is_iri(F.col("s"))).select(*keys, "p", "o").distinct()
-    values = per.groupBy(*keys, "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
-    slices = values.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "os"))))).alias("data"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", F.lit(" "), F.array_join("os", " ")))), "\n"), 256).alias("hash"))
-    heads = per.groupBy(*keys).agg(of(v.display_id).alias("display_id"), of(v.title).alias("name"), of(v.description).alias("description"), many(v.type).alias("types"), many(v.role).alias("roles"))
-    return heads.join(slices, list(keys))
+    """(``keys``: s, or g and s; display_id, name, description, types, roles, data, hash): one aggregate per IRI subject; ``data`` is the JSON of its sorted values by predicate, ``hash`` the SHA-256 of its lines.
+
+    Quads are dealt by subject once; the sets of values by predicate and the row of the subject are made where they lie.
+    """
+    of = lambda p: F.min(F.when(F.col("p") == p, F.array_min(F.transform("os", str_))))
+    many = lambda p: F.coalesce(F.max(F.when(F.col("p") == p, F.col("os"))), F.array().cast("array<string>"))
+    values = quads.where(is_iri(F.col("s"))).select(*keys, "p", "o").repartition(*keys).groupBy(*keys, "p").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    return values.groupBy(*keys).agg(
+        of(v.display_id).alias("display_id"), of(v.title).alias("name"), of(v.description).alias("description"), many(v.type).alias("types"), many(v.role).alias("roles"),
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "os"))))).alias("data"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", F.lit(" "), F.array_join("os", " ")))), "\n"), 256).alias("hash"),
+    )
 
 
 #: Kinds of typed rows: their class, single and many-valued columns by local names of predicates.

@@ -507,3 +507,26 @@ def test_stream_into_a_graph_store(spark, tmp_path):
         assert {tuple(r) for r in store.quads().collect()} == seen
     notes = [v.note for v in store.store.log()]
     assert notes == ["batch 0", "batch 1", "batch 1, compacted", "batch 3", "batch 3, compacted"]  # the third brought nothing new
+
+
+def test_first_import_compares_nothing_but_leaves_no_stale_rows(spark, tmp_path, monkeypatch):
+    """A graph that is not there is written as it comes, unless rows derived from quads now gone are left."""
+    store = graph_store.GraphStore(spark, str(tmp_path / "g"), V, buckets=2)
+    compared = []
+    differences = graph_store.GraphStore._differences
+    monkeypatch.setattr(graph_store.GraphStore, "_differences", lambda self, name, *rest: compared.append(name) or differences(self, name, *rest))
+    triples = lambda *subjects: spark.createDataFrame([(s, V.display_id, '"x"') for s in subjects], "s string, p string, o string")
+    store.import_graph(triples("<a>", "<b>"), "<g>")
+    assert compared == []
+    store.apply(None, store.quads())
+    assert not store.quads().count() and store.objects().count() == 2  # not derived again yet
+    store.import_graph(triples("<c>"), "<g>")
+    assert "objects" in compared and not store.dirty().count()
+    for name in ("objects", "summaries"):
+        assert [r.s for r in store.store.snapshot(name).collect()] == ["<c>"]
+
+
+def test_summaries_of_the_default_graph(spark):
+    """A graph without a name has summaries as any other."""
+    q = spark.createDataFrame([(None, "<a>", V.display_id, '"x"'), ("<g>", "<a>", V.display_id, '"y"')], "g string, s string, p string, o string")
+    assert {(r.g, r.display_id) for r in views.object_summary(q, V, ("g", "s")).collect()} == {(None, "x"), ("<g>", "y")}
