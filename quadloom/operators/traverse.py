@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
-from ..plans.lineage import cut
+from ..plans.lineage import cut, stored
 
 
 def _steps(quads: DataFrame, direction: str, predicates: list[str] | None) -> DataFrame:
@@ -84,26 +84,27 @@ def link_graph(quads: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 1000) -> DataFrame:
     """(node, rank): ranks sum to 1; dangling mass is spread evenly; stops when the ranks move by ``tolerance`` in all.
 
-    The links are a set and ends outside ``nodes`` are ignored. A round is a join and an aggregate
-    with partial sums; one number a round goes to the driver.
+    The links are a set and ends outside ``nodes`` are ignored. Nodes are numbered once, so that a
+    round joins, sums and stores numbers, whatever the length of the names; it is a join and an
+    aggregate with partial sums, and one number a round goes to the driver.
     """
-    n = cut(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct())
+    n = stored(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
     count = n.count()
     if not count:
-        return n.withColumn("rank", F.lit(0.0))
-    ends = lambda c: n.select(F.col("node").alias(c))
-    e = links.select("src", "dst").distinct().join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
-    degree = e.groupBy("src").agg(F.count("*").alias("degree"))
-    e = cut(e.join(degree, "src").select("src", "dst", "degree"))
-    state = cut(n.join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("degree").isNull().alias("dangling"), F.lit(1.0 / count).alias("rank")))
-    lost = state.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
+        return n.select("node", F.lit(0.0).alias("rank"))
+    numbered = lambda c: n.select(F.col("node").alias(c), F.col("id").alias(f"_{c}"))
+    e = stored(links.select("src", "dst").join(numbered("src"), "src").join(numbered("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "links")
+    degree = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    state = stored(n.select("id").join(degree, "id", "left").select("id", "degree", F.lit(1.0 / count).alias("rank")), "ranks")
+    lost = state.where("degree is null").agg(F.sum("rank")).first()[0] or 0.0
     for _ in range(rounds):
-        share = e.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        part = state.where("degree is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("part"))
+        share = e.join(part, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
         base = (1 - damping) / count + damping * lost / count
-        state2 = cut(state.join(share, "node", "left").select("node", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
-        whole, lost, moved = state2.agg(F.sum("rank"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
+        state2 = stored(state.join(share, "id", "left").select("id", "degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")), "ranks")
+        whole, lost, moved = state2.agg(F.sum("rank"), F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
         lost = lost / whole
-        state = state2.select("node", "dangling", (F.col("rank") / F.lit(whole)).alias("rank"))
+        state = state2.select("id", "degree", (F.col("rank") / F.lit(whole)).alias("rank"))
         if moved <= tolerance:
             break
-    return state.select("node", "rank")
+    return n.join(state, "id").select("node", "rank")

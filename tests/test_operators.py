@@ -142,3 +142,20 @@ def test_quads_of_one_file_are_dealt_over_all_cores(spark):
     q = quads(spark, path, "part", columns=["p_name"])
     sizes = q.rdd.glom().map(len).collect()
     assert len(sizes) == spark.sparkContext.defaultParallelism and 0 < max(sizes) <= sum(sizes) // 2
+
+
+def test_pagerank_rounds_hold_numbers_only(spark, monkeypatch):
+    """No name of a node is joined or stored in a round; repeated links count once, ends elsewhere not at all."""
+    from quadloom.operators import traverse
+
+    kept, stored = [], traverse.stored
+    monkeypatch.setattr(traverse, "stored", lambda df, name: kept.append((name, [k for _, k in df.dtypes])) or stored(df, name))
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "node string")
+    links = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("b", "z"), ("z", "a")], "src string, dst string")
+    got = {r.node: r["rank"] for r in traverse.pagerank(nodes, links, tolerance=0.0, rounds=30).collect()}
+    assert all("string" not in kinds for name, kinds in kept if name != "nodes") and sum(name == "ranks" for name, _ in kept) > 2
+    r = {n: 1 / 3 for n in "abc"}
+    for _ in range(30):
+        base = 0.05 + 0.85 * r["c"] / 3
+        r = {"a": base, "b": base + 0.85 * r["a"] / 2, "c": base + 0.85 * (r["a"] / 2 + r["b"])}
+    assert got.keys() == r.keys() and all(abs(got[n] - r[n]) < 1e-12 for n in r)
