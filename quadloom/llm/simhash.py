@@ -9,7 +9,7 @@ share; only the rest meet the full Hamming check.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -174,13 +174,16 @@ LEAD_BITS, LEAD_STARTS = 10, 20
 RECALL = 0.99
 #: Standard errors added to the bits that are expected to differ: one pair at the threshold of a thousand is beyond.
 ERRORS = 3
-#: Members from which a group joined so far is large: its rows meet small groups' rows, and of other large groups one each.
+#: Members from which a group joined so far is large: rows of other groups first meet one of its members in each long start.
 LARGE = 128
+#: Rows that a fingerprint meets over all long starts, itself included, from which its parities go with its starts.
+CROWDED = 100
 #: Fingerprints whose keys are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _BITS_IN_ALL = WORDS * 64
 _W = [f"w{i}" for i in range(WORDS)]
 _C = [f"c{i}" for i in range(CHAIN)]
+_O = [f"o{i}" for i in range(WORDS)]
 _PAIR = ["node", "other_node as other", "part", "other_part"]
 
 
@@ -225,25 +228,36 @@ def _set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether the set holds an odd number of it, as words."""
+    odd = np.bincount((shingles >> np.uint64(64 - int(math.log2(_BITS_IN_ALL)))).astype(np.int64), minlength=_BITS_IN_ALL) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def wide_fingerprints(df: DataFrame, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, node, w0, w1, ...: a digest of the set of word shingles, and the words of its SimHash."""
+    """doc_id, node, w0, w1, ..., n, o0, o1, ...: a digest of the set of word shingles, the words of its SimHash, its size and its parities."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                node, fp = [], []
+                node, fp, n, odd = [], [], [], []
                 for shingles in _shingle_sets(texts, size):
                     node.append(_set_id(shingles))
                     fp.append(majority(mix(shingles[:, None] + salt)))
-                words = np.stack(fp).view(np.int64) if fp else np.zeros((0, WORDS), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node, pa.int64()), *[pa.array(words[:, i].copy()) for i in range(WORDS)]], names=["doc_id", "node", *_W])
+                    n.append(len(shingles))
+                    odd.append(_parities(shingles))
+                columns = lambda x: [pa.array(np.ascontiguousarray(c)) for c in np.stack(x).view(np.int64).T] if x else [pa.array([], pa.int64())] * WORDS
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node, pa.int64()), *columns(fp), pa.array(n, pa.int64()), *columns(odd)], names=["doc_id", "node", *_W, "n", *_O])
+
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(compute, ", ".join(f"{c} long" for c in ("doc_id", "node", *_W, "n", *_O)))
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(compute, "doc_id long, node long, " + ", ".join(f"{w} long" for w in _W))
+
+_ODD = f"struct<{', '.join(f'{c}: long' for c in ('n', *_O))}>"
 
 
 def _starts(nodes: DataFrame, bits: int, starts: int, first_ring: int) -> DataFrame:
-    """start, node, part, c0, c1, ...: a row a start, by ``bits`` consecutive bits of a ring, with the ``CHAIN`` words that follow on the ring."""
+    """start, node, part, odd, c0, c1, ...: a row a start, by ``bits`` consecutive bits of a ring, with the ``CHAIN`` words that follow on the ring."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = _BITS_IN_ALL // bits
@@ -258,9 +272,9 @@ def _starts(nodes: DataFrame, bits: int, starts: int, first_ring: int) -> DataFr
                     at = i * bits
                     start = flat[:, at : at + bits] @ powers | np.int64(r * each + i) << np.int64(bits)
                     chain = np.ascontiguousarray(np.packbits(flat[:, at + bits : at + bits + CHAIN * 64], axis=1, bitorder="little")).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(start), batch.column("node"), batch.column("part"), *[pa.array(chain[:, j].copy()) for j in range(CHAIN)]], names=["start", "node", "part", *_C])
+                    yield pa.RecordBatch.from_arrays([pa.array(start), batch.column("node"), batch.column("part"), batch.column("odd"), *[pa.array(chain[:, j].copy()) for j in range(CHAIN)]], names=["start", "node", "part", "odd", *_C])
 
-    return nodes.select("node", "part", *_W).mapInArrow(cut_out, "start long, node long, part long, " + ", ".join(f"{c} long" for c in _C))
+    return nodes.select("node", "part", "odd", *_W).mapInArrow(cut_out, f"start long, node long, part long, odd {_ODD}, " + ", ".join(f"{c} long" for c in _C))
 
 
 def _chain_holds(bits: int, most: int) -> Column:
@@ -278,11 +292,19 @@ def _chain_holds(bits: int, most: int) -> Column:
     return ok
 
 
-def _near(pairs: DataFrame, words: DataFrame, most: int) -> DataFrame:
-    """The ``pairs`` (node, other, ...) with ``apart``: the full Hamming distance, at most ``most``."""
-    other = words.select(F.col("node").alias("other"), *[F.col(w).alias(f"other_{w}") for w in _W])
+def _parities_hold(similarity: float, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether two sets may have that similarity: each class of different parity holds a shingle that only one of them has, and they have at most (1 - s) / (1 + s) of their sizes' sum. So no pair is lost."""
+    odd = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _O), F.lit(0))
+    return odd * (1 + similarity) <= (a("n") + b("n")) * (1 - similarity) + 1e-6
+
+
+def _near(pairs: DataFrame, words: DataFrame, most: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (node, other, ...) with ``apart``: the full Hamming distance, at most ``most``; pairs whose parities rule out the similarity are left out."""
+    held = [*_W, "n", *_O]
+    other = words.select(F.col("node").alias("other"), *[F.col(w).alias(f"other_{w}") for w in held])
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in _W), F.lit(0))
-    return pairs.join(words.select("node", *_W), "node").join(other, "other").withColumn("apart", apart).where(F.col("apart") <= most).select(*pairs.columns, "apart")
+    alike = _parities_hold(similarity, F.col, lambda c: F.col(f"other_{c}"))
+    return pairs.join(words.select("node", *held), "node").join(other, "other").withColumn("apart", apart).where((F.col("apart") <= most) & alike).select(*pairs.columns, "apart")
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -319,11 +341,19 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
 
 
 def _grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """node, part, large, the words: each fingerprint with its group so far, the least node; large if it has over ``LARGE`` members."""
+    """``distinct`` with part, the group so far by its least node, and large: whether that has over ``LARGE`` members."""
     joined = connected_components(links)
-    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), *_W)
+    parts = distinct.join(joined, "node", "left").select(*distinct.columns, F.coalesce("component", "node").alias("part"))
     large = parts.groupBy("part").count().where(F.col("count") > LARGE).select("part", F.lit(True).alias("large"))
-    return cut(parts.join(large, "part", "left").select("node", "part", F.coalesce("large", F.lit(False)).alias("large"), *_W))
+    return cut(parts.join(large, "part", "left").select(*parts.columns, F.coalesce("large", F.lit(False)).alias("large")))
+
+
+def _met_large(shared: DataFrame, parts: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(node, other): of one member of each large group in each start of ``shared``, the nearest to each row of another group that shares the start."""
+    placed = shared.select("start", "node").join(parts.select("node", "part", "large"), "node")
+    one = placed.where("large").groupBy("start", F.col("part").alias("other_part")).agg(F.min_by("node", F.xxhash64("node", "start")).alias("other"))
+    pairs = placed.join(one, "start").where("part <> other_part").select("node", "other", "other_part").distinct()
+    return _near(pairs, parts, most, similarity).groupBy("node", "other_part").agg(F.min_by("other", F.struct("apart", "other")).alias("other")).select("node", "other")
 
 
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -335,41 +365,54 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     no pair below the similarity links. Texts of one set are alike at once.
 
     First, all that share a long start meet one of them, the one that meets most in all starts,
-    which joins most copies of a large group by links in proportion to the rows. Then all that share a start meet, but for those in one
-    group already; of two large groups (``LARGE``), the rows of one meet one row of the other. Of
+    which joins most copies of a large group by links in proportion to the rows. Then the rows of
+    other groups meet one member of each large group (``LARGE``) in each long start. That only
+    spares work: then all that share a start meet, large groups too, but for those in one group
+    already. Where a fingerprint meets many (``CROWDED``), the parities of its shingles go with its
+    starts, which tell 0.7 from 0.8 where SimHash does not, without loss. Of
     the candidates between two groups the nearest is verified first, and then all that are still
     in different ones. No start is capped; its bits and their number follow from the number of
     fingerprints, so that starts stay small and ``RECALL`` holds at every size. The rows of starts
-    grow with about the 1.24th power of the table at 0.8.
+    grow with about the 1.24th power of the table at 0.8. Where large groups hold many pairs just
+    below the similarity and no link, those grow with the product of their sizes.
 
     Null and empty texts are alike. Null keys are no smallest id unless alone; rows of one key
     keep their own texts.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fps = cut(wide_fingerprints(df, size, text, key))
-    distinct = cut(fps.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in _W]))
+    distinct = cut(fps.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in (*_W, "n", *_O)]))
     bits, starts = start_plan(distinct.count(), similarity)
     most = differing(similarity)
 
-    made = _starts(distinct.withColumn("part", F.col("node")), bits + LEAD_BITS, LEAD_STARTS, 0).select("start", "node")
+    made = _starts(distinct.withColumn("part", F.col("node")).withColumn("odd", F.lit(None).cast(_ODD)), bits + LEAD_BITS, LEAD_STARTS, 0).select("start", "node")
     shared = cut(made.join(made.groupBy("start").agg(F.count("*").alias("n")).where("n > 1"), "start"))
-    met_in_all = shared.groupBy("node").agg(F.struct(F.sum("n").alias("met"), F.xxhash64("node").alias("h"), "node").alias("x"))
+    met_in_all = cut(shared.groupBy("node").agg(F.struct(F.sum("n").alias("met"), F.xxhash64("node").alias("h"), "node").alias("x")))
     leaders = shared.join(met_in_all, "node").groupBy("start").agg(F.max("x")["node"].alias("other"))
-    led = cut(_near(shared.join(leaders, "start").where("node <> other").select("node", "other").distinct(), distinct, most))
+    led = cut(_near(shared.join(leaders, "start").where("node <> other").select("node", "other").distinct(), distinct, most, similarity))
     links = cut(_verified(led, distinct, docs, size, similarity))
 
-    renamed = lambda rows: rows.select("start", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", *_C)])
-    met = lambda rows, others: rows.join(renamed(others), "start").where((F.col("part") != F.col("other_part")) & _chain_holds(bits, most))
+    renamed = lambda rows: rows.select("start", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "odd", *_C)])
+    fits = _chain_holds(bits, most) & F.coalesce(_parities_hold(similarity, lambda c: F.col("odd")[c], lambda c: F.col("other_odd")[c]), F.lit(True))
+    met = lambda rows, others: rows.join(renamed(others), "start").where((F.col("part") != F.col("other_part")) & fits)
     starts_of = lambda rows: _starts(rows, bits, starts, 0)
 
     parts = _grouped(distinct, links)
+    if not parts.where("large").isEmpty():
+        links = cut(links.union(_verified(cut(_met_large(shared, parts, most, similarity)), distinct, docs, size, similarity)))
+        parts = _grouped(distinct, links)
+    crowded = met_in_all.where(F.col("x.met") >= CROWDED).select("node", F.lit(True).alias("crowded"))
+    parts = cut(parts.join(crowded, "node", "left").withColumn("odd", F.when(F.col("crowded"), F.struct("n", *_O))))
+
     few = starts_of(parts.where("not large"))
     pairs = met(few, few).where("node < other_node").selectExpr(*_PAIR)
     if not parts.where("large").isEmpty():
         great = starts_of(parts.where("large"))
-        one = great.groupBy("start", "part").agg(F.min_by(F.struct("node", *_C), F.xxhash64("node")).alias("s")).select("start", "s.node", "part", *[f"s.{c}" for c in _C])
-        pairs = pairs.union(met(great, few.union(one)).selectExpr(*_PAIR))
-    rest = cut(_near(cut(pairs.distinct()), distinct, most))
+        held = great.select("start", "part").distinct()
+        facing = held.join(held.withColumnRenamed("part", "other_part"), "start").where("part < other_part")
+        between_large = great.join(facing, ["start", "part"]).join(renamed(great), ["start", "other_part"]).where(fits)
+        pairs = pairs.union(met(great, few).selectExpr(*_PAIR)).union(between_large.selectExpr(*_PAIR))
+    rest = cut(_near(cut(pairs.distinct()), distinct, most, similarity))
 
     between = [F.least("part", "other_part"), F.greatest("part", "other_part")]
     nearest = rest.groupBy(*between).agg(F.min_by(F.struct("node", "other"), F.struct("apart", "node", "other")).alias("s")).select("s.*")

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions
 
 from quadloom.llm import bpe, chunks, embeddings, idcoder, importance, media, ngrams, packing, sharding, simhash, substring, suffixes, tokenfiles
 
@@ -631,3 +632,33 @@ def test_pipeline_stages(spark):
             docs = docs.cache()
             assert 0.5 * before < docs.count() <= before
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_large_groups_are_linked_by_one_pair(spark):
+    """Two groups of over ``LARGE`` members, whose one link lies between one member of each."""
+    a = [f"word{i}" for i in range(300)]
+    b = [f"other{i}" if i % 37 == 20 else w for i, w in enumerate(a)]
+    copy = lambda own, i: [f"new{i}" if j == 2 * i + 7 else w for j, w in enumerate(own)]
+    bridges = [[*a[:20], b[20], *a[21:]], [*b[:57], a[57], *b[58:]]]
+    texts = [*[copy(a, i) for i in range(140)], bridges[0], *[copy(b, i) for i in range(140)], bridges[1]]
+    sets = [{" ".join(t[i : i + 5]) for i in range(296)} for t in texts]
+    assert [(i, j) for i in range(141) for j in range(141, 282) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] == [(140, 281)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar_documents(rows).collect()} == {0}
+
+
+def test_parities_lose_no_link(spark):
+    """Pairs of sets from 0.7 to 0.9: what reaches the similarity holds, exactly at it too; most of what does not is left out."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        n, odd = (9, 1) if i < 100 else (int(rng.integers(40, 200)), int(rng.integers(1, 30)))
+        both, own, far = np.split(rng.integers(0, 2**64, n + odd, np.uint64), [n - (n == 9), n + (odd - 1) // 2])
+        x, y = (np.unique(np.concatenate([both, z])) for z in (own, far))
+        common = len(np.intersect1d(x, y))
+        rows.append((common, len(x) + len(y) - common, len(x), *simhash._parities(x).tolist(), len(y), *simhash._parities(y).tolist()))
+    names = ["common", "all_", *[p + c for p in ("a_", "b_") for c in ("n", *simhash._O)]]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+    got = df.withColumn("fine", simhash._parities_hold(0.8, lambda c: functions.col(f"a_{c}"), lambda c: functions.col(f"b_{c}"))).collect()
+    assert all(r.fine for r in got if r.common >= 0.8 * r.all_) and any(r.common == 0.8 * r.all_ for r in got)
+    assert sum(not r.fine for r in got if r.common < 0.75 * r.all_) >= 0.9 * sum(r.common < 0.75 * r.all_ for r in got)
