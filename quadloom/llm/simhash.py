@@ -174,7 +174,7 @@ LEAD_BITS, LEAD_STARTS = 10, 20
 RECALL = 0.99
 #: Standard errors added to the bits that are expected to differ: one pair at the threshold of a thousand is beyond.
 ERRORS = 3
-#: Members from which a group joined so far is large: rows of other groups first meet one of its members in each long start.
+#: Members from which a group joined so far is large: rows of other large groups first meet one of its members in each long start.
 LARGE = 128
 #: Rows that a fingerprint meets over all long starts, itself included, from which its parities go with its starts.
 CROWDED = 100
@@ -341,19 +341,19 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
 
 
 def _grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """``distinct`` with part, the group so far by its least node, and large: whether that has over ``LARGE`` members."""
+    """node, part, large, the words: each fingerprint with its group so far, the least node; large if it has over ``LARGE`` members."""
     joined = connected_components(links)
-    parts = distinct.join(joined, "node", "left").select(*distinct.columns, F.coalesce("component", "node").alias("part"))
+    parts = distinct.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), *_W)
     large = parts.groupBy("part").count().where(F.col("count") > LARGE).select("part", F.lit(True).alias("large"))
     return cut(parts.join(large, "part", "left").select(*parts.columns, F.coalesce("large", F.lit(False)).alias("large")))
 
 
-def _met_large(shared: DataFrame, parts: DataFrame, most: int, similarity: float) -> DataFrame:
-    """(node, other): of one member of each large group in each start of ``shared``, the nearest to each row of another group that shares the start."""
-    placed = shared.select("start", "node").join(parts.select("node", "part", "large"), "node")
-    one = placed.where("large").groupBy("start", F.col("part").alias("other_part")).agg(F.min_by("node", F.xxhash64("node", "start")).alias("other"))
+def _met_large(shared: DataFrame, parts: DataFrame, distinct: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(node, other): of one member of each large group in each start of ``shared``, the nearest to each row of another large group that shares the start."""
+    placed = shared.select("start", "node").join(parts.where("large").select("node", "part"), "node")
+    one = placed.groupBy("start", F.col("part").alias("other_part")).agg(F.min_by("node", F.xxhash64("node", "start")).alias("other"))
     pairs = placed.join(one, "start").where("part <> other_part").select("node", "other", "other_part").distinct()
-    return _near(pairs, parts, most, similarity).groupBy("node", "other_part").agg(F.min_by("other", F.struct("apart", "other")).alias("other")).select("node", "other")
+    return _near(pairs, distinct, most, similarity).groupBy("node", "other_part").agg(F.min_by("other", F.struct("apart", "other")).alias("other")).select("node", "other")
 
 
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -366,7 +366,7 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
 
     First, all that share a long start meet one of them, the one that meets most in all starts,
     which joins most copies of a large group by links in proportion to the rows. Then the rows of
-    other groups meet one member of each large group (``LARGE``) in each long start. That only
+    large groups (``LARGE``) meet one member of each other one in each long start. That only
     spares work: then all that share a start meet, large groups too, but for those in one group
     already. Where a fingerprint meets many (``CROWDED``), the parities of its shingles go with its
     starts, which tell 0.7 from 0.8 where SimHash does not, without loss. Of
@@ -398,11 +398,11 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, tex
     starts_of = lambda rows: _starts(rows, bits, starts, 0)
 
     parts = _grouped(distinct, links)
-    if not parts.where("large").isEmpty():
-        links = cut(links.union(_verified(cut(_met_large(shared, parts, most, similarity)), distinct, docs, size, similarity)))
+    if parts.where("large").select("part").distinct().count() > 1:
+        links = cut(links.union(_verified(cut(_met_large(shared, parts, distinct, most, similarity)), distinct, docs, size, similarity)))
         parts = _grouped(distinct, links)
-    crowded = met_in_all.where(F.col("x.met") >= CROWDED).select("node", F.lit(True).alias("crowded"))
-    parts = cut(parts.join(crowded, "node", "left").withColumn("odd", F.when(F.col("crowded"), F.struct("n", *_O))))
+    crowded = met_in_all.where(F.col("x.met") >= CROWDED).select("node")
+    parts = cut(parts.join(distinct.join(crowded, "node", "left_semi").select("node", F.struct("n", *_O).cast(_ODD).alias("odd")), "node", "left"))
 
     few = starts_of(parts.where("not large"))
     pairs = met(few, few).where("node < other_node").selectExpr(*_PAIR)
