@@ -133,6 +133,16 @@ def test_keeping_a_stored_set(spark, tmp_path):
     assert spark.read.parquet(store).count() == 3
 
 
+def test_parts_of_quads_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """However many rows a few bytes of a file hold, a task makes quads of a bounded number."""
+    from quadloom import catalogue
+
+    monkeypatch.setattr(catalogue, "ROWS_A_TASK", 1000, raising=False)
+    spark.range(20_000).selectExpr("id AS p_partkey", "'one name' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    sizes = catalogue.quads(spark, str(tmp_path), "part", columns=["p_name"]).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 40_000 and max(r["count"] for r in sizes) <= 2 * 2 * 1000
+
+
 def test_quads_of_one_file_are_dealt_over_all_cores(spark):
     """A table in one file is no single task of the scan, which would hold the quads or the subjects of all its rows."""
     from quadloom.catalogue import quads
