@@ -530,3 +530,42 @@ def test_summaries_of_the_default_graph(spark):
     """A graph without a name has summaries as any other."""
     q = spark.createDataFrame([(None, "<a>", V.display_id, '"x"'), ("<g>", "<a>", V.display_id, '"y"')], "g string, s string, p string, o string")
     assert {(r.g, r.display_id) for r in views.object_summary(q, V, ("g", "s")).collect()} == {(None, "x"), ("<g>", "y")}
+
+
+def test_long_sequences_join_clusters(spark):
+    """No length is too long to be compared: copies and near copies of over 5,000 bases are one cluster, by the full recurrence and by a band."""
+    rng = random.Random(11)
+    long = "".join(rng.choice("ACGT") for _ in range(6200))
+    near = list(long[: 6200 - 3])
+    for i in range(60, 6000, 400):
+        near[i] = "ACGT"["ACGT".index(near[i]) - 1]
+    rows = [(1, long), (2, long), (3, "".join(near)), (4, "".join(rng.choice("ACGT") for _ in range(5500)))]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    for banded in (False, True):
+        got = {r.id: (r.cluster, round(r.identity, 3)) for r in alignment.cluster_sequences(df, "seq", "id", banded=banded).collect()}
+        assert got == {1: (1, 1.0), 2: (1, 1.0), 3: (1, round(1 - 15 / 6197, 3)), 4: (4, 1.0)}, banded
+
+
+def test_side_by_side_as_the_whole_recurrence(monkeypatch):
+    """Diagonals that can't hold the best placing are left out without changing a score, an identity, a strand or a CIGAR, and origins are kept a block of rows at a time."""
+    rng = random.Random(5)
+    pairs = []
+    for n in [*range(1, 40), *[rng.randrange(40, 300) for _ in range(160)]]:
+        t = [rng.choice("ACGT") for _ in range(n + rng.randrange(20, 400))]
+        at = rng.randrange(len(t) - n)
+        q = t[at : at + n]
+        for _ in range(rng.randrange(1 + n // 3)):
+            i, kind = rng.randrange(len(q)), rng.randrange(6)
+            q[i : i + (kind == 1) + 9 * (kind == 2)] = [] if kind in (1, 2) else [rng.choice("ACGTN") for _ in range(12 if kind == 3 else 2 if kind == 4 else 1)]
+            q = q or ["A"]
+        text = "".join(q)
+        pairs.append((text[::-1].translate(alignment._PAIR).upper() if n % 3 == 0 else text, "".join(t)))
+    codes = lambda x: alignment._BASES[np.frombuffer(x.encode(), np.uint8)]
+    whole = []
+    for q, t in pairs:
+        one, two = (alignment._align(codes(x), codes(t)) for x in (q.lower(), q.lower()[::-1].translate(alignment._PAIR)))
+        (score, identity, cigar), strand = (two, "-") if two[0] > one[0] else (one, "+")
+        whole.append((identity, strand, cigar, score))
+    assert alignment.align_each(pairs) == whole
+    monkeypatch.setattr(alignment, "_ORIGINS", 500)
+    assert alignment.align_each(pairs) == whole
