@@ -1,12 +1,12 @@
-"""Repeated byte strings by a distributed suffix array: the difference cover modulo 3.
-
-Positions whose 200-byte string cannot occur elsewhere are left out first, exactly: every such
-string holds a gram of least hash, equal strings hold it at the same place, and grams that occur
-once are no one's. What may repeat is cut out as regions, whose suffixes are sorted: triples at
-two of three positions are named in order, the names' string is sorted by recursion while names
-still tie, the rest follow from them, and counts of smaller suffixes merge the two. Neighbours in
-the order are then compared by their first 200 bytes; neighbours that run side by side through two
-regions are compared in one piece.
+"""Repeated byte strings by sparse suffix arrays: the suffixes that start at anchors, sorted in both directions.
+
+Every 200-byte string holds a gram of least hash, its anchor; equal strings hold it at the same
+place. Strings whose anchor occurs once are no one's and left out first, exactly. What is left of a
+text around an anchor is dealt by the anchor. There the suffixes from the anchors on are sorted, and
+so is what lies before them, read backwards; of both orders the common prefixes of neighbours are
+kept. A string that begins k bytes before its anchor is another's if both agree in k bytes before
+and in 200 - k from the anchor on, which the two orders tell for all k at once, so no suffix is
+sorted but those at anchors, and none is sorted twice.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +24,10 @@ from .ngrams import mix
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of a character of the first level.
-PACK = 8
+#: Starts about an anchor that are dealt as one piece at most.
+REGION = 1 << 17
+#: Anchors whose suffixes are sorted at once, unless one gram has more.
+SORTED = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _SECTION = 1 << 20
 
@@ -41,10 +42,10 @@ def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * back[:n])
 
 
-def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first start, last start) of the runs of ``length``-byte strings that hold the same gram of least hash."""
+def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first start, last start, the gram's place) of the runs of ``length``-byte strings that hold the same gram of least hash."""
     gram = min(GRAM, length)
-    grams, lows, highs = [], [], []
+    grams, lows, highs, places = [], [], [], []
     w = length - gram + 1
     for at in range(0, len(data) - length + 1, _SECTION):
         part = data[at : at + _SECTION + length - 1]
@@ -59,8 +60,9 @@ def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
         grams.append(h[least[edge].astype(np.int64)])
         lows.append(at + edge)
         highs.append(at + np.append(edge[1:], n) - 1)
+        places.append(at + least[edge].astype(np.int64))
     join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return join(grams, np.uint64), join(lows, np.int64), join(highs, np.int64)
+    return join(grams, np.uint64), join(lows, np.int64), join(highs, np.int64), join(places, np.int64)
 
 
 def _keyed(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -72,189 +74,157 @@ def _keyed(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_runs(rows: DataFrame, length: int) -> DataFrame:
-    """h1, h2, low, high: runs of starts whose ``length``-byte strings may occur elsewhere, copies of a text told once."""
+    """h1, h2, gram, low, high, place: runs of starts whose ``length``-byte strings may occur elsewhere, with the gram that they hold and where; copies of a text tell nothing by each other, but each gives its runs."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h1", "h2", "gram", "low", "high", "place"]
         for batch in batches:
             for part, texts in slices(batch, "text"):
+                found = []
                 for h1, h2, t in zip(part.column("h1").to_pylist(), part.column("h2").to_pylist(), texts, strict=True):
-                    g, low, high = _anchors(np.frombuffer(t.encode(), np.uint8), length)
+                    g, low, high, place = _anchors(np.frombuffer(t.encode(), np.uint8), length)
                     if len(g):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), h1)), pa.array(np.full(len(g), h2)), pa.array(g.view(np.int64)), pa.array(low), pa.array(high)], names=["h1", "h2", "gram", "low", "high"])
+                        found.append([np.full(len(g), h1), np.full(len(g), h2), g.view(np.int64), low, high, place])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
 
-    runs = rows.select("h1", "h2", "text").mapInArrow(find, "h1 long, h2 long, gram long, low long, high long")
-    common = cut(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    return runs.join(common, "gram").select("h1", "h2", "low", "high")
+    runs = rows.select("h1", "h2", "text").mapInArrow(find, "h1 long, h2 long, gram long, low long, high long, place long")
+    alike = Window.partitionBy("gram")
+    told = F.xxhash64("h1", "h2", "low")
+    return runs.withColumn("least", F.min(told).over(alike)).withColumn("most", F.max(told).over(alike)).where("least <> most").drop("least", "most")
 
 
-def _prefix_counts(keyed: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """Adds to rows of distinct ``keys`` the sums of ``counts`` over all rows of smaller keys, as before_<count>."""
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*keys, *counts)
-    names = [f"before_{c}" for c in counts]
+def _pieces(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
+    """gram, doc, low, before, n, bytes: a row a run of ``n`` starts from ``low``, ``before`` bytes before its anchor, with the bytes of all its strings; one text stands for its copies.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sums = TaskContext.get().partitionId(), [0] * len(counts)
-        for batch in batches:
-            columns = []
-            for i, c in enumerate(counts):
-                up = np.cumsum(np.array(batch.column(c)))
-                columns.append(pa.array(sums[i] + np.concatenate([[0], up[:-1]]) if len(up) else np.zeros(0, np.int64), pa.int64()))
-                sums[i] += int(up[-1]) if len(up) else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(np.full(batch.num_rows, part, np.int32))], names=[*keys, *counts, *names, "part"])
-
-    schema = ", ".join([*(f"`{k}` long" for k in keys), *(f"`{c}` long" for c in [*counts, *names]), "part int"])
-    summed = cut(ordered.mapInArrow(add, schema))
-    totals, starts = [0] * len(counts), []
-    for r in summed.groupBy("part").agg(*[F.sum(c).alias(c) for c in counts]).orderBy("part").collect():  # a row a partition
-        starts.append((r["part"], *totals))
-        totals = [t + r[c] for t, c in zip(totals, counts, strict=True)]
-    first = keyed.sparkSession.createDataFrame(starts, "part int, " + ", ".join(f"start_{c} long" for c in counts))
-    return summed.join(F.broadcast(first), "part").select(*keys, *[(F.col(f"before_{c}") + F.col(f"start_{c}")).alias(f"before_{c}") for c in counts])
-
-
-def suffix_ranks(chars: DataFrame, depth: int, length: int) -> DataFrame:
-    """(t, k, rank) for strings ``t`` with characters ``c`` at k = 0, 1, ...: the number of suffixes that are smaller.
-
-    ``depth`` bytes make a character; suffixes alike in ``length`` bytes or more may tie. The end
-    of a string is smaller than any character.
+    Runs of one text that are alike, as in "aaaa", give their bytes once; all their starts are repeated, which rows without bytes tell, one for each stretch of them.
     """
-    along = Window.partitionBy("t").orderBy("k")
-    ahead = lambda c, n: F.coalesce(F.lead(c, n).over(along), F.lit(-(2**63)))
-    rows = cut(chars.select("t", "k", "c", ahead("c", 1).alias("c1"), ahead("c", 2).alias("c2"), (F.col("k") % 3).cast("int").alias("m")))
-    sample = rows.where("m > 0")
-    triple = ["c", "c1", "c2"]
-    names = _prefix_counts(sample.groupBy(*triple).agg(F.count("*").alias("n")), triple, ["n"]).withColumnRenamed("before_n", "name")
-    named = cut(sample.join(names, triple).select("t", "k", "m", "name"))
-    if depth * 3 < length and names.count() < named.count():  # names still tie, and more bytes count
-        # The names at one place modulo 3 of a string are a string of the next level; its end matters as much as its names.
-        inner = named.select((F.col("t") * 2 + F.col("m") - 1).alias("t"), F.floor(F.col("k") / 3).alias("k"), F.col("name").alias("c"))
-        deeper = suffix_ranks(inner, depth * 3, length)
-        ranked = deeper.select(F.shiftright("t", 1).alias("t"), (F.col("k") * 3 + F.pmod("t", F.lit(2)) + 1).alias("k"), "rank")
-    else:
-        ranked = named.select("t", "k", F.col("name").alias("rank"))
-    joined = rows.join(ranked, ["t", "k"], "left")
-    joined = cut(joined.select("t", "k", "m", "c", "c1", "rank", ahead("rank", 1).alias("r1"), ahead("rank", 2).alias("r2")))
-    is_ = lambda m: F.count_if(F.col("m") == m).alias(f"n{m}")
-    # Class 0 against 1 by one character and a rank; class 0 against 2 by two characters and a rank.
-    one = _prefix_counts(joined.where("m < 2").groupBy("c", "r1").agg(is_(0), is_(1)), ["c", "r1"], ["n0", "n1"])
-    two = _prefix_counts(joined.where("m <> 1").groupBy("c", "c1", "r2").agg(is_(0), is_(2)), ["c", "c1", "r2"], ["n0", "n2"])
-    one = one.select("c", "r1", F.col("before_n0").alias("one0"), F.col("before_n1").alias("one1"))
-    two = two.select("c", "c1", "r2", F.col("before_n0").alias("two0"), F.col("before_n2").alias("two2"))
-    first = joined.where("m = 0").join(one, ["c", "r1"]).join(two, ["c", "c1", "r2"]).select("t", "k", (F.col("one0") + F.col("one1") + F.col("two2")).alias("rank"))
-    second = joined.where("m = 1").join(one, ["c", "r1"]).select("t", "k", (F.col("rank") + F.col("one0")).alias("rank"))
-    third = joined.where("m = 2").join(two, ["c", "c1", "r2"]).select("t", "k", (F.col("rank") + F.col("two0")).alias("rank"))
-    return cut(first.union(second).union(third))
-
-
-#: Starts of a region at most; a longer run is cut, each piece with the bytes that its last start needs.
-REGION = 1 << 17
-
-
-def _regions(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
-    """region, doc, low, live (starts that may repeat, as runs from low), bytes: stored, a row a region; one text stands for its copies."""
-    listed = candidate_runs(rows, length).groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("runs"))
+    runs = F.struct("low", "high", "place", "gram")
+    listed = candidate_runs(rows, length).groupBy("h1", "h2").agg(F.collect_set(runs).alias("runs"))  # no more than a document's starts
     texts = rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
-    found = listed.join(distinct, ["h1", "h2"]).join(texts, ["h1", "h2"]).select("doc", "runs", "text")
-    arrow = pa.schema([("doc", pa.int64()), ("low", pa.int64()), ("runs", pa.list_(pa.int64())), ("bytes", pa.binary())])
+    found = listed.join(distinct.select("h1", "h2", "doc"), ["h1", "h2"]).join(texts, ["h1", "h2"]).select("doc", "runs", "text")
+    arrow = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda out: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         for batch in batches:
-            for doc, found, text in zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = text.encode()
-                pieces: list[list[list[int]]] = []
-                for r in found:
-                    low, high = r["low"], r["high"]
-                    while low <= high:
-                        if pieces and low <= pieces[-1][-1][1] + length and low - pieces[-1][0][0] < REGION:  # runs closer than a string share a region
-                            stop = min(high, pieces[-1][0][0] + REGION - 1)
-                            pieces[-1].append([low, stop])
+            out: list[tuple] = []
+            for doc, runs, text in zip(*(batch.column(c) for c in ("doc", "runs", "text")), strict=True):
+                data, doc = text.as_py().encode(), doc.as_py()
+                low, high, place, gram = (np.asarray(runs.values.field(c)).tolist() for c in ("low", "high", "place", "gram"))
+                first, known = {}, []
+                for a, b, g, name in zip(low, high, place, gram, strict=True):
+                    for at in range(a, b + 1, REGION):
+                        end = min(at + REGION, b + 1)
+                        piece = data[at : end - 1 + length]
+                        told = first.setdefault((g - at, piece), at)
+                        if told != at:
+                            known += [(told, end - at), (at, end - at)]
                         else:
-                            stop = min(high, low + REGION - 1)
-                            pieces.append([[low, stop]])
-                        low = stop + 1
-                out = [(doc, p[0][0], [x - p[0][0] for run in p for x in run], data[p[0][0] : p[-1][1] + length]) for p in pieces]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    return cut(found.mapInArrow(lay, "doc long, low long, runs array<long>, bytes binary").withColumn("region", F.monotonically_increasing_id()))
-
-
-def _characters(regions: DataFrame) -> DataFrame:
-    """t, k, c: a region's positions of one remainder by PACK are a string of PACK-byte characters, the end padded."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for region, data in zip(batch.column("region").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                n = len(data)
-                padded = np.frombuffer(data + bytes(PACK), np.uint8).astype(np.uint64)
-                c = np.zeros(n, np.uint64)
-                for i in range(PACK):
-                    c = c << np.uint64(8) | padded[i : i + n]
-                at = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(region * PACK + at % PACK), pa.array(at // PACK), pa.array((c ^ np.uint64(1 << 63)).view(np.int64))], names=["t", "k", "c"])
-
-    return regions.select("region", "bytes").mapInArrow(spell, "t long, k long, c long")
-
+                            out.append((name, doc, at, g - at, end - at, piece))
+                    if len(out) >= SORTED:
+                        yield table(out)
+                        out = []
+                out += [(doc + a, doc, a, 0, n, None) for a, n in _joined(known)]
+            if out:
+                yield table(out)
+
+    return found.mapInArrow(lay, "gram long, doc long, low long, before long, n long, bytes binary")
+
+
+def _joined(runs: list[tuple[int, int]]) -> list[list[int]]:
+    """Runs (start, n), those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for a, n in sorted(runs):
+        if out and a <= sum(out[-1]):
+            out[-1][1] = max(out[-1][1], a + n - out[-1][0])
+        else:
+            out.append([a, n])
+    return out
+
+
+def _ranked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each text in their order, bytes that each place's text shares with the one before it)."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    shared = np.zeros(len(texts), np.int64)
+    size = np.array([len(t) for t in texts])[order]
+    wide = max(int(size.max()), 1)
+    step = max(2, (1 << 24) // wide)
+    for at in range(0, len(order), step - 1):
+        some = order[at : at + step]
+        rows = np.frombuffer(b"".join(texts[i].ljust(wide, b"\0") for i in some), np.uint8).reshape(len(some), wide)
+        differ = rows[1:] != rows[:-1]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+        shared[at + 1 : at + len(some)] = np.minimum(first, np.minimum(size[at + 1 : at + len(some)], size[at : at + len(some) - 1]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank, shared
+
+
+def _repeats(doc: np.ndarray, low: np.ndarray, before: np.ndarray, n: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, n): runs of starts whose ``length`` bytes also start in another of the pieces or at another place of the same."""
+    on, shared_on = _ranked([t[b:] for t, b in zip(texts, before.tolist(), strict=True)])
+    back, shared_back = _ranked([t[b - 1 :: -1] if b else b"" for t, b in zip(texts, before.tolist(), strict=True)])
+    width = int(n.max())
+    mark = np.zeros((len(texts), width + 1), bool)
+    last = before - n + 1  # bytes from a piece's last start to its anchor; fewer than none if it starts after it
+    for k in range(int(last.min()), int(before.max()) + 1):
+        those = np.flatnonzero((before >= k) & (last <= k))
+        if len(those) < 2:
+            continue
+        code = np.cumsum(shared_on < length - k)[on[those]] * np.int64(len(texts) + 1) + np.cumsum(shared_back < k)[back[those]]
+        order = np.argsort(code, kind="stable")
+        same = code[order][1:] == code[order][:-1]
+        held = those[order[np.append(same, False) | np.insert(same, 0, False)]]
+        mark[held, before[held] - k] = True
+    edge = np.flatnonzero(np.diff(mark.ravel(), prepend=False))
+    first, end = edge[::2], edge[1::2]
+    piece = first // (width + 1)
+    return doc[piece], low[piece] + first % (width + 1), end - first
+
+
+def _starts(pieces: DataFrame, length: int) -> DataFrame:
+    """doc, start, n: runs of n places whose ``length`` bytes also start anywhere else."""
 
-def _neighbours(regions: DataFrame, ranks: DataFrame) -> DataFrame:
-    """region, start, other, place: each live start (from its region's first byte) with the one before it in the order of suffixes."""
-
-    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for region, runs in zip(batch.column("region").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                at = np.concatenate([np.arange(a, b + 1) for a, b in zip(runs[::2], runs[1::2], strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(region * PACK + at % PACK), pa.array(at // PACK)], names=["t", "k"])
-
-    parts = int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = regions.select("region", "runs").mapInArrow(live, "t long, k long")
-    placed = ranks.join(wanted, ["t", "k"]).select("rank", F.floor(F.col("t") / PACK).alias("region"), (F.col("k") * PACK + F.pmod("t", F.lit(PACK))).alias("start"))
-    keys = ["rank", "region", "start"]
-    ordered = cut(placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
-    last = {r["part"]: (r["m"]["region"], r["m"]["start"]) for r in ordered.groupBy("part").agg(F.max(F.struct(*keys)).alias("m")).collect()}  # a row a partition
-    before = {p: last[max(q for q in last if q < p)] for p in last if any(q < p for q in last)}
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: pa.Table) -> pa.RecordBatch:
+            known = held.filter(held.column("bytes").is_null())
+            held = held.filter(held.column("bytes").is_valid())
+            found = [np.asarray(known.column(c)) for c in ("doc", "low", "n")]
+            if held.num_rows > 1:
+                doc, low, before, n = (np.asarray(held.column(c)) for c in ("doc", "low", "before", "n"))
+                found = [np.concatenate(x) for x in zip(found, _repeats(doc, low, before, n, held.column("bytes").to_pylist(), length), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "start", "n"])
+
+        waiting, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = held or before.get(batch.column("part")[0].as_py())
-            region, start = np.array(batch.column("region")), np.array(batch.column("start"))
-            first = held or (-1, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(start), pa.array(np.concatenate([[first[0]], region[:-1]])), pa.array(np.concatenate([[first[1]], start[:-1]]))], names=["region", "start", "other", "place"])
-            held = int(region[-1]), int(start[-1])
-
-    return ordered.select("region", "start", "part").mapInArrow(pair, "region long, start long, other long, place long").where("other >= 0")
+            gram = np.asarray(batch.column("gram"))
+            # What waits ends where its last gram does.
+            new = 0 if waiting and waiting[-1].column("gram")[-1].as_py() == gram[0] else None
+            edges = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+            at = 0
+            if rows >= SORTED and new is None:
+                yield told(pa.Table.from_batches(waiting))
+                waiting, rows = [], 0
+            for e in edges.tolist():
+                if rows + e - at >= SORTED:
+                    waiting.append(batch.slice(at, e - at))
+                    yield told(pa.Table.from_batches(waiting))
+                    waiting, rows, at = [], 0, e
+            waiting.append(batch.slice(at))
+            rows += batch.num_rows - at
+        if waiting:
+            yield told(pa.Table.from_batches(waiting))
+
+    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "doc long, start long, n long")
 
 
 def repeated_starts(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, distinct, starts): as ``_keyed`` gives them, and doc, start, n: runs of n places whose ``length`` bytes also start anywhere else."""
     rows, distinct = _keyed(df, text, key)
-    regions = _regions(rows, distinct, length)
-    pairs = _neighbours(regions, suffix_ranks(_characters(regions), PACK, length))
-    # Neighbours of consecutive starts that are consecutive themselves are one run.
-    along = Window.partitionBy("region").orderBy("start")
-    same = (F.lag("start").over(along) == F.col("start") - 1) & (F.lag("other").over(along) == F.col("other")) & (F.lag("place").over(along) == F.col("place") - 1)
-    runs = pairs.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(along))
-    runs = cut(runs.groupBy("region", "run").agg(F.min("start").alias("start"), F.count("*").alias("n"), F.min("other").alias("other"), F.min("place").alias("place")))
-    piece = lambda start: F.substring(F.col("bytes"), (F.col(start) + 1).cast("int"), (F.col("n") + length - 1).cast("int"))
-    one = runs.join(regions.select("region", "doc", "low", "bytes"), "region").select("other", "place", "start", "n", "doc", "low", piece("start").alias("a"))
-    two = regions.select(F.col("region").alias("other"), F.col("doc").alias("other_doc"), F.col("low").alias("other_low"), "bytes")
-    both = one.join(two, "other").select("doc", (F.col("low") + F.col("start")).alias("start"), "other_doc", (F.col("other_low") + F.col("place")).alias("place"), "a", piece("place").alias("b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for doc, start, other, place, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "start", "other_doc", "place", "a", "b")), strict=True):
-                n = min(len(a), len(b))
-                odd = np.concatenate([[-1], np.flatnonzero(np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8)), [n]])
-                for i in np.flatnonzero(np.diff(odd) > length).tolist():  # between two differences lie ``length`` equal bytes or more
-                    at, many = int(odd[i]) + 1, int(odd[i + 1] - odd[i]) - length
-                    out += [(doc, start + at, many), (other, place + at, many)]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "start", "n"])
-
-    return rows, distinct, both.mapInArrow(compare, "doc long, start long, n long")
+    return rows, distinct, _starts(_pieces(rows, distinct, length), length)
 
 
 def remove_repeated_strings(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -265,18 +235,25 @@ def remove_repeated_strings(df: DataFrame, length: int = LENGTH, text: str = "te
     their keys, every string starts elsewhere. A null text is empty; null keys keep their rows.
     Empty table: no rows.
     """
-    if length < PACK:
-        raise ValueError(f"length must be {PACK} or more")
+    if length < 1:
+        raise ValueError("length must be 1 or more")
+    rows, kept = _kept(df, length, text, key)
+    return rows.select("doc_id", "h1", "h2").join(kept, ["h1", "h2"]).drop("h1", "h2")
+
+
+def _kept(df: DataFrame, length: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows as ``_keyed`` gives them; of each distinct text h1, h2, and what ``remove_repeated_strings`` tells). Texts are dealt the same way here and where their pieces are cut out, so they are shuffled once."""
     rows, distinct, starts = repeated_starts(df, length, text, key)
     listed = starts.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))  # no more than a document's starts
     marked = distinct.join(listed, "doc", "left").select("h1", "h2", "copies", "runs")
-    joined = rows.join(marked, ["h1", "h2"]).select("doc_id", "text", "copies", "runs")
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+    texts = rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
+    joined = marked.join(texts, ["h1", "h2"]).select("h1", "h2", "text", "copies", "runs")
+    arrow = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, t, copies, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copies", "runs")), strict=True):
+            for h1, h2, t, copies, runs in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "text", "copies", "runs")), strict=True):
                 data = t.encode()
                 found = [(0, len(data) - length + 1)] if copies > 1 and len(data) >= length else [(r["start"], r["n"]) for r in runs or []]
                 spans: list[list[int]] = []
@@ -291,13 +268,15 @@ def remove_repeated_strings(df: DataFrame, length: int = LENGTH, text: str = "te
                     done = b
                 kept.append(data[done:])
                 left = b"".join(kept)
-                out.append((k, len(data), len(data) - len(left), len(spans), spans, left))
+                out.append((h1, h2, len(data), len(data) - len(left), len(spans), spans, left))
             columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    return rows, joined.mapInArrow(remove, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
 
 
 def repeated_string_digest(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeated_strings(df, length, text, key).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    rows, kept = _kept(df, length, text, key)
+    digest = kept.select("h1", "h2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "h1", "h2").join(digest, ["h1", "h2"]).drop("h1", "h2")

@@ -419,6 +419,24 @@ def test_suffixes_against_brute_force(spark, docs, texts):
             assert got[k].n_spans == (np.diff(covered.astype(int), prepend=0) == 1).sum() and got[k].n_removed == covered.sum()
 
 
+def test_suffixes_take_little_room(spark, monkeypatch, tmp_path):
+    """What is dealt by anchors are few bytes a start that may repeat, also where a text repeats itself; groups of many and of few anchors give the same."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(400)]
+    common = " ".join(rng.choice(words) for _ in range(200))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300)) + common + " ".join(rng.choice(words) for _ in range(300))) for i in range(30)] + [(40, "a" * 9000), (41, "-+" * 3000), (42, "a" * 150 + "b" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = collections.Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    want = {k: sum(any(count[t[j : j + 200]] > 1 for j in range(max(0, i - 199), min(i + 1, len(t) - 199))) for i in range(len(t))) for k, t in rows}
+    for many in (1 << 15, 50):
+        monkeypatch.setattr(suffixes, "SORTED", many)
+        assert {r.doc_id: r.n_removed for r in suffixes.repeated_string_digest(df).collect()} == want
+    keyed, distinct = suffixes._keyed(df, "text", "doc_id")
+    dealt = suffixes._pieces(keyed, distinct, 200).selectExpr("sum(octet_length(bytes)) AS b").first().b
+    live = sum(n for n in count.values() if n > 1)
+    assert dealt < 6 * live
+
+
 def test_suffixes_of_repeated_rows_and_long_regions(spark, monkeypatch):
     """Rows of one key and text lose it; regions cut short and a hash without bits change nothing."""
     monkeypatch.setattr(suffixes, "REGION", 300)
