@@ -97,6 +97,32 @@ def test_close_is_near(spark):
         assert all(got[w, r.t] == r.n for r in near)
 
 
+def test_close_pairs_and_forms_as_by_columns(spark):
+    """What tasks compute of single tokens is what the columns say."""
+    rng = random.Random(6)
+    some = sorted({*words(rng, 250), "", "a", "ab", "éa", "aé", "abcdef", "badcfe", "abdcfe", "bacdfe", "zzbacdef"})
+    df = spark.createDataFrame([(w, t) for w in some for t in some], "w string, t string").withColumn("n", text.edits_of(F.col("w"))).withColumn("c", text.close(F.col("w"), F.col("t"), F.col("n")))
+    assert [r for r in df.collect() if r.c != text.is_close(r.w, r.t, r.n)] == []
+    n = F.length("w")
+    depth = F.when(n >= 4, 2).when(n >= 2, 1).otherwise(0)
+    rows = spark.createDataFrame([(w,) for w in some if w], "w string").select(F.col("w").alias("token"), F.explode(postings.deletions(F.col("w"), depth)).alias("form"))
+    batches = [__import__("pyarrow").RecordBatch.from_pydict({"token": [w for w in some if w]})]
+    assert {(r.token, r.form) for r in rows.collect()} == {x for b in postings._forms(batches) for x in zip(*b.to_pydict().values(), strict=True)}
+
+
+def test_parts_get_only_tokens_that_they_hold(spark, monkeypatch, tmp_path):
+    """A word's near tokens go to the parts whose postings have them, not to all; the result does not depend on the parts."""
+    docs = spark.createDataFrame([(f"d{i}", f"common token{chr(97 + i % 26)}{chr(97 + i // 26)}", "g", 1.0, ["t"]) for i in range(200)], "subject string, text string, g string, rank double, types array<string>")
+    path = str(tmp_path / "index")
+    postings.write_text_index(docs, path, boosts={"text": 1.0})
+    asked = spark.createDataFrame([(1, "common"), (2, "tokenaa"), (3, "tokenzz comon")], "query int, q string")
+    found = []
+    for many in (1_000_000, 10):
+        monkeypatch.setattr(postings, "POSTED", many)
+        found.append({(r["query"], r.place, r.key, r.score) for r in postings.search(spark, path, asked, limit=30).collect()})
+    assert found[0] == found[1] and found[0]
+
+
 # ---- versions
 
 TABLES = {"a": Table("k long, v string", ["k"], buckets=4), "b": Table("k long, j long, v string", ["k", "j"], ["k"], 4)}
