@@ -219,3 +219,13 @@ def test_filtered_cells_reach_the_recall_among_copies(spark):
     found = cells.search_filtered(indexed, queries, model, "embedding", "vec_id", F.col("copy") == 5, k=10, probes=probes).select("query", "vec_id")
     true = vectors.nearest_each(copies.where("copy = 5"), "embedding", "vec_id", queries, "cosine", 10).select("query", "vec_id")
     assert true.join(found, ["query", "vec_id"]).count() >= 0.9 * true.count()
+
+
+def test_candidates_shuffle_sequences_once_for_many_queries(spark):
+    """Queries of three million bases are one block, so each sequence is shuffled once."""
+    held = spark.createDataFrame([(1, "ACGTTGCAACGGTACC" * 4), (2, "GGGGTTTTGGGGTTTT")], "k long, s string")
+    queries = held.where("k = 1").select(F.col("k").alias("query"), F.repeat("s", 48_000).alias("q"))
+    found = sequences.align_candidates(held, "s", "k", queries, 12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f", {spark.sparkContext.defaultParallelism})" in plan.split("hashpartitioning(block")[1].split("REPARTITION")[0]
+    assert {(r["query"], r.k) for r in found.collect()} == {(1, 1)}
